@@ -2,28 +2,55 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyring.llm import mixing, scratch
+from tallyring.llm import contamination, media, mixing, scratch, store
+
+#: Folder of the public tokenizers' vocabulary files.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+
+
+def vocabulary(name: str) -> str:
+    return os.path.join(TOKENIZERS, name)
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch.folder(spark, "store")
+    store.write(_read(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
+    store.manifest(spark, path)
+    return store.read_back(spark, path)
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_and_describe(_read(spark, sf_dir, "documents"))
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"), lambda df: scratch.table(df, "mix"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_decontaminate": op5_decontaminate,
+        "op7_token_store": op7_token_store,
+        "op9_media": op9_media,
         "op10_mix": op10_mix,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_decontaminate": contamination.ORACLE_SQL,
         "op10_mix": mixing.ORACLE_SQL,
     }
