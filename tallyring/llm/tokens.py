@@ -1,19 +1,23 @@
 """Encoding texts with a byte-level BPE tokenizer of the tokenizers library, piece by piece.
 
 The tokenizer's split pattern never joins a space to what stands before it unless that is
-white space too. So a text falls apart before every space that follows a non-space, and
-the parts encode independently; equal parts are encoded once and kept in a bounded cache.
+white space too, and joins no other white space to a word. So a text falls apart before
+every space that follows a non-space, and around every line feed that stands alone; the
+parts encode independently. Equal parts are encoded once and kept in a bounded cache.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 
 import numpy as np
 
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
-_RUN = re.compile(r"\s ")
-_MARKS = ".,;:!?%&*#$|()[]\"-"
+_RUN = re.compile(r"\s\s")
+#: A run of Latin letters and a run of ASCII marks: two pieces of the pattern, whatever follows.
+_PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]*)([.,;:!?%&*#$|()\[\]\"-]*)")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -23,13 +27,30 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class _Cache(dict):
+    """Ids by part, computed where they are missing. Two generations of ``most`` parts are kept:
+    parts not used while one fills go with the next."""
+
+    def __init__(self, compute, most: int) -> None:
+        self.compute, self.most, self.old = compute, most, {}
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.old.get(part)
+        if ids is None:
+            ids = self.compute(part)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[part] = ids
+        return ids
+
+
 class Encoder:
     """``encode(text)`` gives the ids as little-endian bytes of ``dtype``.
 
-    Strings of special tokens inside a text are ordinary text. The cache is emptied when it
-    holds ``most`` parts."""
+    Strings of special tokens inside a text are ordinary text."""
 
-    def __init__(self, path: str, most: int = 700_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -37,43 +58,36 @@ class Encoder:
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.most = most
-        self.spaced: dict[str, bytes] = {}
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.spaced = _Cache(lambda part: self.part(" ", part), most)
+        self.first = _Cache(lambda part: self.part("", part), most // 4)
+        self.line_feed = self._bytes(self.tokenizer.encode("\n", add_special_tokens=False).ids)
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        a = array(self.code, ids)
+        return a.tobytes() if sys.byteorder == "little" else np.array(ids, dtype=self.dtype).tobytes()
 
     def _word(self, word: str) -> list[int]:
         return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
 
-    def part(self, text: str) -> bytes:
-        """The ids of a part, without the cache."""
-        core = text[1:] if text[:1] == " " else text
-        word = core.rstrip(_MARKS)
-        if word.isalpha() and ord(max(word)) < 0x250:  # one letter run and marks: no pattern needed
-            ids = self._word(text[: len(text) - len(core) + len(word)])
-            if len(word) < len(core):
-                ids += self._word(core[len(word) :])
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype=self.dtype).tobytes()
+    def part(self, space: str, text: str) -> bytes:
+        """The ids of a part after a space or nothing."""
+        if m := _PLAIN.fullmatch(text):
+            word, marks = m[1], m[2]
+            if word and marks:
+                return self._bytes(self._word(space + word) + self._word(marks))
+            return self._bytes(self._word(space + text)) if text or space else b""
+        return self._bytes(self.tokenizer.encode(space + text, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
         if _RUN.search(text):
             first, *rest = _BEFORE_SPACE.split(text)
-            rest = [r[1:] for r in rest]
-        else:
-            first, *rest = text.split(" ")
-        spaced = self.spaced
-        found = [spaced.get(r) for r in rest]
-        if None in found:
-            if len(spaced) > self.most:
-                spaced.clear()
-            for i, r in enumerate(rest):
-                if found[i] is None:
-                    if (ids := spaced.get(r)) is None:
-                        ids = spaced[r] = self.part(" " + r)
-                    found[i] = ids
-        return (self.part(first) if first else b"") + b"".join(found)
+            return self.part("", first) + b"".join([self.spaced[r[1:]] for r in rest])
+        spaced, lines = self.spaced.__getitem__, []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            lines.append((self.first[first] if first else b"") + b"".join(map(spaced, rest)))
+        return self.line_feed.join(lines)
 
 
 _KEPT: dict[str, Encoder] = {}
