@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyring.llm import chat, contamination, html, media, mixing, scratch, store, toxicity
+from tallyring.llm import chat, contamination, counts, html, likelihood, media, mixing, scratch, store, toxicity
 
 #: Folder of the public tokenizers' vocabulary files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -46,6 +46,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.count(_read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.folder(spark, "store")
     store.write(_read(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
@@ -53,6 +57,11 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read_back(spark, path)
 
 
+def op8_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(7)) == 2
+    return likelihood.score(_read(spark, sf_dir, "documents"), held_out, vocabulary("piece_bpe_32k.model"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_and_describe(_read(spark, sf_dir, "documents"))
 
@@ -67,7 +76,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": op2_toxicity,
         "op4_main_text": op4_main_text,
         "op5_decontaminate": op5_decontaminate,
+        "op6_token_counts": op6_token_counts,
         "op7_token_store": op7_token_store,
+        "op8_likelihood": op8_likelihood,
         "op9_media": op9_media,
         "op10_mix": op10_mix,
     }
