@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyring.llm import chat, contamination, counts, html, likelihood, media, mixing, scratch, store, toxicity
+from tallyring.llm import chat, contamination, counts, html, jaccard, likelihood, media, mixing, scratch, store, toxicity
 
 #: Folder of the public tokenizers' vocabulary files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -38,6 +38,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (third == 1).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_read(spark, sf_dir, "documents"))
+
+
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_read(spark, sf_dir, "pages"))
 
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat": op1_chat,
         "op2_toxicity": op2_toxicity,
+        "op3_jaccard": op3_jaccard,
         "op4_main_text": op4_main_text,
         "op5_decontaminate": op5_decontaminate,
         "op6_token_counts": op6_token_counts,
