@@ -40,7 +40,7 @@ BUCKETS_LOG2 = 18
 DIM = 4
 WINDOW = 24
 #: Labelled rows of each label that training takes at most.
-SAMPLE = 2500
+SAMPLE = 1500
 EPOCHS = 8
 THRESHOLD = 0.7
 #: An n-gram is learnt if it stands in as many sampled texts at least.
@@ -132,6 +132,54 @@ class Model:
         return np.where(bags.words == 0, np.minimum(score, self.prior), score)
 
 
+def _sums(weight: np.ndarray, bucket: np.ndarray, to: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Sum of the weights of each bag's n-grams, some bags at a time."""
+    out = np.zeros(len(held))
+    for lo in range(0, len(held), 4096):
+        hi = min(len(held), lo + 4096)
+        first = to[lo] - held[lo]
+        values = np.append(weight[bucket[first : to[hi - 1]]], 0)
+        sums = np.add.reduceat(values, np.minimum(to[lo:hi] - held[lo:hi] - first, len(values) - 1))
+        out[lo:hi] = np.where(held[lo:hi] > 0, sums, 0)
+    return out
+
+
+def _gather(texts: list[str], labels: np.ndarray, prior: float) -> tuple:
+    """N-grams of each bag, of those kept, the text of each bag, buckets by bag, and how far the
+    texts with label 1 that have a bucket lie above what all its texts let expect (0 where
+    fewer than LEAST_TEXTS have it: such n-grams would only be learnt by heart)."""
+    cuts, size = [0], 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size > 1 << 20:
+            cuts.append(i + 1)
+            size = 0
+    cuts = sorted({*cuts, len(texts)})
+
+    def parts() -> Iterator[tuple[int, Bags]]:
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            raw = [t.encode() for t in texts[lo:hi]]
+            yield lo, Bags(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
+
+    many, toxic = np.zeros(1 << BUCKETS_LOG2), np.zeros(1 << BUCKETS_LOG2)
+    for lo, b in parts():
+        own = np.unique(b.doc[b.bag].astype(np.int64) << BUCKETS_LOG2 | b.bucket)
+        of = own & ((1 << BUCKETS_LOG2) - 1)
+        many += np.bincount(of, minlength=len(many))
+        toxic += np.bincount(of, weights=labels[lo + (own >> BUCKETS_LOG2)], minlength=len(many))
+    known = many >= LEAST_TEXTS
+    excess = np.where(known, (toxic - many * prior) / np.sqrt(many * prior + 1), 0)
+    whole, held, doc_of, chunks = [], [], [], []
+    for lo, b in parts():
+        whole.append(np.bincount(b.bag, minlength=b.count))
+        order = np.argsort(b.bag, kind="stable")
+        order = order[known[b.bucket[order]]]
+        held.append(np.bincount(b.bag[order], minlength=b.count))
+        doc_of.append(b.doc + lo)
+        chunks.append(b.bucket[order])
+    return np.concatenate(whole), np.concatenate(held), np.concatenate(doc_of), chunks, excess
+
+
 def train(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = EPOCHS) -> Model:
     """Fit on whole texts with labels 0 and 1."""
     prior = float(labels.mean()) if len(labels) else 0.0
@@ -139,35 +187,23 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = EPO
         flat = np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))
         return Model(np.zeros(1 << BUCKETS_LOG2, dtype=np.float32), float(flat), prior)
     random = np.random.default_rng(seed)
-    raw = [t.encode() for t in texts]
-    bags = Bags(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
-    # n-grams of few texts stay neutral: they would only be learnt by heart
-    texts_with = np.unique(bags.doc[bags.bag].astype(np.int64) << BUCKETS_LOG2 | bags.bucket) & ((1 << BUCKETS_LOG2) - 1)
-    known = np.bincount(texts_with, minlength=1 << BUCKETS_LOG2) >= LEAST_TEXTS
-    size = np.bincount(bags.bag, minlength=bags.count)
-    order = np.argsort(bags.bag, kind="stable")
-    order = order[known[bags.bucket[order]]]
-    bag, bucket = bags.bag[order], bags.bucket[order]
-    held = np.bincount(bag, minlength=bags.count)
+    # texts are cut into bags a megabyte at a time; of their n-grams only the bucket is kept
+    whole, held, doc_of, chunks, excess = _gather(texts, labels, prior)
     to = np.cumsum(held)
-    # start from how far an n-gram's texts with label 1 lie above what its texts let expect
-    own = np.unique(bags.doc[bag].astype(np.int64) << BUCKETS_LOG2 | bucket)
-    own_bucket, own_label = own & ((1 << BUCKETS_LOG2) - 1), labels[own >> BUCKETS_LOG2]
-    expected = np.bincount(own_bucket, minlength=1 << BUCKETS_LOG2) * prior
-    excess = (np.bincount(own_bucket, weights=own_label, minlength=1 << BUCKETS_LOG2) - expected) / np.sqrt(expected + 1)
+    starts = np.searchsorted(doc_of, np.arange(len(texts)))
+    stops = np.append(starts[1:], len(doc_of))
+    bucket = np.concatenate(chunks)
+    del chunks
+    seen = excess != 0
     table = np.zeros((1 << BUCKETS_LOG2, DIM), dtype=np.float32)  # n-grams not seen stay neutral
-    table[own_bucket] = random.normal(0, 0.05, (len(own_bucket), DIM))
+    table[seen] = random.normal(0, 0.05, (int(seen.sum()), DIM))
     table[:, 0] += excess
     soft, bias = random.normal(0, 0.1, (DIM, 2)).astype(np.float32), np.zeros(2, dtype=np.float32)
     soft[0] = (-1, 1)
     seen_table, seen_soft, seen_bias = np.full(1 << BUCKETS_LOG2, 1e-8, dtype=np.float32), np.full((DIM, 2), 1e-8), np.full(2, 1e-8)
-    starts = np.searchsorted(bags.doc, np.arange(len(texts)))
-    stops = np.append(starts[1:], bags.count)
     epochs = max(epochs, min(3 * epochs, -(-epochs * 2000 // len(texts))))
     for _ in range(epochs):
-        flat = (table @ (soft[:, 1] - soft[:, 0]))[bucket]
-        sums = np.add.reduceat(np.append(flat, 0), np.minimum(to - held, len(flat)))
-        logit = np.where(held > 0, sums / (size + PAD), 0)
+        logit = _sums((table @ (soft[:, 1] - soft[:, 0])), bucket, to, held) / (whole + PAD)
         chosen, label = [], []
         for d in random.permutation(len(texts)):
             lo, hi = starts[d], stops[d]
@@ -185,10 +221,10 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = EPO
             own, own_w, own_y = b[held[b] > 0], w[held[b] > 0], y[held[b] > 0]
             if not len(own):
                 continue
-            lengths, whole = held[own], (size[own] + PAD)[:, None]
+            lengths, over = held[own], (whole[own] + PAD)[:, None]
             inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(to[own] - lengths, lengths)
             ids = bucket[inside]
-            mean = np.add.reduceat(table[ids], np.cumsum(lengths) - lengths) / whole
+            mean = np.add.reduceat(table[ids], np.cumsum(lengths) - lengths) / over
             z = mean @ soft + bias
             z -= z.max(axis=1, keepdims=True)
             q = np.exp(z)
@@ -196,7 +232,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = EPO
             q[np.arange(len(own)), own_y] -= 1
             q *= own_w[:, None] / len(own)
             g_soft, g_bias = mean.T @ q, q.sum(axis=0)
-            g_mean = (q @ soft.T) / whole
+            g_mean = (q @ soft.T) / over
             unique, inverse = np.unique(ids, return_inverse=True)
             owner = np.repeat(np.arange(len(own)), lengths)
             g_table = np.stack([np.bincount(inverse, weights=g_mean[owner, d], minlength=len(unique)) for d in range(DIM)], axis=1)
@@ -209,7 +245,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = EPO
     model = Model((table @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]), prior)
     # the threshold lies between the sample's worst clean texts and its mildest toxic ones,
     # nearer to the clean, as texts that training has seen score more surely than others
-    worst = np.maximum.reduceat(model.bag_logits(bags), starts)
+    worst = np.maximum.reduceat(_sums(model.weight, bucket, to, held) / (whole + PAD) + model.intercept, starts)
     clean, toxic = np.quantile(worst[labels == 0], 0.995), np.quantile(worst[labels == 1], 0.02)
     middle = clean + 0.3 * (toxic - clean)
     model.intercept += float(np.log(THRESHOLD / (1 - THRESHOLD)) - middle)
