@@ -45,6 +45,8 @@ EPOCHS = 8
 THRESHOLD = 0.7
 #: An n-gram is learnt if it stands in as many sampled texts at least.
 LEAST_TEXTS = 4
+#: Weight of the empty bag, which is clean, in each step.
+BLANK = 0.25
 #: Neutral entries that every bag has besides its own, so a few n-grams alone decide little.
 PAD = 100
 
@@ -232,6 +234,9 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = EPO
             q[np.arange(len(own)), own_y] -= 1
             q *= own_w[:, None] / len(own)
             g_soft, g_bias = mean.T @ q, q.sum(axis=0)
+            # a bag of n-grams never seen is clean: the intercept alone must say so
+            blank = np.exp(bias - bias.max())
+            g_bias = g_bias + BLANK * (blank / blank.sum() - (1, 0))
             g_mean = (q @ soft.T) / over
             unique, inverse = np.unique(ids, return_inverse=True)
             owner = np.repeat(np.arange(len(own)), lengths)
@@ -246,8 +251,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = EPO
     # the threshold lies between the sample's worst clean texts and its mildest toxic ones,
     # nearer to the clean, as texts that training has seen score more surely than others
     worst = np.maximum.reduceat(_sums(model.weight, bucket, to, held) / (whole + PAD) + model.intercept, starts)
-    clean, toxic = np.quantile(worst[labels == 0], 0.995), np.quantile(worst[labels == 1], 0.02)
-    middle = clean + 0.3 * (toxic - clean)
+    clean, toxic = max(model.intercept, np.quantile(worst[labels == 0], 0.995)), np.quantile(worst[labels == 1], 0.02)
+    middle = clean + 0.3 * max(0.1, toxic - clean)
     model.intercept += float(np.log(THRESHOLD / (1 - THRESHOLD)) - middle)
     return model
 
