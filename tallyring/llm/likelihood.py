@@ -151,18 +151,35 @@ class Component:
             return np.logaddexp(np.log(whole), np.log(spare) + lattice + self.stop)
 
 
-def _texts(batch: pa.RecordBatch) -> list[str]:
-    return [w.decode("utf-8", "replace") for w in batch.column("word").to_pylist()]
+#: Words whose lattices are summed together: enough of each length to work in whole arrays.
+TOGETHER = 100_000
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], pa.Table]]:
+    """Words, and their rows, of about TOGETHER rows at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= TOGETHER:
+            yield _texts(held)
+            held = []
+    if held:
+        yield _texts(held)
+
+
+def _texts(held: list[pa.RecordBatch]) -> tuple[list[str], pa.Table]:
+    rows = pa.Table.from_batches(held).combine_chunks()
+    return [w.decode("utf-8", "replace") for w in rows.column("word").to_pylist()], rows
 
 
 def _expect(names: list[str], model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = model.value
         lattice, sums = unigram.Lattice(names, parts[0].log_p), np.zeros((len(parts), len(names) + 1))
-        for batch in batches:
-            texts = np.array(_texts(batch), dtype=object)
+        for texts, rows in _gathered(batches):
+            texts = np.array(texts, dtype=object)
             for k, part in enumerate(parts):
-                own = texts[batch.column(f"c{k}").to_numpy() > 0].tolist()
+                own = texts[rows.column(f"c{k}").to_numpy() > 0].tolist()
                 if own:
                     lattice.log_p = part.log_p
                     lattice.score(own, np.ones(len(own)), sums[k])
@@ -178,14 +195,14 @@ def _price(names: list[str], model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = model.value
         lattice = unigram.Lattice(names, parts[0].log_p)
-        for batch in batches:
-            texts = _texts(batch)
-            counts = [batch.column(f"c{k}").to_numpy() for k in range(len(parts))]
+        for texts, rows in _gathered(batches):
+            counts = [rows.column(f"c{k}").to_numpy() for k in range(len(parts))]
             out = []
             for part, c in zip(parts, counts, strict=True):
                 lattice.log_p = part.log_p
                 out.append(pa.array(part.log_word(lattice.score(texts), c).astype(np.float32)))
-            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(sum(counts), pa.int64()), *out], names=["h", "c", *[f"p{k}" for k in range(len(parts))]])
+            arrays = [rows.column("h").combine_chunks(), pa.array(sum(counts), pa.int64()), *out]
+            yield from pa.Table.from_arrays(arrays, names=["h", "c", *[f"p{k}" for k in range(len(parts))]]).to_batches(max_chunksize=20_000)
 
     return run
 

@@ -170,7 +170,7 @@ class Lattice:
         lengths = np.array(list(map(len, texts)))
         for length in np.unique(lengths):
             where = np.flatnonzero(lengths == length)
-            step = max(1, 2_000_000 // int(length))
+            step = max(1, 600_000 // int(length))
             for lo in range(0, len(where), step):
                 part = where[lo : lo + step]
                 own = [texts[i] for i in part]
