@@ -17,7 +17,7 @@ of all blocks are summed by word hash (counted within blocks first, so the commo
 one row a block); lattice scores are computed once a distinct word; results go back to
 the blocks and meet the documents there. Only sums over pieces (one row a component and
 piece) and over components reach the driver. ``COMPONENTS`` languages with most training
-documents have components of their own; all other documents, null included, share one.
+documents have components of their own; all other training documents, null included, share one.
 
 Base (for comparison): sum over tokens of ``log10((c + 1) / (N + V + 1))``.
 
@@ -242,10 +242,11 @@ def score(docs: DataFrame, held_out: Column, path: str) -> DataFrame:
     documents where ``held_out`` is true teach nothing."""
     spark = docs.sparkSession
     named = docs.select("doc_id", "text", "lang", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    many = named.where(~F.col("held_out")).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(COMPONENTS).collect()
-    langs = [r[0] for r in many if r[0] is not None]
-    part = reduce(lambda c, kl: c.when(F.col("lang") == kl[1], F.lit(kl[0])), enumerate(langs), F.when(F.lit(False), F.lit(0))).otherwise(F.lit(len(langs))).cast("long")
-    columns = [f"c{k}" for k in range(len(langs) + 1)]
+    many = named.where(~F.col("held_out")).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(COMPONENTS + 1).collect()
+    langs = [r[0] for r in many if r[0] is not None][:COMPONENTS]
+    others = len(many) > len(langs) or not langs  # training documents that share a component
+    part = reduce(lambda c, kl: c.when(F.col("lang") == kl[1], F.lit(kl[0])), enumerate(langs), F.when(F.lit(False), F.lit(0))).otherwise(F.lit(len(langs) if others else 0)).cast("long")
+    columns = [f"c{k}" for k in range(len(langs) + others)]
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"block long, h long, i int, word binary, {', '.join(f'{c} long' for c in columns)}, doc_id {kind}, held_out boolean, ids binary"
     cut = scratch.table(named.select("doc_id", "text", "held_out", part.alias("part")).mapInArrow(_cut(columns), schema), "blocks")
