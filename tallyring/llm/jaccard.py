@@ -14,8 +14,9 @@ hashes; with fewer words, the whole sequence as one. Two documents link when
    that many are indexed by combinations of two frequent tokens: tokens fall into g <= e
    classes by hash, and two of the e + 1 must meet in a class. (g is a power of two; a set is
    indexed under its own and the next smaller, so sets of similar sizes meet.)
-4. Sets that share a rare token make pairs (a token has RARE sets at most); a pair's shared
-   tokens and their ranks bound the intersection, which leaves little but true copies. Sets
+4. Sets that share a rare token make pairs (a token has RARE sets at most); how many tokens a
+   pair shares, and how many it could, bounds the intersection, which leaves little but true
+   copies. Sets
    that share a combination only name its smallest set. Both kinds of candidates join sets
    to clusters.
 5. Clusters are verified exactly, each set sent once: intersections are counted by inverted
@@ -35,6 +36,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +49,11 @@ WORDS = 4
 RARE = 32
 #: Frequent tokens (8 bytes each) that are broadcast; RARE is doubled until there are no more.
 MOST_FREQUENT = 1_000_000
-BLOCK, BLOCK_BYTES = 3000, 24 << 20
+BLOCK, BLOCK_BYTES = 1500, 8 << 20
+#: Bytes of text whose words are hashed at once.
+SLICE = 1 << 20
+#: Bits (2 MB) of the filter by which documents outside all clusters stay where they are.
+FILTER_BITS = 1 << 24
 
 
 def least(n: int) -> int:
@@ -81,7 +87,7 @@ def _digest(s: np.ndarray) -> bytes:
 
 def _sets(low: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, at in slices(batches, "text"):
+        for batch, data, at in slices(batches, "text", SLICE):
             sets = shingle_sets(data, at)
             columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary())]
             if low:
@@ -98,6 +104,30 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(joined[lo : lo + 500_000])], names=["token"])
 
 
+def _rare(common: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Which tokens are not frequent."""
+    if not len(common):
+        return np.ones(len(tokens), dtype=bool)
+    at = np.searchsorted(common, tokens)
+    return common[np.minimum(at, len(common) - 1)] != tokens
+
+
+def _posted(frequent):
+    """Of every set, how many rare tokens are indexed, and the last (its order as a signed number)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            many, last = [], []
+            for n, low in zip(batch.column("n").to_pylist(), batch.column("low").to_pylist(), strict=True):
+                tokens = np.frombuffer(low, dtype=U64)
+                own = tokens[_rare(frequent.value, tokens)][: prefix(n)[0]]
+                many.append(len(own))
+                last.append(int(own[-1]) - (1 << 63) if len(own) else -(1 << 63))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(many, pa.int64()), pa.array(last, pa.int64())], names=["doc", "k", "last"])
+
+    return run
+
+
 def _index(frequent, combined: bool):
     """Index entries: key, doc, n and the token's rank (0 for combinations)."""
 
@@ -108,11 +138,7 @@ def _index(frequent, combined: bool):
             ids = batch.column("doc_id").to_numpy()
             for doc, n, low in zip(ids.tolist(), batch.column("n").to_pylist(), batch.column("low").to_pylist(), strict=True):
                 tokens = np.frombuffer(low, dtype=U64)
-                if len(common):
-                    at = np.searchsorted(common, tokens)
-                    is_common = common[np.minimum(at, len(common) - 1)] == tokens
-                else:
-                    is_common = np.zeros(len(tokens), dtype=bool)
+                is_common = ~_rare(common, tokens)
                 p, e = prefix(n)
                 if not combined:
                     own = tokens[~is_common][:p]
@@ -155,18 +181,24 @@ def _combinations(tokens: np.ndarray, e: int) -> np.ndarray:
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of sets that share a rare token, sizes allowing."""
-    names = ["a", "b", "na", "nb", "ra", "rb"]
     for batch in batches:
-        out: list[list] = [[] for _ in names]
-        for sets in batch.column("sets").to_pylist():
-            sets.sort(key=lambda s: s["doc"])
-            for j, y in enumerate(sets):
-                for x in sets[:j]:
-                    if 100 * min(x["n"], y["n"]) >= 85 * max(x["n"], y["n"]):
-                        for column, value in zip(out, (x["doc"], y["doc"], x["n"], y["n"], x["rank"], y["rank"]), strict=True):
-                            column.append(value)
-        kinds = [pa.int64()] * 4 + [pa.int32()] * 2
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+        column = batch.column("sets")
+        begin = column.offsets.to_numpy()
+        values = column.values
+        doc, n, rank = (values.field(i).to_numpy() for i in range(3))
+        length = np.diff(begin)
+        for size in np.unique(length).tolist():
+            i, j = np.triu_indices(size, 1)
+            starts = begin[:-1][length == size]
+            step = max(1, 400_000 // len(i))
+            for lo in range(0, len(starts), step):
+                x = (starts[lo : lo + step, None] + i).ravel()
+                y = (starts[lo : lo + step, None] + j).ravel()
+                close = 100 * np.minimum(n[x], n[y]) >= 85 * np.maximum(n[x], n[y])
+                x, y = x[close], y[close]
+                x, y = np.where(doc[x] < doc[y], x, y), np.where(doc[x] < doc[y], y, x)
+                columns = [doc[x], doc[y], n[x], n[y], rank[x], rank[y]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "na", "nb", "ra", "rb"])
 
 
 class _Forest:
@@ -223,7 +255,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = links(sets, sides if key[1] != key[2] else None)
         return pa.RecordBatch.from_arrays([pa.array([docs[j] for _, j in found], pa.int64()), pa.array([docs[i] for i, _ in found], pa.int64())], names=["u", "v"])
 
-    for batch, data, at in slices(batches, "text"):
+    for batch, data, at in slices(batches, "text", SLICE):
         own = shingle_sets(data, at)
         for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in ("cluster", "b1", "b2", "doc_id", "side")), strict=True)):
             if key is not None and row[:3] != key:
@@ -263,7 +295,12 @@ def candidates(spoken: DataFrame) -> DataFrame:
     # of the rare tokens up to the last shared one, those not shared are in one of the sets alone
     need = F.ceil(85 * (F.col("na") + F.col("nb")) / F.lit(185.0) - 1e-9)
     possible = (F.col("na") - (F.col("ra") + 1 - F.col("c")) >= need) & (F.col("nb") - (F.col("rb") + 1 - F.col("c")) >= need)
-    near = met.where(possible).select(F.col("b").alias("u"), F.col("a").alias("v"))
+    # and of the set whose index entries end first, all those not shared
+    posted = slim.mapInArrow(_posted(frequent), "doc long, k long, last long")
+    for x in ("a", "b"):
+        met = (met.where(possible) if x == "a" else met).join(posted.select(F.col("doc").alias(x), F.col("k").alias(f"k{x}"), F.col("last").alias(f"last_{x}")), x)
+    ends = (F.when(F.col("last_a") <= F.col("last_b"), F.col("ka") - F.col("c") <= F.col("na") - need).otherwise(True)) & (F.when(F.col("last_b") <= F.col("last_a"), F.col("kb") - F.col("c") <= F.col("nb") - need).otherwise(True))
+    near = met.where(ends).select(F.col("b").alias("u"), F.col("a").alias("v"))
 
     combined = scratch.table(slim.mapInArrow(_index(frequent, True), schema).select("key", "doc"), "combinations")
     first = combined.groupBy("key").agg(F.min("doc").alias("v"), F.count("*").alias("c")).where("c > 1").select("key", "v")
@@ -271,10 +308,28 @@ def candidates(spoken: DataFrame) -> DataFrame:
     return near.unionByName(stars)
 
 
+def _likely(ids: DataFrame):
+    """A predicate on doc_id that holds for all of ``ids`` (node), and for few others while
+    there are fewer ids than bits; past that it lets more through, and nothing is lost."""
+    place = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
+    words = ids.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b")).collect()
+    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    for w, b in words:  # FILTER_BITS / 64 rows at most
+        bits[w] = b
+    shared = ids.sparkSession.sparkContext.broadcast(np.unpackbits(bits.view(np.uint8), bitorder="little"))
+
+    @F.pandas_udf("boolean")
+    def held(place: pd.Series) -> pd.Series:
+        return pd.Series(shared.value[place.to_numpy()].astype(bool))
+
+    return held(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
+
+
 def verified(docs: DataFrame, clusters: DataFrame) -> DataFrame:
     """u, v: true links that join each component, from clusters (node, component)."""
-    texts = docs.join(clusters.withColumnRenamed("node", "doc_id"), "doc_id").withColumnRenamed("component", "cluster")
-    sizes = texts.groupBy("cluster").agg(F.countDistinct("doc_id").alias("m"), F.sum(F.octet_length("text")).alias("bytes"))
+    near = docs.where(F.col("doc_id").isNotNull()).where(_likely(clusters))
+    texts = scratch.table(near.join(clusters.withColumnRenamed("node", "doc_id"), "doc_id").withColumnRenamed("component", "cluster"), "texts")
+    sizes = texts.groupBy("cluster").agg(F.count("*").alias("m"), F.sum(F.octet_length("text")).alias("bytes"))
     blocks = sizes.where((F.col("m") > BLOCK) | (F.col("bytes") > BLOCK_BYTES)).select("cluster", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
     placed = texts.join(blocks, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -303,6 +358,14 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with its component's id; columns as they came."""
+    """One document of each component, the one with its component's id; columns as they came.
+
+    Rows with a null doc_id stay. Rows that repeat a doc_id are judged together, and of those
+    with the same text one stays."""
     kept = join(docs).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    again = docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__again")).count().where("count > 1").select("__again")
+    if again.isEmpty():
+        return out
+    is_again = out["doc_id"] == again["__again"]
+    return out.join(again, is_again, "left_anti").unionByName(out.join(again, is_again, "left_semi").dropDuplicates(["doc_id", "text"]))
