@@ -182,6 +182,19 @@ def test_pages_style_tree(spark, monkeypatch):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_pages_copies_count_once(spark, monkeypatch):
+    """Copies, also those that differ in scripts and menus only, take no text from any page."""
+    ship(spark)
+    page = "<body><nav>{1}</nav><script>{1}</script><div class=box>Blue soap</div><div class=story>Story {0}</div></body>"
+    copies = [(i, "http://same.example/", page.format("one", i % 5)) for i in range(40)]
+    mixed = [(100 + i, "http://mixed.example/", page.format(f"n{max(0, i - 90)}", i % 3)) for i in range(100)]
+    df = spark.createDataFrame(copies + mixed, "page_id long, url string, html string")
+    want = {i: "Blue soap Story one" for i in range(40)} | {100 + i: f"Story n{max(0, i - 90)}" for i in range(100)}
+    for most in (html.BROADCAST_NODES, 0):
+        monkeypatch.setattr(html, "BROADCAST_NODES", most)
+        assert {r["page_id"]: r["text"] for r in html.extract(df).collect()} == want
+
+
 # 5
 def test_fm_index():
     r = np.random.default_rng(2)
