@@ -195,6 +195,16 @@ def test_pages_copies_count_once(spark, monkeypatch):
         assert {r["page_id"]: r["text"] for r in html.extract(df).collect()} == want
 
 
+def test_pages_tree_judges_inside_articles(spark):
+    """What articles of a host repeat goes; an article on many pages stays, whatever surrounds it."""
+    ship(spark)
+    page = "<body><div class=box>Box {1}</div><article><p>Story {0}</p><div class=x>Join us</div></article></body>"
+    rows = [(i, "http://one.example/", page.format(i, i)) for i in range(12)] + [(20 + i, "http://two.example/", page.format("one", i)) for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"Box {i} Story {i}" for i in range(12)} | {20 + i: f"Box {i} Story one Join us" for i in range(12)}
+    assert {r["page_id"]: r["text"] for r in html.extract(df).collect()} == want
+
+
 # 5
 def test_fm_index():
     r = np.random.default_rng(2)
