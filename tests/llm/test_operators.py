@@ -205,6 +205,15 @@ def test_pages_tree_judges_inside_articles(spark):
     assert {r["page_id"]: r["text"] for r in html.extract(df).collect()} == want
 
 
+def test_pages_all_class_names_tell_nodes(spark):
+    """Siblings that differ in a late class are two nodes; numbers of items make no node a page."""
+    ship(spark)
+    few, many = "flex m-1 p-1", " ".join(f"utility-{k}" for k in range(30))
+    page = "<body>" + "".join(f"<div class='post-{{0}} {c} w-1/2 x-note'>Join us</div><div class='{c} w-1/2 y-text'>Story {{0}}</div>" for c in (few, many)) + "</body>"
+    df = spark.createDataFrame([(i, "http://one.example/", page.format(i)) for i in range(12)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html.extract(df).collect()} == {i: f"Story {i} Story {i}" for i in range(12)}
+
+
 # 5
 def test_fm_index():
     r = np.random.default_rng(2)
