@@ -13,7 +13,9 @@ three Parquet tables below one folder:
 
 Reading back hashes every stored chunk again and takes its CRC; documents are verified
 from their recipes without moving ids (the CRC of a joined stream follows from those of
-its parts). A chunk that is missing or whose bytes do not give its digest fails the job.
+its parts). The job fails if a chunk is missing or its bytes do not give its digest, if a
+recipe's digests do not give its root or its chunks' ids not its n_tokens, and if the leaves
+over the recipes are not those of the manifest, or there is no manifest.
 
 Null texts are empty: one end id. Rows with equal ids stay separate documents. An empty
 table gives empty tables. Columns beyond doc_id and text are not read.
@@ -29,6 +31,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -187,19 +190,39 @@ def _chunk_crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = ids.as_buffer()
             if digest(data) != key:
                 raise ValueError(f"chunk {key.hex()} does not hold what its digest says")
+            if len(data) not in (2 * count, 4 * count):
+                raise ValueError(f"chunk {key.hex()} does not hold {count} ids")
             crcs.append(zlib.crc32(np.frombuffer(data, dtype=f"<u{len(data) // count}").astype("<u4")))
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(n, pa.int32()), pa.array(crcs, pa.int64())], names=["digest", "n", "crc"])
 
 
-def _join_crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _check_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Recipes with the number of their digests, which must give their roots."""
     for batch in batches:
-        out = []
-        for row, parts, want in zip(batch.column("row").to_pylist(), batch.column("parts").to_pylist(), batch.column("n_chunks").to_pylist(), strict=True):
-            if len(parts) != want:
-                raise ValueError(f"row {row} lacks {want - len(parts)} of its chunks")
-            out.append(crc_join([(p["crc"], 4 * p["n"]) for p in parts]))
-        i = batch.schema.get_field_index("parts")
-        yield pa.RecordBatch.from_arrays([*[batch.column(j) for j in range(i)], pa.array(out, pa.int64())], names=[*batch.schema.names[:i], "ids_crc32"])
+        counts = []
+        for row, digests, root in zip(batch.column("row").to_pylist(), batch.column("digests").to_pylist(), batch.column("root").to_pylist(), strict=True):
+            if not digests or merkle(digests) != root:
+                raise ValueError(f"the digests of row {row} do not give its root")
+            counts.append(len(digests))
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("row", "doc_id", "start", "n_tokens")], pa.array(counts, pa.int32())], names=["row", "doc_id", "start", "n_tokens", "n_chunks"])
+
+
+def _join_crcs(sealed: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row, parts, want, tokens in zip(*[batch.column(c).to_pylist() for c in ("row", "parts", "n_chunks", "n_tokens")], strict=True):
+                if len(parts or ()) != want:
+                    raise ValueError(f"row {row} lacks {want - len(parts or ())} of its chunks")
+                if sum(p["n"] for p in parts) != tokens:
+                    raise ValueError(f"the chunks of row {row} do not hold its {tokens} tokens")
+                if not sealed:
+                    raise ValueError("the store has no manifest")
+                out.append(crc_join([(p["crc"], 4 * p["n"]) for p in parts]))
+            i = batch.schema.get_field_index("parts")
+            yield pa.RecordBatch.from_arrays([*[batch.column(j) for j in range(i)], pa.array(out, pa.int64())], names=[*batch.schema.names[:i], "ids_crc32"])
+
+    return run
 
 
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,15 +231,32 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[batch.column(j) for j in range(batch.num_columns - 1)], pa.array(roots, pa.binary())], names=[*batch.schema.names[:-1], "root"])
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Write and return the Merkle leaves over LEAF recipes each."""
+def _leaves(spark: SparkSession, path: str) -> DataFrame:
     within = Window.partitionBy("part").orderBy("doc_id", "root", "row")
     blocks = spark.read.parquet(f"{path}/recipes").select("part", "doc_id", "root", "row", "n_tokens").withColumn("i", F.row_number().over(within))
     leaves = blocks.groupBy("part", ((F.col("i") - 1) / LEAF).cast("int").alias("block")).agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"), F.array_sort(F.collect_list(F.struct("i", "root"))).alias("r"))
-    leaves.select("part", "block", "docs", "tokens", F.col("r.root").alias("roots")).mapInArrow(_roots, "part int, block int, docs long, tokens long, root binary").write.mode("overwrite").parquet(f"{path}/manifest")
+    return leaves.select("part", "block", "docs", "tokens", F.col("r.root").alias("roots")).mapInArrow(_roots, "part int, block int, docs long, tokens long, root binary")
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Write and return the Merkle leaves over LEAF recipes each."""
+    _leaves(spark, path).write.mode("overwrite").parquet(f"{path}/manifest")
     return spark.read.parquet(f"{path}/manifest")
 
 
+def _sealed(spark: SparkSession, path: str) -> bool:
+    """Whether there is a manifest; fails if its leaves are not those over the recipes."""
+    try:
+        stored = spark.read.parquet(f"{path}/manifest")
+    except AnalysisException:
+        return False
+    sides = _leaves(spark, path).withColumn("side", F.lit(1)).unionByName(stored.withColumn("side", F.lit(-1)))
+    wrong = sides.groupBy("part", "block", "docs", "tokens", "root").agg(F.sum("side").alias("side")).where("side != 0").select("part", "block").limit(3).collect()
+    if wrong:
+        raise ValueError(f"recipes are not those of the manifest, in (part, block) {sorted({tuple(r) for r in wrong})}")
+    return True
+
+
 def top(spark: SparkSession, path: str) -> bytes:
     """The root over all leaves; a task hashes LEAF of them at most."""
     level = spark.read.parquet(f"{path}/manifest").groupBy("part").agg(F.array_sort(F.collect_list(F.struct("block", "root"))).alias("r"))
@@ -225,14 +265,15 @@ def top(spark: SparkSession, path: str) -> bytes:
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the stored files."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the stored files, verified."""
+    sealed = _sealed(spark, path)
     crcs = spark.read.parquet(f"{path}/chunks").select("digest", "n", "ids").mapInArrow(_chunk_crcs, "digest binary, n int, crc long")
     docs = recipes(spark, path)
     parts = docs.select("row", F.posexplode("digests").alias("seq", "digest")).join(crcs, "digest")
     joined = parts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("seq", "n", "crc"))).alias("parts"))
-    whole = docs.select("row", "doc_id", "start", "n_tokens", F.size("digests").alias("n_chunks")).join(joined, "row")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return whole.select("row", "doc_id", "start", "n_tokens", "n_chunks", "parts").select("doc_id", "start", "n_tokens", "row", "n_chunks", "parts").mapInArrow(_join_crcs, f"doc_id {kind}, start long, n_tokens long, row long, n_chunks int, ids_crc32 long").select("doc_id", "start", "n_tokens", "ids_crc32")
+    whole = docs.select("row", "doc_id", "start", "n_tokens", "digests", "root").mapInArrow(_check_roots, f"row long, doc_id {kind}, start long, n_tokens long, n_chunks int")
+    return whole.join(joined, "row", "left").select("doc_id", "start", "n_tokens", "row", "n_chunks", "parts").mapInArrow(_join_crcs(sealed), f"doc_id {kind}, start long, n_tokens long, row long, n_chunks int, ids_crc32 long").select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def _join_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

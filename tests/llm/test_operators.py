@@ -311,6 +311,38 @@ def test_token_store_finds_damage(spark, odd):
         store.read_back(spark, f"{path}/bad").collect()
 
 
+def test_token_store_verifies_recipes(spark, odd):
+    """Recipes must give their roots and tokens, leaves the manifest; whole documents cannot vanish."""
+    path = scratch.folder(spark, "t")
+    store.write(odd, path, BPE)
+    store.manifest(spark, path)
+    recipes, chunks, leaves = (spark.read.parquet(f"{path}/{t}") for t in ("recipes", "chunks", "manifest"))
+    some = recipes.where("size(digests) = 1").select(F.col("digests")[0].alias("digest")).limit(1)
+    long = F.size("digests") > 1
+    assert store.read_back(spark, path).count() == len(ODD) and recipes.where(long).count() == 1
+    cases = [
+        ("do not give its root", recipes.withColumn("digests", F.reverse("digests")), chunks, leaves),
+        ("do not give its root", recipes.withColumn("digests", F.when(long, F.expr("slice(digests, 2, 999)")).otherwise(F.col("digests"))), chunks, leaves),
+        ("do not give its root", recipes.withColumn("digests", F.expr("slice(digests, 1, 0)")), chunks, leaves),
+        ("do not hold its", recipes.withColumn("n_tokens", F.col("n_tokens") + 1), chunks, None),
+        ("not those of the manifest", recipes.withColumn("n_tokens", F.col("n_tokens") + 1), chunks, leaves),
+        ("not those of the manifest", recipes.where(~long), chunks, leaves),
+        ("not those of the manifest", recipes, chunks, leaves.unionByName(leaves.limit(1))),
+        ("has no manifest", recipes, chunks, False),
+        ("lacks 1 of", recipes, chunks.join(some, "digest", "left_anti"), leaves),
+    ]
+    for k, (says, r, c, m) in enumerate(cases):
+        bad = f"{path}/bad{k}"
+        r.write.parquet(f"{bad}/recipes")
+        c.write.parquet(f"{bad}/chunks")
+        if m is None:
+            store.manifest(spark, bad)
+        elif m is not False:
+            m.write.parquet(f"{bad}/manifest")
+        with pytest.raises(Exception, match=says):
+            store.read_back(spark, bad).collect()
+
+
 # 8
 def test_likelihood(docs, odd, none):
     df = docs.select("doc_id", "text", "lang").unionByName(odd.select(F.col("doc_id") + 10_000_000, "text", "lang").toDF("doc_id", "text", "lang"))
