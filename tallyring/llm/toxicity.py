@@ -40,7 +40,7 @@ BUCKETS_LOG2 = 18
 DIM = 4
 WINDOW = 24
 #: Labelled rows of each label that training takes at most.
-SAMPLE = 1500
+SAMPLE = 2500
 EPOCHS = 8
 THRESHOLD = 0.7
 #: An n-gram is learnt if it stands in as many sampled texts at least.

@@ -97,6 +97,14 @@ def test_toxicity_held_out():
     assert score(["", "  ", "ordinary"]).max() < toxicity.THRESHOLD
 
 
+def test_toxicity_sample(spark):
+    """Training takes 2,500 rows of a label where there are as many."""
+    docs = spark.range(2700).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") >= 2600).cast("int").alias("toxic"))
+    got = Counter(toxicity.labelled(docs, labels, F.lit(True))[1].tolist())
+    assert got == {0: 2500, 1: 100}
+
+
 def test_toxicity_odd(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (2, 0), (4, 0), (None, 1), (6, None), (99, 1)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels, F.lit(True))
