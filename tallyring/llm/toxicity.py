@@ -1,26 +1,25 @@
-"""Toxicity by subword-bag embeddings averaged into a linear softmax, trained in numpy.
-
-A text (A-Z lower-cased, white space made spaces, a space before and after) is the bag of
-its character n-grams of 3 to 6 UTF-8 bytes that lie within a word and its two boundary
-spaces; a word that a bag repeats counts once. N-grams are hashed to 2**18 rows of an embedding table. A bag's
-embeddings, with ``PAD`` neutral ones, are averaged and a linear softmax gives the probability of label 1; table and softmax are
-trained together. Misspelt words share most n-grams with what was seen, and so their
-vectors.
-
-A text is scored by its bags of ``WINDOW`` words each: the text's
-score is that of its worst bag. Every word of every text is in a bag, and a
-short insult counts as much in a long text as in a short one.
-
-Training takes a bounded sample of labelled rows, at most ``SAMPLE`` of each label, those
-with the smallest hash of their ids; in each epoch the
-worst bag of a text with label 1, the worst three and another of one with label 0, as scored
-then, carry its label. Rows the caller holds out are never looked at. Labels, lang, source and
-doc_id are never inputs of a score. With only one label present (or none) scores are the
-share of label 1 (0.0 without labels). Labels other than 0 and 1, nulls included, are not
-used; of rows that repeat a doc_id, the largest label holds.
-
-Null or empty texts have the empty bag, and so the score of the model's intercept alone,
-capped at the share of label 1. An empty table gives an empty result.
+"""Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
+
+A text (A-Z lower-cased, white space made spaces, a space before and after) is the bag of the
+character n-grams of 3 to 6 UTF-8 bytes that lie within a word and its two boundary spaces. Of
+each ``WINDOW`` words a word counts once, so a word said over and over decides no text. N-grams
+are hashed to 2**18 rows of an embedding table; a bag's embeddings, with ``PAD`` neutral ones,
+are averaged and a linear softmax gives the probability of label 1. Table and softmax start from
+small random numbers and are trained together by stochastic gradient descent, without any other
+source of weights. Misspelt words share most n-grams with what was seen, and so their vectors.
+
+Training takes a bounded sample of labelled rows: of each label those with the smallest hash of
+their ids, at most ``SAMPLE`` rows and ``SAMPLE_BYTES`` of text (one row at least). Rows the
+caller holds out are never looked at. Labels, lang, source and doc_id are never inputs of a
+score. With only one label present (or none) scores are the share of label 1 (0.0 without
+labels). Labels other than 0 and 1, nulls included, are not used; of rows that repeat a doc_id,
+the largest label and the largest text hold.
+
+Null or empty texts have the empty bag, and so the score of the model's intercept alone, capped
+at the share of label 1. Texts of any length are scored whole, in pieces of ``SLICE`` bytes of
+several texts or one text at a time. Rows that repeat, and ties, are scored one by one. An input
+column with the name of the score raises; all others pass as they are. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -33,22 +32,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyring.llm.text import _BYTE, GOLDEN, U64, _powers, mix, slices
+from tallyring.llm.text import _BYTE, GOLDEN, U64, _powers, buffers, mix
 
 GRAMS = (3, 4, 5, 6)
 BUCKETS_LOG2 = 18
 DIM = 4
-WINDOW = 24
-#: Labelled rows of each label that training takes at most.
-SAMPLE = 2500
-EPOCHS = 8
+WINDOW = 64
+#: Labelled rows of each label, and bytes of their texts, that training takes at most.
+SAMPLE, SAMPLE_BYTES = 2500, 8 << 20
+EPOCHS, BATCH, RATE = 20, 64, 10.0
 THRESHOLD = 0.7
-#: An n-gram is learnt if it stands in as many sampled texts at least.
-LEAST_TEXTS = 4
-#: Weight of the empty bag, which is clean, in each step.
-BLANK = 0.25
 #: Neutral entries that every bag has besides its own, so a few n-grams alone decide little.
-PAD = 100
+PAD = 1000
+#: What the average is multiplied by before the softmax: an n-gram's share of a text is small.
+GAIN = 100.0
+#: Bytes of text that are cut into n-grams at once.
+SLICE = 256 << 10
 
 
 def _spaces() -> np.ndarray:
@@ -61,53 +60,47 @@ def _spaces() -> np.ndarray:
 _PLAIN = _spaces()
 
 
-class Bags:
-    """Bags of several texts: ``bucket`` and ``bag`` of every n-gram, in order of bags;
-    ``doc`` of every bag. A text without words has one empty bag."""
-
-    def __init__(self, data: np.ndarray, at: np.ndarray, window: int = WINDOW) -> None:
-        docs = len(at) - 1
-        text = np.full(len(data) + docs + 1, 0x20, dtype=np.uint8)
-        lengths = np.diff(at)
-        text[np.arange(len(data)) + np.repeat(np.arange(1, docs + 1), lengths)] = _PLAIN[data]
-        n = len(text)
-        space = text == 0x20
-        opens = ~space
-        opens[1:] &= space[:-1]
-        start = np.flatnonzero(opens)
-        first = np.searchsorted(start, at + np.arange(docs + 1))
-        count = np.diff(first)
-        bags = np.maximum(1, -(-count // window))
-        self.doc = np.repeat(np.arange(docs), bags)
-        begins = np.cumsum(bags) - bags
-        word_doc = np.repeat(np.arange(docs), count)
-        inner = np.arange(len(start)) - np.repeat(first[:-1], count)
-        word_bag = begins[word_doc] + inner // window
-        # an n-gram that starts at the space before a word belongs to that word
-        word_at = np.cumsum(opens)
-        self.count = len(self.doc)
-        blanks = np.zeros(n + 1, dtype=np.int32)
-        np.cumsum(space, out=blanks[1:])
-        p, inverse = _powers(n + 1)
-        sums = np.zeros(n + 1, dtype=U64)
-        np.cumsum(_BYTE[text] * p[:n], out=sums[1:])
-        ends = np.flatnonzero(np.append(space, True)[1:] & ~space) + 1
-        words = mix((sums[ends] - sums[start]) * inverse[start] + word_bag.astype(U64) * U64(GOLDEN))
-        new = np.zeros(len(start) + 1, dtype=bool)  # one more for what stands after the last word
-        new[np.unique(words, return_index=True)[1]] = True  # each word once a bag
-        fresh = new[np.where(space, word_at, word_at - 1)]
-        bag_of, buckets = [], []
-        for k in GRAMS:
-            if n < k:
-                continue
+def grams(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Text and bucket of every n-gram of the bags of several texts, a length at a time."""
+    docs = len(at) - 1
+    text = np.full(len(data) + docs + 1, 0x20, dtype=np.uint8)
+    text[np.arange(len(data)) + np.repeat(np.arange(1, docs + 1), np.diff(at))] = _PLAIN[data]
+    n = len(text)
+    space = text == 0x20
+    opens = ~space
+    opens[1:] &= space[:-1]
+    start = np.flatnonzero(opens)
+    ends = np.flatnonzero(np.append(space, True)[1:] & ~space) + 1
+    first = np.searchsorted(start, at + np.arange(docs + 1))
+    owner = np.repeat(np.arange(docs), np.diff(first))
+    window = (np.arange(len(start)) - np.repeat(first[:-1], np.diff(first))) // WINDOW
+    blanks = np.zeros(n + 1, dtype=np.int32)
+    np.cumsum(space, out=blanks[1:])
+    p, inverse = _powers(n + 1)
+    sums = np.zeros(n + 1, dtype=U64)
+    np.cumsum(_BYTE[text] * p[:n], out=sums[1:])
+    words = mix((sums[ends] - sums[start]) * inverse[start] + (owner.astype(U64) << U64(32) | window.astype(U64)) * U64(GOLDEN))
+    new = np.zeros(len(start) + 1, dtype=bool)  # one more for what stands after the last word
+    new[np.unique(words, return_index=True)[1]] = True
+    # an n-gram that starts at the space before a word belongs to that word
+    word_at = np.cumsum(opens)
+    word = np.where(space, word_at, word_at - 1)
+    fresh = new[word]
+    for k in GRAMS:
+        if n >= k:
             inside = blanks[k - 1 : n] - blanks[1 : n - k + 2] == 0  # bytes 1 to k - 2 are no spaces
             i = np.flatnonzero(inside & fresh[: n - k + 1])
             h = (sums[i + k] - sums[i]) * inverse[i]
-            buckets.append((mix(h + U64(k)) >> U64(64 - BUCKETS_LOG2)).astype(np.int32))
-            bag_of.append(word_bag[word_at[i + space[i]] - 1])
-        self.bag = np.concatenate(bag_of) if bag_of else np.zeros(0, dtype=np.int64)
-        self.bucket = np.concatenate(buckets) if buckets else np.zeros(0, dtype=np.int32)
-        self.words = count
+            yield owner[word[i]], (mix(h + U64(k)) >> U64(64 - BUCKETS_LOG2)).astype(np.int32)
+
+
+def _cuts(at: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Rows lo to hi of about SLICE bytes, one at least."""
+    lo = 0
+    while lo < len(at) - 1:
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + SLICE, side="right")) - 1)
+        yield lo, hi
+        lo = hi
 
 
 @dataclass
@@ -118,174 +111,144 @@ class Model:
     intercept: float
     prior: float
 
-    def bag_logits(self, bags: Bags) -> np.ndarray:
-        size = np.bincount(bags.bag, minlength=bags.count)
-        total = np.bincount(bags.bag, weights=self.weight[bags.bucket], minlength=bags.count)
-        return total / (size + PAD) + self.intercept
-
     def scores(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        docs = len(at) - 1
-        if not docs:
-            return np.zeros(0)
-        bags = Bags(data, at)
-        starts = np.searchsorted(bags.doc, np.arange(docs))
-        logit = np.maximum.reduceat(self.bag_logits(bags), starts)
-        score = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
-        return np.where(bags.words == 0, np.minimum(score, self.prior), score)
-
-
-def _sums(weight: np.ndarray, bucket: np.ndarray, to: np.ndarray, held: np.ndarray) -> np.ndarray:
-    """Sum of the weights of each bag's n-grams, some bags at a time."""
-    out = np.zeros(len(held))
-    for lo in range(0, len(held), 4096):
-        hi = min(len(held), lo + 4096)
-        first = to[lo] - held[lo]
-        values = np.append(weight[bucket[first : to[hi - 1]]], 0)
-        sums = np.add.reduceat(values, np.minimum(to[lo:hi] - held[lo:hi] - first, len(values) - 1))
-        out[lo:hi] = np.where(held[lo:hi] > 0, sums, 0)
+        """Probability of label 1 of every text; the texts of a few hundred kilobytes at a time."""
+        out = np.empty(len(at) - 1)
+        for lo, hi in _cuts(at):
+            n = hi - lo
+            total, size = np.zeros(n), np.zeros(n)
+            for own, bucket in grams(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]):
+                total += np.bincount(own, weights=self.weight[bucket], minlength=n)
+                size += np.bincount(own, minlength=n)
+            score = 1 / (1 + np.exp(-np.clip(GAIN * total / (size + PAD) + self.intercept, -500, 500)))
+            out[lo:hi] = np.where(size == 0, np.minimum(score, self.prior), score)
+        return out
+
+
+class Sample:
+    """Bags of the training texts: distinct buckets of each text and how often they stand there."""
+
+    def __init__(self, texts: list[str]) -> None:
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        at = np.cumsum([0, *map(len, raw)])
+        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        bucket, count, held, size = [], [], [], []
+        for lo, hi in _cuts(at):
+            own, of = map(np.concatenate, zip(*grams(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]), strict=True))
+            key, many = np.unique(own.astype(np.int64) << BUCKETS_LOG2 | of, return_counts=True)
+            bucket.append((key & ((1 << BUCKETS_LOG2) - 1)).astype(np.int32))
+            count.append(np.minimum(many, 65535).astype(np.uint16))
+            held.append(np.bincount(key >> BUCKETS_LOG2, minlength=hi - lo))
+            size.append(np.bincount(own, minlength=hi - lo))
+        self.bucket, self.count, self.held, self.size = map(np.concatenate, (bucket, count, held, size))
+        self.start = np.cumsum(self.held) - self.held
+
+    def of(self, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets of some texts, in their order, their shares of the average, and numbers of buckets."""
+        held = self.held[texts]
+        inside = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held) + np.repeat(self.start[texts], held)
+        share = self.count[inside] * np.repeat(GAIN / (self.size[texts] + PAD), held)
+        return self.bucket[inside], share.astype(np.float32), held
+
+
+def _sums(values: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows of the given lengths."""
+    padded = np.concatenate([values, np.zeros((1, *values.shape[1:]), dtype=values.dtype)])
+    out = np.add.reduceat(padded, np.cumsum(held) - held, axis=0)
+    out[held == 0] = 0
     return out
 
 
-def _gather(texts: list[str], labels: np.ndarray, prior: float) -> tuple:
-    """N-grams of each bag, of those kept, the text of each bag, buckets by bag, and how far the
-    texts with label 1 that have a bucket lie above what all its texts let expect (0 where
-    fewer than LEAST_TEXTS have it: such n-grams would only be learnt by heart)."""
-    cuts, size = [0], 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size > 1 << 20:
-            cuts.append(i + 1)
-            size = 0
-    cuts = sorted({*cuts, len(texts)})
-
-    def parts() -> Iterator[tuple[int, Bags]]:
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            raw = [t.encode() for t in texts[lo:hi]]
-            yield lo, Bags(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
-
-    many, toxic = np.zeros(1 << BUCKETS_LOG2), np.zeros(1 << BUCKETS_LOG2)
-    for lo, b in parts():
-        own = np.unique(b.doc[b.bag].astype(np.int64) << BUCKETS_LOG2 | b.bucket)
-        of = own & ((1 << BUCKETS_LOG2) - 1)
-        many += np.bincount(of, minlength=len(many))
-        toxic += np.bincount(of, weights=labels[lo + (own >> BUCKETS_LOG2)], minlength=len(many))
-    known = many >= LEAST_TEXTS
-    excess = np.where(known, (toxic - many * prior) / np.sqrt(many * prior + 1), 0)
-    whole, held, doc_of, chunks = [], [], [], []
-    for lo, b in parts():
-        whole.append(np.bincount(b.bag, minlength=b.count))
-        order = np.argsort(b.bag, kind="stable")
-        order = order[known[b.bucket[order]]]
-        held.append(np.bincount(b.bag[order], minlength=b.count))
-        doc_of.append(b.doc + lo)
-        chunks.append(b.bucket[order])
-    return np.concatenate(whole), np.concatenate(held), np.concatenate(doc_of), chunks, excess
-
-
 def train(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = EPOCHS) -> Model:
-    """Fit on whole texts with labels 0 and 1."""
+    """Fit on whole texts with labels 0 and 1, which weigh the same in all."""
     prior = float(labels.mean()) if len(labels) else 0.0
     if len(set(labels.tolist())) < 2:
         flat = np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))
         return Model(np.zeros(1 << BUCKETS_LOG2, dtype=np.float32), float(flat), prior)
-    random = np.random.default_rng(seed)
-    # texts are cut into bags a megabyte at a time; of their n-grams only the bucket is kept
-    whole, held, doc_of, chunks, excess = _gather(texts, labels, prior)
-    to = np.cumsum(held)
-    starts = np.searchsorted(doc_of, np.arange(len(texts)))
-    stops = np.append(starts[1:], len(doc_of))
-    bucket = np.concatenate(chunks)
-    del chunks
-    seen = excess != 0
+    random, sample, n = np.random.default_rng(seed), Sample(texts), len(texts)
     table = np.zeros((1 << BUCKETS_LOG2, DIM), dtype=np.float32)  # n-grams not seen stay neutral
-    table[seen] = random.normal(0, 0.05, (int(seen.sum()), DIM))
-    table[:, 0] += excess
-    soft, bias = random.normal(0, 0.1, (DIM, 2)).astype(np.float32), np.zeros(2, dtype=np.float32)
-    soft[0] = (-1, 1)
-    seen_table, seen_soft, seen_bias = np.full(1 << BUCKETS_LOG2, 1e-8, dtype=np.float32), np.full((DIM, 2), 1e-8), np.full(2, 1e-8)
-    epochs = max(epochs, min(3 * epochs, -(-epochs * 2000 // len(texts))))
-    for _ in range(epochs):
-        logit = _sums((table @ (soft[:, 1] - soft[:, 0])), bucket, to, held) / (whole + PAD)
-        chosen, label = [], []
-        for d in random.permutation(len(texts)):
-            lo, hi = starts[d], stops[d]
-            if labels[d]:
-                own = [lo + int(np.argmax(logit[lo:hi]))]
-            else:
-                own = [*(lo + np.argsort(-logit[lo:hi])[:3]), int(random.integers(lo, hi))]
-            chosen.extend(own)
-            label.extend([int(labels[d])] * len(own))
-        chosen, label = np.array(chosen), np.array(label)
-        weight = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum())) * len(label)
-        shuffled = random.permutation(len(chosen))
-        for part in np.array_split(shuffled, max(1, len(chosen) // 64)):
-            b, y, w = chosen[part], label[part], weight[part]
-            own, own_w, own_y = b[held[b] > 0], w[held[b] > 0], y[held[b] > 0]
-            if not len(own):
-                continue
-            lengths, over = held[own], (whole[own] + PAD)[:, None]
-            inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(to[own] - lengths, lengths)
-            ids = bucket[inside]
-            mean = np.add.reduceat(table[ids], np.cumsum(lengths) - lengths) / over
-            z = mean @ soft + bias
-            z -= z.max(axis=1, keepdims=True)
-            q = np.exp(z)
-            q /= q.sum(axis=1, keepdims=True)
-            q[np.arange(len(own)), own_y] -= 1
-            q *= own_w[:, None] / len(own)
-            g_soft, g_bias = mean.T @ q, q.sum(axis=0)
-            # a bag of n-grams never seen is clean: the intercept alone must say so
-            blank = np.exp(bias - bias.max())
-            g_bias = g_bias + BLANK * (blank / blank.sum() - (1, 0))
-            g_mean = (q @ soft.T) / over
-            unique, inverse = np.unique(ids, return_inverse=True)
-            owner = np.repeat(np.arange(len(own)), lengths)
-            g_table = np.stack([np.bincount(inverse, weights=g_mean[owner, d], minlength=len(unique)) for d in range(DIM)], axis=1)
-            seen_table[unique] += (g_table**2).mean(axis=1)
-            seen_soft += g_soft**2
-            seen_bias += g_bias**2
-            table[unique] -= (0.3 * g_table / np.sqrt(seen_table[unique])[:, None]).astype(np.float32)
-            soft -= (0.1 * g_soft / np.sqrt(seen_soft)).astype(np.float32)
-            bias -= (0.1 * g_bias / np.sqrt(seen_bias)).astype(np.float32)
+    seen = np.zeros(1 << BUCKETS_LOG2, dtype=bool)
+    seen[sample.bucket] = True
+    table[seen] = random.normal(0, 0.01, (int(seen.sum()), DIM))
+    soft, bias = random.normal(0, 1, (DIM, 2)).astype(np.float32), np.zeros(2, dtype=np.float32)
+    seen_soft, seen_bias = np.full((DIM, 2), 1e-8), np.full(2, 1e-8)
+    weight = n * np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (n - labels.sum()))
+    steps = [part for _ in range(epochs) for part in np.array_split(random.permutation(n), -(-n // BATCH))]
+    for step, own in enumerate(steps):
+        bucket, share, held = sample.of(own)
+        mean = _sums(table[bucket] * share[:, None], held)
+        z = mean @ soft + bias
+        q = np.exp(z - z.max(axis=1, keepdims=True))
+        q /= q.sum(axis=1, keepdims=True)
+        q[np.arange(len(own)), labels[own]] -= 1
+        q *= weight[own][:, None] / len(own)
+        g_soft, g_bias, g_mean = mean.T @ q, q.sum(axis=0), q @ soft.T
+        unique, inverse = np.unique(bucket, return_inverse=True)
+        owner = np.repeat(np.arange(len(own)), held)
+        g_table = np.stack([np.bincount(inverse, weights=share * g_mean[owner, d], minlength=len(unique)) for d in range(DIM)], axis=1)
+        rate = 1 - step / len(steps)
+        table[unique] -= (RATE * rate * g_table).astype(np.float32)
+        seen_soft += g_soft**2
+        seen_bias += g_bias**2
+        soft -= (0.1 * rate * g_soft / np.sqrt(seen_soft)).astype(np.float32)
+        bias -= (0.1 * rate * g_bias / np.sqrt(seen_bias)).astype(np.float32)
     model = Model((table @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]), prior)
     # the threshold lies between the sample's worst clean texts and its mildest toxic ones,
     # nearer to the clean, as texts that training has seen score more surely than others
-    worst = np.maximum.reduceat(_sums(model.weight, bucket, to, held) / (whole + PAD) + model.intercept, starts)
-    clean, toxic = max(model.intercept, np.quantile(worst[labels == 0], 0.995)), np.quantile(worst[labels == 1], 0.02)
+    logit = GAIN * _sums(model.weight[sample.bucket] * sample.count, sample.held) / (sample.size + PAD) + model.intercept
+    clean, toxic = max(model.intercept, np.quantile(logit[labels == 0], 0.995)), np.quantile(logit[labels == 1], 0.02)
     middle = clean + 0.3 * max(0.1, toxic - clean)
     model.intercept += float(np.log(THRESHOLD / (1 - THRESHOLD)) - middle)
     return model
 
 
-def labelled(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
+def labelled(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE, most: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray]:
     """Texts and labels of the bounded sample. ``usable`` tells, of a doc_id, whether training may see it."""
     spark = docs.sparkSession
     own = labels.where(F.col("toxic").isin(0, 1) & usable).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     key = F.xxhash64(F.col("doc_id").cast("string"))
     picked = [own.where(F.col("toxic") == y).orderBy(key, "doc_id").limit(sample).select("doc_id", "toxic") for y in (0, 1)]
-    rows = picked[0].unionByName(picked[1]).collect()  # 2 * sample rows at most
+    rows = [r for p in picked for r in p.collect()]  # 2 * sample rows at most, in order of hashes
     if not rows:
         return [], np.zeros(0, dtype=np.int64)
-    ids = spark.createDataFrame([tuple(r) for r in rows], picked[0].schema)
-    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("toxic"), F.max(F.coalesce("text", F.lit("")))).orderBy("doc_id").collect()
-    return [r[2] for r in found], np.array([r[1] for r in found], dtype=np.int64)
+
+    def among(ids: list) -> DataFrame:
+        known = spark.createDataFrame([(x,) for x in ids], picked[0].select("doc_id").schema)
+        return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id")
+
+    sizes = dict(among([r[0] for r in rows]).agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0)))).collect())
+    taken, used = {}, {0: 0, 1: 0}
+    for doc, label in rows:
+        if doc in sizes and (not used[label] or used[label] + sizes[doc] <= most):
+            used[label] += sizes[doc] + 1
+            taken[doc] = label
+    found = among(list(taken)).agg(F.max(F.coalesce("text", F.lit("")))).orderBy("doc_id").collect() if taken else []
+    return [r[1] for r in found], np.array([taken[r[0]] for r in found], dtype=np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE) -> Model:
     return train(*labelled(docs, labels, usable, sample))
 
 
-def _apply(model, name: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = model.value
-        for batch, data, at in slices(batches, "text", 2 << 20):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.scores(data, at), pa.float64())], names=[*batch.schema.names, name])
+def scorer(docs: DataFrame, model: Model) -> Column:
+    """The score of ``text`` as a column. Only texts pass to Python, and only numbers back."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB, whatever the input
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(shared.value.scores(*buffers(texts)), pa.float64())
 
-    return run
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "double")(F.col("text"))
 
 
 def score(docs: DataFrame, model: Model, name: str = "__score") -> DataFrame:
     """``docs`` with the score of its whole text."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB, whatever the input
-    return docs.mapInArrow(_apply(shared, name), f"{schema}, `{name}` double")
+    if name.lower() in map(str.lower, docs.columns):
+        raise ValueError(f"there is a column {name} already")
+    return docs.withColumn(name, scorer(docs, model))
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows that score below the threshold, with the columns they came with."""
+    return docs.where(scorer(docs, model) < threshold)
