@@ -20,8 +20,7 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     third = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(3))
-    scored = toxicity.score(docs, toxicity.fit(docs, labels, third != 1))
-    return scored.where(F.col("__score") < toxicity.THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return toxicity.keep_clean(docs, toxicity.fit(docs, labels, third != 1))
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
