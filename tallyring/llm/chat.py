@@ -2,7 +2,7 @@
 
 Turns of a conversation stream through one task in order (rows are hashed by conv_id and
 sorted inside the partitions, so no conversation is ever held as a whole). Running sums of
-turn tokens choose windows that end at turns: a window holds the conversation's system turn
+turn tokens, counted over the turn as it is written with its markers, choose windows that end at turns: a window holds the conversation's system turn
 (its first turn, if that is one), some of the turns before, repeated up to ``HISTORY``
 tokens, and then new turns while the sum stays within ``BUDGET``. A turn is never cut: one
 that is larger than the budget makes a window of its own, marked ``over``. The loss mask
@@ -16,8 +16,8 @@ and line feeds are written ``\\\\`` and ``\\n`` before that.
 
 Order of turns: turn (null first), then role, then text; rows that are equal stay as many
 as they are. Null roles and texts are empty. A null conv_id is a conversation like any
-other. Only the role ``assistant`` is learnt. An empty table gives an empty result. Columns
-beyond conv_id, turn, role and text are not read.
+other. A turn of any length is kept whole. Only the role ``assistant`` is learnt. An empty table gives an empty result. Columns
+beyond conv_id, turn, role and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,12 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyring.llm.tokens import encoder
+from tallyring.llm.tokens import encoder, vocabulary as place
 
 BUDGET, HISTORY = 2048, 512
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
-#: Tokens of a turn's markers besides role and text.
-MARKERS = 8
 _ESCAPE = re.compile(r"<(\\*)\|")
 _UNESCAPE = re.compile(r"<\\(\\*)\|")
 
@@ -68,7 +66,8 @@ WINDOW_SQL = "window long, first_turn long, n_repeated long, n_new long, n_token
 
 
 class Conversation:
-    """Windows of one conversation, as its turns come."""
+    """Windows of one conversation, as its turns come. Turns are encoded apart; as each begins and
+    ends with a marker, a window has as many tokens as its turns together."""
 
     def __init__(self, conv_id, budget: int, history: int) -> None:
         self.conv_id, self.budget, self.history = conv_id, budget, history
@@ -124,8 +123,8 @@ class Conversation:
 
 def _windows(vocabulary: str, budget: int, history: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(vocabulary)
-        width, current, rows, size = coder.dtype.itemsize, None, [], 0
+        coder = encoder(place(vocabulary))
+        current, rows, size = None, [], 0
         kind = None
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -136,13 +135,13 @@ def _windows(vocabulary: str, budget: int, history: int):
 
         for batch in batches:
             kind = batch.schema.field("conv_id").type
-            for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
+            turns = [(r or "", t or "") for r, t in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            tokens_of = map(len, coder.texts([render(*turn)[0] for turn in turns]))
+            for conv, (role, text), tokens in zip(batch.column("conv_id").to_pylist(), turns, tokens_of, strict=True):
                 if current is None or current.conv_id != conv:
                     if current is not None:
                         rows.append(current.close())
                     current = Conversation(conv, budget, history)
-                role, text = role or "", text or ""
-                tokens = MARKERS + (len(coder.encode(role_out(role))) + len(coder.encode(escape(text)))) // width
                 for row in current.add(role, text, tokens):
                     rows.append(row)
                     size += len(row[7])
@@ -152,6 +151,7 @@ def _windows(vocabulary: str, budget: int, history: int):
         if current is not None:
             rows.append(current.close())
             yield batch_of(rows)
+        coder.forget()
 
     return run
 

@@ -3,10 +3,12 @@
 Aho-Corasick enumerates the vocabulary's matches in a word; dynamic programming carries the
 best score and its number of pieces, with the tie rules of the tokenizers library's Unigram
 model over words split at white space, START before each. No ids or pieces are made; words
-are counted once and kept in a bounded cache. No shuffle.
+are counted once and kept in a cache of bounded bytes that is emptied when a task ends. No
+shuffle.
 
-Null or empty texts have no words and no tokens. Every input row gives one row. An empty
-table gives an empty result; columns beyond doc_id and text are not read.
+Null or empty texts have no words and no tokens. Every input row gives one row, repeated rows
+too. Texts and words of any length are counted whole. An empty table gives an empty result;
+columns beyond doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,6 +43,7 @@ def _count(path: str):
                 n_words.append(len(words))
                 n_tokens.append(sum(found))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
+        counter.forget()
 
     return run
 

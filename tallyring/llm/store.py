@@ -17,8 +17,9 @@ its parts). The job fails if a chunk is missing or its bytes do not give its dig
 recipe's digests do not give its root or its chunks' ids not its n_tokens, and if the leaves
 over the recipes are not those of the manifest, or there is no manifest.
 
-Null texts are empty: one end id. Rows with equal ids stay separate documents. An empty
-table gives empty tables. Columns beyond doc_id and text are not read.
+Null texts are empty: one end id. Rows with equal ids stay separate documents. A text of any
+length is encoded whole. An empty table gives empty tables. Columns beyond doc_id and text are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,8 +38,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyring.llm import scratch
-from tallyring.llm.text import GOLDEN, RADIX, U64, mix
-from tallyring.llm.tokens import encoder
+from tallyring.llm.text import GOLDEN, RADIX, U64, mix, slices
+from tallyring.llm.tokens import SLICE, encoder
+from tallyring.llm.tokens import vocabulary as place
 
 LEAST, MOST, MASK, REACH = 256, 8192, U64(1023), 8
 END_ID = 0
@@ -49,25 +51,26 @@ def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one id stream: 256 to 8,192 ids, about 1,280 on average."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
-    h = np.zeros(n, dtype=U64)
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places in a stream of ids, possibly of several documents, after which a chunk may end.
+    They follow from the last REACH ids, which are of one document from LEAST ids on."""
+    h = np.zeros(len(ids), dtype=U64)
     x = mix((ids.astype(U64) + U64(1)) * U64(GOLDEN))
-    for j in range(REACH):
-        h[j:] = h[j:] + x[: n - j] * U64(pow(RADIX, j, 1 << 64))
-    marks = np.flatnonzero(mix(h) & MASK == 0) + 1
-    ends, at = [], 0
+    for j in range(min(REACH, len(ids))):
+        h[j:] += x[: len(ids) - j] * U64(pow(RADIX, j, 1 << 64))
+    return np.flatnonzero(mix(h) & MASK == 0) + 1
+
+
+def cuts(places: np.ndarray, at: int, n: int) -> list[int]:
+    """Ends of the chunks of the document from ``at`` to ``n`` in a stream with these marks: 256 to
+    8,192 ids each, about 1,280 on average."""
+    ends = []
     while n - at > LEAST:
-        i = int(np.searchsorted(marks, at + LEAST))
-        end = int(marks[i]) if i < len(marks) else n
+        i = int(np.searchsorted(places, at + LEAST))
+        end = int(places[i]) if i < len(places) else n
         at = min(end, at + MOST, n)
         ends.append(at)
-        if at == n:
-            return ends
-    return [*ends, n]
+    return ends if ends and ends[-1] == n else [*ends, n]
 
 
 def merkle(digests: list[bytes]) -> bytes:
@@ -78,7 +81,7 @@ def merkle(digests: list[bytes]) -> bytes:
     return level[0]
 
 
-@lru_cache(1 << 16)
+@lru_cache(1 << 14)
 def _x_power(n_bytes: int) -> int:
     """x**(8 n) modulo the CRC-32 polynomial, bits reversed."""
     result, base, n = 1 << 31, 1 << 23, n_bytes
@@ -112,45 +115,33 @@ def _cut(id_type: T.DataType, vocabulary: str):
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", id_type), T.StructField("seq", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("digest", T.BinaryType()), T.StructField("ids", T.BinaryType()), T.StructField("root", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(vocabulary)
+        coder = encoder(place(vocabulary))
         width = coder.dtype.itemsize
-        end = np.array([END_ID], dtype=coder.dtype).tobytes()
         row, seen = TaskContext.get().partitionId() << 36, set()
-        kept: dict[str, list] = {c: [] for c in schema.names}
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            kinds = {"row": pa.int64(), "seq": pa.int32(), "n": pa.int32(), "digest": pa.binary(), "ids": pa.binary(), "root": pa.binary()}
-            out = pa.RecordBatch.from_arrays([pa.array(v, type=kinds.get(c, kind)) for c, v in kept.items()], names=list(kept))
-            for v in kept.values():
-                v.clear()
-            return out
-
-        for batch in batches:
-            kind = batch.schema.field("doc_id").type
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                data = coder.encode(text or "") + end
-                at, digests = 0, []
-                first = len(kept["row"])
-                for seq, to in enumerate(cuts(np.frombuffer(data, dtype=coder.dtype))):
-                    ids = data[at * width : to * width]
-                    digests.append(key := digest(ids))
-                    values = (row, doc, seq, to - at, key, None if key in seen else ids, None)
+        kinds = {"row": pa.int64(), "seq": pa.int32(), "n": pa.int32(), "digest": pa.binary(), "ids": pa.binary(), "root": pa.binary()}
+        for batch, data, at in slices(batches, "text", SLICE):
+            ids, begin = coder.encode(data, at)
+            stream = np.insert(ids, begin[1:], END_ID)
+            begin = begin + np.arange(len(begin))
+            raw, places = stream.tobytes(), marks(stream)
+            kept: dict[str, list] = {c: [] for c in schema.names}
+            for doc, lo, hi in zip(batch.column("doc_id").to_pylist(), begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+                first, digests = len(kept["row"]), []
+                for seq, to in enumerate(cuts(places, lo, hi)):
+                    part = raw[lo * width : to * width]
+                    digests.append(key := digest(part))
+                    values = (row, doc, seq, to - lo, key, None if key in seen else part, None)
                     for column, value in zip(kept.values(), values, strict=True):
                         column.append(value)
                     seen.add(key)
-                    at = to
+                    lo = to
                 kept["root"][first] = merkle(digests)
                 row += 1
-                size += len(data)
-                if len(seen) > 500_000:
+                if len(seen) > 100_000:
                     seen.clear()
-                if size > 8 << 20:
-                    yield flush()
-                    size = 0
-            if kept["row"]:
-                yield flush()
-                size = 0
+            kind = batch.schema.field("doc_id").type
+            yield pa.RecordBatch.from_arrays([pa.array(v, type=kinds.get(c, kind)) for c, v in kept.items()], names=list(kept))
+        coder.forget()
 
     return run, schema
 

@@ -1,56 +1,76 @@
-"""Encoding texts with a byte-level BPE tokenizer of the tokenizers library, piece by piece.
+"""Encoding texts with a byte-level BPE tokenizer of the tokenizers library, part by part.
 
 The tokenizer's split pattern never joins a space to what stands before it unless that is
 white space too, and joins no other white space to a word. So a text falls apart before
-every space that follows a non-space, and around every line feed that stands alone; the
-parts encode independently. Equal parts are encoded once and kept in a bounded cache.
+every space that follows a non-space, and around every line feed that stands alone between
+non-spaces; the parts encode independently. Many texts are cut at once in numpy, equal parts
+(by a 64-bit hash of their bytes and their length) are encoded once, and the ids are put
+together again by index. What parts gave is kept in sorted arrays of at most ``KEEP`` bytes;
+parts over ``LONG`` bytes are not kept.
 """
 
 from __future__ import annotations
 
 import re
-import sys
-from array import array
+from collections.abc import Iterator
 
 import numpy as np
 
-_BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
-_RUN = re.compile(r"\s\s")
+from tallyring.llm.text import GOLDEN, U64, _powers, mix
+
+#: Bytes of kept ids and keys; bytes of a part that is kept; bytes of texts cut at once.
+KEEP, LONG, SLICE = 24 << 20, 256, 512 << 10
 #: A run of Latin letters and a run of ASCII marks: two pieces of the pattern, whatever follows.
-_PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]*)([.,;:!?%&*#$|()\[\]\"-]*)")
+_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]*)([.,;:!?%&*#$|()\[\]\"-]*)")
+_RAW = mix(np.arange(1, 257, dtype=U64) * U64(GOLDEN))
 
 
 def _byte_letters() -> dict[int, str]:
-    """The printable stand-in of each byte in a byte-level vocabulary."""
+    """The printable stand-in of each byte in a byte-level vocabulary."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     hidden = [b for b in range(256) if b not in set(shown)]
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class _Cache(dict):
-    """Ids by part, computed where they are missing. Two generations of ``most`` parts are kept:
-    parts not used while one fills go with the next."""
-
-    def __init__(self, compute, most: int) -> None:
-        self.compute, self.most, self.old = compute, most, {}
-
-    def __missing__(self, part: str) -> bytes:
-        ids = self.old.get(part)
-        if ids is None:
-            ids = self.compute(part)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[part] = ids
-        return ids
+def _white(data: np.ndarray) -> np.ndarray:
+    """Bytes of white space, control characters included."""
+    white = data <= 0x20
+    first = np.flatnonzero(data == 0xC2)
+    first = first[first + 1 < len(data)]
+    first = first[np.isin(data[first + 1], (0x85, 0xA0))]
+    white[first] = white[first + 1] = True
+    first = np.flatnonzero((data == 0xE1) | (data == 0xE2) | (data == 0xE3))
+    if len(first := first[first + 2 < len(data)]):
+        code = data[first].astype(np.int32) << 16 | data[first + 1].astype(np.int32) << 8 | data[first + 2]
+        # fixed values: U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000
+        first = first[np.isin(code, (0xE19A80, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080))]
+        for j in range(3):
+            white[first + j] = True
+    return white
+
+
+def parts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the parts of texts, one more than parts; and the number of each text's first part,
+    one more than texts."""
+    n = len(data)
+    white = _white(data)
+    opens = np.zeros(n + 1, dtype=bool)
+    if n > 1:
+        opens[1:n] = (data[1:] == 0x20) & ~white[:-1]
+        line = np.zeros(n, dtype=bool)
+        line[1:-1] = (data[1:-1] == 0x0A) & ~white[:-2] & ~white[2:]
+        opens[:n] |= line
+        opens[1:] |= line
+    opens[at] = True
+    start = np.flatnonzero(opens)
+    return start, np.searchsorted(start, at)
 
 
 class Encoder:
-    """``encode(text)`` gives the ids as little-endian bytes of ``dtype``.
-
-    Strings of special tokens inside a text are ordinary text."""
+    """``encode(data, at)`` gives the ids of several texts in one array, and where each text's
+    begin (one more than texts). Strings of special tokens inside a text are ordinary text."""
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, keep: int = KEEP) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -58,43 +78,94 @@ class Encoder:
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.spaced = _Cache(lambda part: self.part(" ", part), most)
-        self.first = _Cache(lambda part: self.part("", part), most // 4)
-        self.line_feed = self._bytes(self.tokenizer.encode("\n", add_special_tokens=False).ids)
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        a = array(self.code, ids)
-        return a.tobytes() if sys.byteorder == "little" else np.array(ids, dtype=self.dtype).tobytes()
-
-    def _word(self, word: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
-
-    def part(self, space: str, text: str) -> bytes:
-        """The ids of a part after a space or nothing."""
-        if m := _PLAIN.fullmatch(text):
-            word, marks = m[1], m[2]
-            if word and marks:
-                return self._bytes(self._word(space + word) + self._word(marks))
-            return self._bytes(self._word(space + text)) if text or space else b""
-        return self._bytes(self.tokenizer.encode(space + text, add_special_tokens=False).ids)
-
-    def encode(self, text: str) -> bytes:
-        if _RUN.search(text):
-            first, *rest = _BEFORE_SPACE.split(text)
-            return self.part("", first) + b"".join([self.spaced[r[1:]] for r in rest])
-        spaced, lines = self.spaced.__getitem__, []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            lines.append((self.first[first] if first else b"") + b"".join(map(spaced, rest)))
-        return self.line_feed.join(lines)
+        self.keep = keep
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys = np.zeros(0, dtype=U64)
+        self.at = np.zeros(0, dtype=np.int32)
+        self.many = np.zeros(0, dtype=np.int32)
+        self.ids = np.zeros(0, dtype=self.dtype)
+
+    def held(self) -> int:
+        """Bytes that are kept."""
+        return self.keys.nbytes + self.at.nbytes + self.many.nbytes + self.ids.nbytes
+
+    def _piece(self, piece: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+
+    def part(self, text: str) -> list[int]:
+        m = _PLAIN.fullmatch(text)
+        if m is None or m[1] == " ":
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return [i for piece in m.groups() if piece for i in self._piece(piece)]
+
+    def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        start, first = parts(data, at)
+        if len(start) < 2:
+            return np.zeros(0, dtype=self.dtype), np.zeros(len(at), dtype=np.int64)
+        length = np.diff(start)
+        p, inverse = _powers(len(data) + 1)
+        sums = np.zeros(len(data) + 1, dtype=U64)
+        np.cumsum(_RAW[data] * p[:-1], out=sums[1:])
+        hashes = mix((sums[start[1:]] - sums[start[:-1]]) * inverse[start[:-1]] + length.astype(U64) * U64(GOLDEN))
+        keys, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        known = self.keys[place] == keys if len(self.keys) else np.zeros(len(keys), dtype=bool)
+        begin, many = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
+        begin[known], many[known] = self.at[place[known]], self.many[place[known]]
+        new = np.flatnonzero(~known)
+        raw = data.tobytes()
+        found = [self.part(raw[a : a + n].decode("utf-8", "surrogatepass")) for a, n in zip(start[one[new]].tolist(), length[one[new]].tolist(), strict=True)]
+        many[new] = list(map(len, found))
+        ends = np.cumsum(many[new])
+        begin[new] = len(self.ids) + ends - many[new]
+        fresh = np.array([i for x in found for i in x], dtype=self.dtype)
+        ids = np.concatenate([self.ids, fresh])
+        count = many[which]
+        to = np.cumsum(count)
+        out = ids[np.arange(to[-1]) + np.repeat(begin[which] - (to - count), count)]
+        self._remember(keys, begin, many, ids, new, length[one])
+        return out, np.concatenate([[0], to])[first]
+
+    def _remember(self, keys: np.ndarray, begin: np.ndarray, many: np.ndarray, ids: np.ndarray, new: np.ndarray, length: np.ndarray) -> None:
+        if self.held() + (len(ids) - len(self.ids)) * ids.itemsize + 16 * len(new) > self.keep:
+            self.forget()  # what comes next fills it again
+            return
+        short = new[length[new] <= LONG]
+        places = np.searchsorted(self.keys, keys[short])
+        self.keys = np.insert(self.keys, places, keys[short])
+        self.at = np.insert(self.at, places, begin[short].astype(np.int32))
+        self.many = np.insert(self.many, places, many[short].astype(np.int32))
+        self.ids = ids
+
+    def texts(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of every text."""
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        lo = size = 0
+        for hi, x in enumerate([*raw, None]):
+            if x is None or (size and size + len(x) > SLICE):
+                at = np.cumsum([0, *map(len, raw[lo:hi])])
+                ids, begin = self.encode(np.frombuffer(b"".join(raw[lo:hi]), dtype=np.uint8), at)
+                yield from (ids[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True))
+                lo, size = hi, 0
+            size += len(x or b"")
 
 
 _KEPT: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder a worker process."""
+    """One encoder a worker process; it is emptied when a task ends."""
     if path not in _KEPT:
         _KEPT[path] = Encoder(path)
     return _KEPT[path]
+
+
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file in this process; a path is taken as it is."""
+    if "/" in name:
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -12,9 +12,12 @@ import re
 import numpy as np
 
 from tallyring.llm.text import GOLDEN, RADIX, U64, mix
+from tallyring.llm.tokens import vocabulary
 
 START = "▁"
 UNKNOWN = "<unk>"
+#: Bytes of kept counts; of an entry besides its characters; of an entry that is kept.
+KEEP, ENTRY, LONG = 48 << 20, 160, 1024
 PENALTY = 10.0  # fixed value: what an unknown character costs below the lowest score
 
 
@@ -22,7 +25,7 @@ def pieces(path: str) -> list[tuple[str, float]]:
     """Ordinary pieces with their scores, in order of ids; no control, byte or unused ones."""
     import sentencepiece
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary(path))
     plain = [i for i in range(sp.get_piece_size()) if not (sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i) or sp.is_unused(i))]
     return [(sp.id_to_piece(i), sp.get_score(i)) for i in plain]
 
@@ -40,17 +43,17 @@ class Counter:
     an end is that of the first match, by start, that none exceeds; a place without a match of
     one character may be crossed as unknown, and unknown characters in a row are one piece."""
 
-    def __init__(self, vocabulary: list[tuple[str, float]], most: int = 600_000) -> None:
+    def __init__(self, named: list[tuple[str, float]], most: int = KEEP) -> None:
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
-        self.unknown = min([0.0, *[s for _, s in vocabulary]]) - PENALTY
+        self.unknown = min([0.0, *[s for _, s in named]]) - PENALTY
         self.automaton.add_word(UNKNOWN, (len(UNKNOWN), 0.0, True))
-        for piece, score in vocabulary:
+        for piece, score in named:
             self.automaton.add_word(piece, (len(piece), score, False))
         self.automaton.make_automaton()
         self.kept: dict[str, int] = {}
-        self.most = most
+        self.most, self.bytes = most, 0
 
     def best(self, text: str) -> tuple[float, int]:
         """Score and number of pieces of the best segmentation."""
@@ -96,11 +99,18 @@ class Counter:
             text = word if word.startswith(START) else START + word
             parts = _MORE.split(text) if text.find(START, 1) > 0 else [text]
             found = sum(self.best(p)[1] for p in parts if p)
-            if len(self.kept) > self.most:
-                self.kept.clear()
-            self.kept[word] = found
+            size = ENTRY + 4 * len(word)
+            if size <= LONG:
+                if self.bytes + size > self.most:
+                    self.forget()
+                self.bytes += size
+                self.kept[word] = found
         return found
 
+    def forget(self) -> None:
+        self.kept.clear()
+        self.bytes = 0
+
     def words(self, text: str) -> list[str]:
         return [w for w in SPACE.split(text) if w] if _ODD.search(text) else text.split()
 

@@ -4,6 +4,7 @@ repeated rows, empty tables, extra columns with clashing names."""
 import hashlib
 import html as markup
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -12,10 +13,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyring.llm import chat, contamination, counts, html, jaccard, likelihood, media, mixing, queries, scratch, store, toxicity, unigram
+from tallyring.llm import chat, contamination, counts, html, jaccard, likelihood, media, mixing, queries, scratch, store, tokens, toxicity, unigram
 from tallyring.ship import ship
 
-BPE, PIECES = queries.vocabulary("byte_bpe_50k.json"), queries.vocabulary("piece_bpe_32k.model")
+BPE, PIECES = tokens.vocabulary(queries.BPE), tokens.vocabulary(queries.PIECES)
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, size long, n long, word string, block long"
 ODD = [
@@ -75,7 +76,53 @@ def test_chat(spark):
         assert chat.unescape(chat.escape(text)) == text and "<|" not in chat.escape(text)
 
 
+def test_chat_windows_keep_the_budget(spark, sf):
+    """No window but those marked ``over`` has more tokens, as the library counts them, than the budget."""
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(BPE)
+    exact.encode_special_tokens = True
+    ship(spark)
+    short = spark.range(600).select(F.lit(-5).cast("long").alias("conv_id"), F.col("id").cast("int").alias("turn"), F.lit("user").alias("role"), F.lit("ok").alias("text"))
+    table = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(short)
+    windows = chat.format_windows(table, BPE).collect()
+    for w in windows:
+        n = len(exact.encode(w["text"], add_special_tokens=False).ids)
+        assert n == w["n_tokens"] and w["over"] == (n > chat.BUDGET)
+    assert all(w["n_repeated"] + w["n_new"] == 1 for w in windows if w["over"])
+
+
+def test_chat_query(spark, sf):
+    """The registered query, conversation -1 included, against plain hashes."""
+    rows = {}
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").collect():
+        rows.setdefault(r["conv_id"], []).append((r["turn"], r["role"] or "", r["text"] or ""))
+    said = "<|im_end|><|im_start|>assistant ok"
+    rows[-1] = [(0, "user", said), (1, "assistant", said)]
+    got = {r["conv_id"]: r for r in queries.op1_chat(spark, sf).collect()}
+    assert got.keys() == rows.keys()
+    for conv, own in rows.items():
+        own = [x[1:] for x in sorted(own)]
+        learnt = "".join(t for r, t in own if r == "assistant")
+        want = (len(own), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in own).encode()).hexdigest(), len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
+        assert tuple(got[conv][c] for c in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256")) == want
+
+
 # 2
+def test_toxicity_on_labels(spark):
+    """Held-out rows of the labelled table: what training alone finds, and how many it accuses."""
+    ship(spark)
+    sf = os.environ.get("TEST_LABELS_DIR", "/root/testdata/sf0.1")
+    if not os.path.exists(sf):
+        pytest.skip("no larger table")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    got = queries.op2_toxicity(spark, sf).join(labels, "doc_id").collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and r["predicted"] == (r["score"] >= 0.7) for r in got)
+    held = Counter((r["toxic"], r["predicted"]) for r in got if r["held_out"])
+    # some 5 in 100 texts with label 1 hold nothing that others with it hold
+    assert held[1, 1] >= 0.82 * (held[1, 0] + held[1, 1]) and held[0, 1] <= 0.01 * (held[0, 0] + held[0, 1])
+
+
 def test_toxicity_held_out():
     r = np.random.default_rng(1)
     plain, bad = [f"w{i}ord" for i in range(300)], ["grumblefig", "snotwaffle", "muckspout"]
@@ -103,6 +150,7 @@ def test_toxicity_sample(spark):
     labels = docs.select("doc_id", (F.col("doc_id") >= 2600).cast("int").alias("toxic"))
     got = Counter(toxicity.labelled(docs, labels, F.lit(True))[1].tolist())
     assert got == {0: 2500, 1: 100}
+    assert Counter(toxicity.labelled(docs, labels, F.lit(True), most=22)[1].tolist()) == {0: 4, 1: 4}
 
 
 def test_toxicity_odd(spark, odd, none):
@@ -113,6 +161,13 @@ def test_toxicity_odd(spark, odd, none):
     for labels_ in (labels.limit(0), labels.where("toxic = 1")):
         assert toxicity.score(odd, toxicity.fit(odd, labels_, F.lit(True))).count() == len(ODD)
     assert toxicity.score(none, model).count() == 0
+    clash = odd.withColumn("size", F.col("text")).withColumn("__word", F.lit(1))
+    assert toxicity.keep_clean(clash, model).columns == clash.columns
+    with pytest.raises(ValueError):
+        toxicity.score(odd.withColumn("__Score", F.lit(1)), model)
+    long = [r["__score"] for r in got if r["doc_id"] == 4]
+    again = toxicity.score(odd.unionByName(odd), model).where("doc_id = 4").collect()
+    assert [r["__score"] for r in again] == long * 2
 
 
 # 3
@@ -282,6 +337,18 @@ def test_token_counts(docs, odd, none):
 
 
 # 7
+def test_encoder_cuts_texts_right():
+    """Parts encode as the whole does, whatever white space and marks stand where."""
+    coder = tokens.Encoder(BPE, keep=2000)
+    r = np.random.default_rng(6)
+    letters = [*" \n\t ab1'sé  ☃.!\u00a0\u3000\u2003\u2028\x85\x1c<|", "  ", "\n\n"]
+    texts = ["".join(r.choice(letters, int(r.integers(0, 14)))) for _ in range(5000)] + ["", " ", "word " * 500, "x" * 3000]
+    for text, ids in zip(texts, coder.texts(texts), strict=True):
+        assert ids.tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert coder.held() <= 2000 + 16 * tokens.LONG
+    assert coder.dtype == np.dtype("<u2")
+
+
 def test_token_store(spark, docs, odd, none):
     from tokenizers import Tokenizer
 
