@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyring.llm import contamination, jaccard, mixing, scratch, store, toxicity
-from tallyring.llm.queries import vocabulary
+from tallyring.llm.queries import BPE
 from tallyring.ship import ship
 
 
@@ -44,7 +44,7 @@ def stored(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token store of what is left, read back."""
     ship(spark)
     path = scratch.folder(spark, "store")
-    store.write(docs, path, vocabulary("byte_bpe_50k.json"))
+    store.write(docs, path, BPE)
     store.manifest(spark, path)
     return store.read_back(spark, path)
 
