@@ -110,6 +110,69 @@ def cofactor_sub(a: Column, b: Column) -> Column:
     return _combine(a, b, -1)
 
 
+def _times(column: Column, by: Column) -> Column:
+    """Every number of an array times one."""
+    return F.transform(column, lambda v: v * by)
+
+
+def _maps_times(column: Column, by: Column) -> Column:
+    return F.transform(column, lambda m: F.transform_values(m, lambda _, v: v * by))
+
+
+def _triangle(packed: Column, n: Column, i: Column, strict: bool) -> Column:
+    """Entries (i, j) of a packed upper triangle over n features, j from i on, or after i."""
+    d = 1 if strict else 0
+    begin = i * n - i * (i - 1) / 2 + 1 - (i if strict else F.lit(0))
+    return F.slice(packed, begin.cast("int"), (n - i - d).cast("int"))
+
+
+def _each(n: Column, f) -> Column:
+    """f of 0 to n - 1, arrays joined."""
+    return F.flatten(F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), f))
+
+
+def cofactor_mul(a: Column, b: Column) -> Column:
+    """Product of two cofactor columns: the features of the one, then those of the other."""
+    n, m = a["count"].cast("double"), b["count"].cast("double")
+    x, y, c, d = F.size(a["lin"]), F.size(b["lin"]), F.size(a["cat1"]), F.size(b["cat1"])
+    quad = F.concat(_each(x, lambda i: F.concat(_times(_triangle(a["quad"], x, i, False), m), _times(b["lin"], F.element_at(a["lin"], i + 1)))), _times(b["quad"], n))
+    contcat = F.concat(
+        _each(x, lambda i: F.concat(_maps_times(F.slice(a["contcat"], (i * c + 1).cast("int"), c), m), _maps_times(b["cat1"], F.element_at(a["lin"], i + 1)))),
+        _each(y, lambda i: F.concat(_maps_times(a["cat1"], F.element_at(b["lin"], i + 1)), _maps_times(F.slice(b["contcat"], (i * d + 1).cast("int"), d), n))),
+    )
+    catcat = F.concat(_each(c, lambda i: F.concat(_maps_times(_triangle(a["catcat"], c, i, True), m), F.transform(b["cat1"], lambda r: relation_mul(F.element_at(a["cat1"], i + 1), r)))), _maps_times(b["catcat"], n))
+    return F.struct(
+        (a["count"] * b["count"]).alias("count"),
+        F.concat(_times(a["lin"], m), _times(b["lin"], n)).alias("lin"),
+        quad.alias("quad"),
+        F.concat(_maps_times(a["cat1"], m), _maps_times(b["cat1"], n)).alias("cat1"),
+        contcat.alias("contcat"),
+        catcat.alias("catcat"),
+    )
+
+
+def _nb_combine(a: Column, b: Column, sign: int) -> Column:
+    number = lambda x, y: x + sign * y
+    maps = lambda x, y: relation_add(x, y) if sign == 1 else relation_sub(x, y)
+    return F.struct((a["count"] + sign * b["count"]).alias("count"), *[F.zip_with(a[f], b[f], number).alias(f) for f in ("lin", "square")], F.zip_with(a["cat1"], b["cat1"], maps).alias("cat1"))
+
+
+def nb_add(a: Column, b: Column) -> Column:
+    """Sum of two naive-Bayes columns over the same features."""
+    return _nb_combine(a, b, 1)
+
+
+def nb_sub(a: Column, b: Column) -> Column:
+    return _nb_combine(a, b, -1)
+
+
+def nb_mul(a: Column, b: Column) -> Column:
+    """Product of two naive-Bayes columns: the features of the one, then those of the other."""
+    n, m = a["count"].cast("double"), b["count"].cast("double")
+    joined = [F.concat(_times(a[f], m), _times(b[f], n)).alias(f) for f in ("lin", "square")]
+    return F.struct((a["count"] * b["count"]).alias("count"), *joined, F.concat(_maps_times(a["cat1"], m), _maps_times(b["cat1"], n)).alias("cat1"))
+
+
 def to_nb_aggregates(cont: Sequence[str] = (), cat: Sequence[str] = ()) -> Column:
     """count, lin, square and cat1 of a row; null if a feature is."""
     x = [F.col(c).cast("double") for c in cont]

@@ -1,18 +1,22 @@
 """Prediction from flat parameter arrays, for SQL.
 
 ``register`` adds linregr_predict, lda_predict, qda_predict and nb_predict as vectorised
-functions of (params, cont, cat, ...). They take literal parameters a batch and are there for
-queries that hold parameters as data; ``predict_column`` of a model is faster.
+functions of (params, cont, cat, ...). They are there for queries that hold parameters as data;
+``predict_column`` of a model is faster. ``train`` fits a model over a table's name or a query's
+text and returns its parameters in the same form.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tallyring.operators.models import LDA, QDA, LinearRegression, NaiveBayes
+from tallyring.sources import tables
 
 
 def _frame(cont: pd.Series, cat: pd.Series, model) -> np.ndarray:
@@ -30,15 +34,16 @@ def _frame(cont: pd.Series, cat: pd.Series, model) -> np.ndarray:
     return out
 
 
-def _by_params(kind, params: pd.Series, cont: pd.Series, cat: pd.Series, score, norm: bool = False) -> pd.Series:
-    """Rows that share parameters are predicted together."""
+def _by_params(kind, params: pd.Series, cont: pd.Series, cat: pd.Series, score, norm: pd.Series | None = None) -> pd.Series:
+    """Rows that share parameters, shapes and the flag are predicted together."""
     out = pd.Series(index=params.index, dtype=object)
-    keys = params.map(lambda p: tuple(p))
-    for key, rows in keys.groupby(keys).groups.items():
-        cats = [f"c{i}" for i in range(len(cat[rows[0]]))] if len(cat[rows[0]]) else []
-        names = [f"x{i}" for i in range(len(cont[rows[0]]))]
-        model = kind.from_params(key, names, cats, norm) if kind is not NaiveBayes else kind.from_params(key, names, cats)
-        out[rows] = score(model, cont[rows], cat[rows])
+    rows: dict[tuple, list] = {}
+    for i, p, x, k in zip(params.index, params, cont, cat, strict=True):
+        rows.setdefault((tuple(p), len(x), len(k), bool(norm[i]) if norm is not None else False), []).append(i)
+    for (own, n, m, flag), at in rows.items():
+        names, cats = [f"x{i}" for i in range(n)], [f"c{i}" for i in range(m)]
+        model = kind.from_params(own, names, cats, flag) if kind is not NaiveBayes else kind.from_params(own, names, cats)
+        out[at] = score(model, cont[at], cat[at])
     return out
 
 
@@ -71,22 +76,31 @@ def _nb(m: NaiveBayes, cont, cat):
     return np.array(m.labels)[np.argmax(np.stack(scores, axis=1), axis=1)]
 
 
+def train(spark: SparkSession, kind: str, source: str, label: str, cont: Sequence[str] = (), cat: Sequence[str] = (), **options) -> list[float]:
+    """Parameters of ``linregr``, ``lda``, ``qda`` or ``nb``, fitted over a table, a path or a query."""
+    kinds = {"linregr": LinearRegression, "lda": LDA, "qda": QDA, "nb": NaiveBayes}
+    if kind not in kinds:
+        raise ValueError(f"kind is one of {sorted(kinds)}")
+    return kinds[kind].fit(tables.read(spark, source), label, cont, cat, **options).to_params()
+
+
 def register(spark: SparkSession) -> None:
     @F.pandas_udf("double")
     def linregr_predict(params: pd.Series, cont: pd.Series, cat: pd.Series, add_noise: pd.Series, norm: pd.Series) -> pd.Series:
-        out = _by_params(LinearRegression, params, cont, cat, _linear, bool(norm.iloc[0])).astype(float)
-        if add_noise.iloc[0]:
-            sigma = params.map(lambda p: p[-1])
-            out = out + sigma * np.random.default_rng().standard_normal(len(out))
+        out = _by_params(LinearRegression, params, cont, cat, _linear, norm).astype(float)
+        noisy = add_noise.astype(bool)
+        if noisy.any():  # a model fitted without its residual deviation has none to add
+            spread = _by_params(LinearRegression, params[noisy], cont[noisy], cat[noisy], lambda m, x, _: np.full(len(x), m.sigma or 0.0), norm[noisy]).astype(float)
+            out[noisy] += spread * np.random.default_rng().standard_normal(len(spread))
         return out
 
     @F.pandas_udf("long")
     def lda_predict(params: pd.Series, cont: pd.Series, cat: pd.Series, norm: pd.Series) -> pd.Series:
-        return _by_params(LDA, params, cont, cat, _lda, bool(norm.iloc[0])).astype("int64")
+        return _by_params(LDA, params, cont, cat, _lda, norm).astype("int64")
 
     @F.pandas_udf("long")
     def qda_predict(params: pd.Series, cont: pd.Series, cat: pd.Series, norm: pd.Series) -> pd.Series:
-        return _by_params(QDA, params, cont, cat, _qda, bool(norm.iloc[0])).astype("int64")
+        return _by_params(QDA, params, cont, cat, _qda, norm).astype("int64")
 
     @F.pandas_udf("long")
     def nb_predict(params: pd.Series, cont: pd.Series, cat: pd.Series) -> pd.Series:

@@ -11,8 +11,12 @@ mask), and only masks with the column just imputed are summed again:
 
 All three learn from the same rows and so agree up to rounding. Categorical columns are
 predicted by linear discriminants, continuous ones by least squares; categorical columns
-come first. Every step writes its frame, so neither lineage nor expressions grow, and random
-noise is drawn once.
+come first.
+
+Rows are written once, in parts by what they lack: nothing, one column alone (a part each), or
+more. A step reads and rewrites the part of its column and the last one only, so rows without
+gaps are written once; files that a step replaces are deleted. Neither lineage nor expressions
+grow, and random noise is drawn once.
 """
 
 from __future__ import annotations
@@ -29,10 +33,10 @@ from tallyring.operators.models import LDA, LinearRegression
 from tallyring.operators.ring import Cofactor
 from tallyring.plans import aggregate
 from tallyring.plans.aggregate import Spec
-from tallyring.sources.tables import checkpoint
+from tallyring.sources.tables import Parts
 
 STRATEGIES = ("baseline", "low", "high")
-MASK = "null_mask"
+MASK, PART = "null_mask", "null_part"
 
 
 def flag(column: str) -> str:
@@ -54,12 +58,33 @@ def partitioned(df: DataFrame, nullable: Sequence[str]) -> DataFrame:
     return out.withColumn("null_cnt", F.bit_count(MASK)).withColumn("null_col_id", alone)
 
 
+def layout(df: DataFrame, nullable: Sequence[str], strategy: str = "low") -> DataFrame:
+    """The output layout of the strategies: every column, ``row_id`` (unique), and of ``baseline`` a
+    flag a nullable column (c_ISNULL); of ``low`` also how many are missing (null_cnt) and which one
+    alone (null_col_id, from 1; 0 for none, null for several); of ``high`` the same told of what is
+    there: c_ISNOTNULL, not_null_cnt and not_null_col_id."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"strategy is one of {STRATEGIES}")
+    out = df.withColumn("row_id", F.monotonically_increasing_id())
+    missing = [F.col(c).isNull() for c in nullable]
+    wanted, said, count, which = (missing, "ISNULL", "null_cnt", "null_col_id") if strategy != "high" else ([~m for m in missing], "ISNOTNULL", "not_null_cnt", "not_null_col_id")
+    flags = {f"{c}_{said}": w for c, w in zip(nullable, wanted, strict=True)}
+    if strategy == "baseline":
+        return out.withColumns(flags)
+    total = reduce(lambda a, b: a + b, [w.cast("int") for w in wanted], F.lit(0))
+    alone = reduce(lambda a, iw: a.when((total == 1) & iw[1], F.lit(iw[0] + 1)), enumerate(wanted), F.when(total == 0, F.lit(0)))
+    return out.withColumns(flags | {count: total, which: alone})
+
+
 def initial_values(df: DataFrame, cont: Sequence[str], cat: Sequence[str]) -> dict:
     """Mean of each continuous and mode (smallest of ties) of each categorical column, all rows."""
     if not cont and not cat:
         return {}
-    columns = [F.avg(F.col(c).cast("double")).alias(c) for c in cont] + [F.mode(F.col(c), True).alias(c) for c in cat]
-    return df.agg(*columns).first().asDict()
+    out = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cont]).first().asDict() if cont else {}
+    for c in cat:
+        first = df.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).first()
+        out[c] = first[0] if first else None
+    return out
 
 
 def fill(df: DataFrame, values: dict) -> DataFrame:
@@ -77,10 +102,10 @@ class Imputed:
 class _Sums:
     """Aggregates per mask, refreshed where a column has changed."""
 
-    def __init__(self, frame: DataFrame, spec: Spec, full: int | None) -> None:
+    def __init__(self, parts: Parts, spec: Spec, full: int | None) -> None:
         self.spec, self.full = spec, full
         self.by_mask: dict[int, Cofactor] = {}
-        self.refresh(frame)
+        self.refresh(parts.frame())
 
     def refresh(self, frame: DataFrame, bit: int | None = None) -> None:
         rows = frame if self.full is None else frame.where(F.col(MASK) != self.full)
@@ -93,9 +118,9 @@ def _total(parts: Sequence[Cofactor]) -> Cofactor | None:
     return reduce(lambda a, b: a + b, parts) if parts else None
 
 
-def _training(strategy: str, sums: _Sums | None, frame: DataFrame, spec: Spec, bit: int, full: int | None) -> Cofactor | None:
+def _training(strategy: str, sums: _Sums | None, parts: Parts, column: int, spec: Spec, bit: int, full: int | None) -> Cofactor | None:
     if strategy == "baseline":
-        rows = frame.where(F.col(MASK).bitwiseAND(F.lit(bit)) == 0)
+        rows = parts.frame([k for k in parts.paths if k != column]).where(F.col(MASK).bitwiseAND(F.lit(bit)) == 0)
         return aggregate.cofactor(rows if full is None else rows.where(F.col(MASK) != full), spec)
     if strategy == "low":
         whole = _total(list(sums.by_mask.values()))
@@ -120,28 +145,32 @@ def impute(df: DataFrame, cont: Sequence[str] = (), cat: Sequence[str] = (), con
     start = time.perf_counter()
     values = initial_values(df, cont_null, cat_null)
     typed = df.withColumns({c: F.col(c).cast("double") for c in cont}) if cont else df
-    frame = checkpoint(fill(partitioned(typed, nullable), values))
+    marked = partitioned(typed, nullable)
+    several = len(nullable) + 1
+    whole = marked.withColumn(PART, F.when(F.col("null_cnt") == 0, 0).when(F.col("null_cnt") == 1, F.col("null_col_id")).otherwise(several).cast("int"))
+    parts = Parts(fill(whole, values), PART)
     trace = [{"iteration": 0, "column": None, "phase": "fill", "ms": 1000 * (time.perf_counter() - start)}]
     usable = [c for c in nullable if values.get(c) is not None]
     if len(usable) < len(nullable):
         spec = Spec(tuple(c for c in cont if c not in nullable or c in usable), tuple(c for c in cat if c not in nullable or c in usable), decimal)
     full = (1 << len(nullable)) - 1 if len(nullable) > 1 else None
-    sums = _Sums(frame, spec, full) if strategy != "baseline" else None
+    sums = _Sums(parts, spec, full) if strategy != "baseline" else None
     for i in range(1, iterations + 1):
         for c in usable:
-            start, bit = time.perf_counter(), 1 << nullable.index(c)
-            a = _training(strategy, sums, frame, spec, bit, full)
+            start, column = time.perf_counter(), nullable.index(c)
+            bit, own = 1 << column, [column + 1, several]
+            a = _training(strategy, sums, parts, column + 1, spec, bit, full)
             if a is None:
                 continue
             if c in cat_null:
                 predicted = LDA.fit(a, c).predict_column()
             else:
                 model = LinearRegression.fit(a, c, variance=noise_seed is not None)
-                predicted = model.predict_column(None if noise_seed is None else noise_seed + 1000 * i + nullable.index(c))
+                predicted = model.predict_column(None if noise_seed is None else noise_seed + 1000 * i + column)
             trained = time.perf_counter()
-            frame = checkpoint(frame.withColumn(c, F.when(F.col(flag(c)), predicted.cast(frame.schema[c].dataType)).otherwise(F.col(c))))
+            parts.rewrite(own, parts.frame(own).withColumn(c, F.when(F.col(flag(c)), predicted.cast(parts.schema[c].dataType)).otherwise(F.col(c))))
             if sums is not None:
-                sums.refresh(frame, bit)
+                sums.refresh(parts.frame(own), bit)
             trace.append({"iteration": i, "column": c, "phase": "train", "ms": 1000 * (trained - start)})
             trace.append({"iteration": i, "column": c, "phase": "impute", "ms": 1000 * (time.perf_counter() - trained)})
-    return Imputed(frame, trace)
+    return Imputed(parts.frame().drop(PART), trace)

@@ -21,8 +21,29 @@ from tallyring.operators.sigma import Sigma, class_sums, dictionary, sigma
 from tallyring.plans import aggregate
 from tallyring.plans.aggregate import Spec
 
-#: Singular values up to this share of the largest count as 0.
-RANK = 1e-12
+#: Eigenvalues of a correlation matrix up to this share of the largest count as 0, and so do
+#: variances up to TINY of the mean square, which is about what sums in doubles leave of them.
+RANK, TINY = 1e-12, 1e-13
+
+
+def _balance(matrix: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which features vary, their deviations (1 for others), and the correlations (0 for others)."""
+    spread = np.diag(matrix)
+    varies = spread > TINY * second
+    scale = np.sqrt(np.where(varies, spread, 1.0))
+    return varies, scale, np.where(np.outer(varies, varies), matrix / np.outer(scale, scale), 0.0)
+
+
+def _inverse(matrix: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, float]:
+    """Inverse of a covariance matrix on its range, and the log determinant there. Features are
+    scaled to deviation 1 first, so units decide nothing. ``second``: mean squares of the features
+    about 0, by which rounding is judged."""
+    varies, scale, r = _balance(matrix, second)
+    values, vectors = np.linalg.eigh(r)
+    noise = 64 * np.finfo(float).eps * np.max(second[varies] / scale[varies] ** 2, initial=0.0)
+    good = values > max(RANK, noise) * max(values.max(initial=0.0), 1e-300)
+    inverse = (vectors[:, good] / values[good]) @ vectors[:, good].T / np.outer(scale, scale)
+    return inverse, float(np.log(values[good]).sum() + 2 * np.log(scale).sum())
 
 
 def _lookup(column: str, values: dict) -> Column:
@@ -116,25 +137,21 @@ class LinearRegression:
 
     @classmethod
     def from_sigma(cls, s: Sigma, label: str, ridge: float = 0.0, norm: bool = False, variance: bool = False, solver: str = "closed", step: float = 0.001, max_iterations: int = 10_000) -> LinearRegression:
-        raw, n = s, s.count
-        mean, std = np.zeros(len(s.names)), np.ones(len(s.names))
-        if norm:
-            s, mean, std = s.standardized()
-        y = s.at(label)
-        x = [i for i in range(len(s.names) + 1) if i != y]
-        a, b = s.matrix[np.ix_(x, x)] / n, s.matrix[x, y] / n
-        penalty = np.full(len(x), float(ridge))
-        penalty[0] = 0
-        theta = np.linalg.pinv(a + np.diag(penalty), rcond=RANK, hermitian=True) @ b if solver == "closed" else _descend(a, b, penalty, step, max_iterations)
-        at = [i - 1 for i in x[1:]]
-        weights = theta[1:] * std[y - 1] / std[at]
-        intercept = float(theta[0] * std[y - 1] + mean[y - 1])
-        names = [s.names[i] for i in at]
-        full = np.zeros(len(x) + 1)
-        full[x] = [intercept - float(weights @ mean[at]) if norm else intercept, *weights]
-        full[y] = -1
-        residual = float(np.sqrt(max(0.0, full @ raw.matrix @ full / n))) if variance else None
-        return cls(names, weights, intercept, mean[at] if norm else None, residual)
+        n, y = s.count, s.at(label) - 1
+        x = [i for i in range(len(s.names)) if i != y]
+        mean, second = s.matrix[0, 1:] / n, np.diag(s.matrix)[1:] / n
+        c = s.matrix[1:, 1:] / n - np.outer(mean, mean)
+        own, to = c[np.ix_(x, x)], c[x, y]
+        varies, scale, r = _balance(own, second[x])
+        to = np.where(varies, to, 0.0)
+        penalty = ridge * (scale**2 if norm else np.ones(len(x)))
+        if solver == "closed":
+            weights = _inverse(own + np.diag(penalty), second[x] + penalty)[0] @ to
+        else:
+            weights = _descend(r, to / scale, penalty / scale**2, step, max_iterations) / scale
+        residual = float(np.sqrt(max(0.0, c[y, y] - 2 * weights @ to + weights @ own @ weights))) if variance else None
+        names = [s.names[i] for i in x]
+        return cls(names, weights, float(mean[y]) if norm else float(mean[y] - weights @ mean[x]), mean[x] if norm else None, residual)
 
     def predict_column(self, noise_seed: int | None = None) -> Column:
         """Prediction; with a seed, plus normal noise of the residual deviation."""
@@ -199,15 +216,19 @@ class LDA:
         s, n = sigma(a, categories, skip=label), float(a.count)
         sums = class_sums(a, label, categories)
         labels = list(sums)
+        centre, second = s.matrix[0, 1:] / n, np.diag(s.matrix)[1:] / n
         mean, std = np.zeros(len(s.names)), np.ones(len(s.names))
         if norm:
-            s, mean, std = s.standardized()
+            _, mean, std = s.standardized()
         counts = np.array([sums[y][0] for y in labels])
-        mu = np.array([(sums[y][1:] / sums[y][0] - mean) / std for y in labels])
-        within = s.matrix[1:, 1:] - (mu * counts[:, None]).T @ mu
+        raw = np.array([sums[y][1:] / sums[y][0] for y in labels])
+        mu, apart = (raw - mean) / std, raw - centre
+        within = (s.matrix[1:, 1:] / n - np.outer(centre, centre) - (apart * counts[:, None]).T @ apart / n) / np.outer(std, std)
+        second = second / std**2
+        within = np.where(np.diag(within) > TINY * second, 1.0, 0.0)[:, None] * within
         p = len(within)
-        within = ((1 - shrinkage) * within + shrinkage * np.trace(within) / max(1, p) * np.eye(p)) / n
-        weights = np.linalg.lstsq(within, mu.T, rcond=RANK)[0].T if p else np.zeros((len(labels), 0))
+        within = (1 - shrinkage) * within + shrinkage * np.trace(within) / max(1, p) * np.eye(p)
+        weights = mu @ _inverse(within, second)[0].T if p else np.zeros((len(labels), 0))
         intercepts = -0.5 * np.einsum("ij,ij->i", mu, weights) + np.log(counts / n)
         return cls(s.names, labels, weights / std, intercepts, mean if norm else None)
 
@@ -235,8 +256,8 @@ class LDA:
 @dataclass
 class QDA:
     """Quadratic discriminant analysis. The first category of each feature is the base of its
-    one-hot columns; singular covariances are inverted on their range (values over RANK of the
-    largest), with the determinant of that range."""
+    one-hot columns; singular covariances are inverted on their range (eigenvalues of the
+    correlations over RANK of the largest), with the determinant of that range times the variances."""
 
     names: list
     labels: list
@@ -265,12 +286,10 @@ class QDA:
             mu = (s.matrix[0, 1:] / s.count - mean) / std
             centre = s.matrix[0, 1:] / s.count
             covariance = (s.matrix[1:, 1:] / s.count - np.outer(centre, centre)) / np.outer(std, std)
-            u, d, v = np.linalg.svd(covariance, hermitian=True)
-            good = d > RANK * max(d.max(initial=0.0), 1e-300)
-            inverse = (v[good].T / d[good]) @ u[:, good].T
+            inverse, logdet = _inverse(covariance, np.diag(s.matrix)[1:] / s.count / std**2)
             squares.append(-0.5 * inverse / np.outer(std, std))
             weights.append(inverse @ mu / std)
-            intercepts.append(float(-0.5 * mu @ inverse @ mu - 0.5 * np.log(d[good]).sum() + np.log(s.count / n)))
+            intercepts.append(float(-0.5 * mu @ inverse @ mu - 0.5 * logdet + np.log(s.count / n)))
         return cls(names, labels, squares, weights, intercepts, mean if norm else None)
 
     def scores(self) -> list[Column]:

@@ -78,9 +78,15 @@ def _same(a, b) -> None:
         raise ValueError(f"features differ: {a.cont} {a.cat} and {b.cont} {b.cat}")
 
 
-def _apart(a, b) -> None:
-    if both := {*a.cont, *a.cat} & {*b.cont, *b.cat}:
-        raise ValueError(f"a product's sides share features: {sorted(both)}")
+def _further(names: list[str], taken: list[str]) -> dict[str, str]:
+    """A name for each of ``names`` that none of ``taken`` has: itself, or with the next number."""
+    out: dict[str, str] = {}
+    for name in names:
+        used, new, k = {*names, *taken, *out.values()}, name, 2
+        while new in taken or new in out.values() or (new != name and new in used):
+            new, k = f"{name}_{k}", k + 1
+        out[name] = new
+    return out
 
 
 def _blend(a: dict, b: dict, sign: int) -> dict:
@@ -138,6 +144,13 @@ class Cofactor:
         pairs = {k: dict(v) for k, v in self.by_pair.items()}
         return Cofactor(list(like.cont), list(like.cat), self.count, self.lin[at], self.quad[np.ix_(at, at)], {c: {k: v[wide] for k, v in self.by_cat[c].items()} for c in like.cat}, pairs)
 
+    def beside(self, other: Cofactor) -> Cofactor:
+        """The same value with other names for features that ``other`` has in the same role: a
+        feature that a product names twice is x and x_2. One column may be continuous and
+        categorical."""
+        x, k = _further(self.cont, other.cont), _further(self.cat, other.cat)
+        return Cofactor([x[c] for c in self.cont], [k[c] for c in self.cat], self.count, self.lin, self.quad, {k[c]: d for c, d in self.by_cat.items()}, {(k[a], k[b]): d for (a, b), d in self.by_pair.items()})
+
     def _combine(self, other: Cofactor, sign: int) -> Cofactor:
         b = other.aligned(self)
         return Cofactor(self.cont, self.cat, self.count + sign * b.count, self.lin + sign * b.lin, self.quad + sign * b.quad, {c: _blend(self.by_cat[c], b.by_cat[c], sign) for c in self.cat}, {p: _blend(self.by_pair[p], b.by_pair[p], sign) for p in self.by_pair})
@@ -149,8 +162,7 @@ class Cofactor:
         return self._combine(other, -1)
 
     def __mul__(self, other: Cofactor) -> Cofactor:
-        a, b = self, other
-        _apart(a, b)
+        a, b = self, other.beside(self)
         cross = np.outer(a.lin, b.lin)
         quad = np.block([[a.quad * b.count, cross], [cross.T, b.quad * a.count]])
         by_cat = {c: {k: np.concatenate([[v[0] * b.count], v[1:] * b.count, v[0] * b.lin]) for k, v in a.by_cat[c].items()} for c in a.cat}
@@ -223,6 +235,11 @@ class NBAggregates:
         x = np.array(list(cont.values()), dtype=float)
         return cls(list(cont), list(cat or {}), 1, x, x * x, {c: {v: 1.0} for c, v in (cat or {}).items()})
 
+    def beside(self, other: NBAggregates) -> NBAggregates:
+        """As :meth:`Cofactor.beside`."""
+        x, k = _further(self.cont, other.cont), _further(self.cat, other.cat)
+        return NBAggregates([x[c] for c in self.cont], [k[c] for c in self.cat], self.count, self.lin, self.square, {k[c]: d for c, d in self.by_cat.items()})
+
     def _combine(self, b: NBAggregates, sign: int) -> NBAggregates:
         _same(self, b)
         at = [b.cont.index(c) for c in self.cont]
@@ -235,8 +252,7 @@ class NBAggregates:
         return self._combine(other, -1)
 
     def __mul__(self, other: NBAggregates) -> NBAggregates:
-        a, b = self, other
-        _apart(a, b)
+        a, b = self, other.beside(self)
         by_cat = {c: {k: v * b.count for k, v in d.items()} for c, d in a.by_cat.items()} | {c: {k: v * a.count for k, v in d.items()} for c, d in b.by_cat.items()}
         return NBAggregates([*a.cont, *b.cont], [*a.cat, *b.cat], a.count * b.count, np.concatenate([a.lin * b.count, b.lin * a.count]), np.concatenate([a.square * b.count, b.square * a.count]), by_cat)
 

@@ -1,10 +1,11 @@
 """SUM over rows, compiled to partial aggregates.
 
-Scalars (count, sums, sums of products) are one wide aggregate; categories are GROUPING SETS
-over single categorical features and pairs. Only sums are collected: one row a group, and
-one a category or pair of categories that occur. Up to ``WIDE`` continuous features Spark
-fuses the wide aggregate; beyond, each task sums its rows' products in numpy and sends one
-packed triangle.
+Rows are summed once, by all categorical features together (and the caller's groups), which
+shuffles one row a task and combination that occurs. Count, sums and sums of products, those of
+single categories and those of pairs are GROUPING SETS over these few rows, in the same job.
+Only sums are collected: one row a group, and one a category or pair of categories that occur.
+Without categorical features, and beyond ``WIDE`` continuous ones, each task sums its rows'
+products in numpy and sends one packed triangle.
 """
 
 from __future__ import annotations
@@ -22,14 +23,15 @@ from tallyring.operators.ring import Cofactor, NBAggregates
 
 #: Continuous features up to which sums of products stay one aggregate of 100 columns or fewer.
 WIDE = 12
-#: Categorical features beyond which rows are counted by all of them before they are replicated.
-MANY_CATEGORICAL = 4
+#: Columns of sums, apart from any feature's name.
+_N, _S, _Q = "__n", "__s", "__q"
 
 
 @dataclass(frozen=True)
 class Spec:
-    """Features by column name. ``decimal`` (precision, scale) makes sums exact, whatever the
-    order of rows; ``on_null`` raises, or skips rows with a null feature."""
+    """Features by column name; a column may be continuous and categorical at once. ``decimal``
+    (precision, scale) makes sums exact, whatever the order of rows; ``on_null`` raises, or skips
+    rows with a null feature."""
 
     cont: tuple[str, ...] = ()
     cat: tuple[str, ...] = ()
@@ -39,8 +41,8 @@ class Spec:
     def __post_init__(self) -> None:
         object.__setattr__(self, "cont", tuple(self.cont))
         object.__setattr__(self, "cat", tuple(self.cat))
-        if len({*self.cont, *self.cat}) < len(self.cont) + len(self.cat):
-            raise ValueError("a feature is named twice")
+        if len({*self.cont}) < len(self.cont) or len({*self.cat}) < len(self.cat):
+            raise ValueError("a feature is named twice in a role")
         if self.on_null not in ("raise", "skip"):
             raise ValueError("on_null is raise or skip")
 
@@ -48,7 +50,7 @@ class Spec:
         return F.col(name).cast(f"decimal({self.decimal[0]},{self.decimal[1]})" if self.decimal else "double")
 
     def rows(self, df: DataFrame) -> DataFrame:
-        names = [*self.cont, *self.cat]
+        names = [*dict.fromkeys([*self.cont, *self.cat])]
         if not names:
             return df
         if self.on_null == "skip":
@@ -60,37 +62,40 @@ class Spec:
         return df.where(F.when(none, F.raise_error(F.lit("a feature is null"))).otherwise(F.lit(True)))
 
 
-def scalar_columns(spec: Spec) -> list[Column]:
-    out = [F.count(F.lit(1)).alias("n")]
-    out += [F.sum(spec.value(c)).cast("double").alias(f"s{i}") for i, c in enumerate(spec.cont)]
-    return out + [F.sum(spec.value(a) * spec.value(spec.cont[j])).cast("double").alias(f"q{i}_{j}") for i, a in enumerate(spec.cont) for j in range(i, len(spec.cont))]
+def _sums(df: DataFrame, spec: Spec, by: Sequence[str], products: bool) -> DataFrame:
+    """Sums of every combination of groups and categories."""
+    sums = [F.sum(spec.value(c)).alias(f"{_S}{i}") for i, c in enumerate(spec.cont)]
+    if products:
+        sums += [F.sum(spec.value(spec.cont[i]) * spec.value(spec.cont[j])).alias(f"{_Q}{i}_{j}") for i, j in _upper(len(spec.cont))]
+    return spec.rows(df).groupBy(*dict.fromkeys([*by, *spec.cat])).agg(F.count(F.lit(1)).alias(_N), *sums)
 
 
-def scalar_sums(df: DataFrame, spec: Spec, by: Sequence[str] = ()) -> DataFrame:
-    """One row (a group): n, s<i>, q<i>_<j>."""
-    return spec.rows(df).groupBy(*by).agg(*scalar_columns(spec))
+def _upper(k: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(k) for j in range(i, k)]
 
 
-def category_sums(df: DataFrame, spec: Spec, by: Sequence[str] = (), pairs: bool = True) -> DataFrame:
-    """One row a (group,) feature set and categories: set (grouping id), the categorical columns
-    (null where not in the set), n and s<i>."""
-    cats = list(spec.cat)
-    rows = spec.rows(df)
-    n, sums = F.count(F.lit(1)), [F.sum(spec.value(c)) for c in spec.cont]
-    if len(cats) > MANY_CATEGORICAL:
-        rows = rows.groupBy(*by, *cats).agg(n.alias("__n"), *[s.alias(f"__s{i}") for i, s in enumerate(sums)])
-        n, sums = F.sum("__n"), [F.sum(f"__s{i}") for i in range(len(sums))]
-    wanted = [(c,) for c in cats] + (list(combinations(cats, 2)) if pairs else [])
-    sets = [[F.col(x) for x in (*by, *s)] for s in wanted]
-    columns = [F.col(x) for x in (*by, *cats)]
-    return rows.groupingSets(sets, *columns).agg(F.grouping_id().alias("set"), n.cast("long").alias("n"), *[s.cast("double").alias(f"s{i}") for i, s in enumerate(sums)])
+def grouped_sums(df: DataFrame, spec: Spec, by: Sequence[str] = (), products: bool = True, pairs: bool = True) -> DataFrame:
+    """One row a (group and) feature set and categories: set (grouping id), the categorical columns
+    (null where not in the set), n, s<i> and q<i>_<j>. The empty set has the scalars."""
+    cats, k = list(spec.cat), len(spec.cont)
+    rows = _sums(df, spec, by, products)
+    # groups keep a name of their own, as one of them may be a feature too
+    own = {b: f"__by{i}" for i, b in enumerate(by)}
+    rows = rows.select(*[F.col(b).alias(a) for b, a in own.items()], *cats, *[c for c in rows.columns if c.startswith((_N, _S, _Q)) and c not in cats])
+    columns = [f"{_S}{i}" for i in range(k)] + ([f"{_Q}{i}_{j}" for i, j in _upper(k)] if products else [])
+    sums = [F.sum(_N).cast("long").alias("n"), *[F.sum(c).cast("double").alias(c[2:]) for c in columns]]
+    wanted = [(), *[(c,) for c in cats], *(combinations(cats, 2) if pairs else [])]
+    sets = [[F.col(x) for x in (*own.values(), *s)] for s in wanted]
+    if not own and not cats:
+        return rows.agg(F.lit(0).cast("long").alias("set"), *sums)
+    return rows.groupingSets(sets, *[F.col(x) for x in (*own.values(), *cats)]).agg(F.grouping_id().bitwiseAND(F.lit((1 << len(cats)) - 1)).alias("set"), *sums)
 
 
 def grouping_ids(cats: Sequence[str]) -> dict[int, tuple[str, ...]]:
     """Grouping id (a bit for each column aggregated away, the first highest) of each set."""
     full = (1 << len(cats)) - 1
     bit = {c: 1 << (len(cats) - 1 - i) for i, c in enumerate(cats)}
-    return {full & ~sum(bit[c] for c in s): s for s in [(c,) for c in cats] + list(combinations(cats, 2))}
+    return {full & ~sum(bit[c] for c in s): s for s in [(), *[(c,) for c in cats], *combinations(cats, 2)]}
 
 
 def _gram(k: int):
@@ -112,26 +117,21 @@ def gram(df: DataFrame, spec: Spec) -> DataFrame:
     return x.mapInArrow(_gram(len(spec.cont)), "pos int, v double").groupBy("pos").agg(F.sum("v").alias("v"))
 
 
-def _fill(spec: Spec, row, categories: list) -> Cofactor:
-    k = len(spec.cont)
-    quad = np.zeros((k, k))
-    lin = [row[f"s{i}"] or 0.0 for i in range(k)]
-    for i in range(k):
-        for j in range(i, k):
-            quad[i, j] = quad[j, i] = row[f"q{i}_{j}"] or 0.0
-    out = Cofactor(list(spec.cont), list(spec.cat), row["n"], lin, quad)
-    _categories(out, spec, categories)
-    return out
-
-
-def _categories(out: Cofactor, spec: Spec, categories: list) -> None:
-    ids = grouping_ids(spec.cat)
-    for r in categories:
-        s = ids[r["__set"]]
-        if len(s) == 1:
-            out.by_cat[s[0]][r[s[0]]] = np.array([r["n"], *[r[f"s{i}"] for i in range(len(spec.cont))]], dtype=float)
-        if len(s) == 2:
+def _fill(spec: Spec, rows: list[dict]) -> Cofactor:
+    """A cofactor from its rows of :func:`grouped_sums`."""
+    k, ids = len(spec.cont), grouping_ids(spec.cat)
+    out = Cofactor(list(spec.cont), list(spec.cat))
+    for r in rows:
+        s, sums = ids[r["set"]], [r[f"s{i}"] or 0.0 for i in range(k)]
+        if not s:
+            out.count, out.lin = r["n"] or 0, np.array(sums, dtype=float)
+            for i, j in _upper(k) if "q0_0" in r else ():
+                out.quad[i, j] = out.quad[j, i] = r[f"q{i}_{j}"] or 0.0
+        elif len(s) == 1:
+            out.by_cat[s[0]][r[s[0]]] = np.array([r["n"], *sums], dtype=float)
+        else:
             out.by_pair[s][r[s[0]], r[s[1]]] = float(r["n"])
+    return out
 
 
 def cofactor(df: DataFrame, spec: Spec) -> Cofactor | None:
@@ -144,7 +144,13 @@ def cofactors(df: DataFrame, spec: Spec, by: Sequence[str]) -> dict[tuple, Cofac
     """SUM of cofactors a group, by the tuple of its keys. Groups are collected: the caller's
     keys must be few (classes, masks); cofactor_frame keeps them distributed."""
     by = list(by)
-    if not by and len(spec.cont) > WIDE and spec.decimal is None:
+    wide = not by and len(spec.cont) > WIDE and spec.decimal is None
+    parts: dict[tuple, list] = {}
+    if not wide or spec.cat:
+        for r in grouped_sums(df, spec, by, not wide).collect():
+            parts.setdefault(tuple(r[f"__by{i}"] for i in range(len(by))), []).append(r.asDict())
+    found = {key: _fill(spec, rows) for key, rows in parts.items()}
+    if wide:
         packed = dict(gram(df, spec).collect())
         if not packed:
             return {}
@@ -152,43 +158,45 @@ def cofactors(df: DataFrame, spec: Spec, by: Sequence[str]) -> dict[tuple, Cofac
         g = np.zeros((k + 1, k + 1))
         g[np.triu_indices(k + 1)] = [packed[i] for i in range(len(packed))]
         g = np.triu(g) + np.triu(g, 1).T
-        whole = Cofactor(list(spec.cont), list(spec.cat), int(g[0, 0]), g[0, 1:], g[1:, 1:])
-        if spec.cat:
-            width = len(spec.cat)
-            _categories(whole, spec, [_with_set(r, by, width) for r in category_sums(df, spec).collect()])
-        return {(): whole}
-    rows = [r.asDict() for r in scalar_sums(df, spec, by).collect()]
-    categories: dict[tuple, list] = {}
-    for r in category_sums(df, spec, by).collect() if spec.cat else ():
-        categories.setdefault(tuple(r[b] for b in by), []).append(_with_set(r, by, len(spec.cat)))
-    return {key: _fill(spec, r, categories.get(key, [])) for r in rows if r["n"] for key in [tuple(r[b] for b in by)]}
-
-
-def _with_set(row, by: Sequence[str], width: int) -> dict:
-    """The row with its feature set's id, group columns (never aggregated away) left out."""
-    return row.asDict() | {"__set": row["set"] & ((1 << width) - 1)}
+        whole = found.setdefault((), Cofactor(list(spec.cont), list(spec.cat)))
+        whole.count, whole.lin, whole.quad = int(g[0, 0]), g[0, 1:], g[1:, 1:]
+    return {key: a for key, a in found.items() if a.count}
 
 
 def cofactor_frame(df: DataFrame, spec: Spec, by: Sequence[str] = ()) -> DataFrame:
-    """SUM of cofactors as rows: (group columns,) count, lin and quad (packed upper triangle)."""
-    k = len(spec.cont)
-    s = scalar_sums(df, spec, by)
-    lin = F.array(*[F.col(f"s{i}") for i in range(k)]) if k else F.array().cast("array<double>")
-    quad = F.array(*[F.col(f"q{i}_{j}") for i in range(k) for j in range(i, k)]) if k else F.array().cast("array<double>")
-    return s.select(*by, F.col("n").alias("count"), lin.alias("lin"), quad.alias("quad"))
+    """SUM of cofactors as rows, one a group, distributed: the group columns and ``cofactor``, a
+    struct in the form of :func:`tallyring.functions.lift.to_cofactor` (count, lin, quad, cat1,
+    contcat, catcat), so it adds and multiplies with other columns of that form. Categories are
+    numbers there; a group's maps must fit a row. Without rows and groups there is none."""
+    k, cats = len(spec.cont), list(spec.cat)
+    rows = grouped_sums(df, spec, by).where("n > 0")
+    ids = {s: i for i, s in grouping_ids(cats).items()}
+    own = [f"__by{i}" for i in range(len(by))]
+    one = lambda c: F.max(F.when(F.col("set") == ids[()], F.col(c)))
+    pack = lambda s, key, v: F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("set") == ids[s], F.struct(key.alias("key"), v.alias("value"))))))
+    number = lambda columns, kind: F.array(*columns) if columns else F.array().cast(f"array<{kind}>")
+    single, double = "map<bigint,double>", "map<struct<k1:bigint,k2:bigint>,double>"
+    whole = F.struct(
+        one("n").alias("count"),
+        number([one(f"s{i}") for i in range(k)], "double").alias("lin"),
+        number([one(f"q{i}_{j}") for i, j in _upper(k)], "double").alias("quad"),
+        number([pack((c,), F.col(c).cast("long"), F.col("n").cast("double")) for c in cats], single).alias("cat1"),
+        number([pack((c,), F.col(c).cast("long"), F.col(f"s{i}")) for i in range(k) for c in cats], single).alias("contcat"),
+        number([pack((a, b), F.struct(F.col(a).cast("long").alias("k1"), F.col(b).cast("long").alias("k2")), F.col("n").cast("double")) for a, b in combinations(cats, 2)], double).alias("catcat"),
+    )
+    return rows.groupBy(*own).agg(whole.alias("cofactor")).where("cofactor.count > 0").select(*[F.col(o).alias(b) for o, b in zip(own, by, strict=True)], "cofactor")
 
 
 def nb_aggregates(df: DataFrame, spec: Spec, by: Sequence[str]) -> dict[tuple, NBAggregates]:
-    """SUM of naive-Bayes aggregates a group (classes: few by meaning)."""
-    by, rows = list(by), spec.rows(df)
-    wide = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.sum(spec.value(c)).cast("double").alias(f"s{i}") for i, c in enumerate(spec.cont)], *[F.sum(spec.value(c) * spec.value(c)).cast("double").alias(f"q{i}") for i, c in enumerate(spec.cont)])
-    k, out = len(spec.cont), {}
-    for r in wide.collect():
-        if r["n"]:
-            out[tuple(r[b] for b in by)] = NBAggregates(list(spec.cont), list(spec.cat), r["n"], [r[f"s{i}"] for i in range(k)], [r[f"q{i}"] for i in range(k)])
-    if spec.cat:
-        ids = grouping_ids(spec.cat)
-        for r in category_sums(df, Spec((), spec.cat, None, spec.on_null), by, pairs=False).collect():
-            c = ids[r["set"] & ((1 << len(spec.cat)) - 1)][0]
-            out[tuple(r[b] for b in by)].by_cat[c][r[c]] = float(r["n"])
-    return out
+    """SUM of naive-Bayes aggregates a group (classes: few by meaning), in one job."""
+    by, k, ids = list(by), len(spec.cont), grouping_ids(spec.cat)
+    out: dict[tuple, NBAggregates] = {}
+    for r in grouped_sums(df, spec, by, pairs=False).collect():
+        key = tuple(r[f"__by{i}"] for i in range(len(by)))
+        a = out.setdefault(key, NBAggregates(list(spec.cont), list(spec.cat)))
+        if s := ids[r["set"]]:
+            a.by_cat[s[0]][r[s[0]]] = float(r["n"])
+        else:
+            a.count = r["n"] or 0
+            a.lin, a.square = (np.array([r[c] or 0.0 for c in names], dtype=float) for names in ([f"s{i}" for i in range(k)], [f"q{i}_{i}" for i in range(k)]))
+    return {key: a for key, a in out.items() if a.count}

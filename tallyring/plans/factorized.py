@@ -1,8 +1,11 @@
 """SUM of cofactors over a join that is never made.
 
-Each table is summed by its join keys first; the sums of two tables multiply key by key and
-are summed again by the keys still needed. A tree of tables is folded from its leaves. What
-is shuffled is one row a key (and category), not one a joined row.
+Each table is summed by its join keys and categories in one pass; grouping sets over those sums
+give, a key, the whole, each category and each pair of categories, marked by a mask with a bit a
+categorical feature. The sums of two tables multiply key by key, where their masks together have
+two bits at most, and are summed again by the keys still needed. A tree of tables is folded from
+its leaves in one plan: a table is read once, an edge is one join, and one job returns all sums.
+What is shuffled is rows a key and category, not joined rows.
 """
 
 from __future__ import annotations
@@ -34,13 +37,12 @@ class Table:
 
 @dataclass
 class _Sums:
-    """Frames of grouped sums: ``wide`` (keys, c, s.., q..), by category and by pair."""
+    """Grouped sums in one frame: keys, categories (null where the mask ``m`` has no bit), ``c``,
+    s.. and q.. (those for the empty mask alone)."""
 
     cont: list[str]
     cat: list[str]
-    wide: DataFrame
-    by_cat: dict[str, DataFrame]
-    by_pair: dict[tuple[str, str], DataFrame]
+    rows: DataFrame
 
 
 def _s(x: str) -> str:
@@ -59,31 +61,34 @@ def _local(t: Table, keys: list[str]) -> _Sums:
     """One table's sums by ``keys``; rows with a null key would not join and go."""
     cont, cat = list(t.cont), list(t.cat)
     df = t.df.dropna(subset=keys) if keys else t.df
-    x = {c: F.col(c).cast("double") for c in cont}
-    n, sums = F.count(F.lit(1)).cast("double").alias("c"), [F.sum(x[a]).alias(_s(a)) for a in cont]
-    wide = df.groupBy(*keys).agg(n, *sums, *[F.sum(x[a] * x[b]).alias(_q(a, b)) for a, b in _pairs(cont)])
-    return _Sums(cont, cat, wide, {a: df.groupBy(*keys, a).agg(n, *sums) for a in cat}, {(a, b): df.groupBy(*keys, a, b).agg(n) for a, b in combinations(cat, 2)})
+    named = [F.col(k).alias(f"k__{k}") for k in keys] + [F.col(a).alias(f"g__{a}") for a in cat] + [F.col(a).cast("double").alias(f"x__{a}") for a in cont]
+    x = {a: F.col(f"x__{a}") for a in cont}
+    rows = df.select(*named).groupBy(*[f"k__{k}" for k in keys], *[f"g__{a}" for a in cat]).agg(F.count(F.lit(1)).cast("double").alias("c"), *[F.sum(x[a]).alias(_s(a)) for a in cont], *[F.sum(x[a] * x[b]).alias(_q(a, b)) for a, b in _pairs(cont)])
+    if not cat:
+        return _Sums(cont, cat, rows.withColumn("m", F.lit(0).cast("long")))
+    own = [F.col(f"k__{k}") for k in keys]
+    sets = [(), *[(a,) for a in cat], *combinations(cat, 2)]
+    full = (1 << len(cat)) - 1
+    mask = F.lit(full) - F.grouping_id().bitwiseAND(F.lit(full))
+    grouped = rows.groupingSets([[*own, *[F.col(f"g__{a}") for a in s]] for s in sets], *own, *[F.col(f"g__{a}") for a in cat])
+    return _Sums(cont, cat, grouped.agg(mask.cast("long").alias("m"), *[F.sum(n).alias(n) for n in ["c", *_columns(cont)]]))
+
+
+def _columns(cont: Sequence[str]) -> list[str]:
+    return [*map(_s, cont), *[_q(a, b) for a, b in _pairs(cont)]]
 
 
 def _multiply(left: _Sums, right: _Sums, key: str, other: str, keep: list[str]) -> _Sums:
     """Product of two tables' sums where left.key = right.other, summed by ``keep``."""
-    rename = lambda df: df.select(F.col(other).alias("__k"), *[F.col(c).alias(f"r__{c}") for c in df.columns if c != other])
-    on = lambda a, b: a.join(rename(b), F.col(key) == F.col("__k"))
-    c, r = F.col("c"), F.col("r__c")
-    both = [*[F.sum(F.col(_s(x)) * r).alias(_s(x)) for x in left.cont], *[F.sum(F.col(f"r__{_s(x)}") * c).alias(_s(x)) for x in right.cont]]
-    n = F.sum(c * r).alias("c")
-    squares = [F.sum(F.col(_q(a, b)) * r).alias(_q(a, b)) for a, b in _pairs(left.cont)]
-    squares += [F.sum(F.col(f"r__{_q(a, b)}") * c).alias(_q(a, b)) for a, b in _pairs(right.cont)]
-    squares += [F.sum(F.col(_s(a)) * F.col(f"r__{_s(b)}")).alias(_q(a, b)) for a in left.cont for b in right.cont]
-    wide = on(left.wide, right.wide).groupBy(*keep).agg(n, *both, *squares)
-    by_cat = {a: on(df, right.wide).groupBy(*keep, a).agg(n, *both) for a, df in left.by_cat.items()}
-    by_cat |= {a: on(left.wide, df).groupBy(*keep, F.col(f"r__{a}").alias(a)).agg(n, *both) for a, df in right.by_cat.items()}
-    by_pair = {p: on(df, right.wide).groupBy(*keep, *p).agg(n) for p, df in left.by_pair.items()}
-    by_pair |= {p: on(left.wide, df).groupBy(*keep, *[F.col(f"r__{a}").alias(a) for a in p]).agg(n) for p, df in right.by_pair.items()}
-    for a, x in left.by_cat.items():
-        for b, y in right.by_cat.items():
-            by_pair[a, b] = on(x, y).groupBy(*keep, a, F.col(f"r__{b}").alias(b)).agg(n)
-    return _Sums([*left.cont, *right.cont], [*left.cat, *right.cat], wide, by_cat, by_pair)
+    r = right.rows.select(F.col(f"k__{other}").alias("__k"), F.col("m").alias("__m"), F.col("c").alias("__c"), *[F.col(f"g__{a}") for a in right.cat], *[F.col(n).alias(f"r__{n}") for n in _columns(right.cont)])
+    fits = F.bit_count("m") + F.bit_count("__m") <= 2
+    both = left.rows.join(r, (F.col(f"k__{key}") == F.col("__k")) & fits)
+    c, d = F.col("c"), F.col("__c")
+    sums = [F.sum(c * d).alias("c"), *[F.sum(F.col(n) * d).alias(n) for n in _columns(left.cont)], *[F.sum(F.col(f"r__{n}") * c).alias(n) for n in _columns(right.cont)]]
+    sums += [F.sum(F.col(_s(a)) * F.col(f"r__{_s(b)}")).alias(_q(a, b)) for a in left.cont for b in right.cont]
+    mask = F.shiftleft("m", len(right.cat)).bitwiseOR(F.col("__m")).alias("m")
+    cat = [*left.cat, *right.cat]
+    return _Sums([*left.cont, *right.cont], cat, both.groupBy(*[f"k__{k}" for k in keep], *[f"g__{a}" for a in cat], mask).agg(*sums))
 
 
 def sums(t: Table, up: Sequence[str] = ()) -> _Sums:
@@ -97,13 +102,20 @@ def sums(t: Table, up: Sequence[str] = ()) -> _Sums:
 
 
 def cofactor(t: Table) -> Cofactor | None:
-    """SUM of cofactors over the join of the tree; None if it has no rows."""
+    """SUM of cofactors over the join of the tree; None if it has no rows. Features of all tables
+    must have different names."""
     s = sums(t)
-    row = s.wide.first()
-    if row is None or not row["c"]:
-        return None
-    k = len(s.cont)
-    quad = np.array([[row[_q(a, b)] for b in s.cont] for a in s.cont]).reshape(k, k)
-    by_cat = {a: {r[a]: np.array([r["c"], *[r[_s(x)] for x in s.cont]]) for r in df.collect()} for a, df in s.by_cat.items()}
-    by_pair = {p: {(r[p[0]], r[p[1]]): r["c"] for r in df.collect()} for p, df in s.by_pair.items()}
-    return Cofactor(s.cont, s.cat, round(row["c"]), [row[_s(x)] for x in s.cont], quad, by_cat, by_pair)
+    if len({*s.cont}) < len(s.cont) or len({*s.cat}) < len(s.cat):
+        raise ValueError("two tables name a feature alike")
+    out = Cofactor(list(s.cont), list(s.cat))
+    for r in s.rows.collect():
+        own = [a for i, a in enumerate(s.cat) if r["m"] >> (len(s.cat) - 1 - i) & 1]
+        lin = np.array([r[_s(x)] or 0.0 for x in s.cont])
+        if not own:
+            out.count, out.lin = round(r["c"] or 0), lin
+            out.quad = np.array([[r[_q(a, b)] or 0.0 for b in s.cont] for a in s.cont]).reshape(len(s.cont), len(s.cont))
+        elif len(own) == 1:
+            out.by_cat[own[0]][r[f"g__{own[0]}"]] = np.append(r["c"], lin)
+        else:
+            out.by_pair[own[0], own[1]][r[f"g__{own[0]}"], r[f"g__{own[1]}"]] = r["c"]
+    return out if out.count else None

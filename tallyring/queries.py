@@ -28,12 +28,17 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+#: Decimal sums often end in a 5 just where they are cut; a nudge far below the last digit makes
+#: every engine round such ties alike.
+NUDGE = 1 + 3e-11
+
+
 def _sig(c: Column, digits: int = 8) -> Column:
-    return F.format_string(f"%.{digits}e", c.cast("double") + F.lit(0.0))
+    return F.format_string(f"%.{digits}e", c.cast("double") * F.lit(NUDGE) + F.lit(0.0))
 
 
 def _sql_sig(c: str, digits: int = 8) -> str:
-    return f"printf('%.{digits}e', ({c})::DOUBLE + 0.0)"
+    return f"printf('%.{digits}e', ({c})::DOUBLE * {NUDGE!r}::DOUBLE + 0.0)"
 
 
 def terms(a: Cofactor) -> list[tuple]:
@@ -190,6 +195,26 @@ def _(spark, sf):
     return _tidy(spark, terms(a * b))
 
 
+@query("cofactor_two_roles", _terms_sql("lineitem", ("l_quantity", "l_linenumber"), ("l_linenumber", "l_linestatus")))
+def _(spark, sf):
+    return _tidy(spark, terms(aggregate.cofactor(_t(spark, sf, "lineitem"), Spec(("l_quantity", "l_linenumber"), ("l_linenumber", "l_linestatus"), EXACT))))
+
+
+@query("cofactor_frame_grouped", f"SELECT l_returnflag, 'count' AS term, NULL::BIGINT AS k, {_sql_sig('count(*)')} AS value FROM lineitem GROUP BY l_returnflag UNION ALL SELECT l_returnflag, 'quad', NULL, {_sql_sig('sum(CAST(l_quantity AS DECIMAL(12,2)) * CAST(l_quantity AS DECIMAL(12,2)))')} FROM lineitem GROUP BY l_returnflag UNION ALL SELECT l_returnflag, 'cat', l_linenumber, {_sql_sig('count(*)')} FROM lineitem GROUP BY l_returnflag, l_linenumber UNION ALL SELECT l_returnflag, 'contcat', l_linenumber, {_sql_sig('sum(CAST(l_quantity AS DECIMAL(12,2)))')} FROM lineitem GROUP BY l_returnflag, l_linenumber")
+def _(spark, sf):
+    rows = aggregate.cofactor_frame(_t(spark, sf, "lineitem"), Spec(("l_quantity",), ("l_linenumber",), EXACT), ["l_returnflag"])
+    flat = [rows.select("l_returnflag", F.lit(t).alias("term"), F.lit(None).cast("long").alias("k"), v.cast("double").alias("value")) for t, v in (("count", F.col("cofactor.count")), ("quad", F.col("cofactor.quad")[0]))]
+    flat += [rows.select("l_returnflag", F.lit(t).alias("term"), F.explode(v).alias("k", "value")) for t, v in (("cat", F.col("cofactor.cat1")[0]), ("contcat", F.col("cofactor.contcat")[0]))]
+    return flat[0].unionByName(flat[1]).unionByName(flat[2]).unionByName(flat[3]).withColumn("value", _sig(F.col("value")))
+
+
+@query("cofactor_mul_column", f"SELECT s_suppkey, 333::BIGINT AS n, {_sql_sig('333 * s_acctbal')} AS s, {_sql_sig('333 * s_acctbal * s_acctbal')} AS q, s_nationkey::BIGINT AS k, 333.0::DOUBLE AS c, {_sql_sig('333 * s_acctbal')} AS x FROM supplier")
+def _(spark, sf):
+    lifted = lift.cofactor_mul(lift.cofactor_mul(lift.cont_to_cofactor("s_acctbal"), lift.cat_to_cofactor("s_nationkey")), lift.const_to_cofactor(333))
+    rows = _t(spark, sf, "supplier").select("s_suppkey", lifted.alias("c"))
+    return rows.select("s_suppkey", F.col("c.count").alias("n"), _sig(F.col("c.lin")[0]).alias("s"), _sig(F.col("c.quad")[0]).alias("q"), F.map_keys(F.col("c.cat1")[0])[0].alias("k"), F.map_values(F.col("c.cat1")[0])[0].alias("c"), _sig(F.map_values(F.col("c.contcat")[0])[0]).alias("x"))
+
+
 @query("cofactor_text", _terms_sql("lineitem", ("l_quantity", "l_tax"), ("l_linenumber",)))
 def _(spark, sf):
     a = aggregate.cofactor(_t(spark, sf, "lineitem"), Spec(("l_quantity", "l_tax"), ("l_linenumber",), EXACT))
@@ -252,6 +277,21 @@ def _(spark, sf):
     return _tidy(spark, _nb_terms("all", a * b), "label string, term string, k string, value double")
 
 
+@query("nb_column", f"SELECT s_suppkey, 2::BIGINT AS n, {_sql_sig('2 * s_acctbal')} AS s, {_sql_sig('2 * s_acctbal * s_acctbal')} AS q, s_nationkey::BIGINT AS k, 2.0::DOUBLE AS c FROM supplier")
+def _(spark, sf):
+    a, b = lift.to_nb_aggregates(["s_acctbal"]), lift.to_nb_aggregates((), ["s_nationkey"])
+    twice = lift.nb_sub(lift.nb_add(lift.nb_add(a, a), a), a)
+    rows = _t(spark, sf, "supplier").select("s_suppkey", lift.nb_mul(twice, b).alias("c"))
+    return rows.select("s_suppkey", F.col("c.count").alias("n"), _sig(F.col("c.lin")[0]).alias("s"), _sig(F.col("c.square")[0]).alias("q"), F.map_keys(F.col("c.cat1")[0])[0].alias("k"), F.map_values(F.col("c.cat1")[0])[0].alias("c"))
+
+
+@query("nb_text", _nb_sql("lineitem", "l_returnflag", ("l_quantity", "l_discount"), ("l_linenumber",)))
+def _(spark, sf):
+    found = aggregate.nb_aggregates(_t(spark, sf, "lineitem"), Spec(("l_quantity", "l_discount"), ("l_linenumber",), EXACT), ["l_returnflag"])
+    again = {g[0]: NBAggregates.from_text(a.to_text(), a.cont, a.cat) for g, a in found.items()}
+    return _tidy(spark, [t for g, a in again.items() for t in _nb_terms(g, a)], "label string, term string, k string, value double")
+
+
 # dense matrices
 @query("sigma_matrix", "WITH x AS (SELECT 1 AS one, CAST(l_quantity AS DECIMAL(12,2)) AS q, (l_linestatus = 'F')::INT AS f, (l_linestatus = 'O')::INT AS o FROM lineitem) " + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, {_sql_sig(f'sum({a} * {b})')} AS value FROM x" for i, a in enumerate(("one", "q", "f", "o")) for j, b in enumerate(("one", "q", "f", "o"))))
 def _(spark, sf):
@@ -267,6 +307,13 @@ def _(spark, sf):
 
 
 # linear regression
+def _ols(y: str, a: str, b: str, source: str) -> str:
+    d = f"(var_pop({a}) * var_pop({b}) - covar_pop({a}, {b}) ** 2)"
+    wa = f"(covar_pop({y}, {a}) * var_pop({b}) - covar_pop({y}, {b}) * covar_pop({a}, {b})) / {d}"
+    wb = f"(covar_pop({y}, {b}) * var_pop({a}) - covar_pop({y}, {a}) * covar_pop({a}, {b})) / {d}"
+    return f"SELECT wa, wb, my - wa * ma - wb * mb AS b0 FROM (SELECT {wa} AS wa, {wb} AS wb, avg({y}) AS my, avg({a}) AS ma, avg({b}) AS mb FROM {source})"
+
+
 _XY = "l_extendedprice, l_quantity"
 
 
@@ -316,6 +363,17 @@ def _(spark, sf):
     return _fit_rows(spark, LinearRegression.fit(a, "o_totalprice"))
 
 
+_UNLIKE_LINES = "(SELECT l_tax AS a, 100 * o_totalprice AS b, 1000 * l_tax + 0.001 * o_totalprice + ((l_orderkey * 31 + l_linenumber * 7) % 101 + 50) / 25.0 AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+
+
+@query("linreg_unscaled", f"SELECT term, value FROM (SELECT {_sql_sig('wa', 6)} AS a, {_sql_sig('wb', 6)} AS b, {_sql_sig('b0', 6)} AS c FROM ({_ols('y', 'a', 'b', _UNLIKE_LINES)})) UNPIVOT (value FOR term IN (a AS 'a', b AS 'b', c AS 'intercept'))")
+def _(spark, sf):
+    noise = ((F.col("l_orderkey") * 31 + F.col("l_linenumber") * 7) % 101 + 50) / 25.0
+    both = _t(spark, sf, "lineitem").join(_t(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = both.select(F.col("l_tax").alias("a"), (100 * F.col("o_totalprice")).alias("b"), (1000 * F.col("l_tax") + 0.001 * F.col("o_totalprice") + noise).alias("y"))
+    return _fit_rows(spark, LinearRegression.fit(rows, "y", ["a", "b"]))
+
+
 _WITHIN = "WITH g AS (SELECT *, avg(l_extendedprice) OVER (PARTITION BY l_returnflag) AS ym, avg(l_quantity) OVER (PARTITION BY l_returnflag) AS xm FROM lineitem), b AS (SELECT sum((l_quantity - xm) * (l_extendedprice - ym)) / sum((l_quantity - xm) * (l_quantity - xm)) AS slope FROM g), p AS (SELECT l_returnflag, l_linenumber, ym + slope * (l_quantity - xm) AS p FROM g, b)"
 
 
@@ -339,8 +397,23 @@ def _confusion(df: DataFrame, predicted: Column) -> DataFrame:
     return df.withColumn("predicted", predicted).groupBy("band", "predicted").agg(F.count("*").alias("n"))
 
 
-_CLASSES = f"WITH t AS (SELECT * FROM {_BANDS}), k AS (SELECT band, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(x, y) AS vxy FROM t GROUP BY band), a AS (SELECT sum(n) AS n FROM k)"
-_LDA_SQL = f"{_CLASSES}, w AS (SELECT sum(k.n * vx) / max(a.n) AS xx, sum(k.n * vy) / max(a.n) AS yy, sum(k.n * vxy) / max(a.n) AS xy FROM k, a), m AS (SELECT band, (yy * mx - xy * my) / (xx * yy - xy * xy) AS wx, (xx * my - xy * mx) / (xx * yy - xy * xy) AS wy, mx, my, k.n / a.n AS prior FROM k, w, a), f AS (SELECT band, wx, wy, ln(prior) - (wx * mx + wy * my) / 2 AS b FROM m)"
+def _classes(bands: str) -> str:
+    return f"WITH t AS (SELECT * FROM {bands}), k AS (SELECT band, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(x, y) AS vxy FROM t GROUP BY band), a AS (SELECT sum(n) AS n FROM k)"
+
+
+def _lda_sql(bands: str, shrinkage: float = 0.0) -> str:
+    """Within-class moments, the 2 x 2 inverse, and weights and intercept of each class."""
+    keep, spread = 1 - shrinkage, shrinkage / 2
+    return f"{_classes(bands)}, u AS (SELECT sum(k.n * vx) / max(a.n) AS xx, sum(k.n * vy) / max(a.n) AS yy, sum(k.n * vxy) / max(a.n) AS xy FROM k, a), w AS (SELECT {keep} * xx + {spread} * (xx + yy) AS xx, {keep} * yy + {spread} * (xx + yy) AS yy, {keep} * xy AS xy FROM u), m AS (SELECT band, (yy * mx - xy * my) / (xx * yy - xy * xy) AS wx, (xx * my - xy * mx) / (xx * yy - xy * xy) AS wy, mx, my, k.n / a.n AS prior FROM k, w, a), f AS (SELECT band, wx, wy, ln(prior) - (wx * mx + wy * my) / 2 AS b FROM m)"
+
+
+def _predicted_sql(fitted: str, score: str) -> str:
+    """How often each class gets each prediction, ties to the first class."""
+    return f"{fitted}, s AS (SELECT t.band, f.band AS predicted, row_number() OVER (PARTITION BY id ORDER BY {score} DESC, f.band) AS r FROM (SELECT *, row_number() OVER () AS id FROM t) t, f) SELECT band, predicted, count(*) AS n FROM s WHERE r = 1 GROUP BY ALL"
+
+
+_CLASSES, _LDA_SQL, _LINEAR = _classes(_BANDS), _lda_sql(_BANDS), "wx * x + wy * y + b"
+_SQUARE = "qx * x * x + qy * y * y + qxy * x * y + wx * x + wy * y + b"
 
 
 @query("lda_train", f"{_LDA_SQL} SELECT band, 'x' AS term, {_sql_sig('wx', 6)} AS value FROM f UNION ALL SELECT band, 'y', {_sql_sig('wy', 6)} FROM f UNION ALL SELECT band, 'intercept', {_sql_sig('b', 6)} FROM f")
@@ -350,13 +423,17 @@ def _(spark, sf):
     return _tidy(spark, rows + [(y, "intercept", float(b)) for y, b in zip(m.labels, m.intercepts, strict=True)], "band int, term string, value double", 6)
 
 
-@query("lda_predict", f"{_LDA_SQL}, s AS (SELECT t.band, f.band AS predicted, row_number() OVER (PARTITION BY id ORDER BY wx * x + wy * y + b DESC, f.band) AS r FROM (SELECT *, row_number() OVER () AS id FROM t) t, f) SELECT band, predicted, count(*) AS n FROM s WHERE r = 1 GROUP BY ALL")
+@query("lda_predict", _predicted_sql(_LDA_SQL, _LINEAR))
 def _(spark, sf):
     df = _banded(spark, sf)
     return _confusion(df, LDA.fit(df, "band", ["x", "y"]).predict_column())
 
 
-_QDA_SQL = f"{_CLASSES}, f AS (SELECT band, -vy / (2 * d) AS qx, -vx / (2 * d) AS qy, vxy / d AS qxy, (vy * mx - vxy * my) / d AS wx, (vx * my - vxy * mx) / d AS wy, -(vy * mx * mx - 2 * vxy * mx * my + vx * my * my) / (2 * d) - ln(d) / 2 + ln(n / total) AS b FROM (SELECT k.*, vx * vy - vxy * vxy AS d, a.n AS total FROM k, a))"
+def _qda_sql(bands: str) -> str:
+    return f"{_classes(bands)}, f AS (SELECT band, -vy / (2 * d) AS qx, -vx / (2 * d) AS qy, vxy / d AS qxy, (vy * mx - vxy * my) / d AS wx, (vx * my - vxy * mx) / d AS wy, -(vy * mx * mx - 2 * vxy * mx * my + vx * my * my) / (2 * d) - ln(d) / 2 + ln(n / total) AS b FROM (SELECT k.*, vx * vy - vxy * vxy AS d, a.n AS total FROM k, a))"
+
+
+_QDA_SQL = _qda_sql(_BANDS)
 
 
 @query("qda_train", f"{_QDA_SQL} " + " UNION ALL ".join(f"SELECT band, '{t}' AS term, {_sql_sig(v, 5)} AS value FROM f" for t, v in (("xx", "qx"), ("yy", "qy"), ("x", "wx"), ("y", "wy"), ("intercept", "b"))))
@@ -368,12 +445,69 @@ def _(spark, sf):
     return _tidy(spark, rows, "band int, term string, value double", 5)
 
 
-@query("qda_predict", f"{_QDA_SQL}, s AS (SELECT t.band, f.band AS predicted, row_number() OVER (PARTITION BY id ORDER BY qx * x * x + qy * y * y + qxy * x * y + wx * x + wy * y + b DESC, f.band) AS r FROM (SELECT *, row_number() OVER () AS id FROM t) t, f) SELECT band, predicted, count(*) AS n FROM s WHERE r = 1 GROUP BY ALL")
+@query("qda_predict", _predicted_sql(_QDA_SQL, _SQUARE))
 def _(spark, sf):
     df = _banded(spark, sf)
     return _confusion(df, QDA.fit(df, "band", ["x", "y"]).predict_column())
 
 
+# the same on columns of very unlike units, with a category, and shrunk
+_UNLIKE = "(SELECT (l_orderkey + l_linenumber) % 2 AS band, 0.001 * ((l_orderkey + l_linenumber) % 2) + 0.002 * ((l_orderkey * 31 + l_linenumber * 17) % 1009) / 1009 AS x, 1000 * l_extendedprice AS y FROM lineitem)"
+_STATUS = _BANDS.replace("100 * l_discount AS y", "(l_linestatus = 'O')::INT AS y")
+_SHRUNK = f"(SELECT band, (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS x, (y - avg(y) OVER ()) / stddev_pop(y) OVER () AS y FROM {_BANDS})"
+
+
+def _unlike(spark, sf) -> DataFrame:
+    key, line = F.col("l_orderkey"), F.col("l_linenumber")
+    band = (key + line) % 2
+    return _t(spark, sf, "lineitem").select(band.cast("int").alias("band"), (0.001 * band + 0.002 * ((key * 31 + line * 17) % 1009) / 1009).alias("x"), (1000 * F.col("l_extendedprice")).alias("y"))
+
+
+def _class_weights(spark, m: LDA) -> DataFrame:
+    return _tidy(spark, [(int(y), n, float(w)) for y, ws in zip(m.labels, m.weights, strict=True) for n, w in zip(m.names, ws, strict=True)], "band int, term string, value double", 5)
+
+
+@query("lda_unscaled", f"{_lda_sql(_UNLIKE)} SELECT band::INT AS band, 'x' AS term, {_sql_sig('wx', 5)} AS value FROM f UNION ALL SELECT band::INT, 'y', {_sql_sig('wy', 5)} FROM f")
+def _(spark, sf):
+    return _class_weights(spark, LDA.fit(_unlike(spark, sf), "band", ["x", "y"]))
+
+
+@query("lda_unscaled_predict", _predicted_sql(_lda_sql(_UNLIKE), _LINEAR).replace("SELECT band, predicted", "SELECT band::INT AS band, predicted::INT AS predicted"))
+def _(spark, sf):
+    df = _unlike(spark, sf)
+    return _confusion(df, LDA.fit(df, "band", ["x", "y"]).predict_column())
+
+
+@query("qda_unscaled_predict", _predicted_sql(_qda_sql(_UNLIKE), _SQUARE).replace("SELECT band, predicted", "SELECT band::INT AS band, predicted::INT AS predicted"))
+def _(spark, sf):
+    df = _unlike(spark, sf)
+    return _confusion(df, QDA.fit(df, "band", ["x", "y"]).predict_column())
+
+
+@query("lda_categorical_predict", _predicted_sql(_lda_sql(_STATUS), _LINEAR))
+def _(spark, sf):
+    df = _banded(spark, sf)
+    return _confusion(df, LDA.fit(df, "band", ["x"], ["l_linestatus"]).predict_column())
+
+
+@query("qda_categorical_predict", _predicted_sql(_qda_sql(_STATUS), _SQUARE))
+def _(spark, sf):
+    df = _banded(spark, sf)
+    return _confusion(df, QDA.fit(df, "band", ["x"], ["l_linestatus"]).predict_column())
+
+
+@query("lda_shrunk_predict", _predicted_sql(_lda_sql(_SHRUNK, 0.2), _LINEAR))
+def _(spark, sf):
+    df = _banded(spark, sf)
+    return _confusion(df, LDA.fit(df, "band", ["x", "y"], shrinkage=0.2, norm=True).predict_column())
+
+
+@query("qda_norm_predict", _predicted_sql(_qda_sql(_SHRUNK), _SQUARE))
+def _(spark, sf):
+    df = _banded(spark, sf)
+    return _confusion(df, QDA.fit(df, "band", ["x", "y"], norm=True).predict_column())
+
+
 @query("nb_train", f"{_CLASSES}, c AS (SELECT band, l_linestatus, count(*) AS c FROM t GROUP BY ALL) SELECT band, 'prior' AS term, NULL::VARCHAR AS k, {_sql_sig('k.n / a.n', 6)} AS value FROM k, a UNION ALL SELECT band, 'mean x', NULL, {_sql_sig('mx', 6)} FROM k UNION ALL SELECT band, 'var x', NULL, {_sql_sig('vx', 6)} FROM k UNION ALL SELECT band, 'mean y', NULL, {_sql_sig('my', 6)} FROM k UNION ALL SELECT band, 'var y', NULL, {_sql_sig('vy', 6)} FROM k UNION ALL SELECT c.band, 'prob', l_linestatus, {_sql_sig('c.c / k.n', 6)} FROM c JOIN k ON c.band = k.band")
 def _(spark, sf):
     m = NaiveBayes.fit(_banded(spark, sf), "band", ["x", "y"], ["l_linestatus"])
@@ -413,33 +547,55 @@ def _(spark, sf):
     return imputation.partitioned(_gaps(spark, sf), ["p", "t", "f"]).groupBy("null_mask", "null_cnt", "null_col_id").agg(F.count("*").alias("n")).withColumn("null_mask", F.col("null_mask").cast("int"))
 
 
-def _ols(y: str, a: str, b: str, source: str) -> str:
-    d = f"(var_pop({a}) * var_pop({b}) - covar_pop({a}, {b}) ** 2)"
-    wa = f"(covar_pop({y}, {a}) * var_pop({b}) - covar_pop({y}, {b}) * covar_pop({a}, {b})) / {d}"
-    wb = f"(covar_pop({y}, {b}) * var_pop({a}) - covar_pop({y}, {a}) * covar_pop({a}, {b})) / {d}"
-    return f"SELECT wa, wb, my - wa * ma - wb * mb AS b0 FROM (SELECT {wa} AS wa, {wb} AS wb, avg({y}) AS my, avg({a}) AS ma, avg({b}) AS mb FROM {source})"
-
-
-_IMPUTED = f"WITH g AS (SELECT *, p IS NULL AS np, t IS NULL AS nt FROM {_GAPS}), v AS (SELECT avg(p) AS ap, avg(t) AS t_mean FROM g), s0 AS (SELECT np, nt, x, coalesce(p, ap) AS p, coalesce(t, t_mean) AS t FROM g, v), m1 AS ({_ols('p', 'x', 't', 's0 WHERE NOT np')}), s1 AS (SELECT np, nt, x, t, CASE WHEN np THEN b0 + wa * x + wb * t ELSE p END AS p FROM s0, m1), m2 AS ({_ols('t', 'x', 'p', 's1 WHERE NOT nt')}), s2 AS (SELECT np, nt, p, CASE WHEN nt THEN b0 + wa * x + wb * p ELSE t END AS t FROM s1, m2) SELECT np::INT + 2 * nt::INT AS mask, count(*) AS n, {_sql_sig('avg(p)', 5)} AS p, {_sql_sig('max(p)', 5)} AS p_high, {_sql_sig('avg(t)', 5)} AS t, {_sql_sig('min(t)', 5)} AS t_low FROM s2 GROUP BY ALL"
+def _imputed_sql(gaps: str) -> str:
+    """One round over p and t, in closed form."""
+    return f"WITH g AS (SELECT *, p IS NULL AS np, t IS NULL AS nt FROM {gaps}), v AS (SELECT avg(p) AS ap, avg(t) AS t_mean FROM g), s0 AS (SELECT np, nt, x, coalesce(p, ap) AS p, coalesce(t, t_mean) AS t FROM g, v), m1 AS ({_ols('p', 'x', 't', 's0 WHERE NOT np')}), s1 AS (SELECT np, nt, x, t, CASE WHEN np THEN b0 + wa * x + wb * t ELSE p END AS p FROM s0, m1), m2 AS ({_ols('t', 'x', 'p', 's1 WHERE NOT nt')}), s2 AS (SELECT np, nt, p, CASE WHEN nt THEN b0 + wa * x + wb * p ELSE t END AS t FROM s1, m2) SELECT np::INT + 2 * nt::INT AS mask, count(*) AS n, {_sql_sig('avg(p)', 5)} AS p, {_sql_sig('max(p)', 5)} AS p_high, {_sql_sig('avg(t)', 5)} AS t, {_sql_sig('min(t)', 5)} AS t_low FROM s2 GROUP BY ALL"
 
 
-def _impute(strategy: str):
+def _impute(strategy: str, unlike: bool = False):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        found = imputation.impute(_gaps(spark, sf), ["x", "p", "t"], (), ["p", "t"], (), iterations=1, strategy=strategy).frame
+        gaps = _gaps(spark, sf)
+        if unlike:
+            gaps = gaps.withColumns({"p": 1000 * F.col("p"), "t": F.col("t") / 100_000})
+        found = imputation.impute(gaps, ["x", "p", "t"], (), ["p", "t"], (), iterations=1, strategy=strategy).frame
         return found.groupBy(F.col(imputation.MASK).cast("int").alias("mask")).agg(F.count("*").alias("n"), _sig(F.avg("p"), 5).alias("p"), _sig(F.max("p"), 5).alias("p_high"), _sig(F.avg("t"), 5).alias("t"), _sig(F.min("t"), 5).alias("t_low"))
 
     return run
 
 
 for _strategy in imputation.STRATEGIES:
-    query(f"impute_{_strategy}", _IMPUTED)(_impute(_strategy))
+    query(f"impute_{_strategy}", _imputed_sql(_GAPS))(_impute(_strategy))
+query("impute_unscaled", _imputed_sql(_GAPS.replace("100 * l_tax", "0.001 * l_tax").replace("ELSE l_extendedprice", "ELSE 1000 * l_extendedprice")))(_impute("low", True))
+
+
+def _mixed_sql(rounds: int) -> str:
+    """Rounds of a discriminant for f and a regression with a base a category for p."""
+    out = [f"g AS (SELECT x, p, f, p IS NULL AS np, f IS NULL AS nf, row_number() OVER () AS id FROM {_GAPS})", "s0 AS (SELECT id, np, nf, x, coalesce(p, (SELECT avg(p) FROM g)) AS p, coalesce(f, (SELECT f FROM g WHERE f IS NOT NULL GROUP BY f ORDER BY count(*) DESC, f LIMIT 1)) AS f FROM g)"]
+    for r in range(1, rounds + 1):
+        last = f"s{r - 1}"
+        out += [
+            f"k{r} AS (SELECT f, count(*) AS n, avg(x) AS mx, avg(p) AS mp, var_pop(x) AS vx, var_pop(p) AS vp, covar_pop(x, p) AS vxp FROM {last} WHERE NOT nf GROUP BY f)",
+            f"w{r} AS (SELECT sum(n) AS n, sum(n * vx) / sum(n) AS xx, sum(n * vp) / sum(n) AS pp, sum(n * vxp) / sum(n) AS xp FROM k{r})",
+            f"m{r} AS (SELECT f, (pp * mx - xp * mp) / d AS wx, (xx * mp - xp * mx) / d AS wp, ln(k.n / w.n) - ((pp * mx - xp * mp) * mx + (xx * mp - xp * mx) * mp) / d / 2 AS b FROM k{r} k, (SELECT *, xx * pp - xp * xp AS d FROM w{r}) w)",
+            f"h{r} AS (SELECT t.id, m.f, row_number() OVER (PARTITION BY t.id ORDER BY wx * x + wp * p + b DESC, m.f) AS o FROM {last} t, m{r} m WHERE t.nf)",
+            f"f{r} AS (SELECT t.id, np, nf, x, p, coalesce(h.f, t.f) AS f FROM {last} t LEFT JOIN (SELECT * FROM h{r} WHERE o = 1) h ON t.id = h.id)",
+            f"b{r} AS (SELECT f, count(*) AS n, avg(x) AS mx, avg(p) AS mp, var_pop(x) AS vx, covar_pop(x, p) AS vxp FROM f{r} WHERE NOT np GROUP BY f)",
+            f"s{r} AS (SELECT id, np, nf, x, t.f, CASE WHEN np THEN mp + slope * (x - mx) ELSE p END AS p FROM f{r} t JOIN b{r} b ON t.f = b.f, (SELECT sum(n * vxp) / sum(n * vx) AS slope FROM b{r}))",
+        ]
+    return f"WITH {', '.join(out)} SELECT nf::INT + 2 * np::INT AS mask, f, count(*) AS n, {_sql_sig('avg(p)', 5)} AS p FROM s{rounds} GROUP BY ALL"
+
+
+@query("impute_mixed", _mixed_sql(2))
+def _(spark, sf):
+    """A nullable category and a nullable number, two rounds."""
+    found = imputation.impute(_gaps(spark, sf).drop("t"), ["x", "p"], ["f"], ["p"], ["f"], iterations=2, strategy="low").frame
+    return found.groupBy(F.col(imputation.MASK).cast("int").alias("mask"), "f").agg(F.count("*").alias("n"), _sig(F.avg("p"), 5).alias("p"))
 
 
-@query("impute_mixed")
+@query("impute_layout", f"SELECT (p IS NOT NULL) AS p_ISNOTNULL, (t IS NOT NULL) AS t_ISNOTNULL, ((p IS NOT NULL)::INT + (t IS NOT NULL)::INT) AS not_null_cnt, CASE WHEN p IS NULL AND t IS NULL THEN 0 WHEN t IS NULL THEN 1 WHEN p IS NULL THEN 2 END AS not_null_col_id, count(*) AS n, count(*) AS row_ids FROM {_GAPS} GROUP BY ALL")
 def _(spark, sf):
-    """Three nullable columns, one of them categorical, two rounds; held against the others' results in tests."""
-    found = imputation.impute(_gaps(spark, sf), ["x", "p", "t"], ["f"], ["p", "t"], ["f"], iterations=2, strategy="low").frame
-    return found.groupBy(imputation.MASK, "f").agg(F.count("*").alias("n"), F.avg("p").alias("p"), F.avg("t").alias("t"))
+    rows = imputation.layout(_gaps(spark, sf), ["p", "t"], "high")
+    return rows.groupBy("p_ISNOTNULL", "t_ISNOTNULL", "not_null_cnt", "not_null_col_id").agg(F.count("*").alias("n"), F.count_distinct("row_id").alias("row_ids"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -11,8 +11,15 @@ from pyspark.sql import SparkSession
 _DONE: set[str] = set()
 
 
+#: Bytes of a batch of rows between the JVM and Python, where the session leaves Spark's default.
+BATCH, _DEFAULT = 8 << 20, "67108864b"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package's sources to all executors, once an application."""
+    """Send this package's sources to all executors, once an application, and bound the batches
+    that pass to Python by bytes."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", _DEFAULT) == _DEFAULT:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
     context = spark.sparkContext
     if context.applicationId in _DONE:
         return

@@ -14,18 +14,58 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, a local one, once an application."""
+    """The folder in spark.checkpoint.dir. Where it is unset, in local mode, a local one, once an
+    application; on a cluster, whose executors see no such folder, that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (named or _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tallyring-"))).rstrip("/")
 
 
+def step(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/tallyring/step-{uuid.uuid4().hex}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """The rows of ``df``, computed once and written; lost executors lose nothing of it."""
-    path = f"{shared_folder(df.sparkSession)}/tallyring/step-{uuid.uuid4().hex}"
+    path = step(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Parts:
+    """Rows written once in parts by a column of small whole numbers; parts can be rewritten alone.
+    Superseded files are deleted."""
+
+    def __init__(self, df: DataFrame, part: str) -> None:
+        self.spark, self.schema, self.part = df.sparkSession, df.schema, part
+        self.paths: dict[int, str] = {}
+        self._write(df)
+
+    def _write(self, df: DataFrame) -> None:
+        path = step(self.spark)
+        # every row keeps the number, as the column that names folders is not in the files
+        df.withColumn("__part", F.col(self.part)).write.partitionBy("__part").parquet(path)
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        for status in folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(folder):
+            name = status.getPath().getName()
+            if name.startswith("__part="):
+                self.paths[int(name[7:])] = f"{path}/{name}"
+
+    def frame(self, parts: Sequence[int] | None = None) -> DataFrame:
+        paths = [p for k, p in sorted(self.paths.items()) if parts is None or k in parts]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def rewrite(self, parts: Sequence[int], df: DataFrame) -> None:
+        """Put rows made from these parts, which stay in their parts, in their place."""
+        old = [self.paths.pop(k) for k in parts if k in self.paths]
+        self._write(df)
+        for path in old:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def read(spark: SparkSession, source: str) -> DataFrame:
     """A Parquet path, a catalogue table, or the text of a query."""
     text = source.strip()

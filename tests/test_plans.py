@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tallyring.functions import lift
 from tallyring.operators import impute as imputation
 from tallyring.operators.models import LDA, QDA, LinearRegression, NaiveBayes
-from tallyring.operators.ring import Cofactor
+from tallyring.operators.ring import Cofactor, NBAggregates
 from tallyring.plans import aggregate, factorized
 from tallyring.plans.aggregate import Spec
 from tests.test_ring import same, total
@@ -73,6 +73,64 @@ def test_columns(spark):
     assert both[1]["c"]["count"] == 1 and both[1]["c"]["cat1"] == [{12: 1.0}]
 
 
+def test_column_products_equal_driver_products(spark):
+    """Products, sums and differences of columns against the driver's ring, features in any roles."""
+    table = spark.createDataFrame([(2, 35, 1, 4), (4, 12, 2, 9), (3, 1, 43, 0), (4, 3, 6, 9)], "A int, B int, C int, D int")
+    left, right = (["A", "B"], ["C", "D"]), (["C", "D"], ["A", "B"])
+    rows = table.select("*", lift.cofactor_mul(lift.to_cofactor(*left), lift.to_cofactor(*right)).alias("p"), lift.nb_mul(lift.to_nb_aggregates(*left), lift.to_nb_aggregates(*right)).alias("nb"), lift.cofactor_mul(lift.const_to_cofactor(3), lift.cont_to_cofactor("A")).alias("c")).collect()
+    for r in rows:
+        a, b = (Cofactor.lift({c: float(r[c]) for c in cont}, {c: r[c] for c in cat}) for cont, cat in (left, right))
+        want = a * b
+        assert (r["p"]["count"], r["p"]["lin"] + r["p"]["quad"]) == (want.count, want.scalars())
+        got = [*r["p"]["cat1"], *r["p"]["contcat"], *[{tuple(k): v for k, v in m.items()} for m in r["p"]["catcat"]]]
+        assert got == want.relations()
+        x, y = (NBAggregates.lift({c: float(r[c]) for c in cont}, {c: r[c] for c in cat}) for cont, cat in (left, right))
+        assert r["nb"]["lin"] == (x * y).lin.tolist() and r["nb"]["square"] == (x * y).square.tolist() and r["nb"]["cat1"] == (x * y).relations()
+        assert r["c"]["count"] == 3 and r["c"]["quad"] == [3.0 * r["A"] ** 2]
+    frame = aggregate.cofactor_frame(table, Spec(("A",), ("B", "D"))).first()["cofactor"]
+    whole = aggregate.cofactor(table, Spec(("A",), ("B", "D")))
+    assert [*frame["cat1"], *frame["contcat"]] == whole.relations()[:4] and {tuple(k): v for k, v in frame["catcat"][0].items()} == whole.by_pair["B", "D"]
+
+
+def test_reference_shapes_of_regression(spark):
+    """The shapes of four columns: saturated or rank deficient, so fitted values count."""
+    table = spark.createDataFrame([(2, 35, 1, 4), (4, 12, 2, 9), (3, 1, 43, 0), (4, 3, 6, 9)], "A int, B int, C int, D int")
+    y = {c: np.array([r[c] for r in table.collect()], dtype=float) for c in "ABCD"}
+    for label, cont, cat, ridge in (("A", "ABCD", "", 0.0), ("A", "ABCD", "", 0.01), ("B", "ABCD", "", 0.0), ("A", "AB", "CD", 0.0), ("A", "A", "BCD", 0.0)):
+        m = LinearRegression.fit(table, label, list(cont), list(cat), ridge=ridge)
+        got = np.array([r[0] for r in table.select(m.predict_column()).collect()])
+        assert np.allclose(got, y[label], atol=0.5 if ridge else 1e-6)
+    single = [Cofactor.lift({"A": float(r["A"])}) * Cofactor.lift({}, {"B": r["B"]}) * Cofactor.lift({}, {"C": r["C"]}) * Cofactor.lift({}, {"D": r["D"]}) for r in table.collect()]
+    whole = aggregate.cofactor(table, Spec(("A",), ("B", "C", "D")))
+    assert same(total(single), whole)
+    with pytest.raises(ValueError):
+        LinearRegression.fit(table, "B", [], ["B", "C", "D"])
+
+
+def test_units_do_not_matter(spark):
+    """Scaling a feature by 1e-6 or 1e6 scales its weight and nothing else."""
+    r = np.random.default_rng(8)
+    x, z, k = r.normal(3, 1, 400), r.normal(-2, 1, 400), r.integers(0, 2, 400)
+    for a, b in ((1e-6, 1e6), (1e5, 1e-5)):
+        data = [(float(u * a), float(v * b), float(1e3 * u + 5 * v), int(c), float(u * a + 4 * a * c)) for u, v, c in zip(x, z, k, strict=True)]
+        df = spark.createDataFrame(data, "x double, z double, y double, c int, w double")
+        for norm in (False, True):
+            m = LinearRegression.fit(df, "y", ["x", "z"], variance=True, norm=norm)
+            assert m.weights[0] * a == pytest.approx(1e3, rel=1e-6) and m.weights[1] * b == pytest.approx(5, rel=1e-6) and m.sigma < 1e-3
+            for kind in (LDA, QDA):
+                got = [p[0] for p in df.select(kind.fit(df, "c", ["w", "z"], norm=norm).predict_column()).collect()]
+                assert (np.array(got) == k).mean() > 0.95
+
+
+def test_plans_of_sums(spark, df):
+    """One read and one shuffle a table; an edge of a tree is one join."""
+    plan = aggregate.grouped_sums(df, Spec(("x", "y"), ("c", "d")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Expand") == 1 and plan.count("Join") == 0
+    child = factorized.Table(df.select("d", F.col("x").alias("u"), F.col("c").alias("k")), ("u",), ("k",))
+    plan = factorized.sums(factorized.Table(df, ("y",), ("c",)).join("d", child, "d")).rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+
+
 def test_regression(df, rows):
     x = np.array([[r[0], r[2], *(r[3] == k for k in range(3))] for r in rows], dtype=float)
     y = np.array([r[1] for r in rows])
@@ -132,6 +190,15 @@ def test_sql_functions(spark, df):
         params = "array(" + ",".join(f"{p!r}D" for p in model.to_params()) + ")"
         got = df.select(F.expr(f"{name}({params}, array({','.join(cont)}), array({','.join(cat)}){more})"), model.predict_column()).collect()
         assert np.allclose([float(r[0]) for r in got], [float(r[1]) for r in got])
+    # flags may differ by row, noise needs a deviation, no rows are fine
+    plain, noisy = (sql.train(spark, "linregr", "SELECT * FROM own", "y", ["x", "z"], variance=v) for v in (False, True)) if df.createOrReplaceTempView("own") is None else ()
+    call = "linregr_predict({}, array(x, z), array(), d = 0, false)"
+    for params, differs in ((plain, False), (noisy, True)):
+        rows = df.select("d", F.expr(call.format("array(" + ",".join(f"{p!r}D" for p in params) + ")")).alias("p"), LinearRegression.from_params(params, ["x", "z"]).predict_column().alias("q")).collect()
+        assert all(abs(r["p"] - r["q"]) < 1e-9 for r in rows if r["d"]) and any(abs(r["p"] - r["q"]) > 1e-9 for r in rows if not r["d"]) == differs
+    assert df.limit(0).select(F.expr(call.format("array(" + ",".join(f"{p!r}D" for p in noisy) + ")"))).count() == 0
+    fits = {k: sql.train(spark, k, "own", "c", ["x", "y"], ["d"]) for k in ("lda", "qda", "nb")}
+    assert fits["lda"] == LDA.fit(df, "c", ["x", "y"], ["d"]).to_params() and len(fits["nb"]) > len(fits["lda"]) > 5
 
 
 @pytest.mark.parametrize("nulls", [1, 2, 3])

@@ -90,5 +90,19 @@ def test_nb_product_keeps_squares():
 def test_shapes_must_agree():
     with pytest.raises(ValueError):
         Cofactor.lift({"x": 1.0}) + Cofactor.lift({"y": 1.0})
-    with pytest.raises(ValueError):
-        Cofactor.lift({"x": 1.0}) * Cofactor.lift({"x": 1.0})
+
+
+def test_features_in_two_roles():
+    """Products that name a column twice, and a column that is continuous and categorical."""
+    rows = [Cofactor.lift({"A": a, "B": b}, {"A": a, "B": b}) for a, b in AB]
+    assert rows[0].relations() == [{2: 1}, {35: 1}, {2: 2}, {35: 2}, {2: 35}, {35: 35}, {(2, 35): 1}]
+    assert total(rows).by_cat["A"][4].tolist() == [2, 8, 15]
+    cat, cont = (lambda n, v: Cofactor.lift({}, {n: v})), (lambda n, v: Cofactor.lift({n: v}))
+    twice = total([cat("A", a) * cat("B", b) * cat("B", b) for a, b in AB])
+    assert twice.cat == ["A", "B", "B_2"] and twice.by_pair["B", "B_2"] == {(b, b): 1.0 for _, b in AB}
+    mixed = total([cont("A", a) * cat("B", b) * cont("B", b) * cat("A", a) for a, b in AB])
+    assert same(mixed, total(rows))
+    square = cont("x", 3.0) * cont("x", 3.0) * cont("x", 3.0)
+    assert square.cont == ["x", "x_2", "x_3"] and square.quad.tolist() == [[9.0] * 3] * 3
+    nb = NBAggregates.lift({"x": 3.0}, {"c": 1})
+    assert (nb * nb).cont == ["x", "x_2"] and (nb * nb).by_cat == {"c": {1: 1.0}, "c_2": {1: 1.0}}
