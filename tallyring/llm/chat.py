@@ -151,7 +151,6 @@ def _windows(vocabulary: str, budget: int, history: int):
         if current is not None:
             rows.append(current.close())
             yield batch_of(rows)
-        coder.forget()
 
     return run
 

@@ -1,7 +1,8 @@
 """Shared working folder of a job: intermediate tables that cut lineage.
 
-Tables go below ``spark.checkpoint.dir``, which driver and executors share. Where the
-session does not name one (tests, local mode) a local folder is made and set once.
+Tables go below ``spark.checkpoint.dir``, which driver and executors share. Where a
+session in local mode does not name one, a local folder is made once; on a cluster that is an
+error.
 Every table is written with Spark's own writer and read back, so a lost executor costs
 only the tasks that were running on it.
 """
@@ -19,6 +20,8 @@ _LOCAL: dict[str, str] = {}
 def root(spark: SparkSession) -> str:
     """The shared folder as a URI without a trailing slash."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not named:
         app = spark.sparkContext.applicationId
         named = _LOCAL.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tallyring-"))

@@ -141,7 +141,6 @@ def _cut(id_type: T.DataType, vocabulary: str):
                     seen.clear()
             kind = batch.schema.field("doc_id").type
             yield pa.RecordBatch.from_arrays([pa.array(v, type=kinds.get(c, kind)) for c, v in kept.items()], names=list(kept))
-        coder.forget()
 
     return run, schema
 

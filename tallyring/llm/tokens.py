@@ -2,16 +2,16 @@
 
 The tokenizer's split pattern never joins a space to what stands before it unless that is
 white space too, and joins no other white space to a word. So a text falls apart before
-every space that follows a non-space, and around every line feed that stands alone between
-non-spaces; the parts encode independently. Many texts are cut at once in numpy, equal parts
-(by a 64-bit hash of their bytes and their length) are encoded once, and the ids are put
-together again by index. What parts gave is kept in sorted arrays of at most ``KEEP`` bytes;
-parts over ``LONG`` bytes are not kept.
+every space that follows a non-space, around every line feed that stands alone between
+non-spaces, and between Latin letters and ASCII marks, which are never in one piece of the
+pattern; the parts encode independently. Many texts are cut at once in numpy, equal parts (by a
+64-bit hash of their bytes and their length) are encoded once, and the ids are put together
+again by index. What parts gave is kept in sorted arrays of at most ``KEEP`` bytes a worker
+process; parts over ``LONG`` bytes are not kept.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +20,8 @@ from tallyring.llm.text import GOLDEN, U64, _powers, mix
 
 #: Bytes of kept ids and keys; bytes of a part that is kept; bytes of texts cut at once.
 KEEP, LONG, SLICE = 24 << 20, 256, 512 << 10
-#: A run of Latin letters and a run of ASCII marks: two pieces of the pattern, whatever follows.
-_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]*)([.,;:!?%&*#$|()\[\]\"-]*)")
+_MARKS = np.isin(np.arange(256), list(b'.,;:!?%&*#$|()[]{}<>=+-_/\\@^~`"'))
+_ASCII = np.isin(np.arange(256) | 0x20, np.arange(97, 123)) & (np.arange(256) < 0x80)
 _RAW = mix(np.arange(1, 257, dtype=U64) * U64(GOLDEN))
 
 
@@ -49,21 +49,36 @@ def _white(data: np.ndarray) -> np.ndarray:
     return white
 
 
-def parts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the parts of texts, one more than parts; and the number of each text's first part,
-    one more than texts."""
+def _letters(data: np.ndarray) -> np.ndarray:
+    """Bytes of letters up to U+00FF."""
+    letter = _ASCII[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    letter[lead] = letter[lead + 1] = True
+    return letter
+
+
+def parts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the parts of texts, one more than parts; the number of each text's first part,
+    one more than texts; and which parts are one piece of the pattern: letters, after a space or
+    not, or marks."""
     n = len(data)
-    white = _white(data)
+    white, letter, mark = _white(data), _letters(data), _MARKS[data]
     opens = np.zeros(n + 1, dtype=bool)
     if n > 1:
         opens[1:n] = (data[1:] == 0x20) & ~white[:-1]
+        opens[1:n] |= (letter[1:] & mark[:-1]) | (mark[1:] & letter[:-1])
         line = np.zeros(n, dtype=bool)
         line[1:-1] = (data[1:-1] == 0x0A) & ~white[:-2] & ~white[2:]
         opens[:n] |= line
         opens[1:] |= line
     opens[at] = True
     start = np.flatnonzero(opens)
-    return start, np.searchsorted(start, at)
+    length = np.diff(start)
+    of = lambda kind: np.diff(np.concatenate([[0], np.cumsum(kind)])[start])
+    letters = of(letter)
+    led = data[start[:-1]] == 0x20 if n else np.zeros(0, dtype=bool)
+    return start, np.searchsorted(start, at), (letters > 0) & (letters + led == length) | (of(mark) == length)
 
 
 class Encoder:
@@ -91,17 +106,8 @@ class Encoder:
         """Bytes that are kept."""
         return self.keys.nbytes + self.at.nbytes + self.many.nbytes + self.ids.nbytes
 
-    def _piece(self, piece: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-
-    def part(self, text: str) -> list[int]:
-        m = _PLAIN.fullmatch(text)
-        if m is None or m[1] == " ":
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        return [i for piece in m.groups() if piece for i in self._piece(piece)]
-
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        start, first = parts(data, at)
+        start, first, plain = parts(data, at)
         if len(start) < 2:
             return np.zeros(0, dtype=self.dtype), np.zeros(len(at), dtype=np.int64)
         length = np.diff(start)
@@ -115,8 +121,7 @@ class Encoder:
         begin, many = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
         begin[known], many[known] = self.at[place[known]], self.many[place[known]]
         new = np.flatnonzero(~known)
-        raw = data.tobytes()
-        found = [self.part(raw[a : a + n].decode("utf-8", "surrogatepass")) for a, n in zip(start[one[new]].tolist(), length[one[new]].tolist(), strict=True)]
+        found = self._new(data, start, one[new], plain)
         many[new] = list(map(len, found))
         ends = np.cumsum(many[new])
         begin[new] = len(self.ids) + ends - many[new]
@@ -128,6 +133,21 @@ class Encoder:
         self._remember(keys, begin, many, ids, new, length[one])
         return out, np.concatenate([[0], to])[first]
 
+    def _new(self, data: np.ndarray, start: np.ndarray, which: np.ndarray, plain: np.ndarray) -> list[list[int]]:
+        """Ids of some parts: pieces go to the model itself, all else to the whole tokenizer."""
+        raw, begin, end = data.tobytes(), start[which].tolist(), start[which + 1].tolist()
+        words = [raw[a:b] for a, b in zip(begin, end, strict=True)]
+        model, out, at = self.model.tokenize, [], 0
+        stand_ins = b"".join(words).decode("latin-1").translate(self.letters)
+        for word, is_plain in zip(words, plain[which].tolist(), strict=True):
+            to = at + len(word)
+            if is_plain:
+                out.append([t.id for t in model(stand_ins[at:to])])
+            else:
+                out.append(self.tokenizer.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids)
+            at = to
+        return out
+
     def _remember(self, keys: np.ndarray, begin: np.ndarray, many: np.ndarray, ids: np.ndarray, new: np.ndarray, length: np.ndarray) -> None:
         if self.held() + (len(ids) - len(self.ids)) * ids.itemsize + 16 * len(new) > self.keep:
             self.forget()  # what comes next fills it again
@@ -156,7 +176,7 @@ _KEPT: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder a worker process; it is emptied when a task ends."""
+    """One encoder a worker process; what it keeps is of bounded size."""
     if path not in _KEPT:
         _KEPT[path] = Encoder(path)
     return _KEPT[path]
