@@ -1,6 +1,6 @@
 """Benchmark decontamination by an FM-index over each shard of training text.
 
-A shard is some 8 MB of documents. Its words become symbols of the benchmark's
+A shard is some 2 MB of documents. Its words become symbols of the benchmark's
 vocabulary; words outside it can be in no window, so only runs of vocabulary words as long
 as the shortest window stay, with a separator between (whole documents are read for that;
 nothing that could match is left out). Over these symbols the shard builds a suffix array,
@@ -14,28 +14,31 @@ consecutive words of an item; an item of fewer words, but not none, is one windo
 are compared by 64-bit hashes.
 
 The benchmark is a stated query set. It is split into blocks of at most ``BLOCK`` characters
-(a single longer item is a block), each block is broadcast and passes over the documents in
-turn; documents never move between tasks.
+(a single longer item is a block); each block is broadcast and passes over the documents in
+turn, one at a time, however many there are. Documents never move between tasks.
 
 Null or empty texts have no words, no spans and no items. Items without words match
 nothing; items with a null id count as the empty id, and items that share an id as one.
-Every input row gives one output row.
+Every input row gives one output row, repeated rows too; texts of any length are read whole. A
+name that is taken already raises in ``find``; ``report`` and ``clean`` take any columns.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyring.llm.text import ALNUM, Words, buffers, slices
+from tallyring.llm import scratch
+from tallyring.llm.text import ALNUM, Words, buffers
 
 WINDOW = 13
-BLOCK = 16 << 20
-SHARD = 8 << 20
+BLOCK = 2 << 20
+SHARD = 2 << 20
 SAMPLE = 8
 
 
@@ -123,28 +126,28 @@ class FMIndex:
 
 
 class Block:
-    """Windows of a part of the benchmark as symbols: ``patterns`` by length, with the items of
-    each pattern."""
+    """Windows of a part of the benchmark as symbols: ``patterns`` by length, and the items of each
+    pattern: ``items[size][begin[size][p] : begin[size][p + 1]]``."""
 
     def __init__(self, ids: list[str | None], texts: list[str | None]) -> None:
-        data, at = buffers(pa.array(texts, pa.string()))
-        words = Words(data, at, ALNUM)
-        hashes = words.hash
-        self.vocabulary, symbol = np.unique(hashes, return_inverse=True)
+        words = Words(*buffers(pa.array(texts, pa.string())), ALNUM)
+        self.vocabulary, symbol = np.unique(words.hash, return_inverse=True)
+        symbol = symbol.astype(np.int32) + 2
         self.ids = sorted({i or "" for i in ids})
         place = {i: k for k, i in enumerate(self.ids)}
-        found: dict[int, dict[bytes, set[int]]] = {}
-        symbol = symbol.astype(np.int64) + 2
-        for k, i in enumerate(ids):
-            own = symbol[words.first[k] : words.first[k + 1]]
-            if not len(own):
-                continue
-            size = min(WINDOW, len(own))
-            for j in range(len(own) - size + 1):
-                found.setdefault(size, {}).setdefault(own[j : j + size].tobytes(), set()).add(place[i or ""])
-        self.patterns = {size: np.array([np.frombuffer(p, dtype=np.int64) for p in by]) for size, by in found.items()}
-        self.items = {size: [np.array(sorted(x)) for x in by.values()] for size, by in found.items()}
-        self.shortest = min(found, default=0)
+        item = np.array([place[i or ""] for i in ids], dtype=np.int32)
+        size_of = np.minimum(words.count, WINDOW)
+        self.patterns, self.items, self.begin = {}, {}, {}
+        for size in sorted({*size_of.tolist()} - {0}):
+            rows = np.flatnonzero(size_of == size)
+            many = words.count[rows] - size + 1
+            first = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(words.first[rows], many)
+            windows = symbol[first[:, None] + np.arange(size)]
+            distinct, which = np.unique(windows, axis=0, return_inverse=True)
+            pairs = np.unique(which.ravel().astype(np.int64) * len(self.ids) + item[np.repeat(rows, many)])
+            self.patterns[size], self.items[size] = distinct, (pairs % len(self.ids)).astype(np.int32)
+            self.begin[size] = np.searchsorted(pairs // len(self.ids), np.arange(len(distinct) + 1))
+        self.shortest = min(self.patterns, default=0)
 
     def occurrences(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Places of all windows: first word, number of words, and (row, item) pairs once each."""
@@ -165,14 +168,12 @@ class Block:
         if not len(start):
             return none, none, none, none
         to = np.cumsum(length + 1)
-        begin = to - length - 1
         position = np.full(to[-1], -1, dtype=np.int64)
         inside = np.ones(to[-1], dtype=bool)
         inside[to - 1] = False
         position[inside] = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length) + np.repeat(start, length)
         s = np.ones(to[-1], dtype=np.int64)
         s[inside] = at[position[inside]] + 2
-        del begin
         index = FMIndex(s, len(self.vocabulary) + 1)
         first, size, rows, items = [], [], [], []
         for n, patterns in self.patterns.items():
@@ -184,57 +185,78 @@ class Block:
             first.append(where)
             size.append(np.full(len(where), n))
             row = words.doc[where]
-            pair = np.unique(which * (len(words.first) + 0) + row)
-            own = [self.items[n][p] for p in pair // len(words.first)]
-            rows.append(np.repeat(pair % len(words.first), [len(x) for x in own]))
-            items.append(np.concatenate(own) if own else none)
+            pair = np.unique(which * len(words.first) + row)
+            begin, end = self.begin[n][pair // len(words.first)], self.begin[n][pair // len(words.first) + 1]
+            own = end - begin
+            rows.append(np.repeat(pair % len(words.first), own))
+            items.append(self.items[n][np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own) + np.repeat(begin, own)])
         pairs = np.unique(np.concatenate(rows) * max(1, len(self.ids)) + np.concatenate(items))
         return np.concatenate(first), np.concatenate(size), pairs // max(1, len(self.ids)), pairs % max(1, len(self.ids))
 
 
 SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64()), ("first_word", pa.int64())])
-_FOUND = [("n_words", pa.int64()), ("spans", pa.list_(SPAN)), ("items", pa.list_(pa.string()))]
-_FOUND_SQL = "`__n_words` long, `__spans` array<struct<start:long,end:long,words:long,first_word:long>>, `__items` array<string>"
-
-
-def _pass(block, first: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b: Block = block.value
-        for batch, data, at in slices(batches, "text", SHARD):
-            words = Words(data, at, ALNUM)
-            where, size, rows, items = b.occurrences(words)
-            change = np.zeros(len(words.start) + 1, dtype=np.int64)
-            np.add.at(change, where, 1)
-            np.add.at(change, where + size, -1)
-            hit = np.cumsum(change[:-1]) > 0
-            names: list[list[str]] = [[] for _ in range(batch.num_rows)]
-            for r, i in zip(rows.tolist(), items.tolist(), strict=True):
-                names[r].append(b.ids[i])
-            if not first:
-                for r, (spans, had) in enumerate(zip(batch.column("__spans").to_pylist(), batch.column("__items").to_pylist(), strict=True)):
-                    names[r] = sorted({*names[r], *had})
-                    for x in spans:
-                        lo = words.first[r] + x["first_word"]
-                        hit[lo : lo + x["words"]] = True
-            opens = hit.copy()
-            opens[1:] &= ~hit[:-1] | (words.doc[1:] != words.doc[:-1])
-            closes = hit.copy()
-            closes[:-1] &= ~hit[1:] | (words.doc[1:] != words.doc[:-1])
-            lo, hi = np.flatnonzero(opens), np.flatnonzero(closes)
-            spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            if len(lo):
-                points = np.zeros(len(data) + 1, dtype=np.int64)
-                np.cumsum((data & 0xC0) != 0x80, out=points[1:])
-                doc = words.doc[lo]
-                begin = points[words.start[lo]] - points[at[doc]]
-                end = points[words.end[hi]] - points[at[doc]]
-                for r, x, y, n, w in zip(doc.tolist(), begin.tolist(), end.tolist(), (hi + 1 - lo).tolist(), (lo - words.first[doc]).tolist(), strict=True):
-                    spans[r].append({"start": x, "end": y, "words": n, "first_word": w})
-            keep = [c for c in batch.schema.names if c not in ("__n_words", "__spans", "__items")]
-            arrays = [batch.column(c) for c in keep] + [pa.array(words.count, pa.int64()), pa.array(spans, pa.list_(SPAN)), pa.array(names, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "__n_words", "__spans", "__items"])
-
-    return run
+FOUND = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(SPAN)), ("items", pa.list_(pa.string()))])
+_FOUND_SQL = "struct<n_words:long,spans:array<struct<start:long,end:long,words:long,first_word:long>>,items:array<string>>"
+
+
+def _shard(b: Block, data: np.ndarray, at: np.ndarray, before: list[dict] | None) -> pa.StructArray:
+    """What a block finds in a shard, together with what earlier blocks found."""
+    words, n = Words(data, at, ALNUM), len(at) - 1
+    where, size, rows, items = b.occurrences(words)
+    change = np.bincount(where, minlength=len(words.start) + 1) - np.bincount(where + size, minlength=len(words.start) + 1)
+    hit = np.cumsum(change[:-1]) > 0
+    names: list[list[str]] = [[] for _ in range(n)]
+    for r, i in zip(rows.tolist(), items.tolist(), strict=True):
+        names[r].append(b.ids[i])
+    for r, had in enumerate(before or ()):
+        names[r] = sorted({*names[r], *had["items"]})
+        for x in had["spans"]:
+            lo = words.first[r] + x["first_word"]
+            hit[lo : lo + x["words"]] = True
+    opens = hit.copy()
+    opens[1:] &= ~hit[:-1] | (words.doc[1:] != words.doc[:-1])
+    closes = hit.copy()
+    closes[:-1] &= ~hit[1:] | (words.doc[1:] != words.doc[:-1])
+    lo, hi = np.flatnonzero(opens), np.flatnonzero(closes)
+    spans: list[list[dict]] = [[] for _ in range(n)]
+    if len(lo):
+        points = np.zeros(len(data) + 1, dtype=np.int64)
+        np.cumsum((data & 0xC0) != 0x80, out=points[1:])
+        doc = words.doc[lo]
+        begin = points[words.start[lo]] - points[at[doc]]
+        end = points[words.end[hi]] - points[at[doc]]
+        for r, x, y, k, w in zip(doc.tolist(), begin.tolist(), end.tolist(), (hi + 1 - lo).tolist(), (lo - words.first[doc]).tolist(), strict=True):
+            spans[r].append({"start": x, "end": y, "words": k, "first_word": w})
+    return pa.StructArray.from_arrays([pa.array(words.count, pa.int64()), pa.array(spans, pa.list_(SPAN)), pa.array(names, pa.list_(pa.string()))], fields=list(FOUND))
+
+
+def _found(block, texts: pa.Array, before: pa.Array | None) -> pa.Array:
+    data, at = buffers(texts)
+    out, lo = [], 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + SHARD, side="right")) - 1)
+        out.append(_shard(block.value, data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], before.slice(lo, hi - lo).to_pylist() if before is not None else None))
+        lo = hi
+    return pa.concat_arrays(out) if out else pa.array([], FOUND)
+
+
+def _column(block, before: Column | None) -> Column:
+    """What a block finds in ``text``. Only texts pass to Python, and only findings back."""
+    if before is None:
+
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for texts in batches:
+                yield _found(block, texts, None)
+
+        run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+        return F.arrow_udf(run, _FOUND_SQL)(F.col("text"))
+
+    def more(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, had in batches:
+            yield _found(block, texts, had)
+
+    more.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    return F.arrow_udf(more, _FOUND_SQL)(F.col("text"), before)
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[Block]:
@@ -246,33 +268,41 @@ def _blocks(benchmark: DataFrame) -> Iterator[Block]:
         yield Block([r[0] for r in own], [r[1] for r in own])
 
 
-def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with ``__n_words``, ``__spans`` (merged spans of hit words: start and end in code
-    points, words, first_word) and ``__items`` (ids with occurring windows, sorted)."""
-    spark = docs.sparkSession
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+def find(docs: DataFrame, benchmark: DataFrame, name: str = "found") -> DataFrame:
+    """``docs`` with a struct ``name``: n_words, spans (merged spans of hit words: start and end in
+    code points, words, first_word) and items (ids with occurring windows, sorted). Each further
+    block of the benchmark takes a pass of its own over what the one before has written."""
+    if name.lower() in map(str.lower, docs.columns):
+        raise ValueError(f"there is a column {name} already")
     out = docs
     for k, block in enumerate(_blocks(benchmark)):
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(block), k == 0), f"{schema}, {_FOUND_SQL}")
+        if k:
+            out = scratch.table(out, "found")
+        out = out.withColumn(name, _column(docs.sparkSession.sparkContext.broadcast(block), F.col(f"`{name}`") if k else None))
     return out
 
 
-def verdict(found: DataFrame) -> DataFrame:
-    """``found`` with ``__n_hit`` and ``__contaminated``: at least a twentieth of the words are hit."""
-    hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda n, x: n + x["words"])
-    return found.withColumn("__n_hit", hit).withColumn("__contaminated", (F.col("__n_hit") > 0) & (20 * F.col("__n_hit") >= F.col("__n_words")))
+def n_hit(found: str) -> Column:
+    """Hit words of a row of :func:`find`."""
+    return F.aggregate(F.col(f"`{found}`.spans"), F.lit(0).cast("long"), lambda n, x: n + x["words"])
+
+
+def is_contaminated(found: str) -> Column:
+    """Whether a twentieth of the words at least, and one, are hit."""
+    return (n_hit(found) > 0) & (20 * n_hit(found) >= F.col(f"`{found}`.n_words"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row a document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    v = verdict(find(docs.select("doc_id", "text"), benchmark))
-    joined = F.array_join(F.array_sort("__items"), ",")
-    return v.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_hit").alias("n_hit"), F.size("__items").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), F.col("__contaminated").alias("contaminated"))
+    v = find(docs.select("doc_id", "text"), benchmark)
+    joined = F.array_join(F.array_sort("found.items"), ",")
+    return v.select("doc_id", F.col("found.n_words").alias("n_words"), n_hit("found").alias("n_hit"), F.size("found.items").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), is_contaminated("found").alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, columns as they came."""
-    return verdict(find(docs, benchmark)).where(~F.col("__contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = f"found_{uuid.uuid4().hex}"
+    return find(docs, benchmark, name).where(~is_contaminated(name)).drop(name)
 
 
 ORACLE_SQL = r"""
