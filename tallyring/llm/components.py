@@ -12,14 +12,15 @@ def _min_below(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) of every node of ``edges`` (u, v: long).
 
     Nodes are joined with their smallest neighbour, bigger neighbours first, then smaller
-    ones, until nothing moves; each round is written, so its lineage is one read."""
+    ones, until nothing moves, which takes a number of rounds about the logarithm of the longest
+    path's length; each round is written, so its lineage is one read, and the one before deleted."""
     now = scratch.table(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     last = None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = _min_below(both).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
@@ -32,7 +33,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if state == last:
             break
         last = state
-    else:
-        raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out = scratch.table(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")
+    scratch.drop(now)
+    return out

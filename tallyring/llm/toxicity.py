@@ -140,7 +140,9 @@ class Sample:
             count.append(np.minimum(many, 65535).astype(np.uint16))
             held.append(np.bincount(key >> BUCKETS_LOG2, minlength=hi - lo))
             size.append(np.bincount(own, minlength=hi - lo))
-        self.bucket, self.count, self.held, self.size = map(np.concatenate, (bucket, count, held, size))
+        self.bucket = np.concatenate(bucket)
+        bucket.clear()  # the largest of all arrays is not held twice
+        self.count, self.held, self.size = map(np.concatenate, (count, held, size))
         self.start = np.cumsum(self.held) - self.held
 
     def of(self, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
