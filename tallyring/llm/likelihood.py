@@ -1,35 +1,36 @@
 """Language-model scores by subword lattices.
 
-The model is a mixture over the languages of the training documents; what language a scored
-document is labelled with is not used: its probability is the sum over all components. In a
-component, a word's probability sums two ways to write it: as a whole word, with its
-discounted count, and over all its segmentations into pieces of an existing unigram
-vocabulary (forward recursion in log space over the lattice of pieces). The second way gets
-what the discounts take away. Pieces weigh what expectation maximisation over the
-component's distinct words gives them, from a start by rank in the vocabulary; a word's
-first piece, its later pieces and its end have distributions of their own, so all words
-together have probability 1 at most, whatever their characters. A text is its words and one
-end.
-
-How it runs. Documents are cut into blocks of about 16 MB. A block yields its distinct
-words with training counts and, per document, the numbers of its words in that list. Counts
-of all blocks are summed by word hash (counted within blocks first, so the commonest word is
-one row a block); lattice scores are computed once a distinct word; results go back to
-the blocks and meet the documents there. Only sums over pieces (one row a component and
-piece) and over components reach the driver. ``COMPONENTS`` languages with most training
-documents have components of their own; all other training documents, null included, share one.
+A text is its words and one end. Its probability is that of all ways to write it in pieces of an
+existing unigram vocabulary: pieces are drawn one after the other, each with the probability that
+the vocabulary's own scores give it, until the end comes; a word begins with a piece that begins
+with START. Words are summed over all their segmentations by forward recursion, and as no piece
+reaches over two words, the text's probability is the product over its words, times the end.
+
+What is learnt, from the training documents' whole text: the temperature that turns scores into
+probabilities (the scores of a vocabulary made by merges are ranks, not logarithms), by the
+likelihood of all training words at the temperatures of ``GRID`` and the best point of a parabola
+through them; and the chance of the end, from the expected number of pieces. The column
+``word_arc_score`` tells of another model over the same lattice, in which a word of the training
+documents may also be written whole, with its discounted count.
+
+How it runs. Documents are cut into blocks of about ``BLOCK`` bytes. A first pass sums, a block,
+the likelihoods of its training words. A second one writes each block's distinct words (hash,
+training count, lattice score) and, per document, the places of its words in that list. Counts are
+summed by hash, counted within blocks first, so the commonest word is one row a block; they go back
+to the blocks and meet the documents there. No text of a word is shuffled. Only sums (one row a
+task) reach the driver.
 
 Base (for comparison): sum over tokens of ``log10((c + 1) / (N + V + 1))``.
 
-Null texts are empty: one end. Every row gives one row. Without training documents, N is 0
-and the lattice alone, by the vocabulary's ranks, scores. An empty table gives an empty
-result.
+Null texts are empty: one end. Every row gives one row, repeated rows and ids too; a text of any
+length is scored whole. Without training documents, N is 0, the first temperature of ``GRID`` and an
+end after ``END`` pieces hold. An empty table gives an empty result. Columns beyond doc_id, text and
+those of ``held_out`` are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,238 +41,178 @@ from pyspark.sql import functions as F
 from tallyring.llm import scratch, unigram
 from tallyring.llm.text import SPACED, Words, slices
 
-BLOCK = 16 << 20
-COMPONENTS = 8
-ROUNDS = 3
-FLOOR = 0.01
-STOP = 0.4  # first guess of how often a piece ends a word
+BLOCK = 8 << 20
+GRID = (600.0, 1800.0, 5400.0, 16200.0)
+#: Pieces before the end, where no document tells.
+END = 1000.0
+#: Words whose lattices are summed together: enough of each length to work in whole arrays.
+TOGETHER = 50_000
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def _cut(names: list[str]):
-    """Rows of two kinds: a block's words (h, i, word, c0, c1, ...) and its documents
-    (doc_id, held_out, ids)."""
-    k = len(names)
+class Block:
+    """Distinct words of some documents, by hash: ``hash``, ``words`` (lower-cased), ``counts`` in
+    training documents, and ``places`` of every word of the documents among them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number = TaskContext.get().partitionId(), 0
-        parts: list = []
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal number, size
-            hashes = np.concatenate([w.hash for _, w, _ in parts])
-            where, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-            part_of = np.repeat(np.arange(len(parts)), [len(w.start) for _, w, _ in parts])
-            before = np.cumsum([0, *[len(w.start) for _, w, _ in parts]])
-            words: list[bytes] = []
-            for i in first.tolist():
-                p = int(part_of[i])
-                w = parts[p][1]
-                j = i - before[p]
-                words.append(w.data[w.start[j] : w.end[j]].tobytes().translate(_LOWER))
-            block = task << 24 | number
-            number += 1
-            n = len(where)
-            group = np.concatenate([np.repeat(g.column("part").to_numpy(zero_copy_only=False), w.count) for g, w, _ in parts]) if len(hashes) else np.zeros(0, dtype=np.int64)
-            trained = np.concatenate([np.repeat(~g.column("held_out").to_numpy(zero_copy_only=False), w.count) for g, w, _ in parts]) if len(hashes) else np.zeros(0, dtype=bool)
-            counts = [pa.array(np.bincount(inverse[trained & (group == c)], minlength=n).astype(np.int64)) for c in range(k)]
-            signed = pa.array(where.view(np.int64))
-            columns = {"block": np.full(n, block), "h": signed, "i": np.arange(n, dtype=np.int32), "word": pa.array(words, pa.binary()), **{f"c{c}": counts[c] for c in range(k)}}
-            for lo in range(0, n, 100_000):
-                yield _rows({name: pa.array(v)[lo : lo + 100_000] if isinstance(v, np.ndarray) else v[lo : lo + 100_000] for name, v in columns.items()}, min(n, lo + 100_000) - lo)
-            at = 0
-            for g, w, _ in parts:
-                own = inverse[at : at + len(w.start)].astype("<i4")
-                at += len(w.start)
-                ids = [own[a:b].tobytes() for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
-                yield _rows({"block": pa.array(np.full(g.num_rows, block)), "doc_id": g.column("doc_id"), "held_out": g.column("held_out"), "ids": pa.array(ids, pa.binary())}, g.num_rows)
-            parts.clear()
-            size = 0
-
-        kinds: dict[str, pa.DataType] = {}
-
-        def _rows(given: dict, n: int) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(n, t) for c, t in kinds.items()], names=list(kinds))
-
-        for g, data, at in slices(batches, "text", 4 << 20):
-            kinds = {"block": pa.int64(), "h": pa.int64(), "i": pa.int32(), "word": pa.binary(), **{f"c{c}": pa.int64() for c in range(k)}, "doc_id": g.schema.field("doc_id").type, "held_out": pa.bool_(), "ids": pa.binary()}
-            parts.append((g, Words(data, at, SPACED), at))
-            size += len(data)
-            if size >= BLOCK:
-                yield from flush()
-        if parts:
-            yield from flush()
+    def __init__(self, parts: list[tuple[pa.RecordBatch, Words]]) -> None:
+        self.parts = parts
+        self.hash, first, self.places = np.unique(np.concatenate([w.hash for _, w in parts]), return_index=True, return_inverse=True)
+        trained = np.concatenate([np.repeat(~b.column("held_out").to_numpy(zero_copy_only=False), w.count) for b, w in parts])
+        self.counts = np.bincount(self.places[trained], minlength=len(self.hash))
+        before = np.cumsum([0, *[len(w.start) for _, w in parts]])
+        part = np.searchsorted(before, first, side="right") - 1
+        self.words = [parts[p][1].data[(w := parts[p][1]).start[i] : w.end[i]].tobytes().translate(_LOWER).decode("utf-8", "replace") for p, i in zip(part.tolist(), (first - before[part]).tolist(), strict=True)]
 
-    return run
+    def documents(self) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+        """Rows, and the places of the words of each as bytes of 32-bit numbers."""
+        at = 0
+        for batch, w in self.parts:
+            own = self.places[at : at + len(w.start)].astype("<i4")
+            at += len(w.start)
+            yield batch, [own[a:b].tobytes() for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
 
 
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    parts, size = [], 0
+    for batch, data, at in slices(batches, "text", 1 << 20):
+        parts.append((batch, Words(data, at, SPACED)))
+        size += len(data)
+        if size >= BLOCK:
+            yield Block(parts)
+            parts, size = [], 0
+    if parts:
+        yield Block(parts)
 
-class Component:
-    """Weights of one language: ``log_p`` of the lattice, ``stop``, discounts and sums."""
 
-    def __init__(self, names: list[str]) -> None:
-        self.start = np.array([n.startswith(unigram.START) for n in names] + [False])
-        rank = np.append(-np.log(np.arange(len(names)) + 100.0), -15.0)
-        self.weigh(np.exp(rank), STOP)
+_KEPT: dict[str, tuple[unigram.Lattice, np.ndarray]] = {}
 
-    def weigh(self, use: np.ndarray, stop: float) -> None:
-        """Weights from the expected use of pieces and the chance that a piece ends a word."""
-        log_p = np.empty(len(use))
-        for m in (self.start, ~self.start):
-            floor = FLOOR if use.max() > 1 else 0.0
-            log_p[m] = np.log((use[m] + floor) / (use[m].sum() + floor * m.sum()))
-        log_p[~self.start] += np.log(1 - stop)
-        self.log_p, self.stop = log_p, float(np.log(stop))
 
-    def learn(self, use: np.ndarray) -> None:
-        first, later = use[self.start].sum(), use[~self.start].sum()
-        if first > 0:
-            self.weigh(use, float(np.clip(first / (first + later), 0.01, 0.99)))
+def vocabulary(path: str) -> tuple[unigram.Lattice, np.ndarray]:
+    """The lattice over a vocabulary's pieces, and their scores; unused pieces are left out."""
+    if path not in _KEPT:
+        found = [(p, s) for p, s in unigram.pieces(path) if s > -1e8]
+        _KEPT[path] = unigram.Lattice([p for p, _ in found]), np.array([s for _, s in found])
+    return _KEPT[path]
 
-    def count(self, ends: int, tokens: int, of_counts: list[int]) -> None:
-        """Discounts from how many words were seen once, twice, three and four times or more
-        (``of_counts`` has 1, 2, 3, 4 and all); ``spare`` is what they take away."""
-        n1, n2, n3, n4, types = of_counts
-        y = n1 / (n1 + 2 * n2) if n1 else 0.0
-        guess = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-        self.discount = np.array([0.0, *[float(np.clip(d, 0.05, j - 0.05)) for d, j in zip(guess, (1, 2, 3), strict=True)]])
-        self.total = tokens + ends
-        self.spare = self.discount[1] * n1 + self.discount[2] * n2 + self.discount[3] * (types - n1 - n2)
-        self.ends = ends
-
-    def log_word(self, lattice: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """Natural log of a word's probability from its lattice score and count."""
-        if not self.total:
-            return lattice + self.stop
-        whole = np.maximum(c - self.discount[np.minimum(c, 3)], 0) / self.total
-        spare = max(self.spare, 0.5) / self.total
-        with np.errstate(divide="ignore"):
-            return np.logaddexp(np.log(whole), np.log(spare) + lattice + self.stop)
 
+def _fit(path: str):
+    """Of a task's training words, a row a temperature: sum of log probabilities and of pieces."""
 
-#: Words whose lattices are summed together: enough of each length to work in whole arrays.
-TOGETHER = 100_000
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice, scores = vocabulary(path)
+        sums = np.zeros((2, len(GRID)))
+        for block in _blocks(batches):
+            seen = np.flatnonzero(block.counts)
+            for lo in range(0, len(seen), TOGETHER):
+                own = seen[lo : lo + TOGETHER]
+                found = lattice.score([block.words[i] for i in own.tolist()], [unigram.weights(scores, t) for t in GRID])
+                sums += [(x * block.counts[own]).sum(axis=1) for x in found]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(GRID)), pa.int32()), *map(pa.array, sums)], names=["k", "log_p", "pieces"])
 
+    return run
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], pa.Table]]:
-    """Words, and their rows, of about TOGETHER rows at a time."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= TOGETHER:
-            yield _texts(held)
-            held = []
-    if held:
-        yield _texts(held)
 
+def best(log_p: np.ndarray, pieces: np.ndarray) -> tuple[float, float]:
+    """Temperature of the highest likelihood and number of pieces there, by a parabola over log
+    temperatures through the best of ``GRID`` and its neighbours."""
+    x, k = np.log(GRID), int(np.clip(np.argmax(log_p), 1, len(GRID) - 2))
+    a, b, _ = np.polyfit(x[k - 1 : k + 2], log_p[k - 1 : k + 2], 2)
+    at = float(np.clip(-b / (2 * a), x[0], x[-1])) if a < 0 else float(x[np.argmax(log_p)])
+    return float(np.exp(at)), float(np.interp(at, x, pieces))
 
-def _texts(held: list[pa.RecordBatch]) -> tuple[list[str], pa.Table]:
-    rows = pa.Table.from_batches(held).combine_chunks()
-    return [w.decode("utf-8", "replace") for w in rows.column("word").to_pylist()], rows
 
+def _cut(path: str, temperature: float, end: float, id_type):
+    """Rows of two kinds: a block's words (h, i, c, p) and its documents (doc_id, held_out, ids)."""
 
-def _expect(names: list[str], model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = model.value
-        lattice, sums = unigram.Lattice(names, parts[0].log_p), np.zeros((len(parts), len(names) + 1))
-        for texts, rows in _gathered(batches):
-            texts = np.array(texts, dtype=object)
-            for k, part in enumerate(parts):
-                own = texts[rows.column(f"c{k}").to_numpy() > 0].tolist()
-                if own:
-                    lattice.log_p = part.log_p
-                    lattice.score(own, np.ones(len(own)), sums[k])
-        k, piece = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(piece, pa.int32()), pa.array(sums[k, piece])], names=["k", "piece", "n"])
+        lattice, scores = vocabulary(path)
+        log_p = [unigram.weights(scores, temperature, end)]
+        first = TaskContext.get().partitionId() << 24
+        kinds = {"block": pa.int64(), "h": pa.int64(), "i": pa.int32(), "c": pa.int64(), "p": pa.float64(), "doc_id": None, "held_out": pa.bool_(), "ids": pa.binary()}
+
+        def rows(n: int, given: dict) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(given[c], kind) if c in given else pa.nulls(n, kind) for c, kind in kinds.items()], names=list(kinds))
+
+        for number, block in enumerate(_blocks(batches)):
+            kinds["doc_id"] = block.parts[0][0].schema.field("doc_id").type
+            for lo in range(0, len(block.words), TOGETHER):
+                words = block.words[lo : lo + TOGETHER]
+                n, to = len(words), lo + len(words)
+                yield rows(n, {"block": np.full(n, first + number), "h": block.hash[lo:to].view(np.int64), "i": np.arange(lo, to), "c": block.counts[lo:to], "p": lattice.score(words, log_p)[0][0]})
+            for batch, ids in block.documents():
+                n = batch.num_rows
+                yield rows(n, {"block": np.full(n, first + number), "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "ids": ids})
 
     return run
 
 
-def _price(names: list[str], model):
-    """Log probabilities of every distinct word in every component."""
+class Whole:
+    """Words written whole: discounted counts, and what the discounts leave to the lattice."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = model.value
-        lattice = unigram.Lattice(names, parts[0].log_p)
-        for texts, rows in _gathered(batches):
-            counts = [rows.column(f"c{k}").to_numpy() for k in range(len(parts))]
-            out = []
-            for part, c in zip(parts, counts, strict=True):
-                lattice.log_p = part.log_p
-                out.append(pa.array(part.log_word(lattice.score(texts), c).astype(np.float32)))
-            arrays = [rows.column("h").combine_chunks(), pa.array(sum(counts), pa.int64()), *out]
-            yield from pa.Table.from_arrays(arrays, names=["h", "c", *[f"p{k}" for k in range(len(parts))]]).to_batches(max_chunksize=20_000)
+    def __init__(self, total: int, of_counts: list[int]) -> None:
+        """``of_counts``: words seen once, twice, three and four times, and all that are seen."""
+        n1, n2, n3, n4, types = of_counts
+        y = n1 / (n1 + 2 * n2) if n1 else 0.0
+        guess = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
+        self.discount = np.array([0.0, *[float(np.clip(d, 0.05, j - 0.05)) for d, j in zip(guess, (1, 2, 3), strict=True)]])
+        self.total = total
+        self.spare = max(0.5, self.discount[1] * n1 + self.discount[2] * n2 + self.discount[3] * (types - n1 - n2))
 
-    return run
+    def log_p(self, lattice: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Natural log of words' probabilities from their lattice scores and counts."""
+        if not self.total:
+            return lattice
+        with np.errstate(divide="ignore"):
+            whole = np.log(np.maximum(c - self.discount[np.minimum(c, 3)], 0) / self.total)
+        return np.logaddexp(whole, np.log(self.spare / self.total) + lattice)
+
+
+def base(c: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    """log10 of the base probabilities of tokens seen c times."""
+    return np.log10(c + 1.0) - np.log10(float(total + distinct + 1))
 
 
-def _meet(model, total: int, distinct: int):
+def _meet(whole: Whole, ends: int, total: int, distinct: int, end: float):
     """Scores of a block's documents from its words."""
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        parts = model.value
         docs, words = docs.combine_chunks(), words.combine_chunks()
         order = np.argsort(words.column("i").to_numpy())
-        c = words.column("c").to_numpy()[order]
-        scale = np.log10(float(total + distinct + 1))
-        base = np.log10(c + 1.0) - scale
-        prices = np.stack([words.column(f"p{k}").to_numpy()[order] for k in range(len(parts))]).astype(np.float64) if len(c) else np.zeros((len(parts), 0))
-        ends_seen = sum(p.ends for p in parts)
-        end_base = np.log10(ends_seen + 1.0) - scale
-        share = np.array([np.log((p.ends + 0.5) / (ends_seen + 0.5 * len(parts))) for p in parts])
-        end = np.array([np.log((p.ends + 1) / (p.total + 2)) for p in parts])
-        out: list[list] = [[], [], [], []]
-        for ids in docs.column("ids").to_pylist():
-            ids = np.frombuffer(ids, dtype="<i4")
-            logs = share + end + prices[:, ids].sum(axis=1)
-            out[0].append(len(ids) + 1)
-            out[1].append(int((c[ids] > 0).sum()) + (ends_seen > 0))
-            out[2].append(float(base[ids].sum() + end_base))
-            out[3].append(float(np.logaddexp.reduce(logs) / np.log(10)))
-        n = docs.num_rows
-        arrays = [docs.column("doc_id"), docs.column("held_out"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(np.full(n, total, dtype=np.int64)), pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64())]
-        return pa.table(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        c, lattice = words.column("c").to_numpy()[order], words.column("p").to_numpy()[order]
+        of_base, arcs = base(c, total, distinct), whole.log_p(lattice, c)
+        end_base, end_arc = base(np.array([ends]), total, distinct)[0], np.log((ends + 1) / (total + 2))
+        out: list[list] = [[], [], [], [], []]
+        for ids in docs.column("ids"):
+            own = np.frombuffer(ids.as_buffer(), dtype="<i4")
+            values = len(own) + 1, int((c[own] > 0).sum()) + (ends > 0), float(of_base[own].sum() + end_base), float((lattice[own].sum() + np.log(end)) / np.log(10)), float((arcs[own].sum() + end_arc) / np.log(10))
+            for column, value in zip(out, values, strict=True):
+                column.append(value)
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+        n_tokens, n_known, based, scored, arced = (pa.array(x, kind) for x, kind in zip(out, kinds, strict=True))
+        arrays = [docs.column("doc_id"), docs.column("held_out"), n_tokens, n_known, pa.array(np.full(docs.num_rows, total), pa.int64()), based, scored, arced]
+        return pa.table(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "word_arc_score"])
 
     return run
 
 
 def score(docs: DataFrame, held_out: Column, path: str) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document;
-    documents where ``held_out`` is true teach nothing."""
-    spark = docs.sparkSession
-    named = docs.select("doc_id", "text", "lang", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    many = named.where(~F.col("held_out")).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(COMPONENTS + 1).collect()
-    langs = [r[0] for r in many if r[0] is not None][:COMPONENTS]
-    others = len(many) > len(langs) or not langs  # training documents that share a component
-    part = reduce(lambda c, kl: c.when(F.col("lang") == kl[1], F.lit(kl[0])), enumerate(langs), F.when(F.lit(False), F.lit(0))).otherwise(F.lit(len(langs) if others else 0)).cast("long")
-    columns = [f"c{k}" for k in range(len(langs) + others)]
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and word_arc_score of every
+    document; documents where ``held_out`` is true teach nothing."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"block long, h long, i int, word binary, {', '.join(f'{c} long' for c in columns)}, doc_id {kind}, held_out boolean, ids binary"
-    cut = scratch.table(named.select("doc_id", "text", "held_out", part.alias("part")).mapInArrow(_cut(columns), schema), "blocks")
-    words = cut.where(F.col("h").isNotNull())
-    counted = scratch.table(words.groupBy("h").agg(F.first("word").alias("word"), *[F.sum(c).alias(c) for c in columns]), "words")
-
-    ends = {r[0]: r[1] for r in named.where(~F.col("held_out")).groupBy(part.alias("part")).count().collect()}
-    sums = counted.agg(*[F.sum(c) for c in columns], *[F.count_if(F.col(c) == j) for c in columns for j in (1, 2, 3, 4)], *[F.count_if(F.col(c) > 0) for c in columns], F.count_if(reduce(lambda a, b: a + b, map(F.col, columns)) > 0)).first()
-    n, distinct = len(columns), (sums[-1] or 0) + (1 if ends else 0)
-    pieces = [p for p, _ in unigram.pieces(path)]
-    parts = [Component(pieces) for _ in columns]
-    for k, p in enumerate(parts):
-        of = sums[n + 4 * k : n + 4 * k + 4]
-        p.count(ends.get(k, 0), sums[k] or 0, [*[x or 0 for x in of], sums[5 * n + k] or 0])
-    total = sum(p.total for p in parts)
-    for _ in range(ROUNDS if total else 0):
-        shared = spark.sparkContext.broadcast(parts)  # under 1 MB a component
-        use = np.zeros((n, len(pieces) + 1))
-        for k, piece, x in counted.mapInArrow(_expect(pieces, shared), "k int, piece int, n double").groupBy("k", "piece").agg(F.sum("n")).collect():
-            use[k, piece] = x
-        for k, p in enumerate(parts):
-            p.learn(use[k])
-    shared = spark.sparkContext.broadcast(parts)
-    priced = counted.mapInArrow(_price(pieces, shared), "h long, c long, " + ", ".join(f"p{k} float" for k in range(n)))
-    back = words.select("h", "block", "i").join(priced, "h").drop("h")
-    out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    named = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    ends = named.where(~F.col("held_out")).count()
+    fitted = named.where(~F.col("held_out")).select("text", "held_out").mapInArrow(_fit(path), "k int, log_p double, pieces double").groupBy("k").agg(F.sum("log_p"), F.sum("pieces")).orderBy("k").collect()
+    temperature, pieces = best(np.array([r[1] for r in fitted]), np.array([r[2] for r in fitted])) if any(r[2] for r in fitted) else (GRID[0], 0.0)
+    end = ends / (ends + pieces) if ends and pieces else 1 / (1 + END)
+
+    schema = f"block long, h long, i int, c long, p double, doc_id {kind}, held_out boolean, ids binary"
+    cut = scratch.table(named.mapInArrow(_cut(path, temperature, end, kind), schema), "blocks")
+    words = cut.where(F.col("h").isNotNull()).select("block", "h", "i", "c", "p")
+    counted = words.groupBy("h").agg(F.sum("c").alias("c"))
+    sums = counted.agg(F.sum("c"), *[F.count_if(F.col("c") == j) for j in (1, 2, 3, 4)], F.count_if(F.col("c") > 0)).first()
+    total, distinct = (sums[0] or 0) + ends, (sums[5] or 0) + (ends > 0)
+    whole = Whole(total, [x or 0 for x in sums[1:]])
+    back = words.select("h", "block", "i", "p").join(counted, "h").drop("h")
+    out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, word_arc_score double"
     documents = cut.where(F.col("ids").isNotNull()).select(F.col("block").alias("of"), "doc_id", "held_out", "ids")
-    return documents.groupBy("of").cogroup(back.groupBy("block")).applyInArrow(_meet(shared, total, distinct), out)
+    return documents.groupBy("of").cogroup(back.groupBy("block")).applyInArrow(_meet(whole, ends, total, distinct, end), out)

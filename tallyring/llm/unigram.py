@@ -1,8 +1,7 @@
 """A unigram vocabulary: pieces of a sentencepiece model with their scores.
 
 ``Counter`` counts the pieces of the best segmentation exactly as the tokenizers library's
-Unigram model does. ``Lattice`` sums over all segmentations in log space, for many words
-at once in numpy.
+Unigram model does. ``Lattice`` sums over all segmentations, for many words at once in numpy.
 """
 
 from __future__ import annotations
@@ -115,15 +114,24 @@ class Counter:
         return [w for w in SPACE.split(text) if w] if _ODD.search(text) else text.split()
 
 
+def weights(scores: np.ndarray, temperature: float, end: float = 0.0) -> np.ndarray:
+    """Natural logs of the pieces' probabilities: the vocabulary's scores over a temperature, made to
+    sum to 1 - ``end`` together with an unknown character's, which comes last."""
+    x = np.append(scores, scores.min() - PENALTY) / temperature
+    return x - x.max() - np.log(np.exp(x - x.max()).sum()) + np.log1p(-end)
+
+
 class Lattice:
-    """Marginal probabilities of words, START before them, under unigram weights.
+    """Marginal probabilities of words, START before them, under weights of pieces: sums over all
+    segmentations by forward recursion. A character that no piece of one character covers has the
+    last weight, and its bytes are equally likely."""
 
-    ``log_p`` (natural logs) has a weight for each piece and, last, the weight of a character
-    that no piece of one character covers (its bytes are then equally likely)."""
+    #: Words up to this length are summed in plain numbers; those that come out too small, and
+    #: longer ones, in logs.
+    PLAIN, TINY = 40, 1e-280
 
-    def __init__(self, names: list[str], log_p: np.ndarray) -> None:
-        self.names, self.log_p = names, log_p
-        self.longest = max(map(len, names))
+    def __init__(self, names: list[str]) -> None:
+        self.names, self.longest = names, max(map(len, names))
         hashes = np.array([self._one(p) for p in names], dtype=U64)
         self.order = np.argsort(hashes)
         self.sorted = hashes[self.order]
@@ -136,29 +144,29 @@ class Lattice:
 
     @staticmethod
     def _sums(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums up to each place, a row a place, and what takes off a start."""
         n, length = codes.shape
         up = np.full(length, RADIX, dtype=U64)
         up[:1] = 1
         up = np.multiply.accumulate(up)
         down = np.full(length + 1, pow(RADIX, -1, 1 << 64), dtype=U64)
         down[:1] = 1
-        sums = np.zeros((n, length + 1), dtype=U64)
-        np.cumsum(mix((codes.astype(U64) + U64(1)) * U64(GOLDEN)) * up, axis=1, out=sums[:, 1:])
+        sums = np.zeros((length + 1, n), dtype=U64)
+        np.cumsum((mix((codes.astype(U64) + U64(1)) * U64(GOLDEN)) * up).T, axis=0, out=sums[1:])
         return sums, np.multiply.accumulate(down)
 
     def _one(self, piece: str) -> int:
         sums, down = self._sums(self._codes([piece], len(piece)))
-        return int(mix((sums[:, -1] - sums[:, 0]) * down[0])[0])
+        return int(mix((sums[-1] - sums[0]) * down[0])[0])
 
     def _edges(self, words: list[str], length: int):
-        """Edges (start, end, rows, pieces) of words of one length, by ends."""
+        """Edges (start, end, rows, pieces, bytes of an unknown character or 0) by ends."""
         codes = self._codes(words, length)
         sums, down = self._sums(codes)
         rows = np.arange(len(words))
-        alone = len(self.names)
         for end in range(1, length + 1):
             for start in range(max(0, end - self.longest), end):
-                h = mix((sums[:, end] - sums[:, start]) * down[start])
+                h = mix((sums[end] - sums[start]) * down[start])
                 own = np.flatnonzero(self.maybe[h >> U64(42)])
                 if len(own):
                     at = np.searchsorted(self.sorted, h[own])
@@ -166,40 +174,57 @@ class Lattice:
                     good = self.sorted[at] == h[own]
                     own, piece = own[good], self.order[at[good]]
                     if len(own):
-                        yield start, end, own, piece, self.log_p[piece]
+                        yield start, end, own, piece, 0
                 if start == end - 1 and len(own) < len(rows):
                     none = np.setdiff1d(rows, own, assume_unique=True)
                     code = codes[none, start]
-                    size = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
-                    yield start, end, none, np.full(len(none), alone), self.log_p[alone] - size * np.log(256)
+                    yield start, end, none, np.full(len(none), len(self.names)), 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
 
-    def score(self, words: list[str], counts: np.ndarray | None = None, expected: np.ndarray | None = None) -> np.ndarray:
-        """Log probability of every word; with ``counts``, adds the expected use of pieces."""
-        out = np.zeros(len(words))
+    def score(self, words: list[str], log_p: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of every word under each of several weights, a row each, and the expected
+        number of pieces."""
+        out, many = np.zeros((2, len(log_p), len(words)))
         texts = [START + w for w in words]
-        lengths = np.array(list(map(len, texts)))
-        for length in np.unique(lengths):
+        lengths = np.array(list(map(len, texts)), dtype=np.int64)
+        for length in np.unique(lengths).tolist():
             where = np.flatnonzero(lengths == length)
-            step = max(1, 600_000 // int(length))
+            step = max(1, 300_000 // length // len(log_p))
             for lo in range(0, len(where), step):
                 part = where[lo : lo + step]
                 own = [texts[i] for i in part]
-                forward = np.full((length + 1, len(part)), -np.inf)
-                forward[0] = 0
-                edges = []
-                for edge in self._edges(own, int(length)):
-                    start, end, rows, _, weight = edge
-                    forward[end, rows] = np.logaddexp(forward[end, rows], forward[start, rows] + weight)
-                    if expected is not None:
-                        edges.append(edge)
-                out[part] = forward[length]
-                if expected is not None:
-                    backward = np.full((length + 1, len(part)), -np.inf)
-                    backward[length] = 0
-                    many = counts[part]
-                    for start, end, rows, piece, weight in reversed(edges):
-                        through = weight + backward[end, rows]
-                        use = np.exp(forward[start, rows] + through - forward[length, rows]) * many[rows]
-                        expected += np.bincount(piece, weights=use, minlength=len(expected))
-                        backward[start, rows] = np.logaddexp(backward[start, rows], through)
-        return out
+                if length <= self.PLAIN:
+                    out[:, part], many[:, part] = self._plain(own, length, log_p)
+                    part = part[(out[:, part] == -np.inf).any(axis=0)]
+                for i in range(0, len(part), max(1, step // 4)):
+                    few = part[i : i + max(1, step // 4)]
+                    out[:, few], many[:, few] = self._logs([texts[j] for j in few], length, log_p)
+        return out, many
+
+    def _plain(self, words: list[str], length: int, log_p: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        p = [np.exp(x) for x in log_p]
+        total = np.zeros((len(p), length + 1, len(words)))
+        pieces = np.zeros_like(total)
+        total[:, 0] = 1
+        for start, end, rows, piece, size in self._edges(words, length):
+            spread = 256.0 ** -size if not isinstance(size, int) else 1.0
+            for k, own in enumerate(p):
+                weight = own[piece] * spread
+                before = total[k, start, rows]
+                total[k, end, rows] += before * weight
+                pieces[k, end, rows] += (pieces[k, start, rows] + before) * weight
+        last = total[:, length]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(last > self.TINY, np.log(last), -np.inf), pieces[:, length] / last
+
+    def _logs(self, words: list[str], length: int, log_p: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        total = np.full((len(log_p), length + 1, len(words)), -np.inf)
+        pieces = np.zeros_like(total)
+        total[:, 0] = 0
+        for start, end, rows, piece, size in self._edges(words, length):
+            for k, own in enumerate(log_p):
+                new = total[k, start, rows] + own[piece] - (size * np.log(256) if not isinstance(size, int) else 0)
+                both = np.logaddexp(total[k, end, rows], new)
+                share = np.exp(new - both)
+                pieces[k, end, rows] = (1 - share) * pieces[k, end, rows] + share * (pieces[k, start, rows] + 1)
+                total[k, end, rows] = both
+        return total[:, length], pieces[:, length]

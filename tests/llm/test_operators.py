@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyring.llm import chat, contamination, counts, html, jaccard, likelihood, media, mixing, queries, scratch, store, tokens, toxicity, unigram
+from tallyring.llm.components import components
 from tallyring.ship import ship
 
 BPE, PIECES = tokens.vocabulary(queries.BPE), tokens.vocabulary(queries.PIECES)
@@ -191,11 +192,12 @@ def brute(rows):
     return {d: (len(sets[d]), find(d)) for d in sets}
 
 
-@pytest.mark.parametrize(("rare", "block"), [(32, 1500), (3, 7)])
+@pytest.mark.parametrize(("rare", "block"), [(32, 128), (3, 7)])
 def test_jaccard_groups(spark, monkeypatch, rare, block):
     """A large group of near copies around one text, small groups, passages that many share."""
     monkeypatch.setattr(jaccard, "RARE", rare)
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "PART", block)
     r = np.random.default_rng(5)
     word = lambda: f"w{r.integers(0, 10**6)}"
     base, passage, rows = [word() for _ in range(120)], [word() for _ in range(40)], []
@@ -214,6 +216,28 @@ def test_jaccard_groups(spark, monkeypatch, rare, block):
     assert got == brute(texts)
 
 
+def test_jaccard_boilerplate(spark):
+    """Three fifths that all documents share make no cluster of them, and few pairs."""
+    ship(spark)
+    shared = " ".join(f"s{i}" for i in range(60))
+    df = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit(shared + " "), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda k: F.concat(F.lit("own"), F.hash("id", k).cast("string"))), " ")).alias("text"))
+    spoken = jaccard.classes(df)
+    pairs = jaccard.candidates(df, spoken)
+    assert pairs.count() < 300 and components(pairs).groupBy("component").count().agg(F.max("count")).first()[0] < 32
+    got = jaccard.join(df.unionByName(df.where("doc_id = 7").withColumn("doc_id", F.lit(1000).cast("long")).withColumn("text", F.concat("text", F.lit(" more"))))).where("doc_id <> component_id").collect()
+    assert [(r["doc_id"], r["component_id"]) for r in got] == [(1000, 7)]
+
+
+def test_jaccard_levels():
+    """Sets that may be similar share a level, for which g is not over their e."""
+    for n in range(1, 3000):
+        own = jaccard._level(n)
+        assert jaccard._smallest(own) <= n < jaccard._smallest(own + 1)
+        assert own - jaccard._level(jaccard.least(n)) in (0, 1)
+        for level in (own, own + 1):
+            assert jaccard.prefix(jaccard._smallest(max(0, level - 1)))[1] <= jaccard.prefix(n)[1]
+
+
 def test_jaccard_odd(spark, odd, none):
     got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join(odd.unionByName(odd.where("doc_id = 1").withColumn("doc_id", F.lit(None).cast("long")))).collect()}
     assert {(7, 0, 7), (3, 0, 3), (5, 0, 5), (1, 2, 1), (2, 2, 1), (6, 2, 1), (9, 1, 9), (None, 2, None)} <= got
@@ -222,6 +246,10 @@ def test_jaccard_odd(spark, odd, none):
     assert jaccard.join(none).count() == 0 and jaccard.keep_one(none).count() == 0
     repeated = jaccard.keep_one(odd.where("doc_id = 6"))
     assert repeated.count() == 1
+    narrow = jaccard.join(odd.withColumn("doc_id", F.col("doc_id").cast("int")))
+    assert narrow.schema["component_id"].dataType.simpleString() == "int" and narrow.where("component_id = 1").count() == 4
+    with pytest.raises(ValueError):
+        jaccard.join(odd.withColumn("doc_id", F.col("doc_id").cast("string")))
 
 
 # 4
@@ -461,8 +489,16 @@ def test_token_store_verifies_recipes(spark, odd):
 
 
 # 8
-def test_likelihood(docs, odd, none):
-    df = docs.select("doc_id", "text", "lang").unionByName(odd.select(F.col("doc_id") + 10_000_000, "text", "lang").toDF("doc_id", "text", "lang"))
+def lattice_total(p, text):
+    """Sum over all segmentations, one by one."""
+    return 1.0 if not text else sum(q * lattice_total(p, text[len(n) :]) for n, q in p.items() if n and text.startswith(n))
+
+
+def test_likelihood(spark, docs, odd, none):
+    """Counts and base against plain sums; the score against all segmentations of short texts."""
+    short = [(20_000_000, "a an", "x"), (20_000_001, "The to THE", None), (20_000_002, "☃", "x"), (20_000_003, "of the", "x")]
+    extra = spark.createDataFrame(short, "doc_id long, text string, lang string")
+    df = docs.select("doc_id", "text").unionByName(odd.select(F.col("doc_id") + 10_000_000, "text").toDF("doc_id", "text")).unionByName(extra.select("doc_id", "text")).withColumn("h", F.lit("clash")).withColumn("block", F.lit(1)).withColumn("c", F.lit("clash"))
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
     rows = {r["doc_id"]: r for r in df.withColumn("held", held).collect()}
     c, ends = Counter(), 0
@@ -477,25 +513,65 @@ def test_likelihood(docs, odd, none):
         w = spaced(rows[r["doc_id"]]["text"])
         base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w) + math.log10((ends + 1) / (n + v + 1))
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (rows[r["doc_id"]]["held"], len(w) + 1, sum(c[x] > 0 for x in w) + 1, n)
-        assert r["base_score"] == pytest.approx(base, rel=1e-9) and -1e9 < r["score"] <= 0
+        assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] < 0 and r["word_arc_score"] < 0
+    lattice, scores = likelihood.vocabulary(PIECES)
+    words, counts_ = list(c), np.array(list(c.values()))
+    found = lattice.score(words, [unigram.weights(scores, t) for t in likelihood.GRID])
+    temperature, pieces = likelihood.best((found[0] * counts_).sum(axis=1), (found[1] * counts_).sum(axis=1))
+    end = ends / (ends + pieces)
+    log_p = unigram.weights(scores, temperature, end)
+    p = dict(zip(lattice.names, np.exp(log_p), strict=False))
+    by_id = {r["doc_id"]: r for r in got}
+    for doc, text, _ in short:
+        total = math.log10(end)
+        for w in spaced(text):
+            some = {n: q for n, q in p.items() if n in "▁" + w}
+            some |= {x: math.exp(log_p[-1]) * 256.0 ** -len(x.encode()) for x in "▁" + w if x not in p}
+            total += math.log10(lattice_total(some, "▁" + w))
+        assert by_id[doc]["score"] == pytest.approx(total, rel=1e-6)
+    # the temperature is near the best there is
+    near = [t for t in np.exp(np.linspace(np.log(likelihood.GRID[0]), np.log(likelihood.GRID[-1]), 15))]
+    all_ = (lattice.score(words, [unigram.weights(scores, t) for t in [*near, temperature]])[0] * counts_).sum(axis=1)
+    assert all_[-1] >= all_[:-1].max() - 0.01 * abs(all_[-1])
     assert likelihood.score(none, F.lit(False), PIECES).count() == 0
     assert likelihood.score(odd, F.lit(True), PIECES).count() == len(ODD)
 
 
+def test_likelihood_query(spark, sf):
+    """What is held out, that counts come from training rows alone, and that no row is missing."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    got = {r["doc_id"]: r for r in queries.op8_likelihood(spark, sf).collect()}
+    assert got.keys() == {r["doc_id"] for r in docs}
+    held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2 for r in docs}
+    assert all(got[d]["held_out"] == h for d, h in held.items())
+    assert all(r["train_tokens"] == sum(len(spaced(d["text"])) + 1 for d in docs if not held[d["doc_id"]]) for r in got.values())
+
+
+def test_whole_words():
+    """Discounts leave to the lattice what they take from the counts."""
+    counts_ = np.array([1] * 50 + [2] * 20 + [3] * 9 + [4] * 5 + [30])
+    whole = likelihood.Whole(int(counts_.sum()) + 3, [50, 20, 9, 5, 85])
+    none = np.full(len(counts_), -np.inf)
+    assert np.exp(whole.log_p(none, counts_)).sum() + whole.spare / whole.total == pytest.approx(counts_.sum() / whole.total)
+    assert whole.log_p(np.array([-3.0]), np.array([0]))[0] == pytest.approx(np.log(whole.spare / whole.total) - 3)
+
+
 def test_lattice_sums_all_segmentations():
     names = ["▁", "▁a", "a", "b", "ab", "▁ab"]
     log_p = np.log(np.array([0.2, 0.3, 0.1, 0.15, 0.05, 0.1, 0.1]))
-    lattice = unigram.Lattice(names, log_p)
+    lattice = unigram.Lattice(names)
     p = dict(zip(names, np.exp(log_p), strict=False))
-    def total(text):
-        return 1.0 if not text else sum(p[n] * total(text[len(n) :]) for n in names if text.startswith(n))
-    words = ["a", "ab", "aab", "bab", "b" * 30]
-    assert np.allclose(np.exp(lattice.score(words)), [total("▁" + w) for w in words])
-    assert lattice.score(["☃"])[0] == pytest.approx(np.log(p["▁"]) + log_p[-1] - 3 * np.log(256))
-    use = np.zeros(7)
-    lattice.score(["a"], np.array([2.0]), use)
-    both = p["▁a"] + p["▁"] * p["a"]
-    assert np.allclose(use, [2 * p["▁"] * p["a"] / both, 2 * p["▁a"] / both, 2 * p["▁"] * p["a"] / both, 0, 0, 0, 0])
+    words = ["a", "ab", "aab", "bab", "b" * 30, "b" * 60, "ab" * 9 + "b" * 30]
+    sums, pieces = lattice.score(words, [log_p, log_p - 1.0])
+    assert np.allclose(np.exp(sums[0][:5]), [lattice_total(p, "▁" + w) for w in words[:5]])
+    assert sums[0][5] == pytest.approx(np.log(0.2) + 60 * np.log(0.15)) and pieces[0][5] == pytest.approx(61)
+    assert pieces[0][0] == pytest.approx((1 * 0.3 + 2 * 0.2 * 0.1) / (0.3 + 0.2 * 0.1))
+    for plain in (40, 0):  # plain numbers and logs agree
+        lattice.PLAIN = plain
+        assert np.allclose(lattice.score(words, [log_p, log_p - 1.0]), [sums, pieces])
+    assert lattice.score(["☃"], [log_p])[0][0][0] == pytest.approx(np.log(p["▁"]) + log_p[-1] - 3 * np.log(256))
+    w = unigram.weights(np.array([-2.0, -3.0, -50.0]), 2.0, 0.25)
+    assert np.exp(w).sum() == pytest.approx(0.75) and w[0] - w[1] == pytest.approx(0.5) and w[-1] == w[2] - unigram.PENALTY / 2
 
 
 # 9
