@@ -9,12 +9,15 @@ them; the archives of attempts that did not succeed are in no list and are never
 Reading. The data source ``archive`` plans byte ranges over the listed archives from their
 sizes. A task opens an archive's directory, takes the members whose headers start in its
 range, reads neighbouring members in one request and streams them out in Arrow batches. A
-member whose CRC does not hold is fetched again alone, by its own offset, up to
-``retries`` times, and only then fails the task.
-
-Null texts are empty: one row of spaces. Equal texts give equal bytes and features. Rows
-stay separate whatever their doc_id (null included; any type that Spark casts to text and
-back). An empty table gives an empty result. Columns beyond doc_id and text are not read.
+member that comes short, broken or not at all (its CRC does not hold, or the store raises
+OSError) is fetched again alone, by its own offset from a newly opened file, up to ``retries``
+times with growing pauses, and only then fails the task. The directory is retried likewise.
+
+Null texts are empty: one row of spaces. Equal texts give equal bytes and features. Texts of any
+length are one image, held whole by one task. Rows stay separate whatever their doc_id (null
+included; any type that Spark casts to text and back, of at most ``LONGEST_ID`` bytes as text; a
+longer one raises). An empty table gives an empty result. Columns beyond doc_id and text are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import io
 import struct
+import time
 import uuid
 import zipfile
 import zlib
@@ -40,6 +44,9 @@ from tallyring.llm import scratch
 UNIT, WIDTH = 192, 64
 ARCHIVE_BYTES = 16 << 20
 RANGE_BYTES = 8 << 20
+LONGEST_ID = 30_000
+#: Seconds before the first new try; each further one waits twice as long.
+PAUSE = 0.1
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 LEVEL = 6
 
@@ -129,6 +136,8 @@ def _pack(path: str):
 
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if doc is not None and len(doc.encode()) > LONGEST_ID:
+                    raise ValueError(f"doc_id of over {LONGEST_ID} bytes: {doc[:50]}...")
                 if archive is None:
                     archive = zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED)
                 # the name holds the id after a sign that it is there, and the bytes without padding
@@ -163,41 +172,68 @@ class ArchiveReader(DataSourceReader):
         return found
 
     @staticmethod
-    def member(f, info: zipfile.ZipInfo, head: bytes, lo: int) -> bytes | None:
+    def member(info: zipfile.ZipInfo, head: bytes, lo: int) -> bytes | None:
         """A member's bytes out of ``head``, which starts at ``lo``; None if they do not hold."""
         at = info.header_offset - lo
+        if len(head) < at + 30:
+            return None
         name, extra = struct.unpack_from("<HH", head, at + 26)
         data = head[at + 30 + name + extra :][: info.file_size]
         return data if len(data) == info.file_size and zlib.crc32(data) == info.CRC else None
 
+    @staticmethod
+    def fetch(archive: str, lo: int, n: int) -> bytes:
+        """Bytes of an archive, from a file opened for them alone."""
+        files, where = _open(archive)
+        with files.open_input_file(where) as f:
+            f.seek(lo)
+            return f.read(n)
+
+    @staticmethod
+    def directory(archive: str) -> tuple[list[zipfile.ZipInfo], int]:
+        """Members in order of their offsets, and where they end."""
+        files, where = _open(archive)
+        with files.open_input_file(where) as f, zipfile.ZipFile(f) as z:
+            return sorted(z.infolist(), key=lambda i: i.header_offset), z.start_dir
+
+    def _tried(self, what: str, attempt):
+        """The first answer of ``attempt`` that is not None, before the tries end."""
+        last = "it does not hold"
+        for k in range(self.retries + 1):
+            if k:
+                time.sleep(PAUSE * 2 ** (k - 1))
+            try:
+                if (found := attempt()) is not None:
+                    return found
+            except (OSError, zipfile.BadZipFile) as e:
+                last = f"{type(e).__name__}: {e}"
+        raise OSError(f"{what}: {last} after {self.retries} more tries")
+
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         if partition is None:  # no archives were listed
             return
-        files, where = _open(partition.archive)
-        with files.open_input_file(where) as f:
-            with zipfile.ZipFile(f) as z:
-                after = z.start_dir
-                members = sorted(z.infolist(), key=lambda i: i.header_offset)
-            ends = [i.header_offset for i in members[1:]] + [after]
-            own = [(m, e) for m, e in zip(members, ends, strict=True) if partition.lo <= m.header_offset < partition.hi]
-            while own:
-                lo, k = own[0][0].header_offset, 1
-                while k < len(own) and own[k][1] - lo <= 2 << 20:
-                    k += 1
-                f.seek(lo)
-                head = f.read(own[k - 1][1] - lo)
-                rows = []
-                for info, end in own[:k]:
-                    data, tries = self.member(f, info, head, lo), 0
-                    while data is None:
-                        if (tries := tries + 1) > self.retries:
-                            raise OSError(f"{partition.archive}, {info.filename} at {info.header_offset}: its CRC does not hold after {self.retries} more tries")
-                        f.seek(info.header_offset)
-                        data = self.member(f, info, f.read(end - info.header_offset), info.header_offset)
-                    rows.append((partition.archive, info.filename, info.header_offset, data))
-                own = own[k:]
-                kinds = (pa.string(), pa.string(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["archive", "member", "offset", "media"])
+        archive = partition.archive
+        members, after = self._tried(f"{archive}, its directory", lambda: self.directory(archive))
+        ends = [i.header_offset for i in members[1:]] + [after]
+        own = [(m, e) for m, e in zip(members, ends, strict=True) if partition.lo <= m.header_offset < partition.hi]
+        while own:
+            lo, k = own[0][0].header_offset, 1
+            while k < len(own) and own[k][1] - lo <= 2 << 20:
+                k += 1
+            try:
+                head = self.fetch(archive, lo, own[k - 1][1] - lo)
+            except OSError:
+                head = b""
+            rows = []
+            for info, end in own[:k]:
+                data = self.member(info, head, lo)
+                if data is None:
+                    at = info.header_offset
+                    data = self._tried(f"{archive}, {info.filename} at {at}", lambda info=info, at=at, end=end: self.member(info, self.fetch(archive, at, end - at), at))
+                rows.append((archive, info.filename, info.header_offset, data))
+            own = own[k:]
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["archive", "member", "offset", "media"])
 
 
 class ArchiveSource(DataSource):
