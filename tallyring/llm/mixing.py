@@ -4,7 +4,9 @@ Every document gets a 40-bit hash of its id. Sizes are summed by source and by t
 10 bits of the hash; running sums over those 1,024 buckets find the bucket in which a
 source's budget ends. Only that bucket is summed again by the next 10 bits, and so on
 over four nested levels, so the last bucket holds about one document at any input size.
-A document is taken if its hash lies below its source's threshold: no sort, no rank.
+A document is taken if its hash lies below its source's threshold: no sort, no rank. What is
+known of sources is a table of one row a source, written after each level; it never comes to the
+driver, and Spark broadcasts it where it is small.
 
 Definitions
   size        number of words ``[^ \\t-\\r]+`` of the text; null counts 0.
@@ -15,20 +17,21 @@ Definitions
   taken       ``copies * size``.
 Rows with the same id share a hash and so a decision; a null id hashes as the empty text.
 Empty documents are copied by the same rule and count 0. A source without words has
-target 0 and no copies; an empty table gives an empty result.
+target 0 and no copies; an empty table gives an empty result. Texts of any length are counted
+whole, repeated rows one by one; columns beyond doc_id, source and text are not read, whatever
+their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BITS, LEVELS = 10, 4
-#: Thresholds (one row of under 100 bytes a source) are broadcast up to this many sources.
-BROADCAST_SOURCES = 10_000
-_STATE = "__mix_source string, __mix_total long, __mix_target double, __mix_full long, __mix_left double, __mix_prefix long"
 
 
 def word_count(text: Column) -> Column:
@@ -39,81 +42,69 @@ def hash40(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 10), 16, 10).cast("long")
 
 
-def targets(sizes: dict[str | None, int]) -> dict[str | None, float]:
-    """Shares of all sizes by weight, none above MOST times its source's size."""
-    order = sorted(sizes, key=lambda s: (s is None, s.encode() if s is not None else b""))
-    weight = {s: WEIGHTS[i % len(WEIGHTS)] for i, s in enumerate(order)}
-    total, capped = sum(sizes.values()), set()
-    while True:
-        free = [s for s in order if s not in capped]
-        left, shares = total - sum(MOST * sizes[s] for s in capped), sum(weight[s] for s in free)
-        above = {s for s in free if left * weight[s] > MOST * sizes[s] * shares}
-        if not above:
-            return {s: float(MOST * sizes[s]) if s in capped else left / shares * weight[s] for s in order}
-        capped |= above
-
-
-def sized(docs: DataFrame) -> DataFrame:
-    """``docs`` with its size and hash; text, source and doc_id are read, all columns stay."""
-    return docs.withColumns({"__mix_size": word_count(F.col("text")), "__mix_hash": hash40(F.col("doc_id"))})
+def sized(docs: DataFrame, *kept: Column) -> DataFrame:
+    """source, size and hash of every document, after the columns that are kept."""
+    return docs.select(*kept, "source", word_count(F.col("text")).alias("size"), hash40(F.col("doc_id")).alias("hash"))
 
 
-def _state(spark, rows: list[tuple]) -> DataFrame:
-    df = spark.createDataFrame(rows, _STATE)
-    return F.broadcast(df) if len(rows) <= BROADCAST_SOURCES else df
+def targets(sums: DataFrame) -> DataFrame:
+    """``sums`` (source, total: one row a source) with ``target``: shares of all by weight, none above
+    MOST times its source's total. Sources are cut off in order of total by weight, so sums
+    over that order tell where the cutting ends."""
+    place = F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1
+    weight = reduce(lambda c, iw: c.when(place % len(WEIGHTS) == iw[0], F.lit(iw[1])), enumerate(WEIGHTS), F.when(F.lit(False), F.lit(0)))
+    most = F.col("total") * MOST
+    order = Window.orderBy((most.cast("double") / F.col("weight")).asc(), F.asc_nulls_last("source"))
+    every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = sums.withColumn("weight", weight).withColumns({"all": F.sum("total").over(every), "before": F.coalesce(F.sum(most).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "rest": F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))})
+    out = out.withColumn("cut", (F.col("all") - F.col("before")) * F.col("weight") > most * F.col("rest"))
+    room = (F.col("all") - F.coalesce(F.sum(F.when(F.col("cut"), most)).over(every), F.lit(0))).cast("double")
+    shares = F.sum(F.when(~F.col("cut"), F.col("weight"))).over(every).cast("double")
+    return out.withColumns({"room": room, "shares": shares}).select("source", "total", F.when(F.col("cut"), most.cast("double")).otherwise(F.col("room") / F.col("shares") * F.col("weight")).alias("target"))
 
 
-def thresholds(slim: DataFrame) -> DataFrame:
-    """One row a source: its total, target, full copies and hash threshold (``__mix_prefix``).
+def thresholds(slim: DataFrame, keep) -> DataFrame:
+    """One row a source: its total, target, full copies and hash threshold (``prefix``).
 
-    ``slim`` needs source, __mix_size and __mix_hash and is read five times."""
-    spark = slim.sparkSession
-    sums = {r[0]: r[1] for r in slim.groupBy("source").agg(F.sum("__mix_size")).collect()}
-    goal = targets(sums) if sums else {}
-    state = {}
-    for s, total in sums.items():
-        full = int(goal[s] // total) if total else 0
-        state[s] = (s, total, goal[s], full, goal[s] - full * total, 0)
+    ``slim`` has source, size and hash and is read five times; ``keep`` stores a small table."""
+    own = targets(slim.groupBy("source").agg(F.sum("size").alias("total")))
+    full = F.when(F.col("total") > 0, F.floor(F.col("target") / F.col("total"))).otherwise(F.lit(0)).cast("long")
+    own = own.withColumn("full", full).withColumn("left", F.col("target") - F.col("full") * F.col("total"))
+    state = keep(own.select(F.col("source").alias("of"), "total", "target", "full", "left", F.lit(0).cast("long").alias("prefix")))
     for level in range(LEVELS):
         below = BITS * (LEVELS - level - 1)
-        step = F.shiftright("__mix_hash", below)
-        open_ = slim.join(_state(spark, list(state.values())), F.col("source").eqNullSafe(F.col("__mix_source"))).where(F.shiftright("__mix_hash", below + BITS) == F.col("__mix_prefix"))
-        sums_by = open_.groupBy("__mix_source", step.alias("__mix_step")).agg(F.sum("__mix_size").alias("n"), F.first("__mix_left").alias("left"))
-        upto = Window.partitionBy("__mix_source").orderBy("__mix_step").rowsBetween(Window.unboundedPreceding, 0)
-        running = sums_by.withColumn("upto", F.sum("n").over(upto))
-        edge = running.where(F.col("upto") > F.col("left")).groupBy("__mix_source").agg(F.min(F.struct("__mix_step", "n", "upto")).alias("e"))
-        found = {r[0]: r[1] for r in edge.collect()}
-        for s, (_, total, target, full, left, prefix) in state.items():
-            if s not in found:  # nothing beyond the budget here: everything below this prefix's end
-                state[s] = (s, total, target, full, left, (prefix + 1) << BITS if total else 0)
-                continue
-            e = found[s]
-            left -= e["upto"] - e["n"]
-            last = level == LEVELS - 1
-            state[s] = (s, total, target, full, left, e["__mix_step"] + (last and e["n"] - left < left))
-    return _state(spark, list(state.values()))
-
-
-def assign(with_size: DataFrame, state: DataFrame) -> DataFrame:
-    """Rows with ``__mix_target``, ``__mix_total`` and ``__mix_copies``."""
-    joined = with_size.join(state, F.col("source").eqNullSafe(F.col("__mix_source")))
-    return joined.withColumn("__mix_copies", F.when(F.col("__mix_total") > 0, F.col("__mix_full") + (F.col("__mix_hash") < F.col("__mix_prefix")).cast("long")).otherwise(F.lit(0).cast("long")))
-
-
-def mix(docs: DataFrame, slim_table) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row; ``slim_table`` stores a DataFrame
-    for rereading (texts are read once)."""
-    slim = slim_table(sized(docs.select("doc_id", "source", "text")).select("doc_id", "source", "__mix_size", "__mix_hash"))
-    out = assign(slim, thresholds(slim))
-    return out.select("doc_id", F.col("__mix_size").alias("size"), F.col("__mix_total").alias("source_size"), F.col("__mix_target").alias("target"), (F.col("__mix_copies") * F.col("__mix_size")).alias("taken"))
-
-
-def resample(docs: DataFrame, slim_table) -> DataFrame:
+        open_ = slim.join(state, F.col("source").eqNullSafe(F.col("of"))).where(F.shiftright("hash", below + BITS) == F.col("prefix"))
+        sums = open_.groupBy("of", F.shiftright("hash", below).alias("step")).agg(F.sum("size").alias("n"), F.max("left").alias("budget"))
+        running = sums.withColumn("upto", F.sum("n").over(Window.partitionBy("of").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)))
+        edge = running.where(F.col("upto") > F.col("budget")).groupBy(F.col("of").alias("at")).agg(F.min(F.struct("step", "n", "upto")).alias("e"))
+        left = F.col("left") - (F.col("e.upto") - F.col("e.n"))
+        # the last bucket is taken if that comes nearer to the budget
+        nearer = (F.col("e.n") - left < left).cast("long") if level == LEVELS - 1 else F.lit(0).cast("long")
+        # no edge: nothing is beyond the budget here, so everything below this prefix's end is taken
+        prefix = F.when(F.col("e").isNotNull(), F.col("e.step") + nearer).when(F.col("total") > 0, F.call_function("shiftleft", F.col("prefix") + 1, F.lit(BITS))).otherwise(F.lit(0).cast("long"))
+        state = keep(state.join(edge, F.col("of").eqNullSafe(F.col("at")), "left").select("of", "total", "target", "full", F.coalesce(left, F.col("left")).alias("left"), prefix.alias("prefix")))
+    return state
+
+
+def copies() -> Column:
+    """How often a row is taken."""
+    return F.when(F.col("total") > 0, F.col("full") + (F.col("hash") < F.col("prefix")).cast("long")).otherwise(F.lit(0).cast("long"))
+
+
+def mix(docs: DataFrame, keep) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every row; ``keep`` stores a DataFrame for
+    rereading (texts are read once)."""
+    slim = keep(sized(docs, F.col("doc_id")))
+    joined = slim.join(thresholds(slim.drop("doc_id"), keep), F.col("source").eqNullSafe(F.col("of")))
+    return joined.select("doc_id", "size", F.col("total").alias("source_size"), "target", (copies() * F.col("size")).alias("taken"))
+
+
+def resample(docs: DataFrame, keep) -> DataFrame:
     """``docs`` with every row as many times as the mix takes it; columns as they came."""
-    slim = slim_table(sized(docs.select("doc_id", "source", "text")).select("source", "__mix_size", "__mix_hash"))
-    named = assign(sized(docs), thresholds(slim)).where(F.col("__mix_copies") > 0)
-    repeated = named.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    state = thresholds(keep(sized(docs)), keep)
+    # a row goes along whole, so none of its columns can clash
+    joined = sized(docs, F.struct("*").alias("row")).join(state, F.col("source").eqNullSafe(F.col("of"))).withColumn("copies", copies())
+    return joined.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select("row.*")
 
 
 ORACLE_SQL = r"""

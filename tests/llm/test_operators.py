@@ -587,23 +587,67 @@ def test_media(spark, docs, odd, none):
     assert media.store_and_describe(none).count() == 0
 
 
-def test_media_retries_a_member(spark, odd):
+def test_media_retries(spark, odd, monkeypatch):
+    """A read that fails, comes short or comes broken is made again from a new handle, then raises."""
+    monkeypatch.setattr(media, "PAUSE", 0.0)
     listed = media.pack(odd.where("doc_id <> 4"), scratch.folder(spark, "media"))
     reader = media.ArchiveReader({"list": listed, "rangebytes": "300"})
-    parts = reader.partitions()
-    assert sum(b.num_rows for p in parts for b in reader.read(p)) == 9 and len(parts) > 1
-    once, real = [], media.ArchiveReader.member
-    def flaky(f, info, head, lo):
-        once.append(info.filename)
-        return None if len(once) == 1 else real(f, info, head, lo)
-    reader.member = flaky
-    assert sum(b.num_rows for p in parts for b in reader.read(p)) == 9
-    reader.member = lambda *a: None
-    with pytest.raises(OSError, match="CRC"):
-        [b for p in parts for b in reader.read(p)]
+    parts, real, directory = reader.partitions(), reader.fetch, reader.directory
+    read = lambda: sum(b.num_rows for p in parts for b in reader.read(p))
+    assert read() == 9 and len(parts) > 1
+    for failure in ("short", "empty", "broken", "raises"):
+        calls = []
+        def fetch(archive, lo, n, failure=failure, calls=calls):
+            calls.append(lo)
+            data = real(archive, lo, n)
+            if len(calls) % 3 == 0:
+                return data
+            if failure == "raises":
+                raise OSError("gone")
+            return {"short": data[:-1], "empty": b"", "broken": data[:-1] + bytes([data[-1] ^ 1])}[failure]
+        reader.fetch = fetch
+        assert read() == 9 and len(calls) > 9
+    tries = []
+    def once(archive):
+        tries.append(archive)
+        if len(tries) % 2:
+            raise OSError("gone")
+        return directory(archive)
+    reader.fetch, reader.directory = real, once
+    assert read() == 9
+    reader.directory, reader.fetch = directory, lambda *a: b""
+    with pytest.raises(OSError, match="after 3 more tries"):
+        read()
+    with pytest.raises(Exception, match="doc_id of over"):
+        media.pack(spark.createDataFrame([("x" * 40_000, "t")], "doc_id string, text string"), scratch.folder(spark, "media"))
+
+
+def test_media_form():
+    """The stored form is a PNG that any reader knows: by its sections, written down here."""
+    data = bytes(range(192)) * 2
+    want = b"\x89PNG\r\n\x1a\n"
+    for kind, body in ((b"IHDR", bytes([0, 0, 0, 64, 0, 0, 0, 2, 8, 2, 0, 0, 0])), (b"IDAT", zlib.compress(b"".join(b"\0" + data[k : k + 192] for k in (0, 192)), 6)), (b"IEND", b"")):
+        want += len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
+    assert media.to_png(data) == want and media.from_png(want) == data
+    with pytest.raises(ValueError):
+        media.from_png(want.replace(b"IDAT", b"IDAX"))
+    reds = np.frombuffer(data, dtype=np.uint8)[0::3].astype(float)
+    assert media.feature(data).startswith(f"2x64 {reds.mean():.3f}/{reds.std():.3f} ")
 
 
 # 10
+def mix_targets(sizes):
+    """Shares by weight, one source after the other cut off at 3 times its size."""
+    order = sorted(sizes, key=lambda s: (s is None, s.encode() if s is not None else b""))
+    weight, capped = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}, set()
+    while True:
+        left, shares = sum(sizes.values()) - sum(3 * sizes[s] for s in capped), sum(weight[s] for s in order if s not in capped)
+        above = {s for s in order if s not in capped and left * weight[s] > 3 * sizes[s] * shares}
+        if not above:
+            return {s: float(3 * sizes[s]) if s in capped else left / shares * weight[s] for s in order}
+        capped |= above
+
+
 def test_mixing(spark, docs, odd, none):
     keep = lambda df: scratch.table(df, "mix")
     for df in (docs, odd):
@@ -612,7 +656,8 @@ def test_mixing(spark, docs, odd, none):
         sizes = Counter()
         for r in df.collect():
             sizes[r["source"]] += len(spaced(r["text"]))
-        goal = mixing.targets(dict(sizes))
+        goal = mix_targets(dict(sizes))
+        assert all(any(r["target"] == pytest.approx(g) for g in goal.values()) for r in got)
         assert sum(goal.values()) == pytest.approx(sum(sizes.values())) and all(goal[s] <= 3 * sizes[s] + 1e-9 for s in sizes)
         assert len(got) == df.count() and all(r["taken"] <= 3 * r["size"] for r in got)
         copies = mixing.resample(df, keep)
@@ -625,4 +670,13 @@ def test_mixing(spark, docs, odd, none):
         by[source[r["doc_id"]]] = (taken + r["taken"], target, max(most, r["size"]))
     assert all(abs(taken - target) <= most for taken, target, most in by.values())
     assert mixing.mix(none, keep).count() == 0
-    assert mixing.targets({"a": 10, "b": 0, None: 30}) == {"a": 30.0, "b": 0.0, None: 10.0}
+    r = np.random.default_rng(9)
+    cases = [{"a": 10, "b": 0, None: 30}, {"x": 0}, *[{f"s{k}": int(r.integers(0, 10 ** int(r.integers(1, 6)))) for k in range(int(r.integers(1, 30)))} for _ in range(12)]]
+    for case in cases:
+        sums = spark.createDataFrame(list(case.items()), "source string, total long")
+        found = {x["source"]: x["target"] for x in mixing.targets(sums).collect()}
+        assert found == pytest.approx(mix_targets(case))
+    clash = docs.withColumns({"size": F.lit("mine"), "hash": F.lit("mine"), "copies": F.lit("mine"), "of": F.lit("mine"), "__mix_size": F.lit("mine")})
+    rows = mixing.resample(clash, keep)
+    assert rows.columns == clash.columns and rows.select("size", "hash", "copies", "of", "__mix_size").distinct().collect() == [("mine",) * 5]
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
