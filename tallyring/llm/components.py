@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from tallyring.llm import scratch
 
 
-def _min_below(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+def _with_least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges with the smallest v of their u as m, and the table of those. As it is written first, the
+    join deals both its sides itself and can split a u with very many edges."""
+    least = scratch.table(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+    return edges.join(least, "u"), least
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,15 +24,15 @@ def components(edges: DataFrame) -> DataFrame:
     now = scratch.table(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     last = None
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = _min_below(both).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = large.distinct()
-        low = _min_below(large)
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        both, of_both = _with_least(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        large = both.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
+        large = scratch.table(large, "large")
+        small, of_large = _with_least(large)
+        small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         before, now = now, scratch.table(small, "edges")
         state = now.agg(F.count("*"), F.sum(F.col("u") % 1_000_003), F.sum(F.col("v") % 1_000_003), F.sum((F.col("u") % 65_537) * (F.col("v") % 65_539))).first()
-        scratch.drop(before)
+        for t in (before, large, of_both, of_large):
+            scratch.drop(t)
         if state == last:
             break
         last = state
