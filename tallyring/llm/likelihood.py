@@ -9,16 +9,16 @@ reaches over two words, the text's probability is the product over its words, ti
 What is learnt, from the training documents' whole text: the temperature that turns scores into
 probabilities (the scores of a vocabulary made by merges are ranks, not logarithms), by the
 likelihood of all training words at the temperatures of ``GRID`` and the best point of a parabola
-through them; and the chance of the end, from the expected number of pieces. The column
-``word_arc_score`` tells of another model over the same lattice, in which a word of the training
-documents may also be written whole, with its discounted count.
+through them; and the chance of the end, from the expected number of pieces (the slope of the
+likelihood where every piece is ``STEP`` less likely, at the best of ``GRID``).
 
-How it runs. Documents are cut into blocks of about ``BLOCK`` bytes. A first pass sums, a block,
-the likelihoods of its training words. A second one writes each block's distinct words (hash,
-training count, lattice score) and, per document, the places of its words in that list. Counts are
-summed by hash, counted within blocks first, so the commonest word is one row a block; they go back
-to the blocks and meet the documents there. No text of a word is shuffled. Only sums (one row a
-task) reach the driver.
+How it runs. Documents are cut into blocks of about ``BLOCK`` bytes, a lattice is summed once for
+each distinct word of a block, and documents add up their words'. A first pass sums, a block, the
+likelihoods of its training words. A second one scores the documents, and writes, for the base,
+each block's distinct words (hash and training count) and the places of each document's words in
+that list. Counts are summed by hash, counted within blocks first, so the commonest word is one row
+a block; they go back to the blocks and meet the documents there. No text of a word is shuffled.
+Only sums (one row a temperature) reach the driver.
 
 Base (for comparison): sum over tokens of ``log10((c + 1) / (N + V + 1))``.
 
@@ -39,20 +39,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyring.llm import scratch, unigram
-from tallyring.llm.text import SPACED, Words, slices
+from tallyring.llm.text import LOWER, SPACED, Words, slices
 
 BLOCK = 8 << 20
 GRID = (600.0, 1800.0, 5400.0, 16200.0)
+STEP = 1e-3
 #: Pieces before the end, where no document tells.
 END = 1000.0
 #: Words whose lattices are summed together: enough of each length to work in whole arrays.
-TOGETHER = 50_000
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+TOGETHER = 100_000
 
 
 class Block:
-    """Distinct words of some documents, by hash: ``hash``, ``words`` (lower-cased), ``counts`` in
-    training documents, and ``places`` of every word of the documents among them."""
+    """Distinct words of some documents, by hash: ``hash``, ``counts`` in training documents, code
+    points (lower-cased; word i from ``start[i]``, ``length[i]`` long), and ``places`` of every
+    word of the documents among them."""
 
     def __init__(self, parts: list[tuple[pa.RecordBatch, Words]]) -> None:
         self.parts = parts
@@ -61,15 +62,43 @@ class Block:
         self.counts = np.bincount(self.places[trained], minlength=len(self.hash))
         before = np.cumsum([0, *[len(w.start) for _, w in parts]])
         part = np.searchsorted(before, first, side="right") - 1
-        self.words = [parts[p][1].data[(w := parts[p][1]).start[i] : w.end[i]].tobytes().translate(_LOWER).decode("utf-8", "replace") for p, i in zip(part.tolist(), (first - before[part]).tolist(), strict=True)]
-
-    def documents(self) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-        """Rows, and the places of the words of each as bytes of 32-bit numbers."""
+        self.start, self.length = np.zeros(len(first), dtype=np.int64), np.zeros(len(first), dtype=np.int64)
+        codes, at = [], 0
+        for k, (_, w) in enumerate(parts):
+            own = np.flatnonzero(part == k)
+            points, begin, end = _code_points(w, first[own] - before[k])
+            self.start[own], self.length[own] = begin + at, end - begin
+            codes.append(points)
+            at += len(points)
+        self.codes = np.concatenate(codes)
+
+    def score(self, lattice: unigram.Lattice, words: np.ndarray, log_p: list[np.ndarray]) -> np.ndarray:
+        """Log probabilities of some words, a row for each of the weights."""
+        out = np.empty((len(log_p), len(words)))
+        for lo in range(0, len(words), TOGETHER):
+            own = words[lo : lo + TOGETHER]
+            out[:, lo : lo + TOGETHER] = lattice.score_codes(self.codes, self.start[own], self.length[own], log_p)
+        return out
+
+    def documents(self) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        """Rows, the places of their words, and where each row's begin, one more than rows."""
         at = 0
         for batch, w in self.parts:
-            own = self.places[at : at + len(w.start)].astype("<i4")
+            yield batch, self.places[at : at + len(w.start)], w.first
             at += len(w.start)
-            yield batch, [own[a:b].tobytes() for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
+
+
+def _code_points(w: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of some words, A-Z lower-cased, and where each begins and ends in them."""
+    length = w.end[which] - w.start[which]
+    to = np.cumsum(length)
+    data = LOWER[w.data[np.arange(to[-1] if len(to) else 0) - np.repeat(to - length, length) + np.repeat(w.start[which], length)]]
+    try:
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), dtype=np.uint32)
+        counted = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    except UnicodeDecodeError:  # bytes that are no text stand for themselves
+        points, counted = data.astype(np.uint32), np.arange(len(data) + 1)
+    return points, counted[to - length], counted[to]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
@@ -96,123 +125,100 @@ def vocabulary(path: str) -> tuple[unigram.Lattice, np.ndarray]:
 
 
 def _fit(path: str):
-    """Of a task's training words, a row a temperature: sum of log probabilities and of pieces."""
+    """Of a task's training words, a row a temperature: sum of log probabilities, and of those with
+    every piece a step less likely."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, scores = vocabulary(path)
-        sums = np.zeros((2, len(GRID)))
+        log_p = [unigram.weights(scores, t, end) for end in (0.0, STEP) for t in GRID]
+        sums = np.zeros(len(log_p))
         for block in _blocks(batches):
             seen = np.flatnonzero(block.counts)
-            for lo in range(0, len(seen), TOGETHER):
-                own = seen[lo : lo + TOGETHER]
-                found = lattice.score([block.words[i] for i in own.tolist()], [unigram.weights(scores, t) for t in GRID])
-                sums += [(x * block.counts[own]).sum(axis=1) for x in found]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(GRID)), pa.int32()), *map(pa.array, sums)], names=["k", "log_p", "pieces"])
+            sums += (block.score(lattice, seen, log_p) * block.counts[seen]).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(GRID)), pa.int32()), pa.array(sums[: len(GRID)]), pa.array(sums[len(GRID) :])], names=["k", "log_p", "less"])
 
     return run
 
 
-def best(log_p: np.ndarray, pieces: np.ndarray) -> tuple[float, float]:
-    """Temperature of the highest likelihood and number of pieces there, by a parabola over log
-    temperatures through the best of ``GRID`` and its neighbours."""
-    x, k = np.log(GRID), int(np.clip(np.argmax(log_p), 1, len(GRID) - 2))
+def best(log_p: np.ndarray, less: np.ndarray) -> tuple[float, float]:
+    """Temperature of the highest likelihood, by a parabola over log temperatures through the best of
+    ``GRID`` and its neighbours, and the expected number of pieces at the best of ``GRID``."""
+    x, top = np.log(GRID), int(np.argmax(log_p))
+    k = int(np.clip(top, 1, len(GRID) - 2))
     a, b, _ = np.polyfit(x[k - 1 : k + 2], log_p[k - 1 : k + 2], 2)
-    at = float(np.clip(-b / (2 * a), x[0], x[-1])) if a < 0 else float(x[np.argmax(log_p)])
-    return float(np.exp(at)), float(np.interp(at, x, pieces))
+    at = float(np.clip(-b / (2 * a), x[0], x[-1])) if a < 0 else float(x[top])
+    return float(np.exp(at)), float((less[top] - log_p[top]) / np.log1p(-STEP))
 
 
-def _cut(path: str, temperature: float, end: float, id_type):
-    """Rows of two kinds: a block's words (h, i, c, p) and its documents (doc_id, held_out, ids)."""
+def _cut(path: str, temperature: float, end: float):
+    """Rows of two kinds: a block's words (h, i, c) and its documents (doc_id, held_out, score, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, scores = vocabulary(path)
         log_p = [unigram.weights(scores, temperature, end)]
         first = TaskContext.get().partitionId() << 24
-        kinds = {"block": pa.int64(), "h": pa.int64(), "i": pa.int32(), "c": pa.int64(), "p": pa.float64(), "doc_id": None, "held_out": pa.bool_(), "ids": pa.binary()}
+        kinds = {"block": pa.int64(), "h": pa.int64(), "i": pa.int32(), "c": pa.int64(), "doc_id": None, "held_out": pa.bool_(), "score": pa.float64(), "ids": pa.binary()}
 
         def rows(n: int, given: dict) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(given[c], kind) if c in given else pa.nulls(n, kind) for c, kind in kinds.items()], names=list(kinds))
 
         for number, block in enumerate(_blocks(batches)):
             kinds["doc_id"] = block.parts[0][0].schema.field("doc_id").type
-            for lo in range(0, len(block.words), TOGETHER):
-                words = block.words[lo : lo + TOGETHER]
-                n, to = len(words), lo + len(words)
-                yield rows(n, {"block": np.full(n, first + number), "h": block.hash[lo:to].view(np.int64), "i": np.arange(lo, to), "c": block.counts[lo:to], "p": lattice.score(words, log_p)[0][0]})
-            for batch, ids in block.documents():
-                n = batch.num_rows
-                yield rows(n, {"block": np.full(n, first + number), "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "ids": ids})
+            of_words = block.score(lattice, np.arange(len(block.hash)), log_p)[0]
+            for lo in range(0, len(block.hash), TOGETHER):
+                to = min(lo + TOGETHER, len(block.hash))
+                yield rows(to - lo, {"block": np.full(to - lo, first + number), "h": block.hash[lo:to].view(np.int64), "i": np.arange(lo, to), "c": block.counts[lo:to]})
+            for batch, places, at in block.documents():
+                own = places.astype("<i4")
+                ids = [own[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                found = np.array([of_words[places[a:b]].sum() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+                yield rows(batch.num_rows, {"block": np.full(batch.num_rows, first + number), "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": (found + np.log(end)) / np.log(10), "ids": ids})
 
     return run
 
 
-class Whole:
-    """Words written whole: discounted counts, and what the discounts leave to the lattice."""
-
-    def __init__(self, total: int, of_counts: list[int]) -> None:
-        """``of_counts``: words seen once, twice, three and four times, and all that are seen."""
-        n1, n2, n3, n4, types = of_counts
-        y = n1 / (n1 + 2 * n2) if n1 else 0.0
-        guess = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-        self.discount = np.array([0.0, *[float(np.clip(d, 0.05, j - 0.05)) for d, j in zip(guess, (1, 2, 3), strict=True)]])
-        self.total = total
-        self.spare = max(0.5, self.discount[1] * n1 + self.discount[2] * n2 + self.discount[3] * (types - n1 - n2))
-
-    def log_p(self, lattice: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """Natural log of words' probabilities from their lattice scores and counts."""
-        if not self.total:
-            return lattice
-        with np.errstate(divide="ignore"):
-            whole = np.log(np.maximum(c - self.discount[np.minimum(c, 3)], 0) / self.total)
-        return np.logaddexp(whole, np.log(self.spare / self.total) + lattice)
-
-
 def base(c: np.ndarray, total: int, distinct: int) -> np.ndarray:
     """log10 of the base probabilities of tokens seen c times."""
     return np.log10(c + 1.0) - np.log10(float(total + distinct + 1))
 
 
-def _meet(whole: Whole, ends: int, total: int, distinct: int, end: float):
-    """Scores of a block's documents from its words."""
+def _meet(ends: int, total: int, distinct: int):
+    """Counts and base scores of a block's documents from its words."""
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         docs, words = docs.combine_chunks(), words.combine_chunks()
-        order = np.argsort(words.column("i").to_numpy())
-        c, lattice = words.column("c").to_numpy()[order], words.column("p").to_numpy()[order]
-        of_base, arcs = base(c, total, distinct), whole.log_p(lattice, c)
-        end_base, end_arc = base(np.array([ends]), total, distinct)[0], np.log((ends + 1) / (total + 2))
-        out: list[list] = [[], [], [], [], []]
+        c = np.zeros(words.num_rows, dtype=np.int64)
+        c[words.column("i").to_numpy()] = words.column("c").to_numpy()
+        of_base, of_end = base(c, total, distinct), base(np.array([ends]), total, distinct)[0]
+        n_tokens, n_known, based = [], [], []
         for ids in docs.column("ids"):
             own = np.frombuffer(ids.as_buffer(), dtype="<i4")
-            values = len(own) + 1, int((c[own] > 0).sum()) + (ends > 0), float(of_base[own].sum() + end_base), float((lattice[own].sum() + np.log(end)) / np.log(10)), float((arcs[own].sum() + end_arc) / np.log(10))
-            for column, value in zip(out, values, strict=True):
-                column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-        n_tokens, n_known, based, scored, arced = (pa.array(x, kind) for x, kind in zip(out, kinds, strict=True))
-        arrays = [docs.column("doc_id"), docs.column("held_out"), n_tokens, n_known, pa.array(np.full(docs.num_rows, total), pa.int64()), based, scored, arced]
-        return pa.table(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "word_arc_score"])
+            n_tokens.append(len(own) + 1)
+            n_known.append(int((c[own] > 0).sum()) + (ends > 0))
+            based.append(float(of_base[own].sum() + of_end))
+        arrays = [docs.column("doc_id"), docs.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(np.full(docs.num_rows, total), pa.int64()), pa.array(based, pa.float64()), docs.column("score")]
+        return pa.table(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
 def score(docs: DataFrame, held_out: Column, path: str) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and word_arc_score of every
-    document; documents where ``held_out`` is true teach nothing."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document;
+    documents where ``held_out`` is true teach nothing."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     named = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     ends = named.where(~F.col("held_out")).count()
-    fitted = named.where(~F.col("held_out")).select("text", "held_out").mapInArrow(_fit(path), "k int, log_p double, pieces double").groupBy("k").agg(F.sum("log_p"), F.sum("pieces")).orderBy("k").collect()
-    temperature, pieces = best(np.array([r[1] for r in fitted]), np.array([r[2] for r in fitted])) if any(r[2] for r in fitted) else (GRID[0], 0.0)
+    fitted = named.where(~F.col("held_out")).select("text", "held_out").mapInArrow(_fit(path), "k int, log_p double, less double").groupBy("k").agg(F.sum("log_p"), F.sum("less")).orderBy("k").collect()
+    temperature, pieces = best(*(np.array([r[k] for r in fitted]) for k in (1, 2))) if any(r[1] for r in fitted) else (GRID[0], 0.0)
     end = ends / (ends + pieces) if ends and pieces else 1 / (1 + END)
 
-    schema = f"block long, h long, i int, c long, p double, doc_id {kind}, held_out boolean, ids binary"
-    cut = scratch.table(named.mapInArrow(_cut(path, temperature, end, kind), schema), "blocks")
-    words = cut.where(F.col("h").isNotNull()).select("block", "h", "i", "c", "p")
+    schema = f"block long, h long, i int, c long, doc_id {kind}, held_out boolean, score double, ids binary"
+    cut = scratch.table(named.mapInArrow(_cut(path, temperature, end), schema), "blocks")
+    words = cut.where(F.col("h").isNotNull()).select("block", "h", "i", "c")
     counted = words.groupBy("h").agg(F.sum("c").alias("c"))
-    sums = counted.agg(F.sum("c"), *[F.count_if(F.col("c") == j) for j in (1, 2, 3, 4)], F.count_if(F.col("c") > 0)).first()
-    total, distinct = (sums[0] or 0) + ends, (sums[5] or 0) + (ends > 0)
-    whole = Whole(total, [x or 0 for x in sums[1:]])
-    back = words.select("h", "block", "i", "p").join(counted, "h").drop("h")
-    out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, word_arc_score double"
-    documents = cut.where(F.col("ids").isNotNull()).select(F.col("block").alias("of"), "doc_id", "held_out", "ids")
-    return documents.groupBy("of").cogroup(back.groupBy("block")).applyInArrow(_meet(whole, ends, total, distinct, end), out)
+    sums = counted.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
+    total, distinct = (sums[0] or 0) + ends, (sums[1] or 0) + (ends > 0)
+    back = words.select("h", "block", "i").join(counted, "h").drop("h")
+    out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    documents = cut.where(F.col("ids").isNotNull()).select(F.col("block").alias("of"), "doc_id", "held_out", "score", "ids")
+    return documents.groupBy("of").cogroup(back.groupBy("block")).applyInArrow(_meet(ends, total, distinct), out)

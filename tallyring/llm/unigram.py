@@ -128,19 +128,19 @@ class Lattice:
 
     #: Words up to this length are summed in plain numbers; those that come out too small, and
     #: longer ones, in logs.
-    PLAIN, TINY = 40, 1e-280
+    PLAIN, TINY, PLACES = 40, 1e-280, 22
 
     def __init__(self, names: list[str]) -> None:
         self.names, self.longest = names, max(map(len, names))
-        hashes = np.array([self._one(p) for p in names], dtype=U64)
-        self.order = np.argsort(hashes)
-        self.sorted = hashes[self.order]
-        self.maybe = np.zeros(1 << 22, dtype=bool)
-        self.maybe[hashes >> U64(42)] = True
-
-    @staticmethod
-    def _codes(words: list[str], length: int) -> np.ndarray:
-        return np.array(words, dtype=f"U{length}").view(np.uint32).reshape(len(words), length)
+        self.hashes = np.array([self._one(p) for p in names], dtype=U64)
+        # a place for each piece by the top of its hash; where one is taken, pieces go to a list
+        place = (self.hashes >> U64(64 - self.PLACES)).astype(np.int64)
+        self.table = np.zeros(1 << self.PLACES, dtype=np.int32)
+        self.table[place[::-1]] = np.arange(len(names), 0, -1)
+        beside = np.flatnonzero(self.table[place] != np.arange(1, len(names) + 1))
+        self.crowded = np.zeros(1 << self.PLACES, dtype=bool)
+        self.crowded[place[beside]] = True
+        self.beside = beside[np.argsort(self.hashes[beside])]
 
     @staticmethod
     def _sums(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,75 +156,85 @@ class Lattice:
         return sums, np.multiply.accumulate(down)
 
     def _one(self, piece: str) -> int:
-        sums, down = self._sums(self._codes([piece], len(piece)))
+        sums, down = self._sums(np.array([[ord(c) for c in piece]], dtype=np.uint32))
         return int(mix((sums[-1] - sums[0]) * down[0])[0])
 
-    def _edges(self, words: list[str], length: int):
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are pieces', and of which."""
+        place = (h >> U64(64 - self.PLACES)).astype(np.int64)
+        at = self.table[place]
+        own = np.flatnonzero(at)
+        piece = at[own] - 1
+        good = self.hashes[piece] == h[own]
+        if len(self.beside):
+            other = np.flatnonzero(~good & self.crowded[place[own]])
+            if len(other):
+                sorted_ = self.hashes[self.beside]
+                i = np.minimum(np.searchsorted(sorted_, h[own[other]]), len(sorted_) - 1)
+                hit = sorted_[i] == h[own[other]]
+                piece[other[hit]] = self.beside[i[hit]]
+                good[other[hit]] = True
+        return own[good], piece[good]
+
+    def _edges(self, codes: np.ndarray):
         """Edges (start, end, rows, pieces, bytes of an unknown character or 0) by ends."""
-        codes = self._codes(words, length)
+        n, length = codes.shape
         sums, down = self._sums(codes)
-        rows = np.arange(len(words))
         for end in range(1, length + 1):
             for start in range(max(0, end - self.longest), end):
-                h = mix((sums[end] - sums[start]) * down[start])
-                own = np.flatnonzero(self.maybe[h >> U64(42)])
+                own, piece = self._find(mix((sums[end] - sums[start]) * down[start]))
                 if len(own):
-                    at = np.searchsorted(self.sorted, h[own])
-                    at[at == len(self.sorted)] = 0
-                    good = self.sorted[at] == h[own]
-                    own, piece = own[good], self.order[at[good]]
-                    if len(own):
-                        yield start, end, own, piece, 0
-                if start == end - 1 and len(own) < len(rows):
-                    none = np.setdiff1d(rows, own, assume_unique=True)
+                    yield start, end, own, piece, 0
+                if start == end - 1 and len(own) < n:
+                    none = np.setdiff1d(np.arange(n), own, assume_unique=True)
                     code = codes[none, start]
                     yield start, end, none, np.full(len(none), len(self.names)), 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
 
-    def score(self, words: list[str], log_p: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Log probability of every word under each of several weights, a row each, and the expected
-        number of pieces."""
-        out, many = np.zeros((2, len(log_p), len(words)))
-        texts = [START + w for w in words]
-        lengths = np.array(list(map(len, texts)), dtype=np.int64)
-        for length in np.unique(lengths).tolist():
-            where = np.flatnonzero(lengths == length)
-            step = max(1, 300_000 // length // len(log_p))
-            for lo in range(0, len(where), step):
-                part = where[lo : lo + step]
-                own = [texts[i] for i in part]
-                if length <= self.PLAIN:
-                    out[:, part], many[:, part] = self._plain(own, length, log_p)
-                    part = part[(out[:, part] == -np.inf).any(axis=0)]
-                for i in range(0, len(part), max(1, step // 4)):
-                    few = part[i : i + max(1, step // 4)]
-                    out[:, few], many[:, few] = self._logs([texts[j] for j in few], length, log_p)
-        return out, many
-
-    def _plain(self, words: list[str], length: int, log_p: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        p = [np.exp(x) for x in log_p]
-        total = np.zeros((len(p), length + 1, len(words)))
-        pieces = np.zeros_like(total)
-        total[:, 0] = 1
-        for start, end, rows, piece, size in self._edges(words, length):
-            spread = 256.0 ** -size if not isinstance(size, int) else 1.0
-            for k, own in enumerate(p):
-                weight = own[piece] * spread
-                before = total[k, start, rows]
-                total[k, end, rows] += before * weight
-                pieces[k, end, rows] += (pieces[k, start, rows] + before) * weight
-        last = total[:, length]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(last > self.TINY, np.log(last), -np.inf), pieces[:, length] / last
-
-    def _logs(self, words: list[str], length: int, log_p: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        total = np.full((len(log_p), length + 1, len(words)), -np.inf)
-        pieces = np.zeros_like(total)
-        total[:, 0] = 0
-        for start, end, rows, piece, size in self._edges(words, length):
-            for k, own in enumerate(log_p):
-                new = total[k, start, rows] + own[piece] - (size * np.log(256) if not isinstance(size, int) else 0)
-                both = np.logaddexp(total[k, end, rows], new)
-                share = np.exp(new - both)
-                pieces[k, end, rows] = (1 - share) * pieces[k, end, rows] + share * (pieces[k, start, rows] + 1)
-                total[k, end, rows] = both
-        return total[:, length], pieces[:, length]
+    def score(self, words: list[str], log_p: list[np.ndarray]) -> np.ndarray:
+        """Log probability of every word under each of several weights, a row each."""
+        length = np.array(list(map(len, words)), dtype=np.int64)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        return self.score_codes(codes, np.cumsum(length) - length, length, log_p)
+
+    def score_codes(self, codes: np.ndarray, start: np.ndarray, length: np.ndarray, log_p: list[np.ndarray]) -> np.ndarray:
+        """The same of words that stand in an array of code points."""
+        out = np.zeros((len(log_p), len(start)))
+        order = np.argsort(length, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else ():
+            n = int(length[own[0]])
+            step = max(1, 400_000 // (n + 2) // len(log_p))
+            for lo in range(0, len(own), step):
+                part = own[lo : lo + step]
+                table = np.empty((len(part), n + 1), dtype=np.uint32)
+                table[:, 0] = ord(START)
+                table[:, 1:] = codes[start[part][:, None] + np.arange(n)]
+                if n < self.PLAIN:
+                    out[:, part] = self._plain(table, log_p)
+                    small = np.flatnonzero((out[:, part] == -np.inf).any(axis=0))
+                    if len(small):
+                        out[:, part[small]] = self._logs(table[small], log_p)
+                else:
+                    out[:, part] = self._logs(table, log_p)
+        return out
+
+    def _plain(self, codes: np.ndarray, log_p: list[np.ndarray]) -> np.ndarray:
+        n, length = codes.shape
+        p = np.exp(np.stack(log_p, axis=1))
+        total = np.zeros((length + 1, n, len(log_p)))
+        total[0] = 1
+        for start, end, rows, piece, size in self._edges(codes):
+            weight = p[piece] if isinstance(size, int) else p[piece] * (256.0**-size)[:, None]
+            total[end, rows] += total[start, rows] * weight
+        last = total[length].T
+        with np.errstate(divide="ignore"):
+            return np.where(last > self.TINY, np.log(last), -np.inf)
+
+    def _logs(self, codes: np.ndarray, log_p: list[np.ndarray]) -> np.ndarray:
+        n, length = codes.shape
+        p = np.stack(log_p, axis=1)
+        total = np.full((length + 1, n, len(log_p)), -np.inf)
+        total[0] = 0
+        for start, end, rows, piece, size in self._edges(codes):
+            weight = p[piece] if isinstance(size, int) else p[piece] - (size * np.log(256))[:, None]
+            total[end, rows] = np.logaddexp(total[end, rows], total[start, rows] + weight)
+        return total[length].T
