@@ -4,7 +4,8 @@ Tables go below ``spark.checkpoint.dir``, which driver and executors share. Wher
 session in local mode does not name one, a local folder is made once; on a cluster that is an
 error.
 Every table is written with Spark's own writer and read back, so a lost executor costs
-only the tasks that were running on it.
+only the tasks that were running on it. Operators delete what they need no longer; what
+their results still read stays until ``clear``, or until the folder goes.
 """
 
 from __future__ import annotations
@@ -30,7 +31,17 @@ def root(spark: SparkSession) -> str:
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new path, unique to this call, below the shared folder."""
-    return f"{root(spark)}/tallyring/{name}-{uuid.uuid4().hex}"
+    return f"{root(spark)}/tallyring/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application has put there. Results that still read it end with that."""
+    _delete(spark, f"{root(spark)}/tallyring/{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def table(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -49,6 +60,4 @@ def drop(df: DataFrame) -> None:
     spark = df.sparkSession
     path = df.inputFiles()[0].rpartition("/")[0] if df.inputFiles() else None
     if path and "/tallyring/" in path:
-        jvm = spark._jvm
-        hadoop = jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        _delete(spark, path)

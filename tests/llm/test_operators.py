@@ -513,11 +513,11 @@ def test_likelihood(spark, docs, odd, none):
         w = spaced(rows[r["doc_id"]]["text"])
         base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w) + math.log10((ends + 1) / (n + v + 1))
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (rows[r["doc_id"]]["held"], len(w) + 1, sum(c[x] > 0 for x in w) + 1, n)
-        assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] < 0 and r["word_arc_score"] < 0
+        assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] < 0
     lattice, scores = likelihood.vocabulary(PIECES)
     words, counts_ = list(c), np.array(list(c.values()))
-    found = lattice.score(words, [unigram.weights(scores, t) for t in likelihood.GRID])
-    temperature, pieces = likelihood.best((found[0] * counts_).sum(axis=1), (found[1] * counts_).sum(axis=1))
+    sums = [(lattice.score(words, [unigram.weights(scores, t, e) for t in likelihood.GRID]) * counts_).sum(axis=1) for e in (0.0, likelihood.STEP)]
+    temperature, pieces = likelihood.best(*sums)
     end = ends / (ends + pieces)
     log_p = unigram.weights(scores, temperature, end)
     p = dict(zip(lattice.names, np.exp(log_p), strict=False))
@@ -531,7 +531,7 @@ def test_likelihood(spark, docs, odd, none):
         assert by_id[doc]["score"] == pytest.approx(total, rel=1e-6)
     # the temperature is near the best there is
     near = [t for t in np.exp(np.linspace(np.log(likelihood.GRID[0]), np.log(likelihood.GRID[-1]), 15))]
-    all_ = (lattice.score(words, [unigram.weights(scores, t) for t in [*near, temperature]])[0] * counts_).sum(axis=1)
+    all_ = (lattice.score(words, [unigram.weights(scores, t) for t in [*near, temperature]]) * counts_).sum(axis=1)
     assert all_[-1] >= all_[:-1].max() - 0.01 * abs(all_[-1])
     assert likelihood.score(none, F.lit(False), PIECES).count() == 0
     assert likelihood.score(odd, F.lit(True), PIECES).count() == len(ODD)
@@ -547,29 +547,24 @@ def test_likelihood_query(spark, sf):
     assert all(r["train_tokens"] == sum(len(spaced(d["text"])) + 1 for d in docs if not held[d["doc_id"]]) for r in got.values())
 
 
-def test_whole_words():
-    """Discounts leave to the lattice what they take from the counts."""
-    counts_ = np.array([1] * 50 + [2] * 20 + [3] * 9 + [4] * 5 + [30])
-    whole = likelihood.Whole(int(counts_.sum()) + 3, [50, 20, 9, 5, 85])
-    none = np.full(len(counts_), -np.inf)
-    assert np.exp(whole.log_p(none, counts_)).sum() + whole.spare / whole.total == pytest.approx(counts_.sum() / whole.total)
-    assert whole.log_p(np.array([-3.0]), np.array([0]))[0] == pytest.approx(np.log(whole.spare / whole.total) - 3)
-
-
 def test_lattice_sums_all_segmentations():
     names = ["▁", "▁a", "a", "b", "ab", "▁ab"]
     log_p = np.log(np.array([0.2, 0.3, 0.1, 0.15, 0.05, 0.1, 0.1]))
     lattice = unigram.Lattice(names)
     p = dict(zip(names, np.exp(log_p), strict=False))
     words = ["a", "ab", "aab", "bab", "b" * 30, "b" * 60, "ab" * 9 + "b" * 30]
-    sums, pieces = lattice.score(words, [log_p, log_p - 1.0])
+    sums = lattice.score(words, [log_p, log_p - 1.0])
     assert np.allclose(np.exp(sums[0][:5]), [lattice_total(p, "▁" + w) for w in words[:5]])
-    assert sums[0][5] == pytest.approx(np.log(0.2) + 60 * np.log(0.15)) and pieces[0][5] == pytest.approx(61)
-    assert pieces[0][0] == pytest.approx((1 * 0.3 + 2 * 0.2 * 0.1) / (0.3 + 0.2 * 0.1))
+    assert sums[0][5] == pytest.approx(np.log(0.2) + 60 * np.log(0.15))
+    for places in (22, 1):  # with room for every piece, and with nearly all beside their place
+        lattice.PLACES = places
+        lattice.__init__(names)
+        assert np.allclose(lattice.score(words, [log_p, log_p - 1.0]), sums)
+    assert len(lattice.beside) >= 4
     for plain in (40, 0):  # plain numbers and logs agree
         lattice.PLAIN = plain
-        assert np.allclose(lattice.score(words, [log_p, log_p - 1.0]), [sums, pieces])
-    assert lattice.score(["☃"], [log_p])[0][0][0] == pytest.approx(np.log(p["▁"]) + log_p[-1] - 3 * np.log(256))
+        assert np.allclose(lattice.score(words, [log_p, log_p - 1.0]), sums)
+    assert lattice.score(["☃"], [log_p])[0][0] == pytest.approx(np.log(p["▁"]) + log_p[-1] - 3 * np.log(256))
     w = unigram.weights(np.array([-2.0, -3.0, -50.0]), 2.0, 0.25)
     assert np.exp(w).sum() == pytest.approx(0.75) and w[0] - w[1] == pytest.approx(0.5) and w[-1] == w[2] - unigram.PENALTY / 2
 
