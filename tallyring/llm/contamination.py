@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyring.llm import scratch
-from tallyring.llm.text import ALNUM, Words, buffers
+from tallyring.llm.text import ALNUM, Words, buffers, release
 
 WINDOW = 13
 BLOCK = 2 << 20
@@ -247,6 +247,7 @@ def _column(block, before: Column | None) -> Column:
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for texts in batches:
                 yield _found(block, texts, None)
+            release()
 
         run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
         return F.arrow_udf(run, _FOUND_SQL)(F.col("text"))
@@ -254,6 +255,7 @@ def _column(block, before: Column | None) -> Column:
     def more(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, had in batches:
             yield _found(block, texts, had)
+        release()
 
     more.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     return F.arrow_udf(more, _FOUND_SQL)(F.col("text"), before)

@@ -51,13 +51,18 @@ TOGETHER = 100_000
 
 
 class Block:
-    """Distinct words of some documents, by hash: ``hash``, ``counts`` in training documents, code
+    """Distinct words of some documents, the commonest first: ``hash``, ``counts`` in training documents, code
     points (lower-cased; word i from ``start[i]``, ``length[i]`` long), and ``places`` of every
     word of the documents among them."""
 
     def __init__(self, parts: list[tuple[pa.RecordBatch, Words]]) -> None:
         self.parts = parts
-        self.hash, first, self.places = np.unique(np.concatenate([w.hash for _, w in parts]), return_index=True, return_inverse=True)
+        distinct, first, places = np.unique(np.concatenate([w.hash for _, w in parts]), return_index=True, return_inverse=True)
+        # the commonest first, so that most places are small numbers, which take little room
+        order = np.argsort(-np.bincount(places, minlength=len(distinct)), kind="stable")
+        rank = np.empty(len(order), dtype=np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        self.hash, first, self.places = distinct[order], first[order], rank[places]
         trained = np.concatenate([np.repeat(~b.column("held_out").to_numpy(zero_copy_only=False), w.count) for b, w in parts])
         self.counts = np.bincount(self.places[trained], minlength=len(self.hash))
         before = np.cumsum([0, *[len(w.start) for _, w in parts]])
@@ -169,8 +174,7 @@ def _cut(path: str, temperature: float, end: float):
                 to = min(lo + TOGETHER, len(block.hash))
                 yield rows(to - lo, {"block": np.full(to - lo, first + number), "h": block.hash[lo:to].view(np.int64), "i": np.arange(lo, to), "c": block.counts[lo:to]})
             for batch, places, at in block.documents():
-                own = places.astype("<i4")
-                ids = [own[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                ids = [places[a:b].astype("<i4").tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 found = np.array([of_words[places[a:b]].sum() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
                 yield rows(batch.num_rows, {"block": np.full(batch.num_rows, first + number), "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": (found + np.log(end)) / np.log(10), "ids": ids})
 

@@ -7,6 +7,7 @@ hashes of consecutive words. Nothing here loops over characters or words in Pyth
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,9 +49,18 @@ _BYTE = mix(np.arange(1, 257, dtype=U64) * U64(GOLDEN))[LOWER]
 _POW: dict[str, np.ndarray] = {}
 
 
+def release() -> None:
+    """Give memory that is free back to the system, as idle workers would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "p" not in _POW or len(_POW["p"]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         inverse = pow(RADIX, -1, 1 << 64)
         for key, base in (("p", RADIX), ("i", inverse)):
             a = np.full(size, base, dtype=U64)
@@ -73,7 +83,8 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Parts of batches of about ``most`` bytes of text (one row at least), with its buffers."""
+    """Parts of batches of about ``most`` bytes of text (one row at least), with its buffers. At the
+    end free memory is released."""
     for batch in batches:
         data, at = buffers(batch.column(column))
         lo = 0
@@ -81,6 +92,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, side="right")) - 1)
             yield batch.slice(lo, hi - lo), data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
             lo = hi
+    release()
 
 
 class Words:

@@ -1,7 +1,7 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A text (A-Z lower-cased, white space made spaces, a space before and after) is the bag of the
-character n-grams of 3 to 6 UTF-8 bytes that lie within a word and its two boundary spaces. Of
+character n-grams of 4 to 6 UTF-8 bytes that lie within a word and its two boundary spaces. Of
 each ``WINDOW`` words a word counts once, so a word said over and over decides no text. N-grams
 are hashed to 2**18 rows of an embedding table; a bag's embeddings, with ``PAD`` neutral ones,
 are averaged and a linear softmax gives the probability of label 1. Table and softmax start from
@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyring.llm.text import _BYTE, GOLDEN, U64, _powers, buffers, mix
+from tallyring.llm.text import _BYTE, GOLDEN, U64, _powers, buffers, mix, release
 
-GRAMS = (3, 4, 5, 6)
+GRAMS = (4, 5, 6)
 BUCKETS_LOG2 = 18
 DIM = 4
-WINDOW = 64
+WINDOW = 20
 #: Labelled rows of each label, and bytes of their texts, that training takes at most.
 SAMPLE, SAMPLE_BYTES = 2500, 8 << 20
 EPOCHS, BATCH, RATE = 20, 64, 10.0
@@ -144,6 +144,8 @@ class Sample:
         bucket.clear()  # the largest of all arrays is not held twice
         self.count, self.held, self.size = map(np.concatenate, (count, held, size))
         self.start = np.cumsum(self.held) - self.held
+        del raw, data
+        release()
 
     def of(self, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Buckets of some texts, in their order, their shares of the average, and numbers of buckets."""
@@ -199,7 +201,9 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = EPO
     # nearer to the clean, as texts that training has seen score more surely than others
     logit = GAIN * _sums(model.weight[sample.bucket] * sample.count, sample.held) / (sample.size + PAD) + model.intercept
     clean, toxic = max(model.intercept, np.quantile(logit[labels == 0], 0.995)), np.quantile(logit[labels == 1], 0.02)
-    middle = clean + 0.3 * max(0.1, toxic - clean)
+    del sample
+    release()
+    middle = clean + 0.2 * max(0.1, toxic - clean)
     model.intercept += float(np.log(THRESHOLD / (1 - THRESHOLD)) - middle)
     return model
 
@@ -239,6 +243,7 @@ def scorer(docs: DataFrame, model: Model) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array(shared.value.scores(*buffers(texts)), pa.float64())
+        release()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "double")(F.col("text"))

@@ -122,7 +122,7 @@ def test_toxicity_on_labels(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and r["predicted"] == (r["score"] >= 0.7) for r in got)
     held = Counter((r["toxic"], r["predicted"]) for r in got if r["held_out"])
     # some 5 in 100 texts with label 1 hold nothing that others with it hold
-    assert held[1, 1] >= 0.82 * (held[1, 0] + held[1, 1]) and held[0, 1] <= 0.01 * (held[0, 0] + held[0, 1])
+    assert held[1, 1] >= 0.85 * (held[1, 0] + held[1, 1]) and held[0, 1] <= 0.01 * (held[0, 0] + held[0, 1])
 
 
 def test_toxicity_held_out():
