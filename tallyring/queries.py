@@ -237,6 +237,13 @@ def _(spark, sf):
     return _tidy(spark, terms(factorized.cofactor(_two_way(spark, sf))))
 
 
+@query("cofactor_joined_2way", SQL["cofactor_factorized_2way"])
+def _(spark, sf):
+    """The same sums over the join as it stands, for comparison."""
+    joined = _t(spark, sf, "orders").join(_t(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return _tidy(spark, terms(aggregate.cofactor(joined, Spec(("o_totalprice", "l_quantity", "l_extendedprice"), ("o_orderpriority", "l_returnflag"), EXACT))))
+
+
 @query("cofactor_factorized_3way", _terms_sql("orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey", ("o_totalprice", "l_quantity", "l_extendedprice", "c_acctbal"), ("o_orderpriority", "l_returnflag", "c_mktsegment"), exact=False))
 def _(spark, sf):
     customers = factorized.Table(_t(spark, sf, "customer"), ("c_acctbal",), ("c_mktsegment",))
