@@ -422,8 +422,9 @@ def _likely(ids: DataFrame):
 
 
 def _dealt(rows: DataFrame, size: int) -> DataFrame:
-    """Rows of clusters with the number of parts of about ``size`` rows, and their own."""
-    parts = rows.groupBy("cluster").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
+    """Rows of clusters with the number of parts of about ``size`` rows, and their own. As the numbers
+    are written first, rows stay where they are if these are few, or else a large cluster is split."""
+    parts = scratch.table(rows.groupBy("cluster").agg(F.ceil(F.count("*") / size).cast("int").alias("parts")), "parts")
     return rows.join(parts, "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
 
 
