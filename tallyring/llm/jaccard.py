@@ -29,7 +29,8 @@ hashes; with fewer words, the whole sequence as one. Two documents link when
    link are joined by that, however many they are. Distance (1 - similarity) is a metric, so of
    those linked only the ones that could be near a set left over take part further. What is left
    is compared in blocks by inverted lists, two linked ones never with each other. Clusters are
-   dealt in parts of ``PART`` sets and in pairs of ``BLOCK``, whatever their size.
+   dealt in parts of ``PART`` sets and in pairs of ``BLOCK`` (fewer if texts are long), whatever
+   their size.
 
 Components of the links give each document's component_id. doc_id must be a whole number (of any
 width); another type raises. Texts that are null or without words have an empty set and link with
@@ -59,7 +60,7 @@ WORDS = 4
 RARE = 32
 #: Bits (4 MB) that tell frequent tokens by the end of their hash.
 FREQUENT_BITS = 1 << 25
-PART, BLOCK = 128, 128
+PART, BLOCK, BLOCK_BYTES = 128, 128, 8 << 20
 #: Bytes of text whose words are hashed at once.
 SLICE = 1 << 20
 #: Bits (2 MB) of the filter by which documents outside all clusters stay where they are.
@@ -422,9 +423,11 @@ def _likely(ids: DataFrame):
 
 
 def _dealt(rows: DataFrame, size: int) -> DataFrame:
-    """Rows of clusters with the number of parts of about ``size`` rows, and their own. As the numbers
-    are written first, rows stay where they are if these are few, or else a large cluster is split."""
-    parts = scratch.table(rows.groupBy("cluster").agg(F.ceil(F.count("*") / size).cast("int").alias("parts")), "parts")
+    """Rows of clusters with the number of parts of about ``size`` rows or BLOCK_BYTES of text, and
+    their own. As the numbers are written first, rows stay where they are if these are few, or else
+    a large cluster is split."""
+    parts = F.greatest(F.ceil(F.count("*") / size), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES), F.lit(1)).cast("int")
+    parts = scratch.table(rows.groupBy("cluster").agg(parts.alias("parts")), "parts")
     return rows.join(parts, "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
 
 
