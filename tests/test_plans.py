@@ -149,6 +149,15 @@ def test_regression(df, rows):
         LinearRegression.fit(df, "c", [], ["c", "d"])
 
 
+def test_noise(spark):
+    """Noise has the residual deviation, and a seed gives the same again."""
+    rows = spark.range(20_000).select((F.col("id") % 97).cast("double").alias("x"), (3.0 * (F.col("id") % 97) + F.randn(1) * 2).alias("y")).coalesce(1)
+    m = LinearRegression.fit(rows, "y", ["x"], variance=True)
+    off = [r[0] for r in rows.select(m.predict_column(noise_seed=5) - m.predict_column()).collect()]
+    assert np.std(off) == pytest.approx(m.sigma, rel=0.03) and abs(np.mean(off)) < 0.1 and m.sigma == pytest.approx(2, rel=0.03)
+    assert off == [r[0] for r in rows.select(m.predict_column(noise_seed=5) - m.predict_column()).collect()]
+
+
 def test_classifiers(spark, df, rows):
     label = np.array([r[3] for r in rows])
     x = np.array([[r[0], r[1]] for r in rows])
