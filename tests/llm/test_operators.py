@@ -257,13 +257,18 @@ def article(page):
     return " ".join(markup.unescape(re.sub(r"<[^>]*>", " ", re.search("<article>(.*)</article>", page, re.S)[1])).split())
 
 
-@pytest.mark.parametrize("names", ["as they are", "noise", "none"])
+@pytest.mark.parametrize("names", ["as they are", "noise", "none", "no article"])
 def test_pages(spark, sf, names, monkeypatch):
-    """All pages right, whatever class names say; without the tree none is."""
+    """All pages right, whatever class names say, and if the article is a div like others; without
+    the tree none is."""
     ship(spark)
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     want = {r["page_id"]: article(r["html"]) for r in pages.collect()}
-    if names != "as they are":
+    if names == "no article":
+        pages = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/pages.parquet")
+        want = {r["page_id"]: article(r["html"]) for r in pages.collect()}
+        pages = pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", "<article>", "<div class=z>"), "</article>", "</div>"))
+    elif names != "as they are":
         pages = pages.withColumn("html", F.regexp_replace("html", ' class="ad"', ' class="q7x"' if names == "noise" else ""))
     got = html.extract(pages).collect()
     assert {r["page_id"]: r["text"] for r in got} == want and all(r["n_chars"] == len(r["text"]) for r in got)
