@@ -4,8 +4,8 @@ Rows are summed once, by all categorical features together (and the caller's gro
 shuffles one row a task and combination that occurs. Count, sums and sums of products, those of
 single categories and those of pairs are GROUPING SETS over these few rows, in the same job.
 Only sums are collected: one row a group, and one a category or pair of categories that occur.
-Without categorical features, and beyond ``WIDE`` continuous ones, each task sums its rows'
-products in numpy and sends one packed triangle.
+Beyond ``WIDE`` continuous features, without groups and decimals, products are summed apart: each
+task sums its rows' in numpy and sends one packed triangle.
 """
 
 from __future__ import annotations
