@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyring.llm import chat, contamination, counts, html, jaccard, likelihood, media, mixing, scratch, store, toxicity
+from tallyring.llm import chat, contamination, counts, html, interaction, jaccard, likelihood, media, mixing, repair, scratch, store, topk, toxicity
 
 #: Names of public tokenizers' files, found by every worker for itself.
 BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -69,6 +69,18 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"), lambda df: scratch.table(df, "mix"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damage(_read(spark, sf_dir, "conversations")))
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat": op1_chat,
@@ -81,6 +93,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_likelihood": op8_likelihood,
         "op9_media": op9_media,
         "op10_mix": op10_mix,
+        "op11_repair": op11_repair,
+        "op12_topk": op12_topk,
+        "op13_interaction": op13_interaction,
     }
 
 
@@ -88,4 +103,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_decontaminate": contamination.ORACLE_SQL,
         "op10_mix": mixing.ORACLE_SQL,
+        "op11_repair": repair.ORACLE_SQL,
+        "op12_topk": topk.ORACLE_SQL,
+        "op13_interaction": interaction.ORACLE_SQL,
     }
