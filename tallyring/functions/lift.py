@@ -93,7 +93,18 @@ def cat_to_cofactor(column: str) -> Column:
     return to_cofactor((), [column])
 
 
+def _with(a: Column, b: Column, f) -> Column:
+    """f of two values, null if one is. Both are computed once a row, however often f names them:
+    nested products would else repeat their inner ones at every mention."""
+    met = F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda p: F.when(p["a"].isNotNull() & p["b"].isNotNull(), f(p["a"], p["b"])))
+    return F.get(met, F.lit(0))
+
+
 def _combine(a: Column, b: Column, sign: int) -> Column:
+    return _with(a, b, lambda x, y: _blend(x, y, sign))
+
+
+def _blend(a: Column, b: Column, sign: int) -> Column:
     number = lambda x, y: x + sign * y
     maps = lambda x, y: relation_add(x, y) if sign == 1 else relation_sub(x, y)
     parts = [(a["count"] + sign * b["count"]).alias("count")]
@@ -133,6 +144,10 @@ def _each(n: Column, f) -> Column:
 
 def cofactor_mul(a: Column, b: Column) -> Column:
     """Product of two cofactor columns: the features of the one, then those of the other."""
+    return _with(a, b, _product)
+
+
+def _product(a: Column, b: Column) -> Column:
     n, m = a["count"].cast("double"), b["count"].cast("double")
     x, y, c, d = F.size(a["lin"]), F.size(b["lin"]), F.size(a["cat1"]), F.size(b["cat1"])
     quad = F.concat(_each(x, lambda i: F.concat(_times(_triangle(a["quad"], x, i, False), m), _times(b["lin"], F.element_at(a["lin"], i + 1)))), _times(b["quad"], n))
@@ -152,6 +167,10 @@ def cofactor_mul(a: Column, b: Column) -> Column:
 
 
 def _nb_combine(a: Column, b: Column, sign: int) -> Column:
+    return _with(a, b, lambda x, y: _nb_blend(x, y, sign))
+
+
+def _nb_blend(a: Column, b: Column, sign: int) -> Column:
     number = lambda x, y: x + sign * y
     maps = lambda x, y: relation_add(x, y) if sign == 1 else relation_sub(x, y)
     return F.struct((a["count"] + sign * b["count"]).alias("count"), *[F.zip_with(a[f], b[f], number).alias(f) for f in ("lin", "square")], F.zip_with(a["cat1"], b["cat1"], maps).alias("cat1"))
@@ -168,6 +187,10 @@ def nb_sub(a: Column, b: Column) -> Column:
 
 def nb_mul(a: Column, b: Column) -> Column:
     """Product of two naive-Bayes columns: the features of the one, then those of the other."""
+    return _with(a, b, _nb_product)
+
+
+def _nb_product(a: Column, b: Column) -> Column:
     n, m = a["count"].cast("double"), b["count"].cast("double")
     joined = [F.concat(_times(a[f], m), _times(b[f], n)).alias(f) for f in ("lin", "square")]
     return F.struct((a["count"] * b["count"]).alias("count"), *joined, F.concat(_maps_times(a["cat1"], m), _maps_times(b["cat1"], n)).alias("cat1"))

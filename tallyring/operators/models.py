@@ -1,18 +1,24 @@
 """Models learnt from aggregates alone; predictions are Columns.
 
 Training collects a cofactor (or naive-Bayes aggregates) and solves on the driver. What a
-model predicts is arithmetic, conditions and map look-ups over columns, so it fuses with the
-scan it stands in. ``to_params``/``from_params`` exchange flat arrays of numbers; categories
-must be numbers there.
+model predicts is arithmetic, conditions and look-ups over columns, so it fuses with the
+scan it stands in; it is null where a feature is. Where sums were taken about shifts, predictions
+are computed about them too (``centre``), as products of values far from 0 would lose what varies.
+``to_params``/``from_params`` exchange flat arrays of numbers, about 0; categories must be numbers
+there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import zlib
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from operator import and_
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +30,10 @@ from tallyring.plans.aggregate import Spec
 #: Eigenvalues of a correlation matrix up to this share of the largest count as 0, and so do
 #: variances up to TINY of the mean square, which is about what sums in doubles leave of them.
 RANK, TINY = 1e-12, 1e-13
+#: Categories up to which a look-up is one map.
+FEW = 16
+#: Features up to which a quadratic form is expressions of columns.
+DENSE = 10
 
 
 def _balance(matrix: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,25 +56,40 @@ def _inverse(matrix: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, float]
     return inverse, float(np.log(values[good]).sum() + 2 * np.log(scale).sum())
 
 
-def _lookup(column: str, values: dict) -> Column:
-    """Value of a category; 0 for one that training has not seen."""
+def lookup(column: str, values: dict) -> Column:
+    """Value of a category; null for one that is not there. A map is searched entry by entry, so
+    many whole numbers or texts are dealt into maps of about 4 by their CRC, as one literal."""
     if not values:
-        return F.lit(0.0)
-    table = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
-    return F.coalesce(F.element_at(table, F.col(column)), F.lit(0.0))
-
-
-def _linear(names: Sequence, weights: Sequence[float], intercept: float, means: np.ndarray | None = None) -> Column:
-    """intercept + sum of weights * (feature - mean)."""
+        return F.lit(None).cast("double")
+    if len(values) <= FEW or not all(type(v) in (int, str) for v in values):
+        return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col(column))
+    n = -(-len(values) // 4)
+    maps: list[dict] = [{} for _ in range(n)]
+    for k, v in values.items():
+        maps[zlib.crc32(str(k).encode()) % n][str(k)] = v
+    key = F.col(column).cast("string")
+    table = F.from_json(F.lit(json.dumps(maps)), "array<map<string,double>>")
+    return F.element_at(F.get(table, F.pmod(F.crc32(key.cast("binary")), F.lit(n)).cast("int")), key)
+
+
+def _known(names: Sequence, out: Column) -> Column:
+    """``out`` where no feature is null."""
+    columns = dict.fromkeys(n[0] if isinstance(n, tuple) else n for n in names)
+    return F.when(reduce(and_, [F.col(c).isNotNull() for c in columns]), out) if columns else out
+
+
+def _linear(names: Sequence, weights: Sequence[float], intercept: float, means: np.ndarray | None = None, apart: bool = False) -> Column:
+    """intercept + sum of weights * (feature - mean); ``apart``: means are taken off row by row."""
     if means is not None:
-        intercept -= float(np.dot(weights, means))
+        intercept -= sum(float(w) * float(m) for n, w, m in zip(names, weights, means, strict=True) if not apart or isinstance(n, tuple))
     out, hot = F.lit(float(intercept)), {}
-    for n, w in zip(names, weights, strict=True):
+    for i, (n, w) in enumerate(zip(names, weights, strict=True)):
         if isinstance(n, tuple):
             hot.setdefault(n[0], {})[n[1]] = float(w)
         else:
-            out = out + F.lit(float(w)) * F.col(n).cast("double")
-    return reduce(lambda c, kv: c + _lookup(*kv), hot.items(), out)
+            x = F.col(n).cast("double")
+            out = out + F.lit(float(w)) * (x - F.lit(float(means[i])) if apart else x)
+    return reduce(lambda c, kv: c + F.coalesce(lookup(*kv), F.lit(0.0)), hot.items(), out)
 
 
 def _argmax(scores: Sequence[Column], labels: Sequence) -> Column:
@@ -104,6 +129,17 @@ def _fitted(source, cont, cat, options) -> Cofactor:
     return a.prune()
 
 
+def _by_label(sums, source: DataFrame, label: str, spec: Spec) -> dict:
+    """An aggregate a class; rows without a label are as rows without a feature."""
+    parts = {k[0]: v for k, v in sums(source, spec, [label]).items()}
+    if None in parts and spec.on_null == "raise":
+        raise ValueError(f"{label} is null in some rows")
+    parts.pop(None, None)
+    if not parts:
+        raise ValueError("no rows to learn from")
+    return parts
+
+
 @dataclass
 class LinearRegression:
     """Least squares, with a ridge penalty on all weights but the intercept."""
@@ -113,6 +149,8 @@ class LinearRegression:
     intercept: float
     means: np.ndarray | None = None
     sigma: float | None = None
+    #: means and prediction there, where features are far from 0
+    centre: tuple[np.ndarray, float] | None = None
 
     @classmethod
     def fit(cls, source: DataFrame | Cofactor, label: str, cont: Sequence[str] = (), cat: Sequence[str] = (), *, ridge: float = 0.0, norm: bool = False, variance: bool = False, solver: str = "closed", step: float = 0.001, max_iterations: int = 10_000, **options) -> LinearRegression:
@@ -150,12 +188,17 @@ class LinearRegression:
         else:
             weights = _descend(r, to / scale, penalty / scale**2, step, max_iterations) / scale
         residual = float(np.sqrt(max(0.0, c[y, y] - 2 * weights @ to + weights @ own @ weights))) if variance else None
-        names = [s.names[i] for i in x]
-        return cls(names, weights, float(mean[y]) if norm else float(mean[y] - weights @ mean[x]), mean[x] if norm else None, residual)
+        names, mean = [s.names[i] for i in x], mean + s.about
+        centre = (mean[x], float(mean[y])) if s.about.any() else None
+        return cls(names, weights, float(mean[y]) if norm else float(mean[y] - weights @ mean[x]), mean[x] if norm else None, residual, centre)
 
     def predict_column(self, noise_seed: int | None = None) -> Column:
         """Prediction; with a seed, plus normal noise of the residual deviation."""
-        out = _linear(self.names, self.weights, self.intercept, self.means)
+        if self.centre is not None:
+            out = _linear(self.names, self.weights, self.centre[1], self.centre[0], apart=True)
+        else:
+            out = _linear(self.names, self.weights, self.intercept, self.means)
+        out = _known([n for n in self.names if isinstance(n, tuple)], out)
         return out if noise_seed is None else out + F.lit(float(self.sigma or 0.0)) * F.randn(noise_seed)
 
     def to_params(self) -> list[float]:
@@ -206,6 +249,8 @@ class LDA:
     weights: np.ndarray
     intercepts: np.ndarray
     means: np.ndarray | None = None
+    #: a shift of features far from 0 and the scores there
+    centre: tuple[np.ndarray, np.ndarray] | None = None
 
     @classmethod
     def fit(cls, source: DataFrame | Cofactor, label: str, cont: Sequence[str] = (), cat: Sequence[str] = (), *, shrinkage: float = 0.0, norm: bool = False, **options) -> LDA:
@@ -222,7 +267,8 @@ class LDA:
             _, mean, std = s.standardized()
         counts = np.array([sums[y][0] for y in labels])
         raw = np.array([sums[y][1:] / sums[y][0] for y in labels])
-        mu, apart = (raw - mean) / std, raw - centre
+        # class means about the shift (what is the same for all classes decides nothing), or about the mean
+        mu, apart = (raw - (mean - s.about if norm else 0)) / std, raw - centre
         within = (s.matrix[1:, 1:] / n - np.outer(centre, centre) - (apart * counts[:, None]).T @ apart / n) / np.outer(std, std)
         second = second / std**2
         within = np.where(np.diag(within) > TINY * second, 1.0, 0.0)[:, None] * within
@@ -230,13 +276,19 @@ class LDA:
         within = (1 - shrinkage) * within + shrinkage * np.trace(within) / max(1, p) * np.eye(p)
         weights = mu @ _inverse(within, second)[0].T if p else np.zeros((len(labels), 0))
         intercepts = -0.5 * np.einsum("ij,ij->i", mu, weights) + np.log(counts / n)
-        return cls(s.names, labels, weights / std, intercepts, mean if norm else None)
+        weights = weights / std
+        if not s.about.any():
+            return cls(s.names, labels, weights, intercepts, mean if norm else None)
+        place = mean if norm else s.about
+        return cls(s.names, labels, weights, intercepts if norm else intercepts - weights @ place, mean if norm else None, (place, intercepts))
 
     def scores(self) -> list[Column]:
+        if self.centre is not None:
+            return [_linear(self.names, w, b, self.centre[0], apart=True) for w, b in zip(self.weights, self.centre[1], strict=True)]
         return [_linear(self.names, w, b, self.means) for w, b in zip(self.weights, self.intercepts, strict=True)]
 
     def predict_column(self) -> Column:
-        return _argmax(self.scores(), self.labels)
+        return _known(self.names, _argmax(self.scores(), self.labels))
 
     def to_params(self) -> list[float]:
         _, cats = _blocks(self.names)
@@ -265,13 +317,13 @@ class QDA:
     weights: list[np.ndarray]
     intercepts: list[float]
     means: np.ndarray | None = None
+    #: a shift of features far from 0, and weights and intercepts about it
+    centre: tuple[np.ndarray, list[np.ndarray], list[float]] | None = None
 
     @classmethod
     def fit(cls, source: DataFrame | dict, label: str | None = None, cont: Sequence[str] = (), cat: Sequence[str] = (), *, norm: bool = False, **options) -> QDA:
         """From rows, or from a cofactor per class."""
-        parts = source if isinstance(source, dict) else {k[0]: v for k, v in aggregate.cofactors(source, Spec(tuple(cont), tuple(cat), **options), [label]).items() if k[0] is not None}
-        if not parts:
-            raise ValueError("no rows to learn from")
+        parts = source if isinstance(source, dict) else _by_label(aggregate.cofactors, source, label, Spec(tuple(cont), tuple(cat), **options))
         labels = sorted(parts)
         first = parts[labels[0]]
         whole = [parts[y].aligned(first) for y in labels]
@@ -279,25 +331,41 @@ class QDA:
         sigmas = [sigma(a, categories) for a in whole]
         names, n = sigmas[0].names, sum(a.count for a in whole)
         mean, std = np.zeros(len(names)), np.ones(len(names))
+        pooled = [s.about for s in sigmas]
+        shift = sum(s.count * a for s, a in zip(sigmas, pooled, strict=True)) / n
         if norm:
-            _, mean, std = Sigma(names, sum(s.matrix for s in sigmas)).standardized()
+            common = [sigma(a.about(shift[: len(a.cont)]), categories) for a in whole]
+            _, mean, std = Sigma(names, sum(s.matrix for s in common), shift if shift.any() else None).standardized()
+        place = mean if norm else shift
         squares, weights, intercepts = [], [], []
         for s in sigmas:
-            mu = (s.matrix[0, 1:] / s.count - mean) / std
             centre = s.matrix[0, 1:] / s.count
+            mu = (centre + (s.about - place)) / std
             covariance = (s.matrix[1:, 1:] / s.count - np.outer(centre, centre)) / np.outer(std, std)
             inverse, logdet = _inverse(covariance, np.diag(s.matrix)[1:] / s.count / std**2)
             squares.append(-0.5 * inverse / np.outer(std, std))
             weights.append(inverse @ mu / std)
             intercepts.append(float(-0.5 * mu @ inverse @ mu - 0.5 * logdet + np.log(s.count / n)))
-        return cls(names, labels, squares, weights, intercepts, mean if norm else None)
+        if norm or not shift.any():
+            return cls(names, labels, squares, weights, intercepts, mean if norm else None)
+        own = [w - 2 * q @ shift for q, w in zip(squares, weights, strict=True)]
+        at0 = [float(b + shift @ q @ shift - w @ shift) for q, w, b in zip(squares, weights, intercepts, strict=True)]
+        return cls(names, labels, squares, own, at0, None, (shift, weights, intercepts))
+
+    def _about(self) -> tuple[np.ndarray | None, list[np.ndarray], list[float]]:
+        """What is taken off features, and weights and intercepts that go with it."""
+        return self.centre if self.centre is not None else (self.means, self.weights, self.intercepts)
+
+    def _features(self) -> list[Column]:
+        return [F.when(F.col(n[0]) == F.lit(n[1]), 1.0).otherwise(0.0) if isinstance(n, tuple) else F.col(n).cast("double") for n in self.names]
 
     def scores(self) -> list[Column]:
-        x = [F.when(F.col(n[0]) == F.lit(n[1]), 1.0).otherwise(0.0) if isinstance(n, tuple) else F.col(n).cast("double") for n in self.names]
-        if self.means is not None:
-            x = [c - F.lit(float(m)) for c, m in zip(x, self.means, strict=True)]
+        place, weights, intercepts = self._about()
+        x = self._features()
+        if place is not None:
+            x = [c - F.lit(float(m)) for c, m in zip(x, place, strict=True)]
         out = []
-        for square, weight, intercept in zip(self.squares, self.weights, self.intercepts, strict=True):
+        for square, weight, intercept in zip(self.squares, weights, intercepts, strict=True):
             total = F.lit(float(intercept))
             for i, c in enumerate(x):
                 row = F.lit(float(weight[i]))
@@ -308,7 +376,23 @@ class QDA:
         return out
 
     def predict_column(self) -> Column:
-        return _argmax(self.scores(), self.labels)
+        """Labels by expressions of columns; beyond DENSE features, whose squares would be too many
+        expressions, by matrix products over Arrow batches of the features alone."""
+        if len(self.names) <= DENSE:
+            return _known(self.names, _argmax(self.scores(), self.labels))
+        place, weights, intercepts = self._about()
+        squares, linear, base = np.stack(self.squares), np.stack(weights), np.array(intercepts)
+        off = np.zeros(len(self.names)) if place is None else np.asarray(place)
+
+        def best(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+            for columns in batches:
+                x = np.stack([c.to_numpy(zero_copy_only=False) for c in columns], axis=1) - off
+                scores = np.stack([((x @ q) * x).sum(axis=1) + x @ w + b for q, w, b in zip(squares, linear, base, strict=True)])
+                yield pa.array(scores.argmax(axis=0), pa.int32())
+
+        best.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
+        place_of = F.arrow_udf(best, "int")(*[F.coalesce(c, F.lit(0.0)) for c in self._features()])
+        return _known(self.names, F.get(F.array(*map(F.lit, self.labels)), place_of))
 
     def to_params(self) -> list[float]:
         _, cats = _blocks(self.names)
@@ -349,13 +433,11 @@ class NaiveBayes:
     @classmethod
     def fit(cls, source: DataFrame | dict, label: str | None = None, cont: Sequence[str] = (), cat: Sequence[str] = (), **options) -> NaiveBayes:
         """From rows, or from naive-Bayes aggregates per class."""
-        parts: dict = source if isinstance(source, dict) else {k[0]: v for k, v in aggregate.nb_aggregates(source, Spec(tuple(cont), tuple(cat), **options), [label]).items() if k[0] is not None}
-        if not parts:
-            raise ValueError("no rows to learn from")
+        parts: dict = source if isinstance(source, dict) else _by_label(aggregate.nb_aggregates, source, label, Spec(tuple(cont), tuple(cat), **options))
         labels = sorted(parts)
         a: list[NBAggregates] = [parts[y] for y in labels]
         n = np.array([x.count for x in a], dtype=float)
-        mean = np.array([x.lin / x.count for x in a])
+        mean = np.array([x.lin / x.count + x.shift for x in a])
         var = np.array([np.maximum(x.square / x.count - (x.lin / x.count) ** 2, 0) for x in a])
         cats = {c: sorted({v for x in a for v in x.by_cat[c]}) for c in a[0].cat}
         prob = [{c: {v: x.by_cat[c].get(v, 0.0) / x.count for v in cats[c]} for c in cats} for x in a]
@@ -370,13 +452,12 @@ class NaiveBayes:
                 score = score - F.pow(F.col(c).cast("double") - F.lit(float(self.mean[k][i])), 2) / F.lit(2 * v) - F.lit(0.5 * float(np.log(2 * np.pi * v)))
             for c, by in self.prob[k].items():
                 logs = {v: float(np.log(q)) for v, q in by.items() if q > 0}
-                table = F.create_map(*[F.lit(x) for kv in logs.items() for x in kv])
-                score = score + F.coalesce(F.element_at(table, F.col(c)) if logs else F.lit(None).cast("double"), F.lit(float("-inf")))
+                score = score + F.coalesce(lookup(c, logs), F.lit(float("-inf")))
             out.append(score)
         return out
 
     def predict_column(self) -> Column:
-        return _argmax(self.scores(), self.labels)
+        return _known([*self.cont, *self.cats], _argmax(self.scores(), self.labels))
 
     def to_params(self) -> list[float]:
         out = [float(len(self.labels)), float(len(self.cats) + 1 if self.cats else 0), *(_offsets(self.cats) if self.cats else []), *map(float, self.labels), *map(float, self.priors)]

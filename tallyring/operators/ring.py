@@ -5,11 +5,16 @@ and discriminant analysis need: row count, sums and sums of products of the cont
 features, counts per category, sums of each continuous feature per category, and counts per
 pair of categories. Sums of rows are sums of cofactors; a join's cofactor is the sum over
 keys of products. Names, not positions, tell features apart, so order never matters.
+
+Sums may be taken about a shift of each continuous feature, as sums about 0 lose what varies in a
+column whose values are far from 0. Shifts move exactly: sums about one are sums about another. The
+ring's operations bring both sides to the shifts of the first; the text forms are about 0.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -107,9 +112,12 @@ class Cofactor:
     by_cat: dict[str, dict[Key, np.ndarray]] = field(default_factory=dict)
     #: per pair of categorical features (in order of ``cat``): (category, category) -> count
     by_pair: dict[tuple[str, str], dict[tuple, float]] = field(default_factory=dict)
+    #: what was taken off each continuous feature before it was summed
+    shift: np.ndarray | None = None
 
     def __post_init__(self) -> None:
         n = len(self.cont)
+        self.shift = np.zeros(n) if self.shift is None else np.asarray(self.shift, dtype=float)
         self.lin = np.zeros(n) if self.lin is None else np.asarray(self.lin, dtype=float)
         self.quad = np.zeros((n, n)) if self.quad is None else np.asarray(self.quad, dtype=float)
         for c in self.cat:
@@ -134,6 +142,17 @@ class Cofactor:
         pairs = {(a, b): {(cat[a], cat[b]): 1.0} for i, a in enumerate(names) for b in names[i + 1 :]}
         return cls(list(cont), names, 1, x, np.outer(x, x), {c: {v: np.append(1.0, x)} for c, v in cat.items()}, pairs)
 
+    def about(self, shift: Sequence[float] | float = 0.0) -> Cofactor:
+        """The same value as sums about another shift."""
+        shift = np.broadcast_to(np.asarray(shift, dtype=float), self.shift.shape)
+        d = shift - self.shift
+        if not d.any():
+            return self
+        cross = np.outer(d, self.lin)
+        quad = self.quad - cross - cross.T + self.count * np.outer(d, d)
+        by_cat = {c: {k: np.append(v[0], v[1:] - v[0] * d) for k, v in by.items()} for c, by in self.by_cat.items()}
+        return Cofactor(self.cont, self.cat, self.count, self.lin - self.count * d, quad, by_cat, self.by_pair, shift)
+
     def aligned(self, like: Cofactor) -> Cofactor:
         """The same value with features in another's order."""
         _same(self, like)
@@ -142,18 +161,18 @@ class Cofactor:
         at = [self.cont.index(c) for c in like.cont]
         wide = [0, *[1 + i for i in at]]
         pairs = {k: dict(v) for k, v in self.by_pair.items()}
-        return Cofactor(list(like.cont), list(like.cat), self.count, self.lin[at], self.quad[np.ix_(at, at)], {c: {k: v[wide] for k, v in self.by_cat[c].items()} for c in like.cat}, pairs)
+        return Cofactor(list(like.cont), list(like.cat), self.count, self.lin[at], self.quad[np.ix_(at, at)], {c: {k: v[wide] for k, v in self.by_cat[c].items()} for c in like.cat}, pairs, self.shift[at])
 
     def beside(self, other: Cofactor) -> Cofactor:
         """The same value with other names for features that ``other`` has in the same role: a
         feature that a product names twice is x and x_2. One column may be continuous and
         categorical."""
         x, k = _further(self.cont, other.cont), _further(self.cat, other.cat)
-        return Cofactor([x[c] for c in self.cont], [k[c] for c in self.cat], self.count, self.lin, self.quad, {k[c]: d for c, d in self.by_cat.items()}, {(k[a], k[b]): d for (a, b), d in self.by_pair.items()})
+        return Cofactor([x[c] for c in self.cont], [k[c] for c in self.cat], self.count, self.lin, self.quad, {k[c]: d for c, d in self.by_cat.items()}, {(k[a], k[b]): d for (a, b), d in self.by_pair.items()}, self.shift)
 
     def _combine(self, other: Cofactor, sign: int) -> Cofactor:
-        b = other.aligned(self)
-        return Cofactor(self.cont, self.cat, self.count + sign * b.count, self.lin + sign * b.lin, self.quad + sign * b.quad, {c: _blend(self.by_cat[c], b.by_cat[c], sign) for c in self.cat}, {p: _blend(self.by_pair[p], b.by_pair[p], sign) for p in self.by_pair})
+        b = other.aligned(self).about(self.shift)
+        return Cofactor(self.cont, self.cat, self.count + sign * b.count, self.lin + sign * b.lin, self.quad + sign * b.quad, {c: _blend(self.by_cat[c], b.by_cat[c], sign) for c in self.cat}, {p: _blend(self.by_pair[p], b.by_pair[p], sign) for p in self.by_pair}, self.shift)
 
     def __add__(self, other: Cofactor) -> Cofactor:
         return self._combine(other, 1)
@@ -172,23 +191,24 @@ class Cofactor:
         for x in a.cat:
             for y in b.cat:
                 pairs[x, y] = {(i, j): u[0] * v[0] for i, u in a.by_cat[x].items() for j, v in b.by_cat[y].items()}
-        return Cofactor([*a.cont, *b.cont], [*a.cat, *b.cat], a.count * b.count, np.concatenate([a.lin * b.count, b.lin * a.count]), quad, by_cat, pairs)
+        return Cofactor([*a.cont, *b.cont], [*a.cat, *b.cat], a.count * b.count, np.concatenate([a.lin * b.count, b.lin * a.count]), quad, by_cat, pairs, np.concatenate([a.shift, b.shift]))
 
     def scale(self, by: int) -> Cofactor:
         return self * Cofactor.const(by)
 
     def prune(self) -> Cofactor:
         """Without categories whose count is 0, as differences leave them."""
-        return Cofactor(self.cont, self.cat, self.count, self.lin, self.quad, {c: {k: v for k, v in d.items() if round(v[0]) != 0} for c, d in self.by_cat.items()}, {p: {k: v for k, v in d.items() if round(v) != 0} for p, d in self.by_pair.items()})
+        return Cofactor(self.cont, self.cat, self.count, self.lin, self.quad, {c: {k: v for k, v in d.items() if round(v[0]) != 0} for c, d in self.by_cat.items()}, {p: {k: v for k, v in d.items() if round(v) != 0} for p, d in self.by_pair.items()}, self.shift)
 
-    # packed forms
+    # packed forms, about 0
     def scalars(self) -> list[float]:
-        return [*self.lin, *self.quad[np.triu_indices(len(self.cont))]]
+        a = self.about()
+        return [*a.lin, *a.quad[np.triu_indices(len(a.cont))]]
 
     def relations(self) -> list[dict]:
         """Counts per category; sums per category, continuous features outermost; pair counts."""
         out = [{k: v[0] for k, v in self.by_cat[c].items()} for c in self.cat]
-        out += [{k: v[1 + i] for k, v in self.by_cat[c].items()} for i in range(len(self.cont)) for c in self.cat]
+        out += [{k: v[1 + i] for k, v in self.about().by_cat[c].items()} for i in range(len(self.cont)) for c in self.cat]
         return out + [self.by_pair[a, b] for i, a in enumerate(self.cat) for b in self.cat[i + 1 :]]
 
     def to_text(self, exact: bool = True) -> str:
@@ -222,9 +242,12 @@ class NBAggregates:
     lin: np.ndarray | None = None
     square: np.ndarray | None = None
     by_cat: dict[str, dict[Key, float]] = field(default_factory=dict)
+    #: as of a cofactor
+    shift: np.ndarray | None = None
 
     def __post_init__(self) -> None:
         n = len(self.cont)
+        self.shift = np.zeros(n) if self.shift is None else np.asarray(self.shift, dtype=float)
         self.lin = np.zeros(n) if self.lin is None else np.asarray(self.lin, dtype=float)
         self.square = np.zeros(n) if self.square is None else np.asarray(self.square, dtype=float)
         for c in self.cat:
@@ -238,12 +261,19 @@ class NBAggregates:
     def beside(self, other: NBAggregates) -> NBAggregates:
         """As :meth:`Cofactor.beside`."""
         x, k = _further(self.cont, other.cont), _further(self.cat, other.cat)
-        return NBAggregates([x[c] for c in self.cont], [k[c] for c in self.cat], self.count, self.lin, self.square, {k[c]: d for c, d in self.by_cat.items()})
+        return NBAggregates([x[c] for c in self.cont], [k[c] for c in self.cat], self.count, self.lin, self.square, {k[c]: d for c, d in self.by_cat.items()}, self.shift)
+
+    def about(self, shift: Sequence[float] | float = 0.0) -> NBAggregates:
+        """As :meth:`Cofactor.about`."""
+        shift = np.broadcast_to(np.asarray(shift, dtype=float), self.shift.shape)
+        d = shift - self.shift
+        return NBAggregates(self.cont, self.cat, self.count, self.lin - self.count * d, self.square - 2 * d * self.lin + self.count * d * d, self.by_cat, shift) if d.any() else self
 
-    def _combine(self, b: NBAggregates, sign: int) -> NBAggregates:
-        _same(self, b)
-        at = [b.cont.index(c) for c in self.cont]
-        return NBAggregates(self.cont, self.cat, self.count + sign * b.count, self.lin + sign * b.lin[at], self.square + sign * b.square[at], {c: _blend(self.by_cat[c], b.by_cat[c], sign) for c in self.cat})
+    def _combine(self, other: NBAggregates, sign: int) -> NBAggregates:
+        _same(self, other)
+        at = [other.cont.index(c) for c in self.cont]
+        b = NBAggregates(self.cont, self.cat, other.count, other.lin[at], other.square[at], other.by_cat, other.shift[at]).about(self.shift)
+        return NBAggregates(self.cont, self.cat, self.count + sign * b.count, self.lin + sign * b.lin, self.square + sign * b.square, {c: _blend(self.by_cat[c], b.by_cat[c], sign) for c in self.cat}, self.shift)
 
     def __add__(self, other: NBAggregates) -> NBAggregates:
         return self._combine(other, 1)
@@ -254,13 +284,14 @@ class NBAggregates:
     def __mul__(self, other: NBAggregates) -> NBAggregates:
         a, b = self, other.beside(self)
         by_cat = {c: {k: v * b.count for k, v in d.items()} for c, d in a.by_cat.items()} | {c: {k: v * a.count for k, v in d.items()} for c, d in b.by_cat.items()}
-        return NBAggregates([*a.cont, *b.cont], [*a.cat, *b.cat], a.count * b.count, np.concatenate([a.lin * b.count, b.lin * a.count]), np.concatenate([a.square * b.count, b.square * a.count]), by_cat)
+        return NBAggregates([*a.cont, *b.cont], [*a.cat, *b.cat], a.count * b.count, np.concatenate([a.lin * b.count, b.lin * a.count]), np.concatenate([a.square * b.count, b.square * a.count]), by_cat, np.concatenate([a.shift, b.shift]))
 
     def relations(self) -> list[dict]:
         return [self.by_cat[c] for c in self.cat]
 
     def to_text(self, exact: bool = True) -> str:
-        return _text(self, [*self.lin, *self.square], exact)
+        a = self.about()
+        return _text(a, [*a.lin, *a.square], exact)
 
     @classmethod
     def from_text(cls, text: str, cont: list[str] | None = None, cat: list[str] | None = None) -> NBAggregates:

@@ -26,6 +26,12 @@ class Sigma:
 
     names: list
     matrix: np.ndarray
+    #: what the sums are about: a number a name (0 for one-hot columns); nothing for all 0
+    shift: np.ndarray | None = None
+
+    @property
+    def about(self) -> np.ndarray:
+        return np.zeros(len(self.names)) if self.shift is None else self.shift
 
     @property
     def count(self) -> float:
@@ -36,7 +42,7 @@ class Sigma:
 
     def standardized(self) -> tuple[Sigma, np.ndarray, np.ndarray]:
         """Sums of products of z-scores (population deviation; a constant column counts as
-        deviation 1), with means and deviations."""
+        deviation 1), with means and deviations, the means about 0."""
         n = self.count
         mean = self.matrix[0, 1:] / n
         variance = np.diag(self.matrix)[1:] / n - mean**2
@@ -45,7 +51,7 @@ class Sigma:
         m = np.zeros_like(self.matrix)
         m[0, 0] = n
         m[1:, 1:] = (self.matrix[1:, 1:] - n * np.outer(mean, mean)) / np.outer(std, std)
-        return Sigma(self.names, m), mean, std
+        return Sigma(self.names, m), mean + self.about, std
 
 
 def sigma(a: Cofactor, categories: dict[str, list] | None = None, skip: str | None = None) -> Sigma:
@@ -69,11 +75,11 @@ def sigma(a: Cofactor, categories: dict[str, list] | None = None, skip: str | No
             i, j = at.get((c, v)), at.get((d, w))
             if i is not None and j is not None:
                 m[i, j] = m[j, i] = n
-    return Sigma(names, m)
+    return Sigma(names, m, np.append(a.shift, np.zeros(len(names) - k)) if a.shift.any() else None)
 
 
 def class_sums(a: Cofactor, label: str, categories: dict[str, list]) -> dict:
-    """Per class of a categorical label: [count, sums, one-hot sums]."""
+    """Per class of a categorical label: [count, sums about the shift, one-hot sums]."""
     cats = [c for c in a.cat if c != label]
     out = {}
     for y in dictionary([a], [label])[label]:

@@ -6,23 +6,31 @@ single categories and those of pairs are GROUPING SETS over these few rows, in t
 Only sums are collected: one row a group, and one a category or pair of categories that occur.
 Beyond ``WIDE`` continuous features, without groups and decimals, products are summed apart: each
 task sums its rows' in numpy and sends one packed triangle.
+
+Where the sums of a feature show that its values lie so far from 0 that doubles keep too little of
+what varies, rows are summed once more about the means found, a group by its own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
+from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyring.operators.ring import Cofactor, NBAggregates
 
 #: Continuous features up to which sums of products stay one aggregate of 100 columns or fewer.
 WIDE = 12
+#: Variance by mean square below which sums about 0 have lost half the digits of the variance.
+FAR = 1e-8
 #: Columns of sums, apart from any feature's name.
 _N, _S, _Q = "__n", "__s", "__q"
 
@@ -46,20 +54,24 @@ class Spec:
         if self.on_null not in ("raise", "skip"):
             raise ValueError("on_null is raise or skip")
 
+    @property
+    def kind(self) -> str:
+        return f"decimal({self.decimal[0]},{self.decimal[1]})" if self.decimal else "double"
+
     def value(self, name: str) -> Column:
-        return F.col(name).cast(f"decimal({self.decimal[0]},{self.decimal[1]})" if self.decimal else "double")
+        return F.col(name).cast(self.kind)
 
     def rows(self, df: DataFrame) -> DataFrame:
         names = [*dict.fromkeys([*self.cont, *self.cat])]
         if not names:
             return df
+        # a number is no sum's term if it is NaN or infinite; only columns of floats can be
+        floats = [c for c in self.cont if isinstance(df.schema[c].dataType, T.FloatType | T.DoubleType)]
+        lost = reduce(or_, [F.col(n).isNull() for n in names])
+        broken = reduce(or_, [F.isnan(c) | (F.abs(F.col(c)) == float("inf")) for c in floats], F.lit(False))
         if self.on_null == "skip":
-            return df.dropna(subset=names)
-        missing = [F.col(n).isNull() for n in names]
-        none = missing[0]
-        for m in missing[1:]:
-            none = none | m
-        return df.where(F.when(none, F.raise_error(F.lit("a feature is null"))).otherwise(F.lit(True)))
+            return df.where(~lost & ~broken)
+        return df.where(F.when(lost, F.raise_error(F.lit("a feature is null"))).when(broken, F.raise_error(F.lit("a feature is NaN or infinite"))).otherwise(F.lit(True)))
 
 
 def _sums(df: DataFrame, spec: Spec, by: Sequence[str], products: bool) -> DataFrame:
@@ -140,10 +152,78 @@ def cofactor(df: DataFrame, spec: Spec) -> Cofactor | None:
     return found.get(())
 
 
-def cofactors(df: DataFrame, spec: Spec, by: Sequence[str]) -> dict[tuple, Cofactor]:
+def shifted(df: DataFrame, spec: Spec, by: Sequence[str], shifts: dict[tuple, np.ndarray]) -> DataFrame:
+    """Rows with every continuous feature as its value less its group's shift, in ``__x<i>``."""
+    names = [f"__x{i}" for i in range(len(spec.cont))]
+    if not by:
+        off = [F.lit(float(v)).cast(spec.kind) for v in shifts[()]]
+        return df.withColumns({n: spec.value(c) - o for n, c, o in zip(names, spec.cont, off, strict=True)})
+    keys = ", ".join(f"`__g{i}` {df.schema[b].dataType.simpleString()}" for i, b in enumerate(by))
+    rows = [(*key, *map(float, v)) for key, v in shifts.items()]
+    table = df.sparkSession.createDataFrame(rows, ", ".join([keys, *[f"`__o{i}` double" for i in range(len(names))]]))
+    on = reduce(and_, [F.col(b).eqNullSafe(F.col(f"__g{i}")) for i, b in enumerate(by)])
+    # a row a group that was collected already
+    met = df.join(F.broadcast(table), on, "left")
+    off = {n: spec.value(c) - F.coalesce(F.col(f"__o{i}"), F.lit(0.0)).cast(spec.kind) for i, (n, c) in enumerate(zip(names, spec.cont, strict=True))}
+    return met.withColumns(off).drop(*[f"__g{i}" for i in range(len(by))], *[f"__o{i}" for i in range(len(names))])
+
+
+def far(count: float, lin: np.ndarray, square: np.ndarray) -> np.ndarray | None:
+    """Means to sum about, if some feature is too far from 0 for its sums."""
+    mean = lin / count
+    if (square / count - mean**2 >= FAR * mean**2).all():
+        return None
+    return mean
+
+
+def _near(spec: Spec, means: dict[tuple, np.ndarray]) -> tuple[Spec, dict[tuple, np.ndarray]]:
+    """The features of :func:`shifted` rows, and the shifts as their type holds them."""
+    names = tuple(f"__x{i}" for i in range(len(spec.cont)))
+    if not spec.decimal:
+        return Spec(names, spec.cat), means
+    precision, digits = spec.decimal
+    return Spec(names, spec.cat, (min(38, precision + 1), digits)), {k: np.array([round(float(x), digits) for x in v]) for k, v in means.items()}
+
+
+def _again(df: DataFrame, spec: Spec, by: Sequence[str], means: dict[tuple, np.ndarray | None], collect) -> dict[tuple, tuple]:
+    """Sums about the means of the groups that need it: key to aggregate and shift."""
+    needed = {k: v for k, v in means.items() if v is not None}
+    if not needed:
+        return {}
+    near, off = _near(spec, needed)
+    found = collect(shifted(spec.rows(df), spec, by, off), near, by)
+    return {k: (found[k], off[k]) for k in off if k in found}
+
+
+def shifts(df: DataFrame, cont: Sequence[str]) -> dict[str, float]:
+    """The means of the features that are too far from 0 for sums about 0, from one aggregate."""
+    if not cont:
+        return {}
+    x = {c: F.col(c).cast("double") for c in cont}
+    row = df.agg(*[F.avg(x[c]).alias(f"m{i}") for i, c in enumerate(cont)], *[F.var_pop(x[c]).alias(f"v{i}") for i, c in enumerate(cont)]).first()
+    return {c: float(row[f"m{i}"]) for i, c in enumerate(cont) if row[f"m{i}"] is not None and row[f"v{i}"] < FAR * row[f"m{i}"] ** 2}
+
+
+def cofactors(df: DataFrame, spec: Spec, by: Sequence[str], about: Mapping[str, float] | None = None) -> dict[tuple, Cofactor]:
     """SUM of cofactors a group, by the tuple of its keys. Groups are collected: the caller's
-    keys must be few (classes, masks); cofactor_frame keeps them distributed."""
+    keys must be few (classes, columns); cofactor_frame keeps them distributed. ``about``: shifts of
+    features, where they are known (as from :func:`shifts`)."""
     by = list(by)
+    if about is not None:
+        if not any(about.get(c) for c in spec.cont):
+            return _cofactors(df, spec, by)
+        near, off = _near(spec, {(): np.array([about.get(c, 0.0) for c in spec.cont])})
+        found = _cofactors(shifted(spec.rows(df), spec, (), off), near, by)
+        return {k: Cofactor(list(spec.cont), a.cat, a.count, a.lin, a.quad, a.by_cat, a.by_pair, off[()]) for k, a in found.items()}
+    found = _cofactors(df, spec, by)
+    means = {k: far(a.count, a.lin, np.diag(a.quad)) for k, a in found.items()} if spec.cont else {}
+    for key, (a, shift) in _again(df, spec, by, means, _cofactors).items():
+        found[key] = Cofactor(list(spec.cont), a.cat, a.count, a.lin, a.quad, a.by_cat, a.by_pair, shift)
+    return found
+
+
+def _cofactors(df: DataFrame, spec: Spec, by: Sequence[str]) -> dict[tuple, Cofactor]:
+    """Sums as they are, of every group."""
     wide = not by and len(spec.cont) > WIDE and spec.decimal is None
     parts: dict[tuple, list] = {}
     if not wide or spec.cat:
@@ -188,8 +268,18 @@ def cofactor_frame(df: DataFrame, spec: Spec, by: Sequence[str] = ()) -> DataFra
 
 
 def nb_aggregates(df: DataFrame, spec: Spec, by: Sequence[str]) -> dict[tuple, NBAggregates]:
-    """SUM of naive-Bayes aggregates a group (classes: few by meaning), in one job."""
-    by, k, ids = list(by), len(spec.cont), grouping_ids(spec.cat)
+    """SUM of naive-Bayes aggregates a group (classes: few by meaning), in one job, or two where
+    features are far from 0."""
+    by = list(by)
+    found = _nb_aggregates(df, spec, by)
+    means = {k: far(a.count, a.lin, a.square) for k, a in found.items()} if spec.cont else {}
+    for key, (a, shift) in _again(df, spec, by, means, _nb_aggregates).items():
+        found[key] = NBAggregates(list(spec.cont), a.cat, a.count, a.lin, a.square, a.by_cat, shift)
+    return found
+
+
+def _nb_aggregates(df: DataFrame, spec: Spec, by: Sequence[str]) -> dict[tuple, NBAggregates]:
+    k, ids = len(spec.cont), grouping_ids(spec.cat)
     out: dict[tuple, NBAggregates] = {}
     for r in grouped_sums(df, spec, by, pairs=False).collect():
         key = tuple(r[f"__by{i}"] for i in range(len(by)))

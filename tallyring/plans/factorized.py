@@ -6,6 +6,10 @@ categorical feature. The sums of two tables multiply key by key, where their mas
 two bits at most, and are summed again by the keys still needed. A tree of tables is folded from
 its leaves in one plan: a table is read once, an edge is one join, and one job returns all sums.
 What is shuffled is rows a key and category, not joined rows.
+
+Rows with a null key join nothing and go first. Of the others, a null feature, NaN or infinity raises
+(even in a row that nothing joins), or is skipped, as in the sums over one table. Features
+far from 0 are summed again about their means.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyring.operators.ring import Cofactor
+from tallyring.plans.aggregate import Spec, far
 
 
 @dataclass
@@ -28,6 +33,7 @@ class Table:
     df: DataFrame
     cont: Sequence[str] = ()
     cat: Sequence[str] = ()
+    on_null: str = "raise"
     children: list[tuple[str, str, Table]] = field(default_factory=list)
 
     def join(self, key: str, other: Table, other_key: str | None = None) -> Table:
@@ -57,11 +63,11 @@ def _pairs(cont: Sequence[str]) -> list[tuple[str, str]]:
     return [(a, b) for i, a in enumerate(cont) for b in cont[i:]]
 
 
-def _local(t: Table, keys: list[str]) -> _Sums:
+def _local(t: Table, keys: list[str], shifts: dict[str, float]) -> _Sums:
     """One table's sums by ``keys``; rows with a null key would not join and go."""
     cont, cat = list(t.cont), list(t.cat)
-    df = t.df.dropna(subset=keys) if keys else t.df
-    named = [F.col(k).alias(f"k__{k}") for k in keys] + [F.col(a).alias(f"g__{a}") for a in cat] + [F.col(a).cast("double").alias(f"x__{a}") for a in cont]
+    df = Spec(tuple(cont), tuple(cat), None, t.on_null).rows(t.df.dropna(subset=keys) if keys else t.df)
+    named = [F.col(k).alias(f"k__{k}") for k in keys] + [F.col(a).alias(f"g__{a}") for a in cat] + [(F.col(a).cast("double") - F.lit(shifts.get(a, 0.0))).alias(f"x__{a}") for a in cont]
     x = {a: F.col(f"x__{a}") for a in cont}
     rows = df.select(*named).groupBy(*[f"k__{k}" for k in keys], *[f"g__{a}" for a in cat]).agg(F.count(F.lit(1)).cast("double").alias("c"), *[F.sum(x[a]).alias(_s(a)) for a in cont], *[F.sum(x[a] * x[b]).alias(_q(a, b)) for a, b in _pairs(cont)])
     if not cat:
@@ -91,23 +97,29 @@ def _multiply(left: _Sums, right: _Sums, key: str, other: str, keep: list[str])
     return _Sums([*left.cont, *right.cont], cat, both.groupBy(*[f"k__{k}" for k in keep], *[f"g__{a}" for a in cat], mask).agg(*sums))
 
 
-def sums(t: Table, up: Sequence[str] = ()) -> _Sums:
-    """Sums over the tree below ``t``, by the columns ``up`` of t."""
-    own = list(dict.fromkeys([*up, *[k for k, _, _ in t.children]]))
-    now = _local(t, own)
+def sums(t: Table, up: Sequence[str] = (), shifts: dict[str, float] | None = None) -> _Sums:
+    """Sums over the tree below ``t``, by the columns ``up`` of t, of features less their shifts."""
+    own, shifts = list(dict.fromkeys([*up, *[k for k, _, _ in t.children]])), shifts or {}
+    now = _local(t, own, shifts)
     for i, (key, other, child) in enumerate(t.children):
         still = list(dict.fromkeys([*up, *[k for k, _, _ in t.children[i + 1 :]]]))
-        now = _multiply(now, sums(child, [other]), key, other, still)
+        now = _multiply(now, sums(child, [other], shifts), key, other, still)
     return now
 
 
 def cofactor(t: Table) -> Cofactor | None:
     """SUM of cofactors over the join of the tree; None if it has no rows. Features of all tables
     must have different names."""
-    s = sums(t)
+    out = _collected(t, {})
+    mean = far(out.count, out.lin, np.diag(out.quad)) if out is not None and out.cont else None
+    return out if mean is None else _collected(t, dict(zip(out.cont, map(float, mean), strict=True)))
+
+
+def _collected(t: Table, shifts: dict[str, float]) -> Cofactor | None:
+    s = sums(t, (), shifts)
     if len({*s.cont}) < len(s.cont) or len({*s.cat}) < len(s.cat):
         raise ValueError("two tables name a feature alike")
-    out = Cofactor(list(s.cont), list(s.cat))
+    out = Cofactor(list(s.cont), list(s.cat), shift=[shifts.get(c, 0.0) for c in s.cont])
     for r in s.rows.collect():
         own = [a for i, a in enumerate(s.cat) if r["m"] >> (len(s.cat) - 1 - i) & 1]
         lin = np.array([r[_s(x)] or 0.0 for x in s.cont])

@@ -6,6 +6,7 @@ Doubles leave as text with a fixed number of digits, so that sums in another ord
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +17,9 @@ from tallyring.operators import impute as imputation
 from tallyring.operators.models import LDA, QDA, LinearRegression, NaiveBayes
 from tallyring.operators.ring import Cofactor, NBAggregates
 from tallyring.operators.sigma import sigma
-from tallyring.plans import aggregate, factorized
+from tallyring.plans import aggregate, factorized, values
 from tallyring.plans.aggregate import Spec
+from tallyring.sources import tables
 
 EXACT = (12, 2)
 LINE = ("l_quantity", "l_extendedprice", "l_discount")
@@ -43,6 +45,7 @@ def _sql_sig(c: str, digits: int = 8) -> str:
 
 def terms(a: Cofactor) -> list[tuple]:
     """term, k1, k2, value of every sum in a cofactor."""
+    a = a.about()
     out: list[tuple] = [("count", None, None, float(a.count))]
     out += [(f"lin {c}", None, None, float(a.lin[i])) for i, c in enumerate(a.cont)]
     out += [(f"quad {c} {a.cont[j]}", None, None, float(a.quad[i, j])) for i, c in enumerate(a.cont) for j in range(i, len(a.cont))]
@@ -256,8 +259,61 @@ def _(spark, sf):
     return _tidy(spark, terms(aggregate.cofactor(wide, Spec(tuple(wide.columns)))), digits=6)
 
 
+def _lines_with_gaps() -> str:
+    return "(SELECT * FROM (SELECT * REPLACE (CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice) FROM orders) JOIN (SELECT * REPLACE (CASE WHEN l_linenumber = 3 THEN NULL ELSE l_returnflag END AS l_returnflag, CASE WHEN l_suppkey % 9 = 0 THEN NULL ELSE l_quantity END AS l_quantity) FROM lineitem) ON o_orderkey = l_orderkey WHERE o_totalprice IS NOT NULL AND l_returnflag IS NOT NULL AND l_quantity IS NOT NULL)"
+
+
+@query("cofactor_factorized_nulls", _terms_sql(_lines_with_gaps(), ("o_totalprice", "l_quantity"), ("o_orderpriority", "l_returnflag"), exact=False))
+def _(spark, sf):
+    """Rows without a feature are skipped before they meet, as in the sums over the join."""
+    orders = _t(spark, sf, "orders").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 10 != 0, F.col("o_totalprice")))
+    lines = _t(spark, sf, "lineitem").withColumns({"l_returnflag": F.when(F.col("l_linenumber") != 3, F.col("l_returnflag")), "l_quantity": F.when(F.col("l_suppkey") % 9 != 0, F.col("l_quantity"))})
+    child = factorized.Table(lines, ("l_quantity",), ("l_returnflag",), "skip")
+    return _tidy(spark, terms(factorized.cofactor(factorized.Table(orders, ("o_totalprice",), ("o_orderpriority",), "skip").join("o_orderkey", child, "l_orderkey"))))
+
+
+# sums of columns that hold values of the ring
+_VALUES = "(SELECT *, l_suppkey % 7 AS m FROM lineitem)"
+
+
+def _valued(spark, sf) -> DataFrame:
+    """A cofactor a row, as a product of single lifts."""
+    df = _t(spark, sf, "lineitem").withColumn("m", F.col("l_suppkey") % 7)
+    value = lift.cofactor_mul(lift.cofactor_mul(lift.cont_to_cofactor("l_quantity"), lift.cat_to_cofactor("l_linenumber")), lift.cofactor_mul(lift.cat_to_cofactor("m"), lift.cont_to_cofactor("l_tax")))
+    return df.select("l_returnflag", value.alias("value"))
+
+
+_ROLES = (["l_quantity", "l_tax"], ["l_linenumber", "m"])
+
+
+@query("cofactor_value_sum", _terms_sql(_VALUES, *map(tuple, _ROLES), exact=False))
+def _(spark, sf):
+    total = values.value_sum(_valued(spark, sf), "value").first()["total"]
+    return _tidy(spark, terms(values.cofactor_of(total, *_ROLES)))
+
+
+@query("cofactor_value_sum_grouped", f"SELECT l_returnflag, 'count' AS term, NULL::BIGINT AS k1, NULL::BIGINT AS k2, {_sql_sig('count(*)')} AS value FROM {_VALUES} GROUP BY l_returnflag UNION ALL SELECT l_returnflag, 'quad', NULL, NULL, {_sql_sig('sum(l_quantity * l_tax)')} FROM {_VALUES} GROUP BY l_returnflag UNION ALL SELECT l_returnflag, 'contcat', m, NULL, {_sql_sig('sum(l_quantity)')} FROM {_VALUES} GROUP BY l_returnflag, m UNION ALL SELECT l_returnflag, 'catcat', l_linenumber, m, {_sql_sig('count(*)')} FROM {_VALUES} GROUP BY l_returnflag, l_linenumber, m")
+def _(spark, sf):
+    rows, long = tables.checkpoint(values.value_sum(_valued(spark, sf), "value", ["l_returnflag"])), F.lit(None).cast("long")
+    flat = [rows.select("l_returnflag", F.lit(t).alias("term"), long.alias("k1"), long.alias("k2"), v.cast("double").alias("value")) for t, v in (("count", F.col("total.count")), ("quad", F.col("total.quad")[1]))]
+    flat.append(rows.select("l_returnflag", F.lit("contcat").alias("term"), F.explode(F.col("total.contcat")[1]).alias("k1", "value")).withColumn("k2", long))
+    flat.append(rows.select("l_returnflag", F.lit("catcat").alias("term"), F.explode(F.col("total.catcat")[0]).alias("k", "value")).select("l_returnflag", "term", "k.k1", "k.k2", "value"))
+    return reduce(DataFrame.unionByName, flat).withColumn("value", _sig(F.col("value")))
+
+
+@query("cofactor_product_sum", _terms_sql("(SELECT *, o_custkey % 5 AS c FROM orders JOIN lineitem ON o_orderkey = l_orderkey)", ("l_quantity", "o_totalprice"), ("l_linenumber", "c"), exact=False))
+def _(spark, sf):
+    """Cofactors by key on both sides, multiplied where keys meet, and summed."""
+    lines = aggregate.cofactor_frame(_t(spark, sf, "lineitem"), Spec(("l_quantity",), ("l_linenumber",)), ["l_orderkey"])
+    orders = aggregate.cofactor_frame(_t(spark, sf, "orders").withColumn("c", F.col("o_custkey") % 5), Spec(("o_totalprice",), ("c",)), ["o_orderkey"])
+    met = lines.withColumnRenamed("cofactor", "a").join(orders.withColumnRenamed("cofactor", "b"), F.col("l_orderkey") == F.col("o_orderkey"))
+    total = values.value_sum(met, lift.cofactor_mul(F.col("a"), F.col("b"))).first()["total"]
+    return _tidy(spark, terms(values.cofactor_of(total, ["l_quantity", "o_totalprice"], ["l_linenumber", "c"])))
+
+
 # naive-Bayes aggregates
 def _nb_terms(g: str, a: NBAggregates) -> list[tuple]:
+    a = a.about()
     out = [(g, "count", None, float(a.count))]
     out += [(g, f"lin {c}", None, float(a.lin[i])) for i, c in enumerate(a.cont)] + [(g, f"square {c}", None, float(a.square[i])) for i, c in enumerate(a.cont)]
     return out + [(g, f"cat {c}", str(k), float(v)) for c, d in a.by_cat.items() for k, v in d.items()]
@@ -292,6 +348,14 @@ def _(spark, sf):
     return rows.select("s_suppkey", F.col("c.count").alias("n"), _sig(F.col("c.lin")[0]).alias("s"), _sig(F.col("c.square")[0]).alias("q"), F.map_keys(F.col("c.cat1")[0])[0].alias("k"), F.map_values(F.col("c.cat1")[0])[0].alias("c"))
 
 
+@query("nb_value_sum", _nb_sql("lineitem", "l_returnflag", ("l_quantity", "l_discount"), ("l_linenumber",)))
+def _(spark, sf):
+    cont, cat = ["l_quantity", "l_discount"], ["l_linenumber"]
+    rows = _t(spark, sf, "lineitem").select("l_returnflag", lift.to_nb_aggregates(cont, cat).alias("value"))
+    found = {r[0]: values.nb_of(r[1], cont, cat) for r in values.value_sum(rows, "value", ["l_returnflag"]).collect()}
+    return _tidy(spark, [t for g, a in found.items() for t in _nb_terms(g, a)], "label string, term string, k string, value double")
+
+
 @query("nb_text", _nb_sql("lineitem", "l_returnflag", ("l_quantity", "l_discount"), ("l_linenumber",)))
 def _(spark, sf):
     found = aggregate.nb_aggregates(_t(spark, sf, "lineitem"), Spec(("l_quantity", "l_discount"), ("l_linenumber",), EXACT), ["l_returnflag"])
@@ -359,7 +423,7 @@ def _(spark, sf):
 @query("linreg_packed", _fit_sql(f"regr_intercept({_XY})", f"regr_slope({_XY})", name="x0"))
 def _(spark, sf):
     a = aggregate.cofactor(_t(spark, sf, "lineitem"), Spec(LINE[:2], (), EXACT))
-    packed = [float(a.count), *a.lin, *a.scalars()[2:]]
+    packed = [float(a.count), *a.scalars()]
     return _fit_rows(spark, LinearRegression.from_packed(packed, 1))
 
 
@@ -370,6 +434,18 @@ def _(spark, sf):
     return _fit_rows(spark, LinearRegression.fit(a, "o_totalprice"))
 
 
+_LATE = "(SELECT (o_orderkey * 7919 % 3600)::DOUBLE AS x, 3.0 * (o_orderkey * 7919 % 3600) + (o_custkey * 31 % 101) / 4.0 AS y FROM orders)"
+
+
+@query("linreg_offset", f"SELECT 'slope' AS term, {_sql_sig('regr_slope(y, x)', 6)} AS value FROM {_LATE} UNION ALL SELECT 'sigma', {_sql_sig('sqrt((regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x)) / count(*))', 6)} FROM {_LATE}")
+def _(spark, sf):
+    """Milliseconds since 1970 as a feature: the sums are taken about its mean."""
+    x = F.col("o_orderkey") * 7919 % 3600 + F.lit(1_700_000_000_000)
+    rows = _t(spark, sf, "orders").select(x.cast("double").alias("x"), (3.0 * x + F.col("o_custkey") * 31 % 101 / 4.0).alias("y"))
+    m = LinearRegression.fit(rows, "y", ["x"], variance=True)
+    return _tidy(spark, [("slope", float(m.weights[0])), ("sigma", m.sigma)], "term string, value double", 6)
+
+
 _UNLIKE_LINES = "(SELECT l_tax AS a, 100 * o_totalprice AS b, 1000 * l_tax + 0.001 * o_totalprice + ((l_orderkey * 31 + l_linenumber * 7) % 101 + 50) / 25.0 AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 
@@ -533,6 +609,32 @@ def _(spark, sf):
     return _confusion(df, NaiveBayes.fit(df, "band", ["x", "y"], ["l_linestatus"]).predict_column())
 
 
+# features far from 0: classes are those of the same features near it
+_NEAR = "(SELECT *, CASE WHEN l_extendedprice < 15000 THEN 0 WHEN l_extendedprice < 40000 THEN 1 ELSE 2 END AS band, l_quantity AS x, l_linenumber::DOUBLE AS y FROM lineitem)"
+
+
+def _far(spark, sf) -> DataFrame:
+    return _banded(spark, sf).withColumns({"x": F.col("l_quantity") + F.lit(1.7e12), "y": F.col("l_linenumber") + F.lit(1e9)})
+
+
+@query("lda_offset", _predicted_sql(_lda_sql(_NEAR), _LINEAR))
+def _(spark, sf):
+    df = _far(spark, sf)
+    return _confusion(df, LDA.fit(df, "band", ["x", "y"]).predict_column())
+
+
+@query("qda_offset", _predicted_sql(_qda_sql(_NEAR), _SQUARE))
+def _(spark, sf):
+    df = _far(spark, sf)
+    return _confusion(df, QDA.fit(df, "band", ["x", "y"]).predict_column())
+
+
+@query("nb_offset", f"{_classes(_NEAR)}, s AS (SELECT t.band, k.band AS predicted, row_number() OVER (PARTITION BY id ORDER BY ln(k.n / a.n) - (x - mx) * (x - mx) / (2 * (vx + 1e-9)) - ln(2 * pi() * (vx + 1e-9)) / 2 - (y - my) * (y - my) / (2 * (vy + 1e-9)) - ln(2 * pi() * (vy + 1e-9)) / 2 DESC, k.band) AS r FROM (SELECT *, row_number() OVER () AS id FROM t) t, k, a) SELECT band, predicted, count(*) AS n FROM s WHERE r = 1 GROUP BY ALL")
+def _(spark, sf):
+    df = _far(spark, sf)
+    return _confusion(df, NaiveBayes.fit(df, "band", ["x", "y"]).predict_column())
+
+
 # imputation: two columns with deterministic gaps
 _GAPS = "(SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity AS x, CASE WHEN (l_orderkey * 31 + l_linenumber) % 5 = 0 THEN NULL ELSE l_extendedprice END AS p, CASE WHEN (l_orderkey * 17 + l_linenumber) % 7 = 0 THEN NULL ELSE 100 * l_tax END AS t, CASE WHEN (l_orderkey * 13 + l_linenumber) % 6 = 0 THEN NULL ELSE l_returnflag END AS f FROM lineitem)"
 
@@ -605,6 +707,54 @@ def _(spark, sf):
     return rows.groupBy("p_ISNOTNULL", "t_ISNOTNULL", "not_null_cnt", "not_null_col_id").agg(F.count("*").alias("n"), F.count_distinct("row_id").alias("row_ids"))
 
 
+_LAID_OUT = "SELECT (p IS NULL) AS p_ISNULL, (t IS NULL) AS t_ISNULL, {more}count(*) AS n, count(*) AS row_ids FROM " + _GAPS + " GROUP BY ALL"
+
+
+@query("impute_layout_low", _LAID_OUT.format(more="((p IS NULL)::INT + (t IS NULL)::INT) AS null_cnt, CASE WHEN p IS NOT NULL AND t IS NOT NULL THEN 0 WHEN t IS NOT NULL THEN 1 WHEN p IS NOT NULL THEN 2 END AS null_col_id, "))
+def _(spark, sf):
+    rows = imputation.layout(_gaps(spark, sf), ["p", "t"], "low")
+    return rows.groupBy("p_ISNULL", "t_ISNULL", "null_cnt", "null_col_id").agg(F.count("*").alias("n"), F.count_distinct("row_id").alias("row_ids"))
+
+
+@query("impute_layout_baseline", _LAID_OUT.format(more=""))
+def _(spark, sf):
+    rows = imputation.layout(_gaps(spark, sf), ["p", "t"], "baseline")
+    return rows.groupBy("p_ISNULL", "t_ISNULL").agg(F.count("*").alias("n"), F.count_distinct("row_id").alias("row_ids"))
+
+
+@query("impute_trace", "SELECT iteration, c, phase, true AS timed, (SELECT count(*) FROM lineitem) AS n FROM (VALUES (0, NULL, 'fill'), (1, 'f', 'train'), (1, 'f', 'impute'), (1, 'p', 'train'), (1, 'p', 'impute')) v(iteration, c, phase)")
+def _(spark, sf):
+    """Steps of a run as it tells them."""
+    found = imputation.impute(_gaps(spark, sf).drop("t"), ["x", "p"], ["f"], ["p"], ["f"], iterations=1, strategy="high")
+    rows = [(t["iteration"], t["column"], t["phase"], t["ms"] > 0) for t in found.trace]
+    return spark.createDataFrame(rows, "iteration int, c string, phase string, timed boolean").withColumn("n", F.lit(found.frame.count()))
+
+
+# sources and sinks
+@query("source_query_text", "SELECT n_regionkey, count(*) AS n FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY ALL")
+def _(spark, sf):
+    """A table whose name begins like a query, and a query that begins with a comment."""
+    _t(spark, sf, "customer").createOrReplaceTempView("selected_customers")
+    _t(spark, sf, "nation").createOrReplaceTempView("with_nations")
+    both = tables.read(spark, "selected_customers").join(tables.read(spark, "-- all of them\n(SELECT * FROM with_nations)"), F.col("n_nationkey") == F.col("c_nationkey"))
+    return both.groupBy("n_regionkey").agg(F.count("*").alias("n"))
+
+
+@query("source_pandas", "SELECT n_nationkey, CASE WHEN n_regionkey <> 2 THEN n_regionkey::DOUBLE END AS x FROM nation")
+def _(spark, sf):
+    """A pandas frame with NaN, which is null here."""
+    frame = _t(spark, sf, "nation").select("n_nationkey", F.when(F.col("n_regionkey") != 2, F.col("n_regionkey").cast("double")).alias("x")).toPandas()
+    return tables.from_pandas(spark, frame)
+
+
+@query("source_written", f"SELECT c_mktsegment, count(*) AS n, {_sql_sig('sum(CAST(c_acctbal AS DECIMAL(12,2)))')} AS total FROM customer GROUP BY ALL")
+def _(spark, sf):
+    """A table written in folders by a column, and read again."""
+    path = tables.step(spark)
+    tables.write(_t(spark, sf, "customer"), path, ["c_mktsegment"])
+    return tables.read(spark, path).groupBy("c_mktsegment").agg(F.count("*").alias("n"), _sig(F.sum(F.col("c_acctbal").cast("decimal(12,2)"))).alias("total"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 

@@ -18,7 +18,7 @@ def total(values):
 
 
 def same(a: Cofactor, b: Cofactor) -> bool:
-    a, b = a.prune(), b.aligned(a).prune()
+    a, b = a.prune().about(), b.aligned(a).prune().about()
     maps = all(a.by_cat[c].keys() == b.by_cat[c].keys() and all(np.allclose(v, b.by_cat[c][k]) for k, v in a.by_cat[c].items()) for c in a.cat)
     pairs = all({k: v for k, v in a.by_pair[p].items()} == pytest.approx(b.by_pair[p]) for p in a.by_pair)
     return a.count == b.count and np.allclose(a.lin, b.lin) and np.allclose(a.quad, b.quad) and maps and pairs
