@@ -7,6 +7,11 @@ two bits at most, and are summed again by the keys still needed. A tree of table
 its leaves in one plan: a table is read once, an edge is one join, and one job returns all sums.
 What is shuffled is rows a key and category, not joined rows.
 
+Summing first pays where joined rows are many more than the sums; where keys hardly repeat on one
+side, the join as it stands has fewer rows. ``cofactor`` looks at distinct counts of keys and of keys
+with categories (sketches of all tables, in one job) and takes the way with fewer rows; children
+with fewer sums are multiplied first.
+
 Rows with a null key join nothing and go first. Of the others, a null feature, NaN or infinity raises
 (even in a row that nothing joins), or is skipped, as in the sums over one table. Features
 far from 0 are summed again about their means.
@@ -16,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -23,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyring.operators.ring import Cofactor
+from tallyring.plans import aggregate
 from tallyring.plans.aggregate import Spec, far
 
 
@@ -107,12 +114,85 @@ def sums(t: Table, up: Sequence[str] = (), shifts: dict[str, float] | None = Non
     return now
 
 
-def cofactor(t: Table) -> Cofactor | None:
+@dataclass
+class Estimate:
+    """Rows of the join of a tree, rows of sums that the factorised way makes and shuffles, and of
+    each table its rows (n), sums (groups) and distinct keys."""
+
+    joined: float
+    summed: float
+    tables: list[dict]
+
+
+def _tables(t: Table, up: str | None = None) -> list[tuple[Table, str | None]]:
+    return [(t, up), *[x for _, other, child in t.children for x in _tables(child, other)]]
+
+
+def estimate(t: Table) -> Estimate:
+    """Counts and sketches of every table of the tree, one row each, collected from one job."""
+    own, parts = _tables(t), []
+    for i, (table, up) in enumerate(own):
+        keys = list(dict.fromkeys([*([up] if up else []), *[k for k, _, _ in table.children]]))
+        grouped = [F.col(c) for c in dict.fromkeys([*keys, *table.cat])]
+        distinct = [F.approx_count_distinct(F.col(k)).alias(k) for k in keys]
+        groups = F.approx_count_distinct(F.xxhash64(*grouped)) if grouped else F.lit(1).cast("long")
+        parts.append(table.df.agg(F.lit(i).alias("i"), F.count(F.lit(1)).alias("n"), groups.alias("groups"), F.array(*[d.cast("long") for d in distinct]).cast("array<long>").alias("keys")).withColumn("names", F.array(*map(F.lit, keys)).cast("array<string>")))
+    rows = {r["i"]: {"n": r["n"], "groups": r["groups"], "keys": dict(zip(r["names"], r["keys"], strict=True))} for r in reduce(DataFrame.unionByName, parts).collect()}
+    place = {id(table): i for i, (table, _) in enumerate(own)}
+
+    def joined(table: Table) -> float:
+        now = rows[place[id(table)]]
+        out = float(now["n"])
+        for key, other, child in table.children:
+            out *= joined(child) / max(1, now["keys"][key], rows[place[id(child)]]["keys"][other])
+        return out
+
+    copies = [1 + len(table.cat) + len(table.cat) * (len(table.cat) - 1) // 2 for table, _ in own]
+    return Estimate(joined(t), float(sum(rows[i]["groups"] * c for i, c in enumerate(copies))), [rows[i] for i in range(len(own))])
+
+
+def _by_size(t: Table, sizes: dict[int, int]) -> Table:
+    """The tree with each table's smallest child first."""
+    children = sorted(t.children, key=lambda c: sizes[id(c[2])])
+    return Table(t.df, t.cont, t.cat, t.on_null, [(k, o, _by_size(c, sizes)) for k, o, c in children])
+
+
+def joined(t: Table) -> tuple[DataFrame, Spec]:
+    """The join of the tree with all features, for the sums over its rows."""
+    cont, cat = [c for x, _ in _tables(t) for c in x.cont], [c for x, _ in _tables(t) for c in x.cat]
+    if len({*cont}) < len(cont) or len({*cat}) < len(cat):
+        raise ValueError("two tables name a feature alike")
+
+    def rows(table: Table, up: str | None) -> DataFrame:
+        keys = list(dict.fromkeys([*([up] if up else []), *[k for k, _, _ in table.children]]))
+        own = Spec(tuple(table.cont), tuple(table.cat), None, table.on_null).rows(table.df.dropna(subset=keys) if keys else table.df)
+        out = own.select(*[F.col(k).alias(f"{id(table)}__{k}") for k in keys], *[F.col(c).alias(f"x__{c}") for c in table.cont], *[F.col(c).alias(f"g__{c}") for c in table.cat])
+        for key, other, child in table.children:
+            right = rows(child, other)
+            out = out.join(right, out[f"{id(table)}__{key}"] == right[f"{id(child)}__{other}"])
+        return out
+
+    return rows(t, None), Spec(tuple(f"x__{c}" for c in cont), tuple(f"g__{c}" for c in cat))
+
+
+def cofactor(t: Table, how: str = "auto") -> Cofactor | None:
     """SUM of cofactors over the join of the tree; None if it has no rows. Features of all tables
-    must have different names."""
+    must have different names. ``how``: summed (factorised), joined, or the one with fewer rows."""
+    if how not in ("auto", "summed", "joined"):
+        raise ValueError("how is auto, summed or joined")
+    order = Cofactor([c for x, _ in _tables(t) for c in x.cont], [c for x, _ in _tables(t) for c in x.cat])
+    if how == "auto":
+        found = estimate(t)
+        how = "summed" if found.summed < found.joined else "joined"
+        t = _by_size(t, {id(x): r["groups"] for (x, _), r in zip(_tables(t), found.tables, strict=True)})
+    if how == "joined":
+        a = aggregate.cofactor(*joined(t))
+        bare = lambda names: [n[3:] for n in names]
+        return a and Cofactor(bare(a.cont), bare(a.cat), a.count, a.lin, a.quad, {c[3:]: v for c, v in a.by_cat.items()}, {(c[3:], d[3:]): v for (c, d), v in a.by_pair.items()}, a.shift).aligned(order)
     out = _collected(t, {})
     mean = far(out.count, out.lin, np.diag(out.quad)) if out is not None and out.cont else None
-    return out if mean is None else _collected(t, dict(zip(out.cont, map(float, mean), strict=True)))
+    out = out if mean is None else _collected(t, dict(zip(out.cont, map(float, mean), strict=True)))
+    return out and out.aligned(order)
 
 
 def _collected(t: Table, shifts: dict[str, float]) -> Cofactor | None:

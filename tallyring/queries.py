@@ -12,7 +12,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyring.functions import lift
+from tallyring.functions import lift, sql
 from tallyring.operators import impute as imputation
 from tallyring.operators.models import LDA, QDA, LinearRegression, NaiveBayes
 from tallyring.operators.ring import Cofactor, NBAggregates
@@ -446,6 +446,17 @@ def _(spark, sf):
     return _tidy(spark, [("slope", float(m.weights[0])), ("sigma", m.sigma)], "term string, value double", 6)
 
 
+@query("linreg_sql", f"{_fit_sql(f'regr_intercept({_XY})', f'regr_slope({_XY})')} UNION ALL SELECT 'predicted', {_sql_sig('avg(l_extendedprice)', 6)} FROM lineitem")
+def _(spark, sf):
+    """Training and prediction in SQL: partial sums, one row with the parameters, and its use."""
+    sql.register(spark)
+    _t(spark, sf, "lineitem").select("l_extendedprice", "l_quantity").createOrReplaceTempView("sql_lines")
+    fitted = "SELECT params FROM linregr_train(TABLE(SELECT * FROM ring_sums(TABLE(SELECT * FROM sql_lines), 'l_extendedprice,l_quantity', '', '')) WITH SINGLE PARTITION, 'l_extendedprice', 0D, false, false)"
+    rows = spark.sql(f"WITH m AS ({fitted}) SELECT max(params) AS params, avg(p) AS mean FROM (SELECT params, linregr_predict(params, array(l_quantity), array(), false, false) AS p FROM sql_lines, m)")
+    terms_ = F.array(F.struct(F.lit("intercept").alias("term"), F.col("params")[1].alias("value")), F.struct(F.lit("l_quantity").alias("term"), F.col("params")[2].alias("value")), F.struct(F.lit("predicted").alias("term"), F.col("mean").alias("value")))
+    return rows.select(F.inline(terms_)).select("term", _sig(F.col("value"), 6).alias("value"))
+
+
 _UNLIKE_LINES = "(SELECT l_tax AS a, 100 * o_totalprice AS b, 1000 * l_tax + 0.001 * o_totalprice + ((l_orderkey * 31 + l_linenumber * 7) % 101 + 50) / 25.0 AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 

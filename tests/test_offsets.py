@@ -1,5 +1,7 @@
 """Sums about shifts, and rows that are no terms of a sum: nulls, NaN, infinity."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -85,15 +87,16 @@ def test_shifts_move_exactly():
 def test_factorised_far_and_nulls(spark, near):
     left = near.withColumn("key", F.col("k")).withColumn("x", F.col("x") + 1e9).select("key", "x")
     right = spark.createDataFrame([(0, 1.0), (0, 2.5), (1, 4.0)], "key int, u double")
-    tree = factorized.cofactor(factorized.Table(left, ("x",)).join("key", factorized.Table(right, ("u",))))
     joined = aggregate.cofactor(left.join(right, "key"), Spec(("x", "u")))
-    assert tree.shift.any() and same(tree.about(joined.shift), joined)
+    for how in ("auto", "summed", "joined"):
+        tree = factorized.cofactor(factorized.Table(left, ("x",)).join("key", factorized.Table(right, ("u",))), how)
+        assert tree.shift.any() and same(tree.about(joined.shift), joined)
     rows = spark.createDataFrame([(1, 1.0, "a"), (1, None, "b"), (2, 3.0, None), (None, None, "c")], "key int, v double, g string")
     other = spark.createDataFrame([(1, 2.0), (2, 3.0)], "key int, w double")
-    for cont, cat in ((("v",), ()), ((), ("g",))):
+    for (cont, cat), how in itertools.product(((("v",), ()), ((), ("g",))), ("auto", "summed", "joined")):
         with pytest.raises(Exception, match="a feature is null"):
-            factorized.cofactor(factorized.Table(rows, cont, cat).join("key", factorized.Table(other, ("w",))))
-        skipped = factorized.cofactor(factorized.Table(rows, cont, cat, "skip").join("key", factorized.Table(other, ("w",))))
+            factorized.cofactor(factorized.Table(rows, cont, cat).join("key", factorized.Table(other, ("w",))), how)
+        skipped = factorized.cofactor(factorized.Table(rows, cont, cat, "skip").join("key", factorized.Table(other, ("w",))), how)
         want = aggregate.cofactor(rows.join(other, "key"), Spec((*cont, "w"), cat, on_null="skip"))
         assert same(skipped, want) and skipped.count == 2
 

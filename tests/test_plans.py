@@ -61,7 +61,23 @@ def test_factorised_equals_joined(spark, sf):
     tree = factorized.Table(orders, ("o_totalprice",), ("o_orderpriority",)).join("o_orderkey", child, "l_orderkey").join("o_custkey", factorized.Table(customers, ("c_acctbal",), ("c_mktsegment",)), "c_custkey")
     joined = orders.join(lines, orders.o_orderkey == lines.l_orderkey).join(customers, orders.o_custkey == customers.c_custkey)
     want = aggregate.cofactor(joined, Spec(("l_quantity", "o_totalprice", "c_acctbal"), ("l_returnflag", "l_linestatus", "o_orderpriority", "c_mktsegment")))
-    assert same(factorized.cofactor(tree), want)
+    for how in ("auto", "summed", "joined"):
+        assert same(factorized.cofactor(tree, how), want)
+    with pytest.raises(ValueError):
+        factorized.cofactor(tree, "other")
+
+
+def test_the_way_with_fewer_rows(spark):
+    """Keys that do not repeat are joined as they are; keys that repeat on both sides are summed first."""
+    one = spark.range(2000).select("id", (F.col("id") * 1.5).alias("u"), (F.col("id") % 20).alias("k"))
+    other = spark.range(3000).select((F.col("id") % 2000).alias("id"), (F.col("id") % 7).cast("double").alias("v"), (F.col("id") % 20).alias("k"))
+    unique = factorized.Table(one, ("u",)).join("id", factorized.Table(other, ("v",)))
+    repeated = factorized.Table(one, ("u",)).join("k", factorized.Table(other, ("v",)))
+    a, b = factorized.estimate(unique), factorized.estimate(repeated)
+    assert a.joined <= a.summed and a.joined == pytest.approx(3000, rel=0.1)
+    assert b.summed == 40 and b.joined == pytest.approx(2000 * 3000 / 20)
+    for tree in (unique, repeated):
+        assert same(factorized.cofactor(tree), factorized.cofactor(tree, "joined"))
 
 
 def test_columns(spark):
