@@ -33,14 +33,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyring.operators.models import LDA, LinearRegression
 from tallyring.operators.ring import Cofactor
 from tallyring.plans import aggregate
 from tallyring.plans.aggregate import Spec
-from tallyring.sources.tables import Manifest, Parts, delete
+from tallyring.sources.tables import Manifest, Parts, delete, read
 
 STRATEGIES = ("baseline", "low", "high")
 MASK, PART = "null_mask", "null_part"
@@ -72,8 +72,11 @@ def layout(df: DataFrame, nullable: Sequence[str], strategy: str = "low") -> Dat
     there: c_ISNOTNULL, not_null_cnt and not_null_col_id."""
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy is one of {STRATEGIES}")
+    return _laid_out(df, nullable, [F.col(c).isNull() for c in nullable], strategy)
+
+
+def _laid_out(df: DataFrame, nullable: Sequence[str], missing: Sequence[Column], strategy: str) -> DataFrame:
     out = df.withColumn("row_id", F.monotonically_increasing_id())
-    missing = [F.col(c).isNull() for c in nullable]
     wanted, said, count, which = (missing, "ISNULL", "null_cnt", "null_col_id") if strategy != "high" else ([~m for m in missing], "ISNOTNULL", "not_null_cnt", "not_null_col_id")
     flags = {f"{c}_{said}": w for c, w in zip(nullable, wanted, strict=True)}
     if strategy == "baseline":
@@ -212,6 +215,21 @@ def impute(df: DataFrame, cont: Sequence[str] = (), cat: Sequence[str] = (), con
     return Imputed(parts.frame().drop(PART), state["trace"])
 
 
+def impute_table(spark: SparkSession, source: str, target: str, cont: Sequence[str] = (), cat: Sequence[str] = (), cont_null: Sequence[str] = (), cat_null: Sequence[str] = (), *, strategy: str = "low", mode: str = "errorifexists", **options) -> list[dict]:
+    """Fill a table, path or query and write the result in the strategy's layout (:func:`layout`) as a
+    table of the catalogue, or as a path if ``target`` is one; the steps' trace."""
+    found = impute(read(spark, source), cont, cat, cont_null, cat_null, strategy=strategy, **options)
+    nullable = [*cat_null, *cont_null]
+    bare = found.frame.drop(*[flag(c) for c in nullable], "null_cnt", "null_col_id")
+    out = _laid_out(bare, nullable, [F.col(MASK).bitwiseAND(F.lit(1 << i)) != 0 for i in range(len(nullable))], strategy).drop(MASK)
+    writer = out.write.mode(mode)
+    if "/" in target:
+        writer.parquet(target)
+    else:
+        writer.saveAsTable(target)
+    return found.trace
+
+
 def _commit(manifest: Manifest | None, state: dict, parts: Parts) -> None:
     if manifest is not None:
         manifest.commit(state | {"paths": parts.paths}, state["done"])

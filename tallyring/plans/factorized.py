@@ -19,7 +19,7 @@ far from 0 are summed again about their means.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import combinations
@@ -196,7 +196,11 @@ def cofactor(t: Table, how: str = "auto") -> Cofactor | None:
 
 
 def _collected(t: Table, shifts: dict[str, float]) -> Cofactor | None:
-    s = sums(t, (), shifts)
+    return collected(sums(t, (), shifts), shifts)
+
+
+def collected(s: _Sums, shifts: Mapping[str, float]) -> Cofactor | None:
+    """Sums without keys as one value; None for no rows."""
     if len({*s.cont}) < len(s.cont) or len({*s.cat}) < len(s.cat):
         raise ValueError("two tables name a feature alike")
     out = Cofactor(list(s.cont), list(s.cat), shift=[shifts.get(c, 0.0) for c in s.cont])

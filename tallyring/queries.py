@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 
 from tallyring.functions import lift, sql
 from tallyring.operators import impute as imputation
+from tallyring.operators import sparse
 from tallyring.operators.models import LDA, QDA, LinearRegression, NaiveBayes
 from tallyring.operators.ring import Cofactor, NBAggregates
 from tallyring.operators.sigma import sigma
 from tallyring.plans import aggregate, factorized, values
 from tallyring.plans.aggregate import Spec
 from tallyring.sources import tables
+from tallyring.streaming.views import Views
 
 EXACT = (12, 2)
 LINE = ("l_quantity", "l_extendedprice", "l_discount")
@@ -272,6 +274,18 @@ def _(spark, sf):
     return _tidy(spark, terms(factorized.cofactor(factorized.Table(orders, ("o_totalprice",), ("o_orderpriority",), "skip").join("o_orderkey", child, "l_orderkey"))))
 
 
+@query("cofactor_maintained", _terms_sql("orders JOIN (SELECT * FROM lineitem WHERE l_linenumber <> 1) ON o_orderkey = l_orderkey", ("o_totalprice", "l_quantity", "l_extendedprice"), ("o_orderpriority", "l_returnflag"), exact=False))
+def _(spark, sf):
+    """Sums over a join kept while rows come into both tables, and go from one."""
+    views = Views(spark, _two_way(spark, sf), tables.step(spark))
+    orders, lines = _t(spark, sf, "orders"), _t(spark, sf, "lineitem")
+    views.change(0, orders.where("o_orderkey % 2 = 0"))
+    views.change(1, lines)
+    views.change(0, orders.where("o_orderkey % 2 <> 0"))
+    views.change(1, lines.where("l_linenumber = 1"), -1)
+    return _tidy(spark, terms(views.root().prune()))
+
+
 # sums of columns that hold values of the ring
 _VALUES = "(SELECT *, l_suppkey % 7 AS m FROM lineitem)"
 
@@ -478,6 +492,14 @@ def _(spark, sf):
     return p.groupBy("l_returnflag", "l_linenumber").agg(_sig(F.avg("p"), 6).alias("mean"), _sig(F.min("p"), 6).alias("low"), _sig(F.max("p"), 6).alias("high"))
 
 
+@query("linreg_sparse", f"{_WITHIN.replace('PARTITION BY l_returnflag', 'PARTITION BY l_partkey')} SELECT l_returnflag, l_linenumber, {_sql_sig('avg(p)', 6)} AS mean, {_sql_sig('min(p)', 6)} AS low, {_sql_sig('max(p)', 6)} AS high FROM p GROUP BY ALL")
+def _(spark, sf):
+    """Every part is a category: conjugate gradients over a table of sums."""
+    df = _t(spark, sf, "lineitem")
+    p = df.withColumn("p", sparse.fit(df, "l_extendedprice", ["l_quantity"], ["l_partkey"]).predict_column())
+    return p.groupBy("l_returnflag", "l_linenumber").agg(_sig(F.avg("p"), 6).alias("mean"), _sig(F.min("p"), 6).alias("low"), _sig(F.max("p"), 6).alias("high"))
+
+
 # classifiers: bands of price from quantity and discount
 _BANDS = "(SELECT *, CASE WHEN l_extendedprice < 15000 THEN 0 WHEN l_extendedprice < 40000 THEN 1 ELSE 2 END AS band, l_quantity AS x, 100 * l_discount AS y FROM lineitem)"
 
@@ -741,6 +763,16 @@ def _(spark, sf):
     return spark.createDataFrame(rows, "iteration int, c string, phase string, timed boolean").withColumn("n", F.lit(found.frame.count()))
 
 
+@query("impute_table", f"{_imputed_sql(_GAPS).split(' SELECT np::INT + 2 * nt::INT AS mask')[0]} SELECT NOT np AS p_ISNOTNULL, NOT nt AS t_ISNOTNULL, 2 - np::INT - nt::INT AS not_null_cnt, CASE WHEN np AND nt THEN 0 WHEN nt THEN 1 WHEN np THEN 2 END AS not_null_col_id, count(*) AS n, count(*) AS row_ids, {_sql_sig('avg(p)', 5)} AS p FROM s2 GROUP BY ALL")
+def _(spark, sf):
+    """From a named table to a written one, in the strategy's layout."""
+    _gaps(spark, sf).createOrReplaceTempView("selected_gaps")
+    path = tables.step(spark)
+    imputation.impute_table(spark, "selected_gaps", path, ["x", "p", "t"], (), ["p", "t"], strategy="high", iterations=1)
+    rows = tables.read(spark, path)
+    return rows.groupBy("p_ISNOTNULL", "t_ISNOTNULL", "not_null_cnt", "not_null_col_id").agg(F.count("*").alias("n"), F.count_distinct("row_id").alias("row_ids"), _sig(F.avg("p"), 5).alias("p"))
+
+
 # sources and sinks
 @query("source_query_text", "SELECT n_regionkey, count(*) AS n FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY ALL")
 def _(spark, sf):
