@@ -8,9 +8,11 @@ reaches over two words, the text's probability is the product over its words, ti
 
 What is learnt, from the training documents' whole text: the temperature that turns scores into
 probabilities (the scores of a vocabulary made by merges are ranks, not logarithms), by the
-likelihood of all training words at the temperatures of ``GRID`` and the best point of a parabola
-through them; and the chance of the end, from the expected number of pieces (the slope of the
-likelihood where every piece is ``STEP`` less likely, at the best of ``GRID``).
+likelihood of all training words at temperatures a ``FACTOR`` apart, which begin around the spread of
+the scores and go on as far as it takes until the best lies inside, and the best point of a parabola
+through it and its neighbours; and the chance of the end, from the expected number of pieces (the
+slope of the likelihood where every piece is ``STEP`` less likely, at the best of them). So scores that
+are logarithms are used as they are, if that is best.
 
 How it runs. Documents are cut into blocks of about ``BLOCK`` bytes, a lattice is summed once for
 each distinct word of a block, and documents add up their words'. A first pass sums, a block, the
@@ -23,7 +25,7 @@ Only sums (one row a temperature) reach the driver.
 Base (for comparison): sum over tokens of ``log10((c + 1) / (N + V + 1))``.
 
 Null texts are empty: one end. Every row gives one row, repeated rows and ids too; a text of any
-length is scored whole. Without training documents, N is 0, the first temperature of ``GRID`` and an
+length is scored whole. Without training documents, N is 0, the first temperature and an
 end after ``END`` pieces hold. An empty table gives an empty result. Columns beyond doc_id, text and
 those of ``held_out`` are not read, whatever their names.
 """
@@ -42,7 +44,11 @@ from tallyring.llm import scratch, unigram
 from tallyring.llm.text import LOWER, SPACED, Words, slices
 
 BLOCK = 8 << 20
-GRID = (600.0, 1800.0, 5400.0, 16200.0)
+#: Between temperatures; of the first ones, over the deviation of the vocabulary's scores.
+FACTOR, FIRST = 3.0, (1 / 15, 1 / 5, 3 / 5, 9 / 5)
+#: Times that the temperatures are widened at most: 3^24 is more than any scores are apart, so a best
+#: that is not inside by then is that of a likelihood that temperatures do not change.
+WIDENED = 12
 STEP = 1e-3
 #: Pieces before the end, where no document tells.
 END = 1000.0
@@ -129,30 +135,54 @@ def vocabulary(path: str) -> tuple[unigram.Lattice, np.ndarray]:
     return _KEPT[path]
 
 
-def _fit(path: str):
+def first_temperatures(scores: np.ndarray) -> list[float]:
+    spread = float(np.std(scores)) or 1.0
+    return [spread * f for f in FIRST]
+
+
+def _fit(path: str, temperatures: list[float]):
     """Of a task's training words, a row a temperature: sum of log probabilities, and of those with
     every piece a step less likely."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, scores = vocabulary(path)
-        log_p = [unigram.weights(scores, t, end) for end in (0.0, STEP) for t in GRID]
+        n = len(temperatures)
+        log_p = [unigram.weights(scores, t, end) for end in (0.0, STEP) for t in temperatures]
         sums = np.zeros(len(log_p))
         for block in _blocks(batches):
             seen = np.flatnonzero(block.counts)
             sums += (block.score(lattice, seen, log_p) * block.counts[seen]).sum(axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(GRID)), pa.int32()), pa.array(sums[: len(GRID)]), pa.array(sums[len(GRID) :])], names=["k", "log_p", "less"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int32()), pa.array(sums[:n]), pa.array(sums[n:])], names=["k", "log_p", "less"])
 
     return run
 
 
-def best(log_p: np.ndarray, less: np.ndarray) -> tuple[float, float]:
+def fitted(scores: np.ndarray, measure) -> tuple[dict[float, tuple[float, float]], bool]:
+    """Likelihoods by temperature, widened until the best is inside, and whether any word told.
+    ``measure`` gives (log_p, less) of each of some temperatures."""
+    now = first_temperatures(scores)
+    found = dict(zip(now, measure(now), strict=True))
+    for _ in range(WIDENED):
+        at = sorted(found)
+        values = [found[t][0] for t in at]
+        top = int(np.argmax(values))
+        if not any(values) or 0 < top < len(at) - 1:
+            break
+        now = [at[0] / FACTOR**2, at[0] / FACTOR] if top == 0 else [at[-1] * FACTOR, at[-1] * FACTOR**2]
+        found |= dict(zip(now, measure(now), strict=True))
+    return found, any(v[0] for v in found.values())
+
+
+def best(found: dict[float, tuple[float, float]]) -> tuple[float, float]:
     """Temperature of the highest likelihood, by a parabola over log temperatures through the best of
-    ``GRID`` and its neighbours, and the expected number of pieces at the best of ``GRID``."""
-    x, top = np.log(GRID), int(np.argmax(log_p))
-    k = int(np.clip(top, 1, len(GRID) - 2))
+    those measured and its neighbours, and the expected number of pieces at the best."""
+    at = sorted(found)
+    x, log_p = np.log(at), np.array([found[t][0] for t in at])
+    top = int(np.argmax(log_p))
+    k = int(np.clip(top, 1, len(at) - 2))
     a, b, _ = np.polyfit(x[k - 1 : k + 2], log_p[k - 1 : k + 2], 2)
-    at = float(np.clip(-b / (2 * a), x[0], x[-1])) if a < 0 else float(x[top])
-    return float(np.exp(at)), float((less[top] - log_p[top]) / np.log1p(-STEP))
+    place = float(np.clip(-b / (2 * a), x[k - 1], x[k + 1])) if a < 0 else float(x[top])
+    return float(np.exp(place)), float((found[at[top]][1] - log_p[top]) / np.log1p(-STEP))
 
 
 def _cut(path: str, temperature: float, end: float):
@@ -212,8 +242,16 @@ def score(docs: DataFrame, held_out: Column, path: str) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     named = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     ends = named.where(~F.col("held_out")).count()
-    fitted = named.where(~F.col("held_out")).select("text", "held_out").mapInArrow(_fit(path), "k int, log_p double, less double").groupBy("k").agg(F.sum("log_p"), F.sum("less")).orderBy("k").collect()
-    temperature, pieces = best(*(np.array([r[k] for r in fitted]) for k in (1, 2))) if any(r[1] for r in fitted) else (GRID[0], 0.0)
+    teaching = named.where(~F.col("held_out")).select("text", "held_out")
+
+    def measure(temperatures: list[float]) -> list[tuple[float, float]]:
+        sums = teaching.mapInArrow(_fit(path, temperatures), "k int, log_p double, less double").groupBy("k").agg(F.sum("log_p"), F.sum("less")).collect()
+        by_place = {r[0]: (r[1], r[2]) for r in sums}
+        return [by_place.get(i, (0.0, 0.0)) for i in range(len(temperatures))]
+
+    scores = vocabulary(path)[1]
+    found, told = fitted(scores, measure)
+    temperature, pieces = best(found) if told else (first_temperatures(scores)[0], 0.0)
     end = ends / (ends + pieces) if ends and pieces else 1 / (1 + END)
 
     schema = f"block long, h long, i int, c long, doc_id {kind}, held_out boolean, score double, ids binary"

@@ -1,7 +1,8 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A text (A-Z lower-cased, white space made spaces, a space before and after) is the bag of the
-character n-grams of 4 to 6 UTF-8 bytes that lie within a word and its two boundary spaces. Of
+character n-grams of 4 to 6 UTF-8 bytes that lie within a word and its two boundary spaces; a word of one
+byte is an n-gram with its spaces. Of
 each ``WINDOW`` words a word counts once, so a word said over and over decides no text. N-grams
 are hashed to 2**18 rows of an embedding table; a bag's embeddings, with ``PAD`` neutral ones,
 are averaged and a linear softmax gives the probability of label 1. Table and softmax start from
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from tallyring.llm.text import _BYTE, GOLDEN, U64, _powers, buffers, mix, release
 
 GRAMS = (4, 5, 6)
+#: A word of one byte and its spaces, which no longer n-gram holds.
+SHORT = 3
 BUCKETS_LOG2 = 18
 DIM = 4
 WINDOW = 20
@@ -48,6 +51,10 @@ PAD = 1000
 GAIN = 100.0
 #: Bytes of text that are cut into n-grams at once.
 SLICE = 256 << 10
+#: The largest count of an entry of a training text.
+MOST = 65535
+#: Where the threshold lies between what the sample's worst clean and mildest toxic texts score.
+PLACE = 0.1
 
 
 def _spaces() -> np.ndarray:
@@ -86,9 +93,11 @@ def grams(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
     word_at = np.cumsum(opens)
     word = np.where(space, word_at, word_at - 1)
     fresh = new[word]
-    for k in GRAMS:
+    for k in (SHORT, *GRAMS):
         if n >= k:
             inside = blanks[k - 1 : n] - blanks[1 : n - k + 2] == 0  # bytes 1 to k - 2 are no spaces
+            if k == SHORT:
+                inside &= space[: n - k + 1] & space[k - 1 :]
             i = np.flatnonzero(inside & fresh[: n - k + 1])
             h = (sums[i + k] - sums[i]) * inverse[i]
             yield owner[word[i]], (mix(h + U64(k)) >> U64(64 - BUCKETS_LOG2)).astype(np.int32)
@@ -136,8 +145,13 @@ class Sample:
         for lo, hi in _cuts(at):
             own, of = map(np.concatenate, zip(*grams(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]), strict=True))
             key, many = np.unique(own.astype(np.int64) << BUCKETS_LOG2 | of, return_counts=True)
+            # counts have 16 bits: one beyond that is several entries of the same bucket
+            entries = 1 + (many - 1) // MOST
+            last = np.cumsum(entries) - 1
+            key, share = np.repeat(key, entries), np.full(int(entries.sum()), MOST)
+            share[last] = many - (entries - 1) * MOST
             bucket.append((key & ((1 << BUCKETS_LOG2) - 1)).astype(np.int32))
-            count.append(np.minimum(many, 65535).astype(np.uint16))
+            count.append(share.astype(np.uint16))
             held.append(np.bincount(key >> BUCKETS_LOG2, minlength=hi - lo))
             size.append(np.bincount(own, minlength=hi - lo))
         self.bucket = np.concatenate(bucket)
@@ -197,17 +211,20 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = EPO
         soft -= (0.1 * rate * g_soft / np.sqrt(seen_soft)).astype(np.float32)
         bias -= (0.1 * rate * g_bias / np.sqrt(seen_bias)).astype(np.float32)
     model = Model((table @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]), prior)
-    # the threshold lies between the sample's worst clean texts and its mildest toxic ones,
-    # nearer to the clean, as texts that training has seen score more surely than others
-    logit = GAIN * _sums(model.weight[sample.bucket] * sample.count, sample.held) / (sample.size + PAD) + model.intercept
-    clean, toxic = max(model.intercept, np.quantile(logit[labels == 0], 0.995)), np.quantile(logit[labels == 1], 0.02)
+    clean, toxic = edges(model, sample, labels)
     del sample
     release()
-    middle = clean + 0.2 * max(0.1, toxic - clean)
-    model.intercept += float(np.log(THRESHOLD / (1 - THRESHOLD)) - middle)
+    model.intercept += float(np.log(THRESHOLD / (1 - THRESHOLD)) - (clean + PLACE * max(0.1, toxic - clean)))
     return model
 
 
+def edges(model: Model, sample: Sample, labels: np.ndarray) -> tuple[float, float]:
+    """Logits of the sample's worst clean and its mildest toxic texts. The threshold lies between,
+    nearer to the clean, as texts that training has seen score more surely than others."""
+    logit = GAIN * _sums(model.weight[sample.bucket] * sample.count, sample.held) / (sample.size + PAD) + model.intercept
+    return max(model.intercept, float(np.quantile(logit[labels == 0], 0.995))), float(np.quantile(logit[labels == 1], 0.02))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE, most: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray]:
     """Texts and labels of the bounded sample. ``usable`` tells, of a doc_id, whether training may see it."""
     spark = docs.sparkSession

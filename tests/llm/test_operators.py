@@ -122,7 +122,7 @@ def test_toxicity_on_labels(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and r["predicted"] == (r["score"] >= 0.7) for r in got)
     held = Counter((r["toxic"], r["predicted"]) for r in got if r["held_out"])
     # some 5 in 100 texts with label 1 hold nothing that others with it hold
-    assert held[1, 1] >= 0.85 * (held[1, 0] + held[1, 1]) and held[0, 1] <= 0.01 * (held[0, 0] + held[0, 1])
+    assert held[1, 1] >= 0.9 * (held[1, 0] + held[1, 1]) and held[0, 1] <= 0.01 * (held[0, 0] + held[0, 1])
 
 
 def test_toxicity_held_out():
@@ -146,6 +146,18 @@ def test_toxicity_held_out():
     assert score(["", "  ", "ordinary"]).max() < toxicity.THRESHOLD
 
 
+def test_toxicity_short_words_and_large_counts():
+    """Words of one letter are in the bag; a count beyond 16 bits is kept whole."""
+    raw = b"a b c"
+    own, bucket = map(np.concatenate, zip(*toxicity.grams(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)])), strict=True))
+    assert len(bucket) == len(set(bucket.tolist())) == 3 and own.tolist() == [0, 0, 0]
+    for extra in (0, 1, 70_000):
+        words = ["x"] * toxicity.WINDOW * (toxicity.MOST + extra)
+        sample = toxicity.Sample([" ".join(words)])
+        assert sample.count.astype(int).sum() == sample.size[0] == toxicity.MOST + extra
+        assert len(set(sample.bucket.tolist())) == 1 and len(sample.bucket) == -(-(toxicity.MOST + extra) // toxicity.MOST)
+
+
 def test_toxicity_sample(spark):
     """Training takes 2,500 rows of a label where there are as many."""
     docs = spark.range(2700).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"))
@@ -521,8 +533,9 @@ def test_likelihood(spark, docs, odd, none):
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] < 0
     lattice, scores = likelihood.vocabulary(PIECES)
     words, counts_ = list(c), np.array(list(c.values()))
-    sums = [(lattice.score(words, [unigram.weights(scores, t, e) for t in likelihood.GRID]) * counts_).sum(axis=1) for e in (0.0, likelihood.STEP)]
-    temperature, pieces = likelihood.best(*sums)
+    measure = lambda ts: list(zip(*[(lattice.score(words, [unigram.weights(scores, t, e) for t in ts]) * counts_).sum(axis=1) for e in (0.0, likelihood.STEP)], strict=True))
+    found = likelihood.fitted(scores, measure)[0]
+    temperature, pieces = likelihood.best(found)
     end = ends / (ends + pieces)
     log_p = unigram.weights(scores, temperature, end)
     p = dict(zip(lattice.names, np.exp(log_p), strict=False))
@@ -535,7 +548,7 @@ def test_likelihood(spark, docs, odd, none):
             total += math.log10(lattice_total(some, "▁" + w))
         assert by_id[doc]["score"] == pytest.approx(total, rel=1e-6)
     # the temperature is near the best there is
-    near = [t for t in np.exp(np.linspace(np.log(likelihood.GRID[0]), np.log(likelihood.GRID[-1]), 15))]
+    near = [t for t in np.exp(np.linspace(np.log(min(found)), np.log(max(found)), 15))]
     all_ = (lattice.score(words, [unigram.weights(scores, t) for t in [*near, temperature]]) * counts_).sum(axis=1)
     assert all_[-1] >= all_[:-1].max() - 0.01 * abs(all_[-1])
     assert likelihood.score(none, F.lit(False), PIECES).count() == 0
@@ -552,6 +565,23 @@ def test_likelihood_query(spark, sf):
     assert all(r["train_tokens"] == sum(len(spaced(d["text"])) + 1 for d in docs if not held[d["doc_id"]]) for r in got.values())
 
 
+@pytest.mark.parametrize("true", [1e-3, 0.2, 1.0, 40.0, 1e5])
+def test_temperature_is_found_wherever_it_lies(true):
+    """Words drawn with the scores over a temperature, whatever the spread of the scores."""
+    names = ["▁a", "▁b", "▁c", "▁ab", "a", "b", "c"]
+    for unit in (1.0, 3000.0):
+        scores = unit * true * np.array([-0.5, -1.5, -3.0, -1.0, -2.0, -2.5, -4.0])
+        lattice = unigram.Lattice(names)
+        p = unigram.weights(scores, unit * true)
+        words = ["a", "b", "c", "ab", "ac", "bb"]
+        counts_ = np.exp(lattice.score(words, [p])[0]) * 1e6
+        measure = lambda ts: [tuple((lattice.score(words, [unigram.weights(scores, t, e)])[0] * counts_).sum() for e in (0.0, likelihood.STEP)) for t in ts]  # noqa: B023, E731
+        at, _ = likelihood.best(likelihood.fitted(scores, measure)[0])
+        reach = (lattice.score(words, [unigram.weights(scores, t) for t in np.exp(np.linspace(np.log(at) - 8, np.log(at) + 8, 161))]) * counts_).sum(axis=1)
+        here = (lattice.score(words, [unigram.weights(scores, at)])[0] * counts_).sum()
+        assert here >= reach.max() - 0.02 * abs(here)
+
+
 def test_lattice_sums_all_segmentations():
     names = ["▁", "▁a", "a", "b", "ab", "▁ab"]
     log_p = np.log(np.array([0.2, 0.3, 0.1, 0.15, 0.05, 0.1, 0.1]))
