@@ -7,15 +7,17 @@ nothing that could match is left out). Over these symbols the shard builds a suf
 its Burrows-Wheeler transform in a wavelet matrix, and suffix positions sampled at every
 eighth symbol. All windows are searched backwards at once, a symbol a step, by ranks in
 the wavelet matrix; occurrences are located by walking back to sampled positions, and the
-spans of a document are merged.
+spans of a document are merged. A shard is indexed once, however large the benchmark.
 
 Words: ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased. Windows: 13
 consecutive words of an item; an item of fewer words, but not none, is one window. Words
 are compared by 64-bit hashes.
 
 The benchmark is a stated query set. It is split into blocks of at most ``BLOCK`` characters
-(a single longer item is a block); each block is broadcast and passes over the documents in
-turn, one at a time, however many there are. Documents never move between tasks.
+(a single longer item is a block), which are broadcast one by one; the driver holds one at a time,
+and so does a task, which takes them in turn from its executor's disk and searches each in its
+shard's index. What all blocks share is their vocabulary (8 bytes a distinct word). Documents are
+read once, are written nowhere and never move between tasks.
 
 Null or empty texts have no words, no spans and no items. Items without words match
 nothing; items with a null id count as the empty id, and items that share an id as one.
@@ -33,7 +35,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyring.llm import scratch
 from tallyring.llm.text import ALNUM, Words, buffers, release
 
 WINDOW = 13
@@ -126,13 +127,13 @@ class FMIndex:
 
 
 class Block:
-    """Windows of a part of the benchmark as symbols: ``patterns`` by length, and the items of each
-    pattern: ``items[size][begin[size][p] : begin[size][p + 1]]``."""
+    """Windows of a part of the benchmark as symbols of a vocabulary: ``patterns`` by length, and the
+    items of each pattern: ``items[size][begin[size][p] : begin[size][p + 1]]``."""
 
-    def __init__(self, ids: list[str | None], texts: list[str | None]) -> None:
+    def __init__(self, ids: list[str | None], texts: list[str | None], vocabulary: np.ndarray | None = None) -> None:
         words = Words(*buffers(pa.array(texts, pa.string())), ALNUM)
-        self.vocabulary, symbol = np.unique(words.hash, return_inverse=True)
-        symbol = symbol.astype(np.int32) + 2
+        own = vocabulary_of(texts) if vocabulary is None else vocabulary
+        symbol = np.searchsorted(own, words.hash).astype(np.int32) + 2
         self.ids = sorted({i or "" for i in ids})
         place = {i: k for k, i in enumerate(self.ids)}
         item = np.array([place[i or ""] for i in ids], dtype=np.int32)
@@ -149,39 +150,16 @@ class Block:
             self.begin[size] = np.searchsorted(pairs // len(self.ids), np.arange(len(distinct) + 1))
         self.shortest = min(self.patterns, default=0)
 
-    def occurrences(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def occurrences(self, shard: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Places of all windows: first word, number of words, and (row, item) pairs once each."""
-        none = np.zeros(0, dtype=np.int64)
-        if not self.shortest or not len(words.start):
-            return none, none, none, none
-        hashes = words.hash
-        at = np.searchsorted(self.vocabulary, hashes)
-        at[at == len(self.vocabulary)] = 0
-        known = self.vocabulary[at] == hashes
-        opens = known.copy()
-        opens[1:] &= ~known[:-1] | (words.doc[1:] != words.doc[:-1])
-        start = np.flatnonzero(opens)
-        closes = known.copy()
-        closes[:-1] &= ~known[1:] | (words.doc[1:] != words.doc[:-1])
-        length = np.flatnonzero(closes) + 1 - start
-        start, length = start[length >= self.shortest], length[length >= self.shortest]
-        if not len(start):
-            return none, none, none, none
-        to = np.cumsum(length + 1)
-        position = np.full(to[-1], -1, dtype=np.int64)
-        inside = np.ones(to[-1], dtype=bool)
-        inside[to - 1] = False
-        position[inside] = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length) + np.repeat(start, length)
-        s = np.ones(to[-1], dtype=np.int64)
-        s[inside] = at[position[inside]] + 2
-        index = FMIndex(s, len(self.vocabulary) + 1)
-        first, size, rows, items = [], [], [], []
-        for n, patterns in self.patterns.items():
+        words, index = shard.words, shard.index
+        first, size, rows, items = ([np.zeros(0, dtype=np.int64)] for _ in range(4))
+        for n, patterns in self.patterns.items() if index is not None else ():
             lo, hi = index.search(patterns)
             many = hi - lo
             which = np.repeat(np.arange(len(patterns)), many)
             places = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
-            where = position[index.locate(places)]
+            where = shard.position[index.locate(places)]
             first.append(where)
             size.append(np.full(len(where), n))
             row = words.doc[where]
@@ -194,25 +172,68 @@ class Block:
         return np.concatenate(first), np.concatenate(size), pairs // max(1, len(self.ids)), pairs % max(1, len(self.ids))
 
 
+def vocabulary_of(texts: list[str | None]) -> np.ndarray:
+    """Sorted hashes of the words of some texts."""
+    return np.unique(Words(*buffers(pa.array(texts, pa.string())), ALNUM).hash)
+
+
+class Shard:
+    """Words of a shard and the index over its runs of vocabulary words that a window could lie in:
+    ``position`` is the word of each symbol, -1 for separators."""
+
+    def __init__(self, data: np.ndarray, at: np.ndarray, vocabulary: np.ndarray, shortest: int) -> None:
+        self.words, self.index = Words(data, at, ALNUM), None
+        words = self.words
+        if not shortest or not len(words.start):
+            return
+        hashes = words.hash
+        at = np.searchsorted(vocabulary, hashes)
+        at[at == len(vocabulary)] = 0
+        known = vocabulary[at] == hashes
+        opens = known.copy()
+        opens[1:] &= ~known[:-1] | (words.doc[1:] != words.doc[:-1])
+        start = np.flatnonzero(opens)
+        closes = known.copy()
+        closes[:-1] &= ~known[1:] | (words.doc[1:] != words.doc[:-1])
+        length = np.flatnonzero(closes) + 1 - start
+        start, length = start[length >= shortest], length[length >= shortest]
+        if not len(start):
+            return
+        to = np.cumsum(length + 1)
+        self.position = np.full(to[-1], -1, dtype=np.int64)
+        inside = np.ones(to[-1], dtype=bool)
+        inside[to - 1] = False
+        self.position[inside] = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length) + np.repeat(start, length)
+        s = np.ones(to[-1], dtype=np.int64)
+        s[inside] = at[self.position[inside]] + 2
+        self.index = FMIndex(s, len(vocabulary) + 1)
+
+
 SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64()), ("first_word", pa.int64())])
 FOUND = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(SPAN)), ("items", pa.list_(pa.string()))])
 _FOUND_SQL = "struct<n_words:long,spans:array<struct<start:long,end:long,words:long,first_word:long>>,items:array<string>>"
 
 
-def _shard(b: Block, data: np.ndarray, at: np.ndarray, before: list[dict] | None) -> pa.StructArray:
-    """What a block finds in a shard, together with what earlier blocks found."""
-    words, n = Words(data, at, ALNUM), len(at) - 1
-    where, size, rows, items = b.occurrences(words)
-    change = np.bincount(where, minlength=len(words.start) + 1) - np.bincount(where + size, minlength=len(words.start) + 1)
+def _in_turn(blocks: list) -> Iterator[Block]:
+    """Broadcast blocks one after the other; of several, none stays in the worker's memory."""
+    for b in blocks:
+        yield b.value
+        if len(blocks) > 1:
+            del b._value  # read again from the executor's disk when it is asked for
+
+
+def _shard(shared, blocks: list, data: np.ndarray, at: np.ndarray) -> pa.StructArray:
+    """What all blocks find in a shard."""
+    shard, n = Shard(data, at, *shared.value), len(at) - 1
+    words = shard.words
+    change = np.zeros(len(words.start) + 1, dtype=np.int64)
+    names: list[set[str]] = [set() for _ in range(n)]
+    for b in _in_turn(blocks) if shard.index is not None else ():
+        where, size, rows, items = b.occurrences(shard)
+        change += np.bincount(where, minlength=len(change)) - np.bincount(where + size, minlength=len(change))
+        for r, i in zip(rows.tolist(), items.tolist(), strict=True):
+            names[r].add(b.ids[i])
     hit = np.cumsum(change[:-1]) > 0
-    names: list[list[str]] = [[] for _ in range(n)]
-    for r, i in zip(rows.tolist(), items.tolist(), strict=True):
-        names[r].append(b.ids[i])
-    for r, had in enumerate(before or ()):
-        names[r] = sorted({*names[r], *had["items"]})
-        for x in had["spans"]:
-            lo = words.first[r] + x["first_word"]
-            hit[lo : lo + x["words"]] = True
     opens = hit.copy()
     opens[1:] &= ~hit[:-1] | (words.doc[1:] != words.doc[:-1])
     closes = hit.copy()
@@ -227,61 +248,54 @@ def _shard(b: Block, data: np.ndarray, at: np.ndarray, before: list[dict] | None
         end = points[words.end[hi]] - points[at[doc]]
         for r, x, y, k, w in zip(doc.tolist(), begin.tolist(), end.tolist(), (hi + 1 - lo).tolist(), (lo - words.first[doc]).tolist(), strict=True):
             spans[r].append({"start": x, "end": y, "words": k, "first_word": w})
-    return pa.StructArray.from_arrays([pa.array(words.count, pa.int64()), pa.array(spans, pa.list_(SPAN)), pa.array(names, pa.list_(pa.string()))], fields=list(FOUND))
-
-
-def _found(block, texts: pa.Array, before: pa.Array | None) -> pa.Array:
-    data, at = buffers(texts)
-    out, lo = [], 0
-    while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + SHARD, side="right")) - 1)
-        out.append(_shard(block.value, data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], before.slice(lo, hi - lo).to_pylist() if before is not None else None))
-        lo = hi
-    return pa.concat_arrays(out) if out else pa.array([], FOUND)
-
-
-def _column(block, before: Column | None) -> Column:
-    """What a block finds in ``text``. Only texts pass to Python, and only findings back."""
-    if before is None:
+    return pa.StructArray.from_arrays([pa.array(words.count, pa.int64()), pa.array(spans, pa.list_(SPAN)), pa.array([sorted(x) for x in names], pa.list_(pa.string()))], fields=list(FOUND))
 
-        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for texts in batches:
-                yield _found(block, texts, None)
-            release()
 
-        run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-        return F.arrow_udf(run, _FOUND_SQL)(F.col("text"))
+def _column(shared, blocks: list) -> Column:
+    """What the blocks find in ``text``. Only texts pass to Python, and only findings back."""
 
-    def more(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, had in batches:
-            yield _found(block, texts, had)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            data, at = buffers(texts)
+            out, lo = [], 0
+            while lo < len(texts):
+                hi = max(lo + 1, int(np.searchsorted(at, at[lo] + SHARD, side="right")) - 1)
+                out.append(_shard(shared, blocks, data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]))
+                lo = hi
+            yield pa.concat_arrays(out) if out else pa.array([], FOUND)
         release()
 
-    more.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    return F.arrow_udf(more, _FOUND_SQL)(F.col("text"), before)
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, _FOUND_SQL)(F.col("text"))
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[Block]:
+def _parts(benchmark: DataFrame) -> Iterator[tuple[list, list]]:
+    """Ids and texts of the benchmark, a block at a time."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // BLOCK))
     for k in range(n):
         own = (items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)).collect()
-        yield Block([r[0] for r in own], [r[1] for r in own])
+        yield [r[0] for r in own], [r[1] for r in own]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, name: str = "found") -> DataFrame:
     """``docs`` with a struct ``name``: n_words, spans (merged spans of hit words: start and end in
-    code points, words, first_word) and items (ids with occurring windows, sorted). Each further
-    block of the benchmark takes a pass of its own over what the one before has written."""
+    code points, words, first_word) and items (ids with occurring windows, sorted)."""
     if name.lower() in map(str.lower, docs.columns):
         raise ValueError(f"there is a column {name} already")
-    out = docs
-    for k, block in enumerate(_blocks(benchmark)):
-        if k:
-            out = scratch.table(out, "found")
-        out = out.withColumn(name, _column(docs.sparkSession.sparkContext.broadcast(block), F.col(f"`{name}`") if k else None))
-    return out
+    context = docs.sparkSession.sparkContext
+    vocabulary = np.zeros(0, dtype=np.uint64)
+    for _, texts in _parts(benchmark):
+        vocabulary = np.union1d(vocabulary, vocabulary_of(texts))
+    blocks, shortest = [], []
+    for ids, texts in _parts(benchmark):
+        block = Block(ids, texts, vocabulary)
+        blocks.append(context.broadcast(block))
+        shortest.append(block.shortest)
+        del block
+    shared = context.broadcast((vocabulary, min((k for k in shortest if k), default=0)))
+    return docs.withColumn(name, _column(shared, blocks))
 
 
 def n_hit(found: str) -> Column:
