@@ -31,6 +31,13 @@ hashes; with fewer words, the whole sequence as one. Two documents link when
    is compared in blocks by inverted lists, two linked ones never with each other. Clusters are
    dealt in parts of ``PART`` sets and in pairs of ``BLOCK`` (fewer if texts are long), whatever
    their size.
+7. Before that, what is left of a cluster of more than one block is split once more, by what its sets
+   share beyond what most of them have. The core are the tokens of over half of them. Sets that link share so
+   many tokens that some are outside the core, unless the core is nearly all of both; how many at least
+   follows from a set's size, its core and the largest share that the core has of any set. So
+   prefixes of the tokens outside the core, rarest in the cluster first, are indexed, and only sets
+   that meet there are compared; sets of which the core is too much (their links need no other
+   token) are compared among themselves.
 
 Components of the links give each document's component_id. doc_id must be a whole number (of any
 width); another type raises. Texts that are null or without words have an empty set and link with
@@ -431,6 +438,57 @@ def _dealt(rows: DataFrame, size: int) -> DataFrame:
     return rows.join(parts, "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
 
 
+def _token_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, data, at in slices(batches, "text", SLICE):
+        sets = shingle_sets(data, at)
+        size = np.array([len(x) for x in sets], dtype=np.int64)
+        flat = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, dtype=np.int64))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), flat)
+        yield pa.RecordBatch.from_arrays([batch.column("cluster"), batch.column("doc_id"), pa.array(size), lists], names=["cluster", "doc_id", "n", "tokens"])
+
+
+def split(rest: DataFrame) -> DataFrame:
+    """Rows (cluster, doc_id, linked, text) of large clusters with smaller ones in their place; sets
+    that can link with no other of their cluster are gone."""
+    sets = scratch.table(rest.select("cluster", "doc_id", "text").mapInArrow(_token_lists, "cluster long, doc_id long, n long, tokens array<long>"), "tokens")
+    rows = sets.withColumn("row", F.monotonically_increasing_id())
+    each = rows.select("row", "cluster", "doc_id", "n", F.explode("tokens").alias("token"))
+    members = sets.groupBy("cluster").agg(F.count("*").alias("members"))
+    shared = each.groupBy("cluster", "token").agg(F.count("*").alias("sets")).where("sets > 1").join(members, "cluster")
+    shared = scratch.table(shared.select("cluster", "token", "sets", (2 * F.col("sets") > F.col("members")).alias("core")), "shared")
+    outside = F.sort_array(F.collect_list(F.when(~F.col("core"), F.struct("sets", "token"))))
+    own = scratch.table(each.join(shared, ["cluster", "token"]).groupBy("row", "cluster", "doc_id", "n").agg(F.count_if("core").alias("c"), outside.alias("outside")), "outside")
+    most = own.groupBy("cluster").agg(F.max(F.col("c") / F.col("n")).alias("most"))
+    # of a partner of m tokens, at most the least of c and most * m are of the core: the number needed
+    # outside of it is least where these meet, or at the end of the sizes that may link
+    m = F.greatest(F.least(F.col("c") / F.col("most"), F.col("n") / 0.85), F.col("n") * 0.85)
+    need = F.ceil(85 * (F.col("n") + m) / 185.0 - F.least(F.col("c"), F.col("most") * m) - 1e-6)
+    told = own.join(most, "cluster").withColumn("need", F.when(F.col("most") > 0, need).otherwise(1))
+    places = F.greatest(F.size("outside") - F.greatest(F.col("need"), F.lit(1)) + 1, F.lit(0)).cast("int")
+    entries = told.select("cluster", "doc_id", F.explode(F.slice("outside", F.lit(1), places)).alias("x")).select("cluster", F.col("x.token").alias("key"), "doc_id")
+    dense = told.where("need < 1").select("cluster", F.lit(None).cast("long").alias("key"), "doc_id")
+    keyed = entries.unionByName(dense)
+    first = keyed.groupBy("cluster", "key").agg(F.min("doc_id").alias("v"), F.count("*").alias("met")).where("met > 1")
+    met = keyed.withColumnsRenamed({"cluster": "of", "key": "at"}).join(first, (F.col("of") == F.col("cluster")) & F.col("at").eqNullSafe(F.col("key")))
+    edges = scratch.table(met.where("doc_id <> v").select(F.col("doc_id").alias("u"), "v").distinct(), "edges")
+    parts = components(edges)
+    out = rest.drop("cluster").join(parts.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
+    for t in (sets, shared, own, edges):
+        scratch.drop(t)
+    return out
+
+
+def blocks(texts: DataFrame) -> DataFrame:
+    """Rows (cluster, doc_id, linked, text) as often as blocks of their cluster meet: b1, b2, side."""
+    rest = _dealt(texts.select("cluster", "doc_id", "linked", "text"), BLOCK)
+    large = scratch.table(rest.where("parts > 1").select("cluster", "doc_id", "linked", "text"), "large")
+    small = rest.where("parts = 1")
+    if not large.isEmpty():
+        small = small.unionByName(_dealt(split(large), BLOCK).select(*small.columns))
+    sent = small.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return sent.select("cluster", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "doc_id", F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "linked", "text")
+
+
 def verified(docs: DataFrame, clusters: DataFrame) -> DataFrame:
     """u, v: true links that join each component, from clusters (node, component)."""
     named = clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
@@ -445,9 +503,7 @@ def verified(docs: DataFrame, clusters: DataFrame) -> DataFrame:
     # a linked set can be near one left over only if their distances from the first differ by 0.15 at most
     left = told.where(~F.col("linked")).groupBy("cluster").agg(F.min("far").alias("nearest"))
     open_ = told.join(left, "cluster").where(~F.col("linked") | (F.col("far") >= F.col("nearest") - 0.15 - 1e-9)).select("cluster", "doc_id", "linked")
-    rest = _dealt(texts.join(open_, ["cluster", "doc_id"]), BLOCK)
-    sent = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    sent = sent.select("cluster", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "doc_id", F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "linked", "text")
+    sent = blocks(texts.join(open_, ["cluster", "doc_id"]))
     pairs = sent.repartition("cluster", "b1", "b2").sortWithinPartitions("cluster", "b1", "b2", "doc_id").mapInArrow(_verify, "u long, v long")
     out = scratch.table(pairs.unionByName(told.where("linked").select(F.col("doc_id").alias("u"), F.col("cluster").alias("v"))), "links")
     scratch.drop(texts)

@@ -240,6 +240,56 @@ def test_jaccard_boilerplate(spark):
     assert [(r["doc_id"], r["component_id"]) for r in got] == [(1000, 7)]
 
 
+@pytest.mark.parametrize("rows", [1000, 4000])
+def test_jaccard_shared_words_send_no_pairs(spark, rows):
+    """200 words that all documents share and 20 of their own (similarity 0.81): texts that are compared
+    grow no faster than rows, as no two sets meet outside what all share."""
+    ship(spark)
+    shared = " ".join(f"s{i}" for i in range(200))
+    own = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: F.concat(F.lit("own"), F.hash("doc_id", k).cast("string"))), " ")
+    df = spark.range(rows).withColumnRenamed("id", "doc_id").withColumn("text", F.concat(F.lit(shared + " "), own))
+    texts = df.select(F.lit(0).cast("long").alias("cluster"), "doc_id", F.lit(False).alias("linked"), "text")
+    assert jaccard.blocks(texts).count() == 0
+    near = texts.unionByName(texts.where("doc_id % 100 = 5").withColumns({"doc_id": F.col("doc_id") + 1_000_000, "text": F.concat("text", F.lit(" more"))}))
+    assert jaccard.blocks(near).count() == 2 * (rows // 100)
+    if rows == 1000:
+        got = jaccard.join(near.select("doc_id", "text")).where("doc_id <> component_id").collect()
+        assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1_000_000 + i, i) for i in range(5, 1000, 100)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_jaccard_where_much_is_shared(spark, monkeypatch, seed):
+    """85 to 92 % of the shingles are those of all: exact all the same, whatever the split does."""
+    ship(spark)
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    r = np.random.default_rng(seed)
+    core, texts = [f"s{i}" for i in range(150)], []
+    for i in range(60):
+        words = list(core)
+        kind = i % 4
+        if kind == 0:  # a tail of its own
+            words += [f"t{i}x{j}" for j in range(int(r.integers(8, 30)))]
+        elif kind == 1:  # a hole, and a tail of a few kinds
+            at = int(r.integers(0, 140))
+            words[at : at + int(r.integers(0, 8))] = []
+            words += [f"g{i % 3}x{j}" for j in range(int(r.integers(0, 25)))]
+        elif kind == 2:  # replaced words
+            for _ in range(int(r.integers(1, 5))):
+                words[int(r.integers(0, 150))] = f"r{int(r.integers(0, 6))}"
+        texts.append((i, " ".join(words)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.join(df).collect()}
+    assert got == brute(texts)
+    # every true link between sets of one cluster is inside one of the smaller clusters
+    sets = {d: {tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)} for d, t in texts}
+    rest = df.select(F.lit(0).cast("long").alias("cluster"), "doc_id", F.lit(False).alias("linked"), "text")
+    part = {x["doc_id"]: x["cluster"] for x in jaccard.split(rest).collect()}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                assert part[a] == part[b]
+
+
 def test_jaccard_levels():
     """Sets that may be similar share a level, for which g is not over their e."""
     for n in range(1, 3000):
