@@ -21,7 +21,7 @@ _LOCAL: dict[str, str] = {}
 def root(spark: SparkSession) -> str:
     """The shared folder as a URI without a trailing slash."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local["):
+    if not named and spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not named:
         app = spark.sparkContext.applicationId
@@ -52,12 +52,13 @@ def table(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    out._scratch_path = path
+    return out
 
 
 def drop(df: DataFrame) -> None:
     """Delete the files behind a DataFrame made by :func:`table`; nothing may read it later."""
-    spark = df.sparkSession
-    path = df.inputFiles()[0].rpartition("/")[0] if df.inputFiles() else None
-    if path and "/tallyring/" in path:
-        _delete(spark, path)
+    path = getattr(df, "_scratch_path", None)
+    if path:
+        _delete(df.sparkSession, path)

@@ -374,6 +374,42 @@ def test_pages_small_hosts(spark):
     assert got == {i: f"{story(i)} {story(i)}" for i in range(40)} | {100 + i: " ".join(story(100 + 6 * i + k) for k in range(6)) for i in range(9)}
 
 
+@pytest.mark.parametrize("inside", [False, True])
+@pytest.mark.parametrize("many", [lambda i: 3, lambda i: i % 6])
+def test_pages_comments(spark, inside, many):
+    """Comments of readers, different on every page: their form repeats. Sections with headings, columns
+    that hold the story, and a short second story stay."""
+    def comment(i, k):
+        return f'<div class="q2"><p>{story(50_000 + 50 * i + k, 16)}</p></div>'
+
+    rows, want = [], {}
+    for i in range(150):
+        said = '<div class="q1">' + "".join(comment(i, k) for k in range(many(i))) + "</div>"
+        own = [story(3 * i + k, 45) for k in range(3)]
+        body = "".join(f"<p>{t}</p>" for t in own)
+        page = f"<html><body><article>{body}{said if inside else ''}</article>{'' if inside else said}</body></html>"
+        rows.append((i, f"http://h{i % 5}.example/{i}", page))
+        want[i] = " ".join(own)
+    got = {r["page_id"]: r["text"] for r in html.extract(page_table(spark, rows)).collect()}
+    assert got == want
+
+
+def test_pages_sections_and_columns_stay(spark):
+    rows, want = [], {}
+    for i in range(60):
+        lead, parts = story(7 * i, 60), [story(10_000 + 7 * i + k, 12) for k in range(4)]
+        if i % 2:
+            body = "".join(f"<section><h2>{story(20_000 + 7 * i + k, 2)}</h2><p>{t}</p></section>" for k, t in enumerate(parts))
+            text = [lead, *[x for k, t in enumerate(parts) for x in (story(20_000 + 7 * i + k, 2), t)]]
+            page = f"<article><p>{lead}</p><div>{body}</div></article>"
+        else:
+            page = "<article><div>" + "".join(f"<div><p>{t}</p></div>" for t in [lead, *parts]) + "</div></article>"
+            text = [lead, *parts]
+        rows.append((i, f"http://{'ab'[i % 2]}.example/{i}", f"<html><body>{page}</body></html>"))
+        want[i] = " ".join(text)
+    assert {r["page_id"]: r["text"] for r in html.extract(page_table(spark, rows)).collect()} == want
+
+
 def test_pages_copies_count_once(spark):
     """Copies, also those that differ in scripts and menus only, take no text from any page."""
     page = "<body><nav>{1}</nav><script>{1}</script><div class=box>Blue soap is good for you</div><div class=story>{0}</div></body>"
