@@ -64,5 +64,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = scratch.table(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, scratch.table(stage(spark, docs, sf_dir), f"stage-{name}")
+        scratch.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
