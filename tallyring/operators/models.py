@@ -30,6 +30,9 @@ from tallyring.plans.aggregate import Spec
 #: Eigenvalues of a correlation matrix up to this share of the largest count as 0, and so do
 #: variances up to TINY of the mean square, which is about what sums in doubles leave of them.
 RANK, TINY = 1e-12, 1e-13
+#: Share of the label's variance below which that of the residuals is summed from the rows: as a
+#: difference of sums it would hold few of their digits.
+LITTLE = 1e-3
 #: Categories up to which a look-up is one map.
 FEW = 16
 #: Features up to which a quadratic form is expressions of columns.
@@ -160,7 +163,19 @@ class LinearRegression:
         a = _fitted(source, [*dict.fromkeys([label, *cont])], cat, options)
         if label not in a.cont:
             raise ValueError(f"{label} is no continuous feature of the aggregate")
-        return cls.from_sigma(sigma(a), label, ridge, norm, variance, solver, step, max_iterations)
+        s = sigma(a)
+        out = cls.from_sigma(s, label, ridge, norm, variance, solver, step, max_iterations)
+        if variance and not isinstance(source, Cofactor) and not options.get("decimal"):
+            y = s.at(label)
+            if out.sigma**2 < LITTLE * (s.matrix[y, y] / s.count - (s.matrix[0, y] / s.count) ** 2):
+                out.sigma = out._deviation(Spec(tuple(a.cont), tuple(a.cat), **options).rows(source), label, a.shift[a.cont.index(label)])
+        return out
+
+    def _deviation(self, rows: DataFrame, label: str, near: float) -> float:
+        """Deviation of the residuals, from the rows; ``near``: a value near the label's."""
+        means = np.zeros(len(self.names)) if self.centre is None else self.centre[0]
+        off = F.col(label).cast("double") - F.lit(float(near)) - _linear(self.names, self.weights, 0.0, means, apart=True)
+        return float(rows.agg(F.stddev_pop(off)).first()[0])
 
     @classmethod
     def from_packed(cls, triangle: Sequence[float], label: int, **options) -> LinearRegression:

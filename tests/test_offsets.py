@@ -1,6 +1,7 @@
 """Sums about shifts, and rows that are no terms of a sum: nulls, NaN, infinity."""
 
 import itertools
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -36,6 +37,18 @@ def test_slope(near, offset, decimal):
     assert far.select(F.max(F.abs(params.predict_column() - F.col("y")))).first()[0] < 7
 
 
+def test_small_residuals(spark):
+    """The residual deviation to nine digits, where it is a difference of sums a million times larger."""
+    n = 150_000
+    x, e = [i * 7919 % 3600 for i in range(n)], [i * i * 31 % 101 for i in range(n)]
+    y = [12 * a + b for a, b in zip(x, e, strict=True)]
+    s = lambda u, v: n * sum(a * b for a, b in zip(u, v, strict=True)) - sum(u) * sum(v)
+    exact = float(Fraction(s(y, y) * s(x, x) - s(x, y) ** 2, 16 * n * n * s(x, x))) ** 0.5
+    rows = spark.range(0, n, 1, 1).withColumn("x", F.col("id") * 7919 % 3600 + F.lit(1_700_000_000_000))
+    rows = rows.select(F.col("x").cast("double"), (3.0 * F.col("x") + F.col("id") * F.col("id") * 31 % 101 / 4.0).alias("y"))
+    assert LinearRegression.fit(rows, "y", ["x"], variance=True).sigma == pytest.approx(exact, rel=1e-9)
+
+
 @pytest.mark.parametrize("kind", [LDA, QDA, NaiveBayes])
 def test_classes(near, kind):
     at0 = [r[0] for r in near.select(kind.fit(near, "k", ["z", "x"]).predict_column()).collect()]
