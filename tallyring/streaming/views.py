@@ -1,7 +1,8 @@
 """Sums over a join tree, kept up to date as its tables change.
 
 For every table two things are stored: its own sums by its keys and categories, and the
-sums over the tree below it by the key that leads up. A change (rows that come, or go, with
+sums over the tree below it by the key that leads up (for a table with none below, these are its own,
+stored once). A change (rows that come, or go, with
 sign -1) is summed by key; it multiplies with the stored sums of the tables below, and so on to the
 root with those of the tables beside the way. Only keys that the change touches are multiplied.
 Subtraction is the ring's, so deletions need no other way.
@@ -65,14 +66,21 @@ class Views:
     def _write(self, kind: str, i: int, sums: _Sums) -> None:
         sums.rows.write.mode("overwrite").parquet(f"{self._path(kind, i)}/step={self.step}")
 
+    def _kind(self, kind: str, i: int) -> str:
+        return kind if self.below[i] else "local"
+
     def _read(self, kind: str, i: int, upto: int) -> _Sums | None:
         """Stored sums from the steps before ``upto``; none if there are none."""
+        kind = self._kind(kind, i)
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(kind, i))
         if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
             return None
         cont, cat = self._features(i, kind == "view")
         rows = self.spark.read.parquet(self._path(kind, i)).where(F.col("step") < upto)
         by = [c for c in rows.columns if c.startswith(("k__", "g__"))]
+        # dealt by the key of the product that follows, they are summed and joined where they lie
+        key = self.below[i][0][0] if kind == "local" and self.below[i] else next(iter(self._up(i)), None)
+        rows = rows.repartition(f"k__{key}") if key else rows
         return _Sums(cont, cat, rows.groupBy(*by, "m").agg(*[F.sum(c).alias(c) for c in ("c", *_columns(cont))]))
 
     def _product(self, i: int, now: _Sums, given: dict[int, _Sums]) -> _Sums | None:
@@ -83,9 +91,6 @@ class Views:
                 return None
             still = list(dict.fromkeys([*self._up(i), *[k for k, _, _ in self.below[i][n + 1 :]]]))
             now = _multiply(now, below, key, other, still)
-        if not self.below[i]:
-            by = [f"k__{k}" for k in self._up(i)] + [f"g__{a}" for a in now.cat]
-            now = _Sums(now.cont, now.cat, now.rows.groupBy(*by, "m").agg(*[F.sum(c).alias(c) for c in ("c", *_columns(now.cont))]))
         return now
 
     def change(self, table: int, rows: DataFrame, sign: int = 1, step: int | None = None) -> None:
@@ -99,11 +104,12 @@ class Views:
         delta = _Sums(own.cont, own.cat, self.spark.read.parquet(f"{self._path('local', table)}/step={self.step}"))
         now, i = self._product(table, delta, {}), table
         while now is not None:
-            self._write("view", i, now)
+            if self.below[i]:
+                self._write("view", i, now)
             if self.above[i] is None:
                 return
             up = self.above[i][0]
-            changed = _Sums(now.cont, now.cat, self.spark.read.parquet(f"{self._path('view', i)}/step={self.step}"))
+            changed = _Sums(now.cont, now.cat, self.spark.read.parquet(f"{self._path(self._kind('view', i), i)}/step={self.step}"))
             beside = self._read("local", up, self.step)
             now, i = (self._product(up, beside, {i: changed}) if beside is not None else None), up
 
@@ -129,7 +135,7 @@ class Views:
         self.step += 1
         for kind in ("local", "view"):
             for i in range(len(self.nodes)):
-                whole = self._read(kind, i, self.step)
+                whole = self._read(kind, i, self.step) if kind == self._kind(kind, i) else None
                 if whole is None:
                     continue
                 self._write(kind, i, _Sums(whole.cont, whole.cat, whole.rows.where("c <> 0")))

@@ -57,6 +57,20 @@ def test_inserts_and_deletes_in_every_table(spark, tables, tmp_path):
     assert 0 < views.touched() < 60
 
 
+def test_stored_once_and_dealt_once(spark, tables, tmp_path):
+    """Sums of a table with none below are stored once, and stored sums travel once until they are joined."""
+    orders, lines, _ = tables
+    two = factorized.Table(orders, ("o_totalprice",), ("o_orderpriority",)).join("o_orderkey", factorized.Table(lines, ("l_quantity",), ("l_returnflag",)), "l_orderkey")
+    views = Views(spark, two, f"file://{tmp_path}/views")
+    views.change(1, lines)
+    assert not (tmp_path / "views" / "view-1").exists()
+    views.change(0, orders)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    plan = views._product(0, views._read("local", 0, 9), {1: views._read("view", 1, 9)}).rows._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 3 and same(views.root(), factorized.cofactor(two))
+
+
 def test_changes_from_a_stream(spark, tables, tmp_path):
     orders, lines, customers = tables
     views = Views(spark, tree(*tables), f"file://{tmp_path}/views")
