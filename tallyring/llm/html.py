@@ -5,9 +5,7 @@ names, which only tell nodes apart) below ``body``. What HTML itself defines as
 forms, navigation, footers, headers of pages, asides; ARIA roles and comment microdata that say the
 same) is not in the tree. All else is judged by two importances of a node:
 
-* **Entropy.** A node's content is the word pairs of its text; of each page and node a quarter of them,
-  ``SKETCH`` at least, those with the smallest hashes, stand for all: the same pairs on every page that
-  has them, so a long text is told by more of them. A pair that stands on n of the node's m pages has
+* **Entropy.** A node's content is the word pairs of its text, each once a page. A pair that stands on n of the node's m pages has
   the entropy ``log n / log(m + PRIOR)``: 0 if one page alone has it, near 1 if all have. Content
   importance is 1 less the mean entropy, so a template repeats although a word in it differs.
   Presentation importance is the same for the sequence of a node's children. The higher counts; a
@@ -61,7 +59,7 @@ from pyspark.sql import functions as F
 from tallyring.llm import scratch
 from tallyring.llm.text import SPACED, Words, sequences
 
-LEAST, SMALL, PRIOR, SKETCH = 0.5, 0.15, 8, 16
+LEAST, SMALL, PRIOR = 0.5, 0.15, 8
 SERIES, FAIR = 3, 0.3
 
 _QUOTED = re.compile(r"=\s*([\"'])")
@@ -265,15 +263,16 @@ def host(url: Column) -> Column:
 PAIR, CHILDREN, PRESENT, SHARE, ITEMS = range(5)
 
 
-def _sketches(texts: list[str], groups: list[int]) -> Iterator[tuple[int, list[int]]]:
-    """Of each group of texts a quarter of the word pairs, SKETCH at least, with the smallest hashes; a
-    text of one word has that for a pair."""
+def _pairs(texts: list[str], groups: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each group of texts all distinct word pairs; a text of one word has that for a pair."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     w = Words(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]), SPACED)
     hashes = w.hash
     within = w.doc[1:] == w.doc[:-1]
     alone = np.flatnonzero(w.count == 1)
-    pairs = np.concatenate([sequences(hashes, 2)[within], hashes[w.first[alone]]]).view(np.int64)
+    # 32 bits tell the pairs of one node apart: where so many stand in it that some fall together, the
+    # logarithm of how often they stand is still small beside that of the pages
+    pairs = np.concatenate([sequences(hashes, 2)[within], hashes[w.first[alone]]]).astype(np.uint32).view(np.int32)
     group = np.asarray(groups, dtype=np.int64)[np.concatenate([w.doc[1:][within], alone])]
     order = np.lexsort((pairs, group))
     pairs, group = pairs[order], group[order]
@@ -282,8 +281,7 @@ def _sketches(texts: list[str], groups: list[int]) -> Iterator[tuple[int, list[i
     pairs, group = pairs[new], group[new]
     start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, dtype=np.int64)
     for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(group)], strict=True):
-        # 32 bits tell the pairs of one node apart
-        yield int(group[lo]), pairs[lo : min(hi, lo + max(SKETCH, (hi - lo) // 4))].astype(np.int32)
+        yield int(group[lo]), pairs[lo:hi]
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
@@ -340,15 +338,15 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hosts.append(name)
                 digests.append(left[k].digest())
                 rows.append(out)
-        sketched: list[list[dict]] = [[] for _ in rows]
-        for group, pairs in _sketches(texts, groups):
+        found: list[list[dict]] = [[] for _ in rows]
+        for group, pairs in _pairs(texts, groups):
             row, node = whose[group]
-            sketched[row].append({"node": node, "pairs": pairs})
+            found[row].append({"node": node, "pairs": pairs})
         at = np.cumsum([0, *map(len, rows)])
         node, feature, kind, share = zip(*(x for out in rows for x in out), strict=True) if at[-1] else ((), (), (), ())
         flat = pa.StructArray.from_arrays([pa.array(node, pa.int64()), pa.array(feature, pa.int64()), pa.array(kind, pa.int32()), pa.array(share, pa.float64())], fields=list(listed.value_type))
         held_ = pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.binary()), held_, pa.array(sketched, paired)], names=["host", "page", "held", "pairs"])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.binary()), held_, pa.array(found, paired)], names=["host", "page", "held", "pairs"])
 
 
 def _importance(counted: DataFrame, by: list[str]) -> DataFrame:

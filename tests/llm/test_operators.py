@@ -410,6 +410,14 @@ def test_pages_sections_and_columns_stay(spark):
     assert {r["page_id"]: r["text"] for r in html.extract(page_table(spark, rows)).collect()} == want
 
 
+def test_pages_count_all_word_pairs(spark):
+    """Every word pair of a node counts, however long its text, and once a page."""
+    words = [f"w{i}" for i in range(1000)]
+    rows = [(k, "https://h/", f"<body><p>{' '.join([*words, *words])} own{k}</p></body>") for k in range(3)]
+    counted = html.features(spark.createDataFrame(rows, "page_id long, url string, html string")).where(F.col("kind") == html.PAIR)
+    assert Counter(r["n"] for r in counted.collect()) == {3: 1000, 1: 3}
+
+
 def test_pages_copies_count_once(spark):
     """Copies, also those that differ in scripts and menus only, take no text from any page."""
     page = "<body><nav>{1}</nav><script>{1}</script><div class=box>Blue soap is good for you</div><div class=story>{0}</div></body>"
