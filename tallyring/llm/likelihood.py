@@ -14,20 +14,36 @@ through it and its neighbours; and the chance of the end, from the expected numb
 slope of the likelihood where every piece is ``STEP`` less likely, at the best of them). So scores that
 are logarithms are used as they are, if that is best.
 
+That is :func:`score`, which knows nothing else of the training documents. :func:`learnt` adds what they
+say, and is what the query returns:
+
+* Pieces: the scores over the temperature are the prior, worth ``PRIOR`` pieces, of the weights that
+  expectation maximisation over the training documents' distinct words gives the pieces, in each class of
+  documents (a column, as their language, where there is one). A block runs its ``ROUNDS`` for itself; the
+  expected uses of all blocks are summed.
+* Words: a word of the training documents, and the end, has its count over N, less a part; this part (of
+  words seen once in N, Good and Turing) goes to all other words, by their lattice.
+* Classes: the lattices of all classes tell of each word how likely each class is, and a text is the
+  sum over classes of the products over its words. Its own label is not read.
+
+A word's probability in a class is the known word's times its chance of the class over the mean chance
+of it in all training words, or the lattice's of the class: they sum to 1 at most.
+
 How it runs. Documents are cut into blocks of about ``BLOCK`` bytes, a lattice is summed once for
 each distinct word of a block, and documents add up their words'. A first pass sums, a block, the
 likelihoods of its training words. A second one scores the documents, and writes, for the base,
 each block's distinct words (hash and training count) and the places of each document's words in
-that list. Counts are summed by hash, counted within blocks first, so the commonest word is one row
+that list; :func:`learnt` writes lattice sums of those words that no training document of the block has,
+as only these can be unknown. Counts are summed by hash, counted within blocks first, so the commonest word is one row
 a block; they go back to the blocks and meet the documents there. No text of a word is shuffled.
-Only sums (one row a temperature) reach the driver.
+Only sums (one row a temperature, a class and piece) reach the driver.
 
 Base (for comparison): sum over tokens of ``log10((c + 1) / (N + V + 1))``.
 
 Null texts are empty: one end. Every row gives one row, repeated rows and ids too; a text of any
 length is scored whole. Without training documents, N is 0, the first temperature and an
-end after ``END`` pieces hold. An empty table gives an empty result. Columns beyond doc_id, text and
-those of ``held_out`` are not read, whatever their names.
+end after ``END`` pieces hold, in :func:`learnt` too. An empty table gives an empty result. Columns beyond doc_id, text and
+those of ``held_out`` and the classes are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +52,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,22 +71,27 @@ STEP = 1e-3
 END = 1000.0
 #: Words whose lattices are summed together: enough of each length to work in whole arrays.
 TOGETHER = 100_000
+#: What the vocabulary's scores weigh beside the training words, in pieces, and rounds of learning.
+PRIOR, ROUNDS = 1000.0, 3
+#: Classes with most training documents that have pieces of their own; the others share.
+CLASSES = 8
 
 
 class Block:
-    """Distinct words of some documents, the commonest first: ``hash``, ``counts`` in training documents, code
+    """Distinct words of some documents, those in training documents and the commonest first: ``hash``, ``counts`` in training documents, code
     points (lower-cased; word i from ``start[i]``, ``length[i]`` long), and ``places`` of every
     word of the documents among them."""
 
     def __init__(self, parts: list[tuple[pa.RecordBatch, Words]]) -> None:
         self.parts = parts
         distinct, first, places = np.unique(np.concatenate([w.hash for _, w in parts]), return_index=True, return_inverse=True)
+        trained = np.concatenate([np.repeat(~b.column("held_out").to_numpy(zero_copy_only=False), w.count) for b, w in parts])
+        seen = np.bincount(places[trained], minlength=len(distinct)) > 0
         # the commonest first, so that most places are small numbers, which take little room
-        order = np.argsort(-np.bincount(places, minlength=len(distinct)), kind="stable")
+        order = np.lexsort((-np.bincount(places, minlength=len(distinct)), ~seen))
         rank = np.empty(len(order), dtype=np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
         self.hash, first, self.places = distinct[order], first[order], rank[places]
-        trained = np.concatenate([np.repeat(~b.column("held_out").to_numpy(zero_copy_only=False), w.count) for b, w in parts])
         self.counts = np.bincount(self.places[trained], minlength=len(self.hash))
         before = np.cumsum([0, *[len(w.start) for _, w in parts]])
         part = np.searchsorted(before, first, side="right") - 1
@@ -91,6 +113,13 @@ class Block:
             out[:, lo : lo + TOGETHER] = lattice.score_codes(self.codes, self.start[own], self.length[own], log_p)
         return out
 
+    def classes(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Classes of training documents, how many words they have, and which distinct ones."""
+        of = np.concatenate([np.repeat(b.column("class").to_numpy(zero_copy_only=False), w.count) for b, w in self.parts])
+        for k in np.unique(of).tolist():
+            own = self.places[of == k]
+            yield k, len(own), np.unique(own)
+
     def documents(self) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         """Rows, the places of their words, and where each row's begin, one more than rows."""
         at = 0
@@ -140,19 +169,19 @@ def first_temperatures(scores: np.ndarray) -> list[float]:
     return [spread * f for f in FIRST]
 
 
-def _fit(path: str, temperatures: list[float]):
+def _fit(path: str, temperatures: list[float], ends: tuple[float, ...] = (0.0, STEP)):
     """Of a task's training words, a row a temperature: sum of log probabilities, and of those with
-    every piece a step less likely."""
+    every piece a step less likely (or the same again, with but one of the ``ends``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, scores = vocabulary(path)
         n = len(temperatures)
-        log_p = [unigram.weights(scores, t, end) for end in (0.0, STEP) for t in temperatures]
+        log_p = [unigram.weights(scores, t, end) for end in ends for t in temperatures]
         sums = np.zeros(len(log_p))
         for block in _blocks(batches):
             seen = np.flatnonzero(block.counts)
             sums += (block.score(lattice, seen, log_p) * block.counts[seen]).sum(axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int32()), pa.array(sums[:n]), pa.array(sums[n:])], names=["k", "log_p", "less"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int32()), pa.array(sums[:n]), pa.array(sums[-n:])], names=["k", "log_p", "less"])
 
     return run
 
@@ -211,6 +240,58 @@ def _cut(path: str, temperature: float, end: float):
     return run
 
 
+def _learn(path: str, temperature: float):
+    """Of a task's training words, a row a class and piece: the expected use of the piece in distinct words;
+    a row a class with the piece -1 has the number of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice, scores = vocabulary(path)
+        prior = unigram.weights(scores, temperature)
+        uses: dict[int, np.ndarray] = {}
+        for block in _blocks(batches):
+            for k, n, words in block.classes():
+                found = lattice.uses(block.codes, block.start[words], block.length[words], lambda u: unigram.updated(u, prior, PRIOR), prior, ROUNDS)
+                uses[k] = uses.get(k, 0) + np.append(found, n)
+        for k, use in uses.items():
+            own = np.flatnonzero(use)
+            piece = np.where(own == len(prior), -1, own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k), pa.int32()), pa.array(piece, pa.int32()), pa.array(use[own])], names=["class", "piece", "use"])
+
+    return run
+
+
+def _cut_learnt(path: str, log_p: np.ndarray, share: np.ndarray):
+    """Rows of three kinds: a block's words (h, i, c); its documents (doc_id, held_out, chance, ids), ``chance``
+    the sums of the logs of each class's chance over the document's words; and one with ``spelled``, log
+    probabilities of the last words, which no training document of the block has, and as ``chance``
+    the sums of each class's chance over all training words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice, _ = vocabulary(path)
+        first = TaskContext.get().partitionId() << 24
+        kinds = {"block": pa.int64(), "h": pa.int64(), "i": pa.int32(), "c": pa.int64(), "doc_id": None, "held_out": pa.bool_(), "chance": pa.list_(pa.float64()), "ids": pa.binary(), "spelled": pa.binary()}
+
+        def rows(n: int, given: dict) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(given[c], kind) if c in given else pa.nulls(n, kind) for c, kind in kinds.items()], names=list(kinds))
+
+        for number, block in enumerate(_blocks(batches)):
+            kinds["doc_id"] = block.parts[0][0].schema.field("doc_id").type
+            chance = block.score(lattice, np.arange(len(block.hash)), list(log_p)) + np.log(share)[:, None]
+            spelled = np.logaddexp.reduce(chance, axis=0)
+            chance -= spelled
+            for lo in range(0, len(block.hash), TOGETHER):
+                to = min(lo + TOGETHER, len(block.hash))
+                yield rows(to - lo, {"block": np.full(to - lo, first + number), "h": block.hash[lo:to].view(np.int64), "i": np.arange(lo, to), "c": block.counts[lo:to]})
+            yield rows(1, {"block": [first + number], "chance": [(np.exp(chance) * block.counts).sum(axis=1)], "spelled": [spelled[np.count_nonzero(block.counts) :].tobytes()]})
+            for batch, places, at in block.documents():
+                bounds = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+                ids = [places[a:b].astype("<i4").tobytes() for a, b in bounds]
+                chances = [chance[:, places[a:b]].sum(axis=1) for a, b in bounds]
+                yield rows(batch.num_rows, {"block": np.full(batch.num_rows, first + number), "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "chance": chances, "ids": ids})
+
+    return run
+
+
 def base(c: np.ndarray, total: int, distinct: int) -> np.ndarray:
     """log10 of the base probabilities of tokens seen c times."""
     return np.log10(c + 1.0) - np.log10(float(total + distinct + 1))
@@ -236,6 +317,45 @@ def _meet(ends: int, total: int, distinct: int):
     return run
 
 
+def _meet_learnt(ends: int, total: int, distinct: int, unseen: float, share: np.ndarray, mean: np.ndarray):
+    """As :func:`_meet`, with scores: ``unseen`` is what all unknown words have together, ``share`` each
+    class's part of the words, ``mean`` its mean chance over training words."""
+    log_share, log_mean = np.log(share), np.log(mean)
+
+    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+        docs, words = docs.combine_chunks(), words.combine_chunks()
+        told = docs.column("spelled").is_valid()
+        spelled = np.frombuffer(docs.filter(told).column("spelled")[0].as_buffer(), dtype=np.float64)
+        docs = docs.filter(pc.invert(told)).combine_chunks()
+        c = np.zeros(words.num_rows, dtype=np.int64)
+        c[words.column("i").to_numpy()] = words.column("c").to_numpy()
+        of_base, of_end = base(c, total, distinct), base(np.array([ends]), total, distinct)[0]
+        of_word = np.log(np.maximum(c, 1)) + np.log1p(-unseen) - np.log(total)
+        last = len(c) - len(spelled)
+        of_word[last:] = np.where(c[last:] > 0, of_word[last:], np.log(unseen) + spelled)
+        end = np.log(ends) + np.log1p(-unseen) - np.log(total)
+        n_tokens, n_known, based, scored = [], [], [], []
+        for ids, chance in zip(docs.column("ids"), docs.column("chance"), strict=True):
+            own = np.frombuffer(ids.as_buffer(), dtype="<i4")
+            known = int((c[own] > 0).sum())
+            n_tokens.append(len(own) + 1)
+            n_known.append(known + 1)
+            based.append(float(of_base[own].sum() + of_end))
+            of_class = log_mean + chance.values.to_numpy() - known * log_mean - (len(own) - known) * log_share
+            scored.append(float(of_word[own].sum() + end + np.logaddexp.reduce(of_class)) / np.log(10))
+        arrays = [docs.column("doc_id"), docs.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(np.full(docs.num_rows, total), pa.int64()), pa.array(based, pa.float64()), pa.array(scored, pa.float64())]
+        return pa.table(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return run
+
+
+def _measured(teaching: DataFrame, fit, n: int) -> list[tuple[float, float]]:
+    """Sums of :func:`_fit` over all tasks."""
+    sums = teaching.mapInArrow(fit, "k int, log_p double, less double").groupBy("k").agg(F.sum("log_p"), F.sum("less")).collect()
+    by_place = {r[0]: (r[1], r[2]) for r in sums}
+    return [by_place.get(i, (0.0, 0.0)) for i in range(n)]
+
+
 def score(docs: DataFrame, held_out: Column, path: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document;
     documents where ``held_out`` is true teach nothing."""
@@ -244,13 +364,8 @@ def score(docs: DataFrame, held_out: Column, path: str) -> DataFrame:
     ends = named.where(~F.col("held_out")).count()
     teaching = named.where(~F.col("held_out")).select("text", "held_out")
 
-    def measure(temperatures: list[float]) -> list[tuple[float, float]]:
-        sums = teaching.mapInArrow(_fit(path, temperatures), "k int, log_p double, less double").groupBy("k").agg(F.sum("log_p"), F.sum("less")).collect()
-        by_place = {r[0]: (r[1], r[2]) for r in sums}
-        return [by_place.get(i, (0.0, 0.0)) for i in range(len(temperatures))]
-
     scores = vocabulary(path)[1]
-    found, told = fitted(scores, measure)
+    found, told = fitted(scores, lambda temperatures: _measured(teaching, _fit(path, temperatures), len(temperatures)))
     temperature, pieces = best(found) if told else (first_temperatures(scores)[0], 0.0)
     end = ends / (ends + pieces) if ends and pieces else 1 / (1 + END)
 
@@ -264,3 +379,44 @@ def score(docs: DataFrame, held_out: Column, path: str) -> DataFrame:
     out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     documents = cut.where(F.col("ids").isNotNull()).select(F.col("block").alias("of"), "doc_id", "held_out", "score", "ids")
     return documents.groupBy("of").cogroup(back.groupBy("block")).applyInArrow(_meet(ends, total, distinct), out)
+
+
+def learnt(docs: DataFrame, held_out: Column, path: str, classes: Column | None = None) -> DataFrame:
+    """As :func:`score`, by the pieces, words and classes that the training documents teach. ``classes`` of
+    training documents alone are read."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    label = (F.lit(None) if classes is None else classes).cast("string")
+    named = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"), label.alias("label"))
+    known = named.where(~F.col("held_out"))
+    by_label = known.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    ends = by_label.agg(F.sum("n")).first()[0] or 0
+    if not ends:
+        return score(docs, held_out, path)
+    # in a row of the most frequent; null and all others are the last
+    own = [r[0] for r in by_label.where(F.col("label").isNotNull()).orderBy(F.desc("n"), "label").limit(CLASSES).collect()]
+    number = F.coalesce(F.array_position(F.array(*map(F.lit, own)), F.col("label")), F.lit(0)) if own else F.lit(0)
+    teaching = known.select("text", "held_out", number.cast("int").alias("class"))
+
+    scores = vocabulary(path)[1]
+    found, told = fitted(scores, lambda ts: _measured(teaching.select("text", "held_out"), _fit(path, ts, (0.0,)), len(ts)))
+    temperature = best(found)[0] if told else first_temperatures(scores)[0]
+    prior = unigram.weights(scores, temperature)
+    uses = np.zeros((len(own) + 1, len(prior) + 1))
+    sums = teaching.mapInArrow(_learn(path, temperature), "class int, piece int, use double").groupBy("class", "piece").agg(F.sum("use").alias("use")).toArrow()
+    uses[sums.column("class").to_numpy(), sums.column("piece").to_numpy()] = sums.column("use").to_numpy()
+    uses = uses[uses[:, -1] > 0] if uses[:, -1].any() else uses[:1]
+    share = (uses[:, -1] + 1) / (uses[:, -1] + 1).sum()
+    log_p = np.array([unigram.updated(u[:-1], prior, PRIOR) for u in uses])
+
+    schema = f"block long, h long, i int, c long, doc_id {kind}, held_out boolean, chance array<double>, ids binary, spelled binary"
+    cut = scratch.table(named.select("doc_id", "text", "held_out").mapInArrow(_cut_learnt(path, log_p, share), schema), "blocks")
+    words = cut.where(F.col("h").isNotNull()).select("block", "h", "i", "c")
+    counted = words.groupBy("h").agg(F.sum("c").alias("c"))
+    n, v, once = counted.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1)).first()
+    total, distinct, unseen = (n or 0) + ends, (v or 0) + 1, ((once or 0) + 1) / ((n or 0) + ends + 2)
+    chances = cut.where(F.col("spelled").isNotNull()).select(*[F.sum(F.col("chance")[k]).alias(f"c{k}") for k in range(len(share))]).first()
+    mean = np.array([max(float(x or 0.0), 1e-300) for x in chances]) / n if n else share
+    back = words.select("h", "block", "i").join(counted, "h").drop("h")
+    out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    documents = cut.where(F.col("ids").isNotNull() | F.col("spelled").isNotNull()).select(F.col("block").alias("of"), "doc_id", "held_out", "chance", "ids", "spelled")
+    return documents.groupBy("of").cogroup(back.groupBy("block")).applyInArrow(_meet_learnt(ends, total, distinct, unseen, share, mean), out)

@@ -58,7 +58,8 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(7)) == 2
-    return likelihood.score(_read(spark, sf_dir, "documents"), held_out, PIECES)
+    docs = _read(spark, sf_dir, "documents")
+    return likelihood.learnt(docs, held_out, PIECES, F.col("lang") if "lang" in docs.columns else None)
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:

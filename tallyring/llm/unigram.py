@@ -7,6 +7,7 @@ Unigram model does. ``Lattice`` sums over all segmentations, for many words at o
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -121,6 +122,13 @@ def weights(scores: np.ndarray, temperature: float, end: float = 0.0) -> np.ndar
     return x - x.max() - np.log(np.exp(x - x.max()).sum()) + np.log1p(-end)
 
 
+def updated(use: np.ndarray, prior: np.ndarray, strength: float) -> np.ndarray:
+    """Logs of the pieces' probabilities after some use, from a prior worth ``strength`` pieces."""
+    with np.errstate(divide="ignore"):
+        x = np.logaddexp(np.log(use), np.log(strength) + prior)
+    return x - np.logaddexp.reduce(x)
+
+
 class Lattice:
     """Marginal probabilities of words, START before them, under weights of pieces: sums over all
     segmentations by forward recursion. A character that no piece of one character covers has the
@@ -199,23 +207,76 @@ class Lattice:
     def score_codes(self, codes: np.ndarray, start: np.ndarray, length: np.ndarray, log_p: list[np.ndarray]) -> np.ndarray:
         """The same of words that stand in an array of code points."""
         out = np.zeros((len(log_p), len(start)))
+        for part, table in self._tables(codes, start, length, 400_000 // len(log_p)):
+            if table.shape[1] <= self.PLAIN:
+                out[:, part] = self._plain(table, log_p)
+                small = np.flatnonzero((out[:, part] == -np.inf).any(axis=0))
+                if len(small):
+                    out[:, part[small]] = self._logs(table[small], log_p)
+            else:
+                out[:, part] = self._logs(table, log_p)
+        return out
+
+    @staticmethod
+    def _tables(codes: np.ndarray, start: np.ndarray, length: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Words of one length together, about ``most`` places at a time: which, and their code points, a row each."""
         order = np.argsort(length, kind="stable")
         for own in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else ():
             n = int(length[own[0]])
-            step = max(1, 400_000 // (n + 2) // len(log_p))
+            step = max(1, most // (n + 2))
             for lo in range(0, len(own), step):
                 part = own[lo : lo + step]
                 table = np.empty((len(part), n + 1), dtype=np.uint32)
                 table[:, 0] = ord(START)
                 table[:, 1:] = codes[start[part][:, None] + np.arange(n)]
-                if n < self.PLAIN:
-                    out[:, part] = self._plain(table, log_p)
-                    small = np.flatnonzero((out[:, part] == -np.inf).any(axis=0))
-                    if len(small):
-                        out[:, part[small]] = self._logs(table[small], log_p)
-                else:
-                    out[:, part] = self._logs(table, log_p)
-        return out
+                yield part, table
+
+    def uses(self, codes: np.ndarray, start: np.ndarray, length: np.ndarray, update, log_p: np.ndarray, rounds: int) -> np.ndarray:
+        """Expected use of every piece (unknown characters last) in some words, after rounds of expectation
+        maximisation from given weights; ``update`` gives weights from uses. Edges are found once."""
+        groups = []
+        for _, table in self._tables(codes, start, length, 400_000):
+            edges = [(s, e, rows.astype(np.int32), piece.astype(np.int32), size) for s, e, rows, piece, size in self._edges(table)]
+            groups.append((table.shape, edges))
+        use = np.zeros(len(log_p))
+        for r in range(rounds):
+            log_p = update(use) if r else log_p
+            use = np.zeros(len(log_p))
+            for shape, edges in groups:
+                use += self._uses(shape, edges, log_p)
+        return use
+
+    def _uses(self, shape: tuple[int, int], edges: list, log_p: np.ndarray) -> np.ndarray:
+        """Expected uses under one set of weights: forward and backward sums meet at each edge. Sums are plain
+        numbers; of longer words, and where some come out too small, logs."""
+        n, length = shape
+        use, plain = np.zeros(len(log_p)), length <= self.PLAIN
+        if plain:
+            p = np.exp(log_p)
+            weights_ = [p[piece] if isinstance(size, int) else p[piece] * 256.0**-size for _, _, _, piece, size in edges]
+            ahead, behind = np.zeros((length + 1, n)), np.zeros((length + 1, n))
+            ahead[0] = 1
+            for (s, e, rows, _, _), w in zip(edges, weights_, strict=True):
+                ahead[e, rows] += ahead[s, rows] * w
+            plain = ahead[length].min() > self.TINY
+        if plain:
+            behind[length] = 1 / ahead[length]
+            for (s, e, rows, piece, _), w in zip(edges[::-1], weights_[::-1], strict=True):
+                x = w * behind[e, rows]
+                behind[s, rows] += x
+                use += np.bincount(piece, weights=ahead[s, rows] * x, minlength=len(use))
+            return use
+        weights_ = [log_p[piece] if isinstance(size, int) else log_p[piece] - size * np.log(256) for _, _, _, piece, size in edges]
+        ahead, behind = np.full((length + 1, n), -np.inf), np.full((length + 1, n), -np.inf)
+        ahead[0] = 0
+        for (s, e, rows, _, _), w in zip(edges, weights_, strict=True):
+            ahead[e, rows] = np.logaddexp(ahead[e, rows], ahead[s, rows] + w)
+        behind[length] = -ahead[length]
+        for (s, e, rows, piece, _), w in zip(edges[::-1], weights_[::-1], strict=True):
+            x = w + behind[e, rows]
+            behind[s, rows] = np.logaddexp(behind[s, rows], x)
+            use += np.bincount(piece, weights=np.exp(ahead[s, rows] + x), minlength=len(use))
+        return use
 
     def _plain(self, codes: np.ndarray, log_p: list[np.ndarray]) -> np.ndarray:
         n, length = codes.shape

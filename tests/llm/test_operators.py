@@ -698,6 +698,60 @@ def test_lattice_sums_all_segmentations():
     assert np.exp(w).sum() == pytest.approx(0.75) and w[0] - w[1] == pytest.approx(0.5) and w[-1] == w[2] - unigram.PENALTY / 2
 
 
+def test_expected_uses_of_pieces():
+    """One round against all segmentations of words; plain numbers and logs agree; rounds gain likelihood."""
+    names = ["▁", "▁a", "a", "b", "ab", "▁ab"]
+    log_p = np.log(np.array([0.2, 0.3, 0.1, 0.15, 0.05, 0.1, 0.1]))
+    lattice, p = unigram.Lattice(names), dict(zip(names, np.exp(log_p), strict=False))
+
+    def all_ways(text):
+        return [[]] if not text else [[n, *rest] for n in names if text.startswith(n) for rest in all_ways(text[len(n) :])]
+
+    words = ["a", "ab", "aab", "bab", "abab"]
+    want = Counter()
+    for w in words:
+        ways = all_ways("▁" + w)
+        total = sum(math.prod(p[x] for x in way) for way in ways)
+        for way in ways:
+            for x in way:
+                want[x] += math.prod(p[y] for y in way) / total
+    args = np.array([ord(x) for w in words for x in w], dtype=np.uint32), np.cumsum([0, *map(len, words)])[:-1], np.array(list(map(len, words)))
+    update = lambda use: unigram.updated(use, log_p, 1e-9)
+    plain = lattice.uses(*args, update, log_p, 1)
+    assert np.allclose(plain, [*[want[n] for n in names], 0.0])
+    lattice.PLAIN = 0
+    assert np.allclose(lattice.uses(*args, update, log_p, 1), plain) and np.allclose(np.exp(update(plain)).sum(), 1)
+    assert lattice.score(words, [update(plain)]).sum() > lattice.score(words, [log_p]).sum()
+
+
+def test_learnt_likelihood(spark, sf, odd, none):
+    """Held-out texts are near the base, the likelihood of all known words is what unknown ones leave, in
+    texts of one and of two words, and an unknown word's is small, not nothing."""
+    d = queries.op8_likelihood(spark, sf).where("held_out").toPandas()
+    assert np.isfinite(d["score"]).all() and (d["score"] < 0).all()
+    assert d["score"].sum() > 1.25 * d["base_score"].sum()
+    known = ["the", "of", "theof", "ünd", "☃", "undder"]
+    rows = [(k, " ".join(known[: k + 1] * (1 + k % 2)), "de" if k > 2 else "en", False) for k in range(6)] + [(6, "und der x", None, False)]
+    asked = [*known, *[f"{a} {b}" for a in known for b in known], "ofthe", "q" * 3000, "", None]
+    rows += [(100 + k, t, "fr", True) for k, t in enumerate(asked)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, held boolean")
+    for classes in (F.col("lang"), None):
+        got = {r["doc_id"]: r for r in likelihood.learnt(table, F.col("held"), PIECES, classes).collect()}
+        assert len(got) == len(rows) and all(math.isfinite(r["score"]) for r in got.values())
+        c = Counter(w for r in rows if not r[3] for w in r[1].split())
+        n = sum(c.values()) + 7
+        unseen = (sum(x == 1 for x in c.values()) + 1) / (n + 2)
+        end = math.log10((1 - unseen) * 7 / n)
+        assert all(got[100 + k]["score"] - end == pytest.approx(math.log10((1 - unseen) * c[w] / n)) for k, w in enumerate(known))
+        share = (1 - unseen) * sum(c[w] for w in known) / n
+        pairs = sum(10 ** (got[106 + k]["score"] - end) for k in range(36))
+        # words that are no texts here ("und", "der", "x") have the rest
+        assert pairs <= ((1 - unseen) * (n - 7) / n) ** 2 + 1e-12 and pairs == pytest.approx(share**2, rel=0.3)
+        assert got[142]["score"] < math.log10(unseen) + end and got[144]["score"] == got[145]["score"] == pytest.approx(end)
+    assert likelihood.learnt(none, F.lit(False), PIECES).count() == 0
+    assert likelihood.learnt(odd, F.lit(True), PIECES, F.col("lang")).count() == likelihood.learnt(odd, F.lit(False), PIECES, F.col("lang")).count() == len(ODD)
+
+
 # 9
 def test_media(spark, docs, odd, none):
     for df in (docs.select("doc_id", "text"), odd):
