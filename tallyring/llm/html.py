@@ -29,8 +29,9 @@ copies do not tell what pages share; for nodes inside ``article`` or ``main`` pa
 they have in there is the same.
 
 A page is a row or two of hashes, of which copies are merged before and after they are dealt by host
-and page. Statistics are one row a host, node and pair, counted before they are shuffled, so a host
-with most pages is no group of rows anywhere. Judged nodes, one row a host, are joined to pages by
+and page. Word pairs are counted before they are shuffled and go as sorted numbers, packed, a row a
+host, node and 256th of all pairs; these are dealt by node and 256th, where all hosts' meet, so a host
+with most pages is no group of rows anywhere, and only sums a host and node are left. Judged nodes, one row a host, are joined to pages by
 host: broadcast by Spark where they are small, else in a join that splits hosts with many pages.
 
 Text: character references are decoded; white space inside a block becomes one space; blocks are
@@ -52,6 +53,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -261,6 +263,19 @@ def host(url: Column) -> Column:
 #: Kinds of rows of the tree: word pairs, children, presence of a node, share of a branch, and of a
 #: node with items (feature 1 where it has SERIES of them).
 PAIR, CHILDREN, PRESENT, SHARE, ITEMS = range(5)
+#: Sums over the word pairs of a node: on a host, and on all hosts.
+OWN, ALL = 5, 6
+#: Pairs counted together in a task, at least.
+MANY = 1 << 20
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Sorted numbers of 32 bits, each less the one before, byte by byte: high bytes are mostly 0 or alike."""
+    return np.diff(x, prepend=x.dtype.type(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpack(data: bytes | memoryview) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel(), dtype=np.uint32)
 
 
 def _pairs(texts: list[str], groups: list[int]) -> Iterator[tuple[int, np.ndarray]]:
@@ -272,7 +287,7 @@ def _pairs(texts: list[str], groups: list[int]) -> Iterator[tuple[int, np.ndarra
     alone = np.flatnonzero(w.count == 1)
     # 32 bits tell the pairs of one node apart: where so many stand in it that some fall together, the
     # logarithm of how often they stand is still small beside that of the pages
-    pairs = np.concatenate([sequences(hashes, 2)[within], hashes[w.first[alone]]]).astype(np.uint32).view(np.int32)
+    pairs = np.concatenate([sequences(hashes, 2)[within], hashes[w.first[alone]]]).astype(np.uint32)
     group = np.asarray(groups, dtype=np.int64)[np.concatenate([w.doc[1:][within], alone])]
     order = np.lexsort((pairs, group))
     pairs, group = pairs[order], group[order]
@@ -301,7 +316,6 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     children, and shares of branches. ``page`` is the digest of the text (of that inside only, in the
     second), which copies share."""
     listed = pa.list_(pa.struct([("node", pa.int64()), ("feature", pa.int64()), ("kind", pa.int32()), ("share", pa.float64())]))
-    paired = pa.list_(pa.struct([("node", pa.int64()), ("pairs", pa.list_(pa.int32()))]))
     for names, pages in _parts(batches):
         hosts, digests, rows = [], [], []
         texts: list[str] = []
@@ -338,46 +352,169 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hosts.append(name)
                 digests.append(left[k].digest())
                 rows.append(out)
-        found: list[list[dict]] = [[] for _ in rows]
+        nodes_: list[list[int]] = [[] for _ in rows]
+        found: list[list[np.ndarray]] = [[] for _ in rows]
         for group, pairs in _pairs(texts, groups):
-            row, node = whose[group]
-            found[row].append({"node": node, "pairs": pairs})
+            row, node_ = whose[group]
+            nodes_[row].append(node_)
+            found[row].append(pairs)
+        packed = [np.array(n, dtype="<i8").tobytes() for n in nodes_], [np.array(list(map(len, x)), dtype="<i4").tobytes() for x in found], [_pack(np.concatenate(x)) if x else b"" for x in found]
         at = np.cumsum([0, *map(len, rows)])
         node, feature, kind, share = zip(*(x for out in rows for x in out), strict=True) if at[-1] else ((), (), (), ())
         flat = pa.StructArray.from_arrays([pa.array(node, pa.int64()), pa.array(feature, pa.int64()), pa.array(kind, pa.int32()), pa.array(share, pa.float64())], fields=list(listed.value_type))
         held_ = pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.binary()), held_, pa.array(found, paired)], names=["host", "page", "held", "pairs"])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.binary()), held_, *[pa.array(x, pa.binary()) for x in packed]], names=["host", "page", "held", "nodes", "sizes", "pairs"])
 
 
-def _importance(counted: DataFrame, by: list[str]) -> DataFrame:
-    """Importance of nodes from how often each feature stands (n pages)."""
+def _importance(counted: DataFrame, by: list[str], pairs: int) -> DataFrame:
+    """Importance of nodes from how often each feature stands (n pages), and the sums of ``pairs``."""
     kind = lambda k: F.col("kind") == k
     total = lambda k, x: F.coalesce(F.sum(F.when(kind(k), x)), F.lit(0.0))
-    sums = counted.groupBy(*by, "node").agg(total(PRESENT, F.col("n")).alias("pages"), *[total(k, x).alias(f"{a}{k}") for k in (PAIR, CHILDREN) for a, x in (("n", F.col("n").cast("double")), ("h", F.col("n") * F.log("n")))])
+    n = F.col("n").cast("double")
+    sums = counted.groupBy(*by, "node").agg(total(PRESENT, F.col("n")).alias("pages"), total(pairs, n).alias("n0"), total(pairs, F.col("share")).alias("h0"), total(CHILDREN, n).alias("n1"), total(CHILDREN, F.col("n") * F.log("n")).alias("h1"))
     entropy = lambda k: F.when(F.col(f"n{k}") > 0, F.col(f"h{k}") / F.col(f"n{k}") / F.log(F.col("pages") + PRIOR))
-    return sums.select(*by, "node", "pages", "n0", (1 - F.least(entropy(PAIR), entropy(CHILDREN))).alias("importance"))
+    return sums.select(*by, "node", "pages", "n0", (1 - F.least(entropy(0), entropy(1))).alias("importance"))
 
 
 _HELD = "array<struct<node:long,feature:long,kind:int,share:double>>"
 
 
-def features(pages: DataFrame) -> DataFrame:
-    """On how many pages of a host (n) each feature of a node stands, and the sum of shares."""
-    rows = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(_contents, f"host string, page binary, held {_HELD}, pairs array<struct<node:long,pairs:array<int>>>")
-    merged = rows.groupBy("host", "page").agg(F.min("held").alias("held"), F.min("pairs").alias("pairs"))
-    # word pairs travel as numbers below their nodes, and are rows only where they are counted
-    entry = lambda node: lambda x: F.struct(node.alias("node"), x.cast("long").alias("feature"), F.lit(PAIR).alias("kind"), F.lit(0.0).alias("share"))
-    pairs = F.flatten(F.transform("pairs", lambda p: F.transform(p["pairs"], entry(p["node"]))))
-    once = merged.select("host", F.explode(F.concat("held", pairs.cast(_HELD))).alias("x")).select("host", "x.*")
-    return once.groupBy("host", "node", "kind", "feature").agg(F.count("*").alias("n"), F.sum("share").alias("share"))
+_COUNTED = "host string, node long, kind int, feature long, n long, share double"
+_RUNS = ("host", "node", "kind", "feature", "n", "share")
+
+
+def _batch(host: pa.Array, **columns) -> pa.RecordBatch:
+    kinds = {"node": pa.int64(), "kind": pa.int32(), "feature": pa.int64(), "n": pa.int64(), "share": pa.float64(), "pairs": pa.binary(), "counts": pa.binary()}
+    arrays = [host, *[columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], k) if c in columns else pa.nulls(len(host), k) for c, k in kinds.items()]]
+    return pa.RecordBatch.from_arrays(arrays, names=["host", *kinds])
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.ones(len(keys[0]), dtype=bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features of pages, summed by task, and pairs counted by host and node: a row for each 256th (``feature``)
+    of all numbers, with the numbers and, where some stand on several pages, the counts packed."""
+    kept: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]] = []
+    others: list[pa.Table] = []
+    many = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        summed = pa.concat_tables(others).group_by(["host", "node", "kind", "feature"]).aggregate([("share", "count"), ("share", "sum")])
+        others.clear()
+        for b in summed.combine_chunks().to_batches(10_000):
+            yield _batch(b.column("host"), **{c: b.column(c) for c in ("node", "kind", "feature")}, n=b.column("share_count"), share=b.column("share_sum"))
+        if not kept:
+            return
+        names = list(dict.fromkeys(k[0] for k in kept))
+        number = {n: i for i, n in enumerate(names)}
+        host_ = np.concatenate([np.full(len(k[3]), number[k[0]], dtype=np.int32) for k in kept])
+        node = np.concatenate([np.repeat(k[1], k[2]) for k in kept])
+        pairs = np.concatenate([k[3] for k in kept])
+        kept.clear()
+        nodes, code = np.unique(node, return_inverse=True)
+        key = (host_.astype(np.int64) * len(nodes) + code).astype(np.uint64) << np.uint64(32) | pairs
+        key, n = np.unique(key, return_counts=True)
+        n = n.astype(np.uint32)
+        pairs, of = key.astype(np.uint32), (key >> np.uint64(32)).astype(np.int64)
+        at = _starts(key >> np.uint64(24))
+        bounds = list(zip(at.tolist(), [*at[1:].tolist(), len(key)], strict=True))
+        packed = [_pack(pairs[a:b]) for a, b in bounds]
+        counts = [n[a:b].view(np.uint8).reshape(-1, 4).T.tobytes() if (n[a:b] > 1).any() else None for a, b in bounds]
+        hosts = pa.array(names, pa.string()).take(pa.array(of[at] // len(nodes)))
+        for lo in range(0, len(at), 10_000):
+            own = slice(lo, lo + 10_000)
+            yield _batch(hosts[own], node=nodes[of[at[own]] % len(nodes)], kind=np.full(len(at[own]), PAIR), feature=(pairs[at[own]] >> np.uint32(24)).astype(np.int64), pairs=packed[own], counts=counts[own])
+
+    for batch in batches:
+        held = batch.column("held")
+        rows, flat = pc.list_parent_indices(held), pc.list_flatten(held)
+        names_ = ("node", "feature", "kind", "share")
+        others.append(pa.table([batch.column("host").take(rows), *[pc.struct_field(flat, c) for c in names_]], names=["host", *names_]))
+        many += len(flat)
+        for name, nodes, sizes, pairs in zip(*[batch.column(c).to_pylist() for c in ("host", "nodes", "sizes", "pairs")], strict=True):
+            if pairs:
+                kept.append((name, np.frombuffer(nodes, dtype="<i8"), np.frombuffer(sizes, dtype="<i4"), _unpack(pairs)))
+                many += len(pairs) // 4
+        if many >= 4 * MANY:
+            yield from flush()
+            many = 0
+    if others:
+        yield from flush()
+
+
+def _sums(each: bool):
+    """Of rows in order of kind, node and feature: how often each pair stands on a host, or only the sums of n
+    and of n log n (``share``) of a node on a host (``OWN``) and on all hosts (``ALL``). All else as it is."""
+
+    def count(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        names = list(dict.fromkeys(r[0] for r in rows))
+        number = {n: i for i, n in enumerate(names)}
+        found = [_unpack(r[2]) for r in rows]
+        size = [len(f) for f in found]
+        host_ = np.repeat(np.array([number[r[0]] for r in rows], dtype=np.int64), size)
+        nodes, code = np.unique(np.array([r[1] for r in rows], dtype=np.int64), return_inverse=True)
+        pair = np.repeat(code.astype(np.uint64), size) << np.uint64(32) | np.concatenate(found)
+        n = np.concatenate([np.ones(k, dtype=np.int64) if r[3] is None else np.ascontiguousarray(np.frombuffer(r[3], dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64) for r, k in zip(rows, size, strict=True)])
+        order = np.lexsort((host_, pair))
+        pair, host_, n = pair[order], host_[order], n[order]
+        at = _starts(pair, host_)
+        n = np.add.reduceat(n, at)
+        pair, host_ = pair[at], host_[at]
+        node = (pair >> np.uint64(32)).astype(np.int64)
+        of = pa.array(names, pa.string())
+        if each:
+            yield _batch(of.take(pa.array(host_)), node=nodes[node], kind=np.full(len(n), PAIR), feature=(pair & np.uint64(0xFFFFFFFF)).astype(np.int64), n=n, share=np.zeros(len(n)))
+            return
+        own, place = np.unique(node * len(names) + host_, return_inverse=True)
+        yield _batch(of.take(pa.array(own % len(names))), node=nodes[own // len(names)], kind=np.full(len(own), OWN), feature=np.zeros(len(own), dtype=np.int64), n=np.bincount(place, n).astype(np.int64), share=np.bincount(place, n * np.log(n)))
+        at = _starts(pair)
+        n = np.add.reduceat(n, at)
+        node = node[at]
+        all_ = np.unique(node)
+        yield _batch(pa.nulls(len(all_), pa.string()), node=nodes[all_], kind=np.full(len(all_), ALL), feature=np.zeros(len(all_), dtype=np.int64), n=np.bincount(node, n)[all_].astype(np.int64), share=np.bincount(node, n * np.log(n))[all_])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple] = []
+        many, last = 0, None
+        for batch in batches:
+            is_pair = pc.equal(batch.column("kind"), PAIR)
+            rest = batch.filter(pc.invert(is_pair))
+            if rest.num_rows:
+                yield rest.select(list(_RUNS))
+            rows = batch.filter(is_pair)
+            for name, node, feature, pairs, counts in zip(*[rows.column(c).to_pylist() for c in ("host", "node", "feature", "pairs", "counts")], strict=True):
+                if many >= MANY and (node, feature) != last:
+                    yield from (b.select(list(_RUNS)) for b in count(kept))
+                    kept, many = [], 0
+                kept.append((name, node, pairs, counts))
+                many, last = many + len(pairs) // 4, (node, feature)
+        if kept:
+            yield from (b.select(list(_RUNS)) for b in count(kept))
+
+    return run
+
+
+def features(pages: DataFrame, each: bool = True) -> DataFrame:
+    """On how many pages of a host (n) each feature of a node stands, and the sum of shares. If not
+    ``each``, only the sums over a node's word pairs, ``OWN`` and ``ALL`` (without host), with n log n in ``share``."""
+    rows = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(_contents, f"host string, page binary, held {_HELD}, nodes binary, sizes binary, pairs binary")
+    merged = rows.groupBy("host", "page").agg(*[F.min(c).alias(c) for c in ("held", "nodes", "sizes", "pairs")])
+    packed = merged.mapInArrow(_counted, f"{_COUNTED}, pairs binary, counts binary")
+    dealt = packed.repartition("node", "feature").sortWithinPartitions("kind", "node", "feature")
+    return dealt.mapInArrow(_sums(each), _COUNTED).groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n"), F.sum("share").alias("share"))
 
 
 def style_tree(counted: DataFrame) -> DataFrame:
     """host, node, importance, share (null for nodes that are no branch) and series (whether it is one) of
-    every node, from its :func:`features`."""
-    everywhere = counted.groupBy("node", "kind", "feature").agg(F.sum("n").alias("n"))
-    own = _importance(counted, ["host"]).where("n0 > 0")
-    all_hosts = _importance(everywhere, []).select("node", F.col("importance").alias("elsewhere"))
+    every node, from its :func:`features` with sums of pairs."""
+    everywhere = counted.groupBy("node", "kind", "feature").agg(F.sum("n").alias("n"), F.sum("share").alias("share"))
+    own = _importance(counted.where(F.col("kind") != ALL), ["host"], OWN).where("n0 > 0")
+    all_hosts = _importance(everywhere, [], ALL).select("node", F.col("importance").alias("elsewhere"))
     branches = counted.where(F.col("kind") == SHARE)
     # a branch's share leans on that of its path on all hosts, and this on that of its tags
     of_path = branches.groupBy("node", F.col("feature").alias("tags")).agg(F.sum("share").alias("all"), F.sum("n").alias("of"))
@@ -416,7 +553,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    counted = scratch.table(features(pages), "tree")
+    counted = scratch.table(features(pages, each=False), "tree")
     tree = style_tree(counted)
     low = F.coalesce(F.col("importance") < LEAST, F.lit(False))
     by_host = tree.groupBy("host").agg(F.collect_list(F.struct("node", low.alias("low"), "share", "series")).alias("judged"))

@@ -418,6 +418,30 @@ def test_pages_count_all_word_pairs(spark):
     assert Counter(r["n"] for r in counted.collect()) == {3: 1000, 1: 3}
 
 
+def test_pages_pairs_stay_no_rows(spark):
+    """Sums over word pairs are those of the pairs one by one, a row a host and node, however many pairs."""
+    rows = [(k, f"https://h{k % 3}/", f"<body><p>same words here {' '.join(f'w{i % 97 + k % 4}' for i in range(300 * k))}</p><div>w{k} own</div></body>") for k in range(12)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    each, on_host, on_all = html.features(table).collect(), Counter(), Counter()
+    for r in each:
+        if r["kind"] == html.PAIR:
+            on_host[r["host"], r["node"], r["feature"]] += r["n"]
+            on_all[None, r["node"], r["feature"]] += r["n"]
+    got = html.features(table, each=False).collect()
+    for kind, counts_ in ((html.OWN, on_host), (html.ALL, on_all)):
+        n, h = Counter(), Counter()
+        for (name, node, _), k in counts_.items():
+            n[name, node] += k
+            h[name, node] += k * math.log(k)
+        found = {(r["host"], r["node"]): r for r in got if r["kind"] == kind}
+        assert {k: r["n"] for k, r in found.items()} == n and all(r["share"] == pytest.approx(h[k]) for k, r in found.items())
+    assert not any(r["kind"] == html.PAIR for r in got)
+    other = lambda some: sorted((r["host"], r["node"], r["kind"], r["feature"], r["n"], round(r["share"], 9)) for r in some if html.PAIR < r["kind"] < html.OWN)
+    assert other(each) == other(got)
+    numbers = np.array([7, 7, 9, 2**32 - 1, 0, 3], dtype=np.uint32)
+    assert html._unpack(html._pack(numbers)).tolist() == numbers.tolist()
+
+
 def test_pages_copies_count_once(spark):
     """Copies, also those that differ in scripts and menus only, take no text from any page."""
     page = "<body><nav>{1}</nav><script>{1}</script><div class=box>Blue soap is good for you</div><div class=story>{0}</div></body>"
