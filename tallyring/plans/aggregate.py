@@ -249,6 +249,8 @@ def cofactor_frame(df: DataFrame, spec: Spec, by: Sequence[str] = ()) -> DataFra
     contcat, catcat), so it adds and multiplies with other columns of that form. Categories are
     numbers there; a group's maps must fit a row. Without rows and groups there is none."""
     k, cats = len(spec.cont), list(spec.cat)
+    if len(cats) <= 1:
+        return _packed(df, spec, by)
     rows = grouped_sums(df, spec, by).where("n > 0")
     ids = {s: i for i, s in grouping_ids(cats).items()}
     own = [f"__by{i}" for i in range(len(by))]
@@ -267,6 +269,29 @@ def cofactor_frame(df: DataFrame, spec: Spec, by: Sequence[str] = ()) -> DataFra
     return rows.groupBy(*own).agg(whole.alias("cofactor")).where("cofactor.count > 0").select(*[F.col(o).alias(b) for o, b in zip(own, by, strict=True)], "cofactor")
 
 
+def _packed(df: DataFrame, spec: Spec, by: Sequence[str]) -> DataFrame:
+    """:func:`cofactor_frame` with one category at most: a group's rows of sums, one a category, are its maps'
+    entries already, so no grouping sets repeat them."""
+    k, cats, own = len(spec.cont), list(spec.cat), [f"__by{i}" for i in range(len(by))]
+    sums = [f"{_S}{i}" for i in range(k)]
+    products = [f"{_Q}{i}_{j}" for i, j in _upper(k)]
+    rows = _sums(df, spec, by, True).select(*[F.col(b).alias(o) for b, o in zip(by, own, strict=True)], *[F.col(c).cast("long").alias("__k") for c in cats], _N, *sums, *products)
+    entry = F.struct(*[F.col("__k")] * len(cats), F.col(_N).cast("double").alias(_N), *[F.col(c).cast("double").alias(c) for c in sums])
+    grouped = rows.groupBy(*own).agg(F.sum(_N).cast("long").alias(_N), *[F.sum(c).cast("double").alias(c) for c in (*sums, *products)], *[F.sort_array(F.collect_list(entry)).alias("__e") for _ in cats])
+    number = lambda columns, kind: F.array(*columns) if columns else F.array().cast(f"array<{kind}>")
+    held = lambda c: F.map_from_entries(F.transform("__e", lambda e: F.struct(e["__k"].alias("key"), e[c].alias("value"))))
+    single, double = "map<bigint,double>", "map<struct<k1:bigint,k2:bigint>,double>"
+    whole = F.struct(
+        F.col(_N).alias("count"),
+        number([F.col(c) for c in sums], "double").alias("lin"),
+        number([F.col(c) for c in products], "double").alias("quad"),
+        number([held(_N) for _ in cats], single).alias("cat1"),
+        number([held(c) for c in sums for _ in cats], single).alias("contcat"),
+        number([], double).alias("catcat"),
+    )
+    return grouped.where(f"{_N} > 0").select(*[F.col(o).alias(b) for o, b in zip(own, by, strict=True)], whole.alias("cofactor"))
+
+
 def nb_aggregates(df: DataFrame, spec: Spec, by: Sequence[str]) -> dict[tuple, NBAggregates]:
     """SUM of naive-Bayes aggregates a group (classes: few by meaning), in one job, or two where
     features are far from 0."""

@@ -77,3 +77,14 @@ def test_plan(table):
     """Terms are summed before the shuffle, and nothing runs in Python."""
     plan = values.value_terms(table, lift.to_cofactor(["A"], ["C"]), ["D"])._jdf.queryExecution().executedPlan().toString()
     assert "partial_sum" in plan and plan.count("Exchange") == 1 and "Python" not in plan and "Arrow" not in plan
+
+
+def test_frame_of_one_category_has_no_grouping_sets(spark):
+    """A group's sums by its category are entries already; they are not repeated for every set."""
+    rows = spark.createDataFrame([(1, 2.0, 5), (1, 3.0, 5), (1, 4.0, 6), (2, 1.0, 5)], "k long, A double, C long")
+    frame = aggregate.cofactor_frame(rows, Spec(("A",), ("C",)), ["k"])
+    assert "Expand" not in frame._jdf.queryExecution().executedPlan().toString()
+    got = {r["k"]: r["cofactor"].asDict() for r in frame.collect()}
+    assert got[1] == {"count": 3, "lin": [9.0], "quad": [29.0], "cat1": [{5: 2.0, 6: 1.0}], "contcat": [{5: 5.0, 6: 4.0}], "catcat": []}
+    assert got[2]["count"] == 1 and got[2]["contcat"] == [{5: 1.0}]
+    assert aggregate.cofactor_frame(rows.limit(0), Spec(("A",), ("C",))).count() == 0
