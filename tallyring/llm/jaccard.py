@@ -60,7 +60,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyring.llm import scratch
-from tallyring.llm.components import components
+from tallyring.llm.components import components, stars, tasks_of
 from tallyring.llm.text import GOLDEN, RADIX, SPACED, U64, Words, mix, sequences, slices
 
 WORDS = 4
@@ -406,12 +406,13 @@ def candidates(docs: DataFrame, spoken: DataFrame) -> DataFrame:
     texts = scratch.table(docs.where(F.col("doc_id").isNotNull()).where(_likely(unsettled)).join(unsettled, "doc_id", "left_semi"), "unsettled")
     common = _frequent(texts.mapInArrow(_whole_tokens, "token long"))
     again = scratch.table(texts.select("doc_id", "text").mapInArrow(_again(common), "doc_id long, n long, low binary"), "again")
-    near = near.unionByName(_near(again, common, again.mapInArrow(_posted(common), "doc long, k long, last long, more boolean")))
+    posted_again = scratch.table(again.mapInArrow(_posted(common), "doc long, k long, last long, more boolean"), "posted")
+    near = near.unionByName(_near(again, common, posted_again))
     combined = scratch.table(again.mapInArrow(_combined(common), "key long, doc long"), "combinations")
     first = combined.groupBy("key").agg(F.min("doc").alias("v"), F.count("*").alias("c")).where("c > 1").select("key", "v")
-    stars = combined.join(first, "key").where("doc <> v").select(F.col("doc").alias("u"), "v").distinct()
-    out = scratch.table(near.unionByName(stars), "candidates")
-    for t in (posted, texts, again, combined):
+    met = combined.join(first, "key").where("doc <> v").select(F.col("doc").alias("u"), "v")
+    out = scratch.table(stars(near.unionByName(met)), "candidates")
+    for t in (posted, texts, again, posted_again, combined):
         scratch.drop(t)
     return out
 
@@ -429,12 +430,12 @@ def _likely(ids: DataFrame):
     return held(place)
 
 
-def _dealt(rows: DataFrame, size: int) -> DataFrame:
+def _dealt(rows: DataFrame, size: int, tasks: int) -> DataFrame:
     """Rows of clusters with the number of parts of about ``size`` rows or BLOCK_BYTES of text, and
-    their own. As the numbers are written first, rows stay where they are if these are few, or else
-    a large cluster is split."""
+    their own. As the numbers are written first, by ``tasks`` tasks at most, rows stay where they are if
+    these are few, or else a large cluster is split."""
     parts = F.greatest(F.ceil(F.count("*") / size), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES), F.lit(1)).cast("int")
-    parts = scratch.table(rows.groupBy("cluster").agg(parts.alias("parts")), "parts")
+    parts = scratch.table(rows.groupBy("cluster").agg(parts.alias("parts")).coalesce(tasks), "parts")
     return rows.join(parts, "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
 
 
@@ -470,7 +471,7 @@ def split(rest: DataFrame) -> DataFrame:
     keyed = entries.unionByName(dense)
     first = keyed.groupBy("cluster", "key").agg(F.min("doc_id").alias("v"), F.count("*").alias("met")).where("met > 1")
     met = keyed.withColumnsRenamed({"cluster": "of", "key": "at"}).join(first, (F.col("of") == F.col("cluster")) & F.col("at").eqNullSafe(F.col("key")))
-    edges = scratch.table(met.where("doc_id <> v").select(F.col("doc_id").alias("u"), "v").distinct(), "edges")
+    edges = scratch.table(stars(met.where("doc_id <> v").select(F.col("doc_id").alias("u"), "v")), "edges")
     parts = components(edges)
     out = rest.drop("cluster").join(parts.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
     for t in (sets, shared, own, edges):
@@ -478,13 +479,14 @@ def split(rest: DataFrame) -> DataFrame:
     return out
 
 
-def blocks(texts: DataFrame) -> DataFrame:
+def blocks(texts: DataFrame, tasks: int | None = None) -> DataFrame:
     """Rows (cluster, doc_id, linked, text) as often as blocks of their cluster meet: b1, b2, side."""
-    rest = _dealt(texts.select("cluster", "doc_id", "linked", "text"), BLOCK)
+    tasks = tasks or tasks_of(texts.count())
+    rest = _dealt(texts.select("cluster", "doc_id", "linked", "text"), BLOCK, tasks)
     large = scratch.table(rest.where("parts > 1").select("cluster", "doc_id", "linked", "text"), "large")
     small = rest.where("parts = 1")
     if not large.isEmpty():
-        small = small.unionByName(_dealt(split(large), BLOCK).select(*small.columns))
+        small = small.unionByName(_dealt(split(large), BLOCK, tasks).select(*small.columns))
     sent = small.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return sent.select("cluster", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "doc_id", F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "linked", "text")
 
@@ -495,7 +497,8 @@ def verified(docs: DataFrame, clusters: DataFrame) -> DataFrame:
     near = docs.where(F.col("doc_id").isNotNull()).where(_likely(named))
     texts = scratch.table(near.join(named, "doc_id"), "texts")
     # the smallest set of a cluster goes to each of its parts
-    dealt = _dealt(texts, PART)
+    tasks = tasks_of(texts.count())
+    dealt = _dealt(texts, PART, tasks)
     first = F.col("doc_id") == F.col("cluster")
     sent = dealt.withColumn("part", F.explode(F.when(first, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own")))).withColumn("order", (~first).cast("int"))
     together = sent.select("cluster", "part", "order", "doc_id", "text").repartition("cluster", "part").sortWithinPartitions("cluster", "part", "order", "doc_id")
@@ -503,7 +506,7 @@ def verified(docs: DataFrame, clusters: DataFrame) -> DataFrame:
     # a linked set can be near one left over only if their distances from the first differ by 0.15 at most
     left = told.where(~F.col("linked")).groupBy("cluster").agg(F.min("far").alias("nearest"))
     open_ = told.join(left, "cluster").where(~F.col("linked") | (F.col("far") >= F.col("nearest") - 0.15 - 1e-9)).select("cluster", "doc_id", "linked")
-    sent = blocks(texts.join(open_, ["cluster", "doc_id"]))
+    sent = blocks(texts.join(open_, ["cluster", "doc_id"]), tasks)
     pairs = sent.repartition("cluster", "b1", "b2").sortWithinPartitions("cluster", "b1", "b2", "doc_id").mapInArrow(_verify, "u long, v long")
     out = scratch.table(pairs.unionByName(told.where("linked").select(F.col("doc_id").alias("u"), F.col("cluster").alias("v"))), "links")
     scratch.drop(texts)

@@ -228,6 +228,45 @@ def test_jaccard_groups(spark, monkeypatch, rare, block):
     assert got == brute(texts)
 
 
+@pytest.mark.parametrize("kind", ["random", "path", "star", "none"])
+def test_components_of_small_tables_take_few_tasks(spark, monkeypatch, kind):
+    """Small tables are written by few tasks though many partitions are set and none are joined."""
+    ship(spark)
+    rng = np.random.default_rng(5)
+    edges = {"random": rng.integers(0, 900, (600, 2)), "path": np.stack([np.arange(400), np.arange(1, 401)], 1)[rng.permutation(400)], "star": np.stack([np.full(700, 350), np.arange(700)], 1), "none": np.zeros((0, 2), dtype=np.int64)}[kind].tolist()
+    up = {x: x for e in edges for x in e if e[0] != e[1]}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+    written, plain = [], scratch.table
+
+    def table(df, name, *by):
+        out = plain(df, name, *by)
+        written.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(scratch, "table", table)
+    set_ = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in set_}
+    try:
+        for k, v in set_.items():
+            spark.conf.set(k, v)
+        df = spark.createDataFrame(edges, "u long, v long").repartition(7)
+        got = {r["node"]: r["component"] for r in components(df).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {x: root(x) for x in up}
+    assert max(written) <= 9
+
+
 def test_jaccard_boilerplate(spark):
     """Three fifths that all documents share make no cluster of them, and few pairs."""
     ship(spark)
