@@ -250,33 +250,34 @@ class Lattice:
         """Expected uses under one set of weights: forward and backward sums meet at each edge. Sums are plain
         numbers; of longer words, and where some come out too small, logs."""
         n, length = shape
-        use, plain = np.zeros(len(log_p)), length <= self.PLAIN
+        pieces_, plain = np.concatenate([piece for _, _, _, piece, _ in edges[::-1]]), length <= self.PLAIN
+        used = []
         if plain:
             p = np.exp(log_p)
-            weights_ = [p[piece] if isinstance(size, int) else p[piece] * 256.0**-size for _, _, _, piece, size in edges]
+            weights_ = [p.take(piece) if isinstance(size, int) else p.take(piece) * 256.0**-size for _, _, _, piece, size in edges]
             ahead, behind = np.zeros((length + 1, n)), np.zeros((length + 1, n))
             ahead[0] = 1
             for (s, e, rows, _, _), w in zip(edges, weights_, strict=True):
-                ahead[e, rows] += ahead[s, rows] * w
+                ahead[e][rows] += ahead[s].take(rows) * w
             plain = ahead[length].min() > self.TINY
         if plain:
             behind[length] = 1 / ahead[length]
-            for (s, e, rows, piece, _), w in zip(edges[::-1], weights_[::-1], strict=True):
-                x = w * behind[e, rows]
-                behind[s, rows] += x
-                use += np.bincount(piece, weights=ahead[s, rows] * x, minlength=len(use))
-            return use
+            for (s, e, rows, _, _), w in zip(edges[::-1], weights_[::-1], strict=True):
+                x = w * behind[e].take(rows)
+                behind[s][rows] += x
+                used.append(ahead[s].take(rows) * x)
+            return np.bincount(pieces_, weights=np.concatenate(used), minlength=len(log_p))
         weights_ = [log_p[piece] if isinstance(size, int) else log_p[piece] - size * np.log(256) for _, _, _, piece, size in edges]
         ahead, behind = np.full((length + 1, n), -np.inf), np.full((length + 1, n), -np.inf)
         ahead[0] = 0
         for (s, e, rows, _, _), w in zip(edges, weights_, strict=True):
             ahead[e, rows] = np.logaddexp(ahead[e, rows], ahead[s, rows] + w)
         behind[length] = -ahead[length]
-        for (s, e, rows, piece, _), w in zip(edges[::-1], weights_[::-1], strict=True):
+        for (s, e, rows, _, _), w in zip(edges[::-1], weights_[::-1], strict=True):
             x = w + behind[e, rows]
             behind[s, rows] = np.logaddexp(behind[s, rows], x)
-            use += np.bincount(piece, weights=np.exp(ahead[s, rows] + x), minlength=len(use))
-        return use
+            used.append(np.exp(ahead[s, rows] + x))
+        return np.bincount(pieces_, weights=np.concatenate(used), minlength=len(log_p))
 
     def _plain(self, codes: np.ndarray, log_p: list[np.ndarray]) -> np.ndarray:
         n, length = codes.shape
@@ -284,8 +285,11 @@ class Lattice:
         total = np.zeros((length + 1, n, len(log_p)))
         total[0] = 1
         for start, end, rows, piece, size in self._edges(codes):
-            weight = p[piece] if isinstance(size, int) else p[piece] * (256.0**-size)[:, None]
-            total[end, rows] += total[start, rows] * weight
+            weight = p.take(piece, axis=0)
+            if not isinstance(size, int):
+                weight *= (256.0**-size)[:, None]
+            weight *= total[start].take(rows, axis=0)
+            total[end][rows] += weight
         last = total[length].T
         with np.errstate(divide="ignore"):
             return np.where(last > self.TINY, np.log(last), -np.inf)

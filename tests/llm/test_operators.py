@@ -739,6 +739,22 @@ def test_temperature_is_found_wherever_it_lies(true):
         assert here >= reach.max() - 0.02 * abs(here)
 
 
+@pytest.mark.parametrize("tiny", [1e-280, 2.0])
+def test_lattice_uses_are_counted_once_a_table(monkeypatch, tiny):
+    """One array of the vocabulary's length a table and round, not one an edge; uses of "ab" by hand."""
+    lattice = unigram.Lattice([unigram.START, unigram.START + "a", "a", "b", "ab"])
+    monkeypatch.setattr(unigram.Lattice, "TINY", tiny)  # 2: all in logs
+    calls, plain = [], np.bincount
+    monkeypatch.setattr(unigram.np, "bincount", lambda *a, **b: calls.append(1) or plain(*a, **b))
+    p = np.array([0.1, 0.2, 0.3, 0.15, 0.2, 0.05])
+    got = lattice.uses(np.frombuffer("ab".encode("utf-32-le"), dtype=np.uint32), np.array([0]), np.array([2]), None, np.log(p), 1)
+    ways = {(0, 2, 3): 0.1 * 0.3 * 0.15, (1, 3): 0.2 * 0.15, (0, 4): 0.1 * 0.2}
+    want = np.zeros(6)
+    for way, chance in ways.items():
+        want[list(way)] += chance / sum(ways.values())
+    assert np.allclose(got, want, rtol=1e-12) and len(calls) == 1
+
+
 def test_lattice_sums_all_segmentations():
     names = ["▁", "▁a", "a", "b", "ab", "▁ab"]
     log_p = np.log(np.array([0.2, 0.3, 0.1, 0.15, 0.05, 0.1, 0.1]))
