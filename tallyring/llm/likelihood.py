@@ -84,7 +84,10 @@ class Block:
 
     def __init__(self, parts: list[tuple[pa.RecordBatch, Words]]) -> None:
         self.parts = parts
-        distinct, first, places = np.unique(np.concatenate([w.hash for _, w in parts]), return_index=True, return_inverse=True)
+        words = pa.array(np.concatenate([w.hash for _, w in parts]).view(np.int64)).dictionary_encode()
+        distinct, places = words.dictionary.to_numpy().view(np.uint64), words.indices.to_numpy()
+        first = np.empty(len(distinct), dtype=np.int64)
+        first[places[::-1]] = np.arange(len(places) - 1, -1, -1)
         trained = np.concatenate([np.repeat(~b.column("held_out").to_numpy(zero_copy_only=False), w.count) for b, w in parts])
         seen = np.bincount(places[trained], minlength=len(distinct)) > 0
         # the commonest first, so that most places are small numbers, which take little room
@@ -117,8 +120,9 @@ class Block:
         """Classes of training documents, how many words they have, and which distinct ones."""
         of = np.concatenate([np.repeat(b.column("class").to_numpy(zero_copy_only=False), w.count) for b, w in self.parts])
         for k in np.unique(of).tolist():
-            own = self.places[of == k]
-            yield k, len(own), np.unique(own)
+            own, seen = self.places[of == k], np.zeros(len(self.hash), dtype=bool)
+            seen[own] = True
+            yield k, len(own), np.flatnonzero(seen)
 
     def documents(self) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         """Rows, the places of their words, and where each row's begin, one more than rows."""

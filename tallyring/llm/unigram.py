@@ -137,6 +137,10 @@ class Lattice:
     #: Words up to this length are summed in plain numbers; those that come out too small, and
     #: longer ones, in logs.
     PLAIN, TINY, PLACES = 40, 1e-280, 22
+    #: Top bits of a hash by which most substrings are told to be no pieces, in a table that caches hold.
+    FILTER = 19
+    #: Words with which a table of one length is left alone; fewer are joined by longer ones.
+    FEW = 2000
 
     def __init__(self, names: list[str]) -> None:
         self.names, self.longest = names, max(map(len, names))
@@ -149,6 +153,8 @@ class Lattice:
         self.crowded = np.zeros(1 << self.PLACES, dtype=bool)
         self.crowded[place[beside]] = True
         self.beside = beside[np.argsort(self.hashes[beside])]
+        self.likely = np.zeros(1 << self.FILTER, dtype=bool)
+        self.likely[(self.hashes >> U64(64 - self.FILTER)).view(np.int64)] = True
 
     @staticmethod
     def _sums(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,38 +171,43 @@ class Lattice:
 
     def _one(self, piece: str) -> int:
         sums, down = self._sums(np.array([[ord(c) for c in piece]], dtype=np.uint32))
-        return int(mix((sums[-1] - sums[0]) * down[0])[0])
+        return int(((sums[-1] - sums[0]) * down[0])[0])
 
     def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which hashes are pieces', and of which."""
-        place = (h >> U64(64 - self.PLACES)).astype(np.int64)
-        at = self.table[place]
-        own = np.flatnonzero(at)
-        piece = at[own] - 1
-        good = self.hashes[piece] == h[own]
+        own = np.flatnonzero(self.likely.take((h >> U64(64 - self.FILTER)).view(np.int64)))
+        h = h.take(own)
+        place = (h >> U64(64 - self.PLACES)).view(np.int64)
+        piece = self.table.take(place) - 1
+        good = (self.hashes.take(piece) == h) & (piece >= 0)
         if len(self.beside):
-            other = np.flatnonzero(~good & self.crowded[place[own]])
+            other = np.flatnonzero(~good & self.crowded.take(place))
             if len(other):
                 sorted_ = self.hashes[self.beside]
-                i = np.minimum(np.searchsorted(sorted_, h[own[other]]), len(sorted_) - 1)
-                hit = sorted_[i] == h[own[other]]
+                i = np.minimum(np.searchsorted(sorted_, h[other]), len(sorted_) - 1)
+                hit = sorted_[i] == h[other]
                 piece[other[hit]] = self.beside[i[hit]]
                 good[other[hit]] = True
         return own[good], piece[good]
 
-    def _edges(self, codes: np.ndarray):
-        """Edges (start, end, rows, pieces, bytes of an unknown character or 0) by ends."""
+    def _edges(self, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """All edges into an end, by ends: the end, the first place that one comes from, where each comes from (place times
+        rows, plus its row; none twice), rows, and pieces; an unknown character of so many bytes is the piece of that number after all others."""
         n, length = codes.shape
         sums, down = self._sums(codes)
         for end in range(1, length + 1):
-            for start in range(max(0, end - self.longest), end):
-                own, piece = self._find(mix((sums[end] - sums[start]) * down[start]))
-                if len(own):
-                    yield start, end, own, piece, 0
-                if start == end - 1 and len(own) < n:
-                    none = np.setdiff1d(np.arange(n), own, assume_unique=True)
-                    code = codes[none, start]
-                    yield start, end, none, np.full(len(none), len(self.names)), 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
+            lo = max(0, end - self.longest)
+            own, piece = self._find(((sums[end] - sums[lo:end]) * down[lo:end, None]).ravel())
+            single = own[np.searchsorted(own, (end - 1 - lo) * n) :] - (end - 1 - lo) * n
+            rows = own % n
+            if len(single) < n:
+                none = np.ones(n, dtype=bool)
+                none[single] = False
+                none = np.flatnonzero(none)
+                code = codes[none, end - 1]
+                own, rows = np.concatenate([own, none + (end - 1 - lo) * n]), np.concatenate([rows, none])
+                piece = np.concatenate([piece, len(self.names) + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)])
+            yield end, lo, own + lo * n, rows, piece
 
     def score(self, words: list[str], log_p: list[np.ndarray]) -> np.ndarray:
         """Log probability of every word under each of several weights, a row each."""
@@ -207,99 +218,123 @@ class Lattice:
     def score_codes(self, codes: np.ndarray, start: np.ndarray, length: np.ndarray, log_p: list[np.ndarray]) -> np.ndarray:
         """The same of words that stand in an array of code points."""
         out = np.zeros((len(log_p), len(start)))
-        for part, table in self._tables(codes, start, length, 400_000 // len(log_p)):
+        spread = np.array([self._spread(p) for p in log_p])
+        for part, table, last in self._tables(codes, start, length, 400_000 // len(log_p)):
             if table.shape[1] <= self.PLAIN:
-                out[:, part] = self._plain(table, log_p)
+                out[:, part] = self._plain(table, last, spread)
                 small = np.flatnonzero((out[:, part] == -np.inf).any(axis=0))
                 if len(small):
-                    out[:, part[small]] = self._logs(table[small], log_p)
+                    out[:, part[small]] = self._logs(table[small], last[small], spread)
             else:
-                out[:, part] = self._logs(table, log_p)
+                out[:, part] = self._logs(table, last, spread)
         return out
 
     @staticmethod
-    def _tables(codes: np.ndarray, start: np.ndarray, length: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Words of one length together, about ``most`` places at a time: which, and their code points, a row each."""
+    def _spread(log_p: np.ndarray) -> np.ndarray:
+        """Weights with the unknown character's replaced by those of one of 1, 2, 3 and 4 bytes."""
+        return np.concatenate([log_p[:-1], log_p[-1] - np.arange(1, 5) * np.log(256)])
+
+    def _tables(self, codes: np.ndarray, start: np.ndarray, length: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Words of one length together, and of some lengths where they are few, about ``most`` places at a time: which,
+        their code points, a row each, filled up with zeros, and how many are theirs."""
         order = np.argsort(length, kind="stable")
-        for own in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else ():
-            n = int(length[own[0]])
-            step = max(1, most // (n + 2))
-            for lo in range(0, len(own), step):
-                part = own[lo : lo + step]
+        sorted_, lo = length[order], 0
+        while lo < len(order):
+            hi = int(np.searchsorted(sorted_, sorted_[lo], side="right"))
+            if hi - lo < self.FEW:  # to twice the length, but not from plain sums to those in logs
+                longest = 2 * sorted_[lo] + 2
+                longest = min(longest, self.PLAIN - 1) if sorted_[lo] < self.PLAIN else longest
+                hi = max(hi, min(lo + self.FEW, int(np.searchsorted(sorted_, longest, side="right"))))
+            while lo < hi:
+                to = min(hi, lo + max(1, most // (int(sorted_[hi - 1]) + 2)))
+                part, n = order[lo:to], int(sorted_[to - 1])
                 table = np.empty((len(part), n + 1), dtype=np.uint32)
                 table[:, 0] = ord(START)
-                table[:, 1:] = codes[start[part][:, None] + np.arange(n)]
-                yield part, table
+                at = np.arange(n)
+                if sorted_[lo] == n:
+                    table[:, 1:] = codes[start[part][:, None] + at]
+                else:
+                    inside = at < length[part][:, None]
+                    table[:, 1:] = np.where(inside, codes[np.where(inside, start[part][:, None] + at, 0)], 0)
+                yield part, table, sorted_[lo:to] + 1
+                lo = to
 
     def uses(self, codes: np.ndarray, start: np.ndarray, length: np.ndarray, update, log_p: np.ndarray, rounds: int) -> np.ndarray:
         """Expected use of every piece (unknown characters last) in some words, after rounds of expectation
         maximisation from given weights; ``update`` gives weights from uses. Edges are found once."""
         groups = []
-        for _, table in self._tables(codes, start, length, 400_000):
-            edges = [(s, e, rows.astype(np.int32), piece.astype(np.int32), size) for s, e, rows, piece, size in self._edges(table)]
-            groups.append((table.shape, edges))
+        for _, table, last in self._tables(codes, start, length, 400_000):
+            edges = [(e, lo, *(x.astype(np.int32) for x in found)) for e, lo, *found in self._edges(table)]
+            groups.append((table.shape, last, edges))
         use = np.zeros(len(log_p))
         for r in range(rounds):
             log_p = update(use) if r else log_p
             use = np.zeros(len(log_p))
-            for shape, edges in groups:
-                use += self._uses(shape, edges, log_p)
+            for shape, last, edges in groups:
+                use += self._uses(shape, last, edges, log_p)
         return use
 
-    def _uses(self, shape: tuple[int, int], edges: list, log_p: np.ndarray) -> np.ndarray:
+    def _uses(self, shape: tuple[int, int], last: np.ndarray, edges: list, log_p: np.ndarray) -> np.ndarray:
         """Expected uses under one set of weights: forward and backward sums meet at each edge. Sums are plain
         numbers; of longer words, and where some come out too small, logs."""
         n, length = shape
-        pieces_, plain = np.concatenate([piece for _, _, _, piece, _ in edges[::-1]]), length <= self.PLAIN
-        used = []
+        spread, ends, ways = self._spread(log_p), last * n + np.arange(n), []
+        plain, used = length <= self.PLAIN, []
         if plain:
-            p = np.exp(log_p)
-            weights_ = [p.take(piece) if isinstance(size, int) else p.take(piece) * 256.0**-size for _, _, _, piece, size in edges]
-            ahead, behind = np.zeros((length + 1, n)), np.zeros((length + 1, n))
-            ahead[0] = 1
-            for (s, e, rows, _, _), w in zip(edges, weights_, strict=True):
-                ahead[e][rows] += ahead[s].take(rows) * w
-            plain = ahead[length].min() > self.TINY
+            p = np.exp(spread)
+            ahead, behind = np.zeros((length + 1) * n), np.zeros((length + 1) * n)
+            ahead[:n] = 1
+            for e, lo, source, _, piece in edges:
+                w = p.take(piece)
+                way = ahead.take(source) * w
+                dense = np.zeros((e - lo) * n)
+                dense[source - lo * n] = way
+                dense.reshape(e - lo, n).sum(axis=0, out=ahead[e * n : (e + 1) * n])
+                ways.append((w, way))
+            plain = ahead[ends].min() > self.TINY
         if plain:
-            behind[length] = 1 / ahead[length]
-            for (s, e, rows, _, _), w in zip(edges[::-1], weights_[::-1], strict=True):
-                x = w * behind[e].take(rows)
-                behind[s][rows] += x
-                used.append(ahead[s].take(rows) * x)
-            return np.bincount(pieces_, weights=np.concatenate(used), minlength=len(log_p))
-        weights_ = [log_p[piece] if isinstance(size, int) else log_p[piece] - size * np.log(256) for _, _, _, piece, size in edges]
-        ahead, behind = np.full((length + 1, n), -np.inf), np.full((length + 1, n), -np.inf)
-        ahead[0] = 0
-        for (s, e, rows, _, _), w in zip(edges, weights_, strict=True):
-            ahead[e, rows] = np.logaddexp(ahead[e, rows], ahead[s, rows] + w)
-        behind[length] = -ahead[length]
-        for (s, e, rows, _, _), w in zip(edges[::-1], weights_[::-1], strict=True):
-            x = w + behind[e, rows]
-            behind[s, rows] = np.logaddexp(behind[s, rows], x)
-            used.append(np.exp(ahead[s, rows] + x))
-        return np.bincount(pieces_, weights=np.concatenate(used), minlength=len(log_p))
-
-    def _plain(self, codes: np.ndarray, log_p: list[np.ndarray]) -> np.ndarray:
+            behind[ends] = 1 / ahead[ends]
+            for (e, _, source, rows, _), (w, way) in zip(edges[::-1], ways[::-1], strict=True):
+                x = behind[e * n : (e + 1) * n].take(rows)
+                used.append(way * x)
+                behind[source] += w * x
+        else:
+            ahead, behind = np.full((length + 1) * n, -np.inf), np.full((length + 1) * n, -np.inf)
+            ahead[:n] = 0
+            for e, lo, source, _, piece in edges:
+                ahead[e * n : (e + 1) * n] = self._log_sums(n, e, lo, source, ahead[source] + spread[piece])
+            behind[ends] = -ahead[ends]
+            for e, _, source, rows, piece in edges[::-1]:
+                x = spread[piece] + behind[e * n : (e + 1) * n][rows]
+                used.append(np.exp(ahead[source] + x))
+                behind[source] = np.logaddexp(behind[source], x)
+        use = np.bincount(np.concatenate([piece for *_, piece in edges[::-1]]), weights=np.concatenate(used), minlength=len(spread))
+        return np.append(use[:-4], use[-4:].sum())
+
+    @staticmethod
+    def _log_sums(n: int, end: int, lo: int, source: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Of each row, the log of the sum of what its edges into an end bring."""
+        dense = np.full((end - lo) * n, -np.inf)
+        dense[source - lo * n] = x
+        return np.logaddexp.reduce(dense.reshape(end - lo, n), axis=0)
+
+    def _plain(self, codes: np.ndarray, last: np.ndarray, spread: np.ndarray) -> np.ndarray:
         n, length = codes.shape
-        p = np.exp(np.stack(log_p, axis=1))
-        total = np.zeros((length + 1, n, len(log_p)))
-        total[0] = 1
-        for start, end, rows, piece, size in self._edges(codes):
-            weight = p.take(piece, axis=0)
-            if not isinstance(size, int):
-                weight *= (256.0**-size)[:, None]
-            weight *= total[start].take(rows, axis=0)
-            total[end][rows] += weight
-        last = total[length].T
+        p = np.exp(spread)
+        total = np.zeros((len(p), (length + 1) * n))
+        total[:, :n] = 1
+        for end, _, source, rows, piece in self._edges(codes):
+            for sums, own in zip(total, p, strict=True):
+                sums[end * n : (end + 1) * n] = np.bincount(rows, weights=own.take(piece) * sums.take(source), minlength=n)
+        found = total[:, last * n + np.arange(n)]
         with np.errstate(divide="ignore"):
-            return np.where(last > self.TINY, np.log(last), -np.inf)
+            return np.where(found > self.TINY, np.log(found), -np.inf)
 
-    def _logs(self, codes: np.ndarray, log_p: list[np.ndarray]) -> np.ndarray:
+    def _logs(self, codes: np.ndarray, last: np.ndarray, spread: np.ndarray) -> np.ndarray:
         n, length = codes.shape
-        p = np.stack(log_p, axis=1)
-        total = np.full((length + 1, n, len(log_p)), -np.inf)
-        total[0] = 0
-        for start, end, rows, piece, size in self._edges(codes):
-            weight = p[piece] if isinstance(size, int) else p[piece] - (size * np.log(256))[:, None]
-            total[end, rows] = np.logaddexp(total[end, rows], total[start, rows] + weight)
-        return total[length].T
+        total = np.full((len(spread), (length + 1) * n), -np.inf)
+        total[:, :n] = 0
+        for end, lo, source, _, piece in self._edges(codes):
+            for sums, own in zip(total, spread, strict=True):
+                sums[end * n : (end + 1) * n] = self._log_sums(n, end, lo, source, own[piece] + sums[source])
+        return total[:, last * n + np.arange(n)]

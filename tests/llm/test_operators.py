@@ -755,6 +755,25 @@ def test_lattice_uses_are_counted_once_a_table(monkeypatch, tiny):
     assert np.allclose(got, want, rtol=1e-12) and len(calls) == 1
 
 
+def test_lattice_looks_up_an_end_at_once(monkeypatch):
+    """One lookup an end and table, few words of many lengths in one table; each word's sums and uses as when it stands alone."""
+    names = ["▁", "▁a", "a", "b", "ab", "▁ab", "bab"]
+    lattice, calls, plain = unigram.Lattice(names), [], unigram.Lattice._find
+    log_p = np.log(np.array([0.2, 0.25, 0.1, 0.15, 0.05, 0.1, 0.05, 0.1]))
+    words = ["", "a", "ab", "b" * 7, "ba☃b", "é\0ab𝄞", "ab" * 12, "b" * 38, "ab" * 30, "aé" * 45, "b" * 500]
+    length = np.array(list(map(len, words)))
+    args = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32), np.cumsum(length) - length, length
+    monkeypatch.setattr(unigram.Lattice, "_find", lambda *a: calls.append(1) or plain(*a))
+    sums = lattice.score(words, [log_p, log_p - 1.0])
+    # tables that end at 2, 7, 38, 90 and 500 letters, and START
+    assert len(calls) <= 3 + 8 + 39 + 91 + 501
+    assert np.allclose(sums, np.hstack([lattice.score([w], [log_p, log_p - 1.0]) for w in words]), rtol=1e-12)
+    for tiny in (1e-280, 2.0):  # 2: all in logs
+        monkeypatch.setattr(unigram.Lattice, "TINY", tiny)
+        alone = sum(lattice.uses(args[0], args[1][k : k + 1], args[2][k : k + 1], None, log_p, 1) for k in range(len(words)))
+        assert np.allclose(lattice.uses(*args, None, log_p, 1), alone, rtol=1e-10)
+
+
 def test_lattice_sums_all_segmentations():
     names = ["▁", "▁a", "a", "b", "ab", "▁ab"]
     log_p = np.log(np.array([0.2, 0.3, 0.1, 0.15, 0.05, 0.1, 0.1]))
